@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, secret_scan, sharding, tokens, topk
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_topk": topk.op3_topk,
     "op8_mixing": mixing.op8_mixing,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_tokens": tokens.op10_tokens,
 }
 ORACLES = {
+    "op3_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
