@@ -78,13 +78,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def split(column: pa.Array) -> Words:
-    """The words of each text of a column."""
+def split(column: pa.Array, space: np.ndarray = SPACE) -> Words:
+    """The words of each text of a column; ``space`` marks the bytes between words."""
     data, off = buffers(column)
     n = len(data)
     solid = np.empty(n + 2, bool)
     solid[0] = solid[-1] = False
-    np.logical_not(SPACE[data], out=solid[1:-1])
+    np.logical_not(space[data], out=solid[1:-1])
     begin = solid[1:] & ~solid[:-1]  # at i: a word starts with byte i
     end = solid[:-1] & ~solid[1:]  # at i: a word ends before byte i
     cut = off[1:-1]  # two texts meet here
