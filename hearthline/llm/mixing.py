@@ -53,6 +53,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__u", _uniform(seed))
+    d = d.withColumn("__tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = goal.withColumn("__due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("__sure", F.floor("__due")).withColumn("__odd", F.col("__due") - F.floor("__due")).withColumn("__want", F.col("target") - F.col("__sure") * F.col("source_size"))
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     d = d.join(ends, d["source"].eqNullSafe(ends["__s"]), "left").drop("__s")
     # only the rows of such a bin are ranked; all others get the key of a single row
     at_end = F.col("__bin") == F.col("__end")
-    ranked = Window.partitionBy("source", "__end").orderBy("__q", "doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = Window.partitionBy("source", "__end").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = d.filter(at_end).withColumn("__to", F.col("__from") + F.sum("size").over(ranked)).withColumn("__in", 2 * F.col("__to") - F.col("size") <= 2 * F.col("__want")).drop("__to")
     outer = d.filter(~F.coalesce(at_end, F.lit(False))).withColumn("__in", F.coalesce(F.col("__bin") <= F.col("__full"), F.lit(False)) & (F.col("__odd") > 0))
     out = inner.unionByName(outer).withColumn("copies", (F.col("__sure") + F.col("__in").cast("int")).cast("int")).withColumn("taken", F.col("copies").cast("long") * F.col("size"))

@@ -193,7 +193,7 @@ def _odds(of: np.ndarray, size: int, toxic: np.ndarray, n: tuple[int, int]) -> n
     return np.clip(np.log((a + 2.0) / (n[1] + 4.0)) - np.log((b + 2.0) / (n[0] + 4.0)), -4, 4) / 2
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128, rate: float = 0.01, min_texts: int = 5, most_words: int = 20_000, seed: int = 5) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128, rate: float = 0.01, min_texts: int = 5, most_words: int = 20_000, seed: int = 5) -> Network:
     """A network fitted to these texts; the vocabulary holds the words of ``min_texts`` texts at least."""
     y = np.array(labels, np.float32)
     w = words_of(pa.array(texts, pa.string()))
@@ -251,7 +251,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 5000, most_chars: int = 4000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2400, most_chars: int = 4000) -> Network:
     """Trained on a bounded sample of the labelled rows that are not held out: ``toxic_rows`` and ``clean_rows`` in order of
     a hash of doc_id, of which those with texts over ``most_chars`` characters are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
