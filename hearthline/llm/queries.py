@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, sharding, tokens, topk, toxicity
+from . import jaccard, mixing, secret_scan, sharding, tokens, topk, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_topk": topk.op3_topk,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_tokens": tokens.op10_tokens,
