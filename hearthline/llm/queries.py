@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, secret_scan, sharding, tokens, topk, toxicity
+from . import jaccard, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_topk": topk.op3_topk,
+    "op4_substrings": substrings.op4_substrings,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": mixing.op8_mixing,
