@@ -18,6 +18,9 @@ ship(__name__)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_ALNUM = np.ones(256, bool)  # all ASCII but letters and digits
+for _a, _z in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    NOT_ALNUM[_a:_z] = False
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64

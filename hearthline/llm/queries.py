@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity
+from . import decontaminate, jaccard, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_sharding": sharding.op2_sharding,
     "op3_topk": topk.op3_topk,
     "op4_substrings": substrings.op4_substrings,

@@ -26,9 +26,6 @@ WINDOW, STRIDE = 64, 48
 HIDDEN, ATTEND, EMBED = 8, 8, 6
 GRAM, GRAM_BITS = 4, 15
 CELLS = 64 * 2048  # words in a batch of windows, padding included
-BREAK = np.ones(256, bool)  # what separates words here: all ASCII but letters and digits
-for _a, _z in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    BREAK[_a:_z] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -42,7 +39,7 @@ class Words(NamedTuple):
 
 def words_of(column: pa.Array) -> Words:
     """Words and their grams; a gram starts with the sign before the word or one of its bytes, and stays inside the word and the sign after it."""
-    w = _words.split(column, BREAK)
+    w = _words.split(column, _words.NOT_ALNUM)
     n = w.ends - w.starts
     k = np.maximum(1, n + 3 - GRAM)  # grams of "^word$"
     first = np.concatenate([[0], np.cumsum(k)])[:-1]
