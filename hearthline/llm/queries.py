@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity
+from . import decontaminate, jaccard, mixing, secret_scan, sharding, substrings, surrogates, tokens, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_substrings": substrings.op4_substrings,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_surrogates": surrogates.op6_surrogates,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
