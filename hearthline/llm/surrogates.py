@@ -131,25 +131,29 @@ def _same_format(text: str, fixed: set[int], key: bytes, tweak: str) -> str:
 
 
 def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of an entity in canonical form; each ``attempt`` has a permutation of its own."""
-    tweak = f"{kind}|{attempt}"
+    """The surrogate of an entity in canonical form; each ``attempt`` has a permutation of its own.
+
+    Where a format has no free values left (eight attempts in a row), every eight attempts add a sign."""
+    tweak, longer = f"{kind}|{attempt}", attempt // 8
     if kind == "email":
+        canon = "a" * longer + canon
         return _same_format(canon, set(range(canon.rindex("."), len(canon))), key, tweak)
     if kind == "ip":
         v = permuted(int.from_bytes(bytes(map(int, canon.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, v.to_bytes(4, "big")))
     if kind == "card":
-        body = _same_format(canon[:-1], {0}, key, tweak)
+        body = _same_format(canon[:-1] + "0" * longer, {0}, key, tweak)
         return body + str(luhn(body))
     if kind == "iban":
-        return _same_format(canon, {0, 1}, key, tweak)
+        return _same_format(canon + "0" * longer, {0, 1}, key, tweak)
     if kind in ("phone", "ssn", "number"):
-        return _same_format(canon, {0}, key, tweak)
+        return _same_format(canon + "0" * longer, {0}, key, tweak)
     _, *gender, letters = kind.split("-")
     syllables = SYLLABLES[letters]
-    v = permuted(int.from_bytes(hashlib.sha256(canon.encode()).digest()[:5], "big") % len(syllables) ** 4, len(syllables) ** 4, key, tweak)
+    size = len(syllables) ** (4 + longer)
+    v = permuted(int.from_bytes(hashlib.sha256(canon.encode()).digest()[:16], "big") % size, size, key, tweak)
     name = ""
-    for _ in range(4):
+    for _ in range(4 + longer):
         v, k = divmod(v, len(syllables))
         name += syllables[k]
     return name + (ENDINGS[letters][gender[0]] if gender else "")
@@ -164,7 +168,7 @@ def rendered(mention: str, kind: str, value: str) -> str:
     if kind == "email":
         return "".join(v.upper() if m.isupper() else v for m, v in zip(mention, value, strict=True)) if len(mention) == len(value) else value
     rest = iter(value)
-    return "".join(next(rest) if c.isalnum() else c for c in mention)
+    return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
