@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import comparing, crawling, exporting, hints, jobs, merging, normalizing, registry, scoring, streams, validating  # noqa: F401
+
+FLAGSHIP = "k7_configuration_table"
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
