@@ -2,10 +2,143 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import any_of, title_case
+
+# Words that make a link worth following, with their weights; on the path in full, on the anchor by half.
+CONFIGURATION_WORDS = {
+    "room": 8, "studio": 8, "apartment": 8, "flat": 8, "accommodation": 8, "ensuite": 9, "en-suite": 9, "bedroom": 8, "bathroom": 7, "kitchen": 6, "configuration": 10, "config": 9, "option": 8, "variant": 8, "type": 7,
+    "detail": 8, "specification": 8, "spec": 7, "info": 6, "information": 6, r"floor\s*plan": 9, "layout": 8, "diagram": 7, "gallery": 6, "photo": 5, "premium": 7, "deluxe": 7, "standard": 6, "basic": 5, "economy": 5,
+}
+TENANCY_WORDS = {
+    "tenancy": 10, "contract": 10, "lease": 10, "duration": 9, "agreement": 8, "booking": 8, "reservation": 8, "availability": 7, "price": 9, "pricing": 9, "cost": 8, "fee": 8, "rent": 9, "deposit": 8, "weekly": 8, "monthly": 7,
+    r"per\s*week": 8, r"per\s*month": 7, "pw": 8, "pm": 7, "start": 7, "end": 7, "date": 6, "move": 6, "arrival": 6, "departure": 6, "semester": 8, r"academic\s*year": 8, "term": 7, "session": 6, "guarantor": 8, "guarantee": 7,
+    "reference": 6, "requirement": 6, "cancellation": 7, "refund": 7, "modification": 6, "transfer": 6, "offer": 6, "deal": 6, "promotion": 6, "discount": 6, "incentive": 6,
+}
+# Pairs of word groups that together on a path add a bonus.
+PAIRED_WORDS = (
+    (("room", "studio", "apartment", "ensuite"), ("detail", "info", "spec", "configuration"), 8),
+    (("price", "cost", "fee", "rent"), ("tenancy", "contract", "lease", "booking"), 8),
+    (("semester", "academic", "term"), ("tenancy", "contract", "booking", "availability"), 6),
+    (("premium", "deluxe", "standard", "basic", "economy"), ("room", "studio", "apartment"), 6),
+    (("weekly", "monthly", "pw", "pm"), ("price", "cost", "rent", "fee"), 6),
+)
+# Patterns by node of which a link's address or anchor must match one.
+ALLOWED = {
+    1: ("about", "contact", "location", "address", "map", "facility", "facilities", "amenity", "amenities", "feature", "policy", "rule", "safety", "security"),
+    2: ("about", "faq", "policy", "policies", "terms", "cancellation", "refund", "payment", "deposit", "guarantor", "commute", "transport", "nearby", "distance", "area"),
+    3: ("room", "studio", "ensuite", "en-suite", "apartment", "flat", "accommodation", "unit", "suite", "residence", "price", "pricing", "floor", "area", "layout", "detail", "feature"),
+    4: ("tenancy", "contract", "lease", "term", "duration", "booking", "availability", "price", "pricing", "cost", "fee", "rent", "deposit", "semester", r"academic\s*year", "offer"),
+}
+# Crawl budget by node: depth, links a page, pages, signs of context.
+BUDGETS = {1: (1, 10, 20, 120000), 2: (1, 10, 20, 120000), 3: (2, 15, 40, 120000), 4: (2, 15, 40, 120000)}
+# Display names of known hosts.
+HOST_NAMES = {
+    "homesforstudents.com": "Homes for Students", "iqstudentaccommodation.com": "iQ Student Accommodation", "unite-students.com": "Unite Students", "freshstudentliving.com": "Fresh Student Living", "studentroost.co.uk": "Student Roost",
+    "chapter-living.com": "Chapter Living", "downtownstudentliving.com": "Downtown Student Living", "amberstudent.com": "Amber Student", "studentuniverse.com": "Student Universe", "accommodationforstudents.com": "Accommodation for Students",
+}
+
+ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
 
 def normalize_url(c: Column) -> Column:
     """Without query, fragment and one trailing slash, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), "/$", ""))
+
+
+def host(c: Column) -> Column:
+    return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+
+
+def path(c: Column) -> Column:
+    return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def same_domain(base: Column, target: Column) -> Column:
+    """A target without a host is on the base's."""
+    return F.coalesce(F.nullif(host(target), F.lit("")), host(base)) == host(base)
+
+
+def allowed_domain(base: Column, target: Column, extra: list[str]) -> Column:
+    """On the base's host, or on or below one of ``extra`` (a short list, so no join)."""
+    h = F.lower(host(target))
+    return reduce(lambda a, d: a | (h == d) | h.endswith("." + d), [x.lower() for x in extra], same_domain(base, target))
+
+
+def join_url(base: Column, href: Column) -> Column:
+    """The address a link points to: absolute, with scheme only, from the root, or beside the page."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), host(base))
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), r"[^/]*$", "")
+    bare = F.regexp_replace(base, r"#.*$", "")
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href == "", bare).when(href.startswith("#"), F.concat(bare, href)).otherwise(F.concat(root, folder, href))
+    )
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, url, pos, href, anchor and target of every link, in order of the page."""
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("anchor"))
+    rows = pages.select("page_id", "url", F.posexplode(both).alias("pos", "a")).select("page_id", "url", "pos", "a.href", F.trim("a.anchor").alias("anchor"))
+    return rows.withColumn("target", join_url(F.col("url"), F.col("href")))
+
+
+def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
+    return F.lower(c).rlike("|".join(patterns))
+
+
+def score(url: Column, anchor: Column, patterns: tuple[str, ...]) -> Column:
+    """One expression: word weights, pattern hits, depth and paired words."""
+    p, a = F.lower(path(url)), F.lower(F.coalesce(anchor, F.lit("")))
+    hit = lambda cond, n: F.when(cond, n).otherwise(0)
+    parts = []
+    for words in (CONFIGURATION_WORDS, TENANCY_WORDS):
+        for w, n in words.items():
+            parts += [hit(p.rlike(rf"\b{w}\b"), n), hit(a.rlike(rf"\b{w}\b"), n // 2)]
+    for w in patterns:
+        parts += [hit(F.lower(url).rlike(w), 4), hit(a.rlike(w), 3)]
+    depth = F.size(F.filter(F.split(p, "/"), lambda s: s != ""))
+    parts.append(F.when(depth.between(1, 3), 4).when(depth > 3, -F.least(depth - 3, F.lit(4))).otherwise(0))
+    parts += [hit(any_of(p, one) & any_of(p, other), n) for one, other, n in PAIRED_WORDS]
+    return reduce(lambda x, y: x + y, parts)
+
+
+def best_links(links: DataFrame, k: int) -> DataFrame:
+    """Each target of a page once (its first link), the ``k`` highest scores, earlier links first on a tie."""
+    once = links.groupBy("page_id", "target").agg(F.min_by(F.struct("pos", "anchor", "score"), "pos").alias("l")).select("page_id", "target", "l.*")
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
+    return once.withColumn("rank", n).filter(F.col("rank") <= k)
+
+
+def frontier(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """url and level of what is reached from ``seeds`` (url) over ``edges`` (src, dst) in ``depth`` steps, each once.
+
+    One join a level, its result cut with checkpoint(); ``most``: pages at most, by level, then address."""
+    seen = seeds.select("url").distinct().withColumn("level", F.lit(0))
+    new = seen
+    for level in range(1, depth + 1):
+        step = edges.join(new.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
+        new = step.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level))
+        if edges.sparkSession.sparkContext.getCheckpointDir():
+            new = new.checkpoint()
+        seen = seen.unionByName(new)
+    return seen.orderBy("level", "url").limit(most) if most is not None else seen
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """Each normalised address once, as the page with the smallest id."""
+    p = pages.withColumn("norm_url", normalize_url(F.col("url")))
+    return p.groupBy("norm_url").agg(F.min_by(F.struct(*(c for c in p.columns if c != "norm_url")), "page_id").alias("p")).select("norm_url", "p.*")
+
+
+def display_name(url: Column) -> Column:
+    """The known name of a host, else the host without its ending in title case."""
+    h = F.regexp_replace(F.lower(host(url)), r"^www\.", "")
+    known = F.create_map(*(F.lit(x) for p in HOST_NAMES.items() for x in p))[h]
+    return F.coalesce(known, title_case(F.replace(F.replace(h, F.lit(".com"), F.lit("")), F.lit(".co.uk"), F.lit(""))))

@@ -1 +1,216 @@
-"""."""
+"""Queries of pages, fragments, links and contexts (S1, X, L, C)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import context as C
+from ..operators import fragments as X
+from ..operators import links as L
+from .registry import query
+from .tables import Tables
+
+NORM = "lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''))"
+HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
+PATTERN = "<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>"
+ANCHORS = f"""
+, a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{PATTERN}', 1)) AS href, unnest(regexp_extract_all(html, '{PATTERN}', 2)) AS anchor, unnest(range(len(regexp_extract_all(html, '{PATTERN}')))) AS pos FROM pages),
+anchors AS (SELECT page_id, url, pos, href, trim(anchor) AS anchor, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE href END AS target FROM a0)
+"""
+
+
+@query("s1_pages", "SELECT page_id, url, length(html) AS n FROM pages")
+def s1(t: Tables) -> DataFrame:
+    return t.read("pages").select("page_id", "url", F.length("html").cast("long").alias("n"))
+
+
+@query("l1_normalize_url", f"SELECT page_id, {NORM} AS norm_url FROM pages")
+def l1(t: Tables) -> DataFrame:
+    return t.read("pages").select("page_id", L.normalize_url(F.col("url")).alias("norm_url"))
+
+
+@query("l2_same_domain", ANCHORS + f"SELECT page_id, pos, target, regexp_extract(target, '^[A-Za-z]+://([^/?#]*)', 1) = {HOST} AS same FROM anchors")
+def l2(t: Tables) -> DataFrame:
+    return L.anchors(t.read("pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "target", L.same_domain(F.col("url"), F.col("target")).alias("same"))
+
+
+@query("l3_allowed_domain", f"SELECT page_id, {HOST} LIKE '%example.com' AS allowed FROM pages")
+def l3(t: Tables) -> DataFrame:
+    return t.read("pages").select("page_id", L.allowed_domain(F.lit("http://a.test/"), F.col("url"), ["example.com"]).alias("allowed"))
+
+
+@query("l4_anchors", ANCHORS + "SELECT page_id, pos, href, anchor, target FROM anchors")
+def l4(t: Tables) -> DataFrame:
+    return L.anchors(t.read("pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "href", "anchor", "target")
+
+
+@query("l5_allowed_links", ANCHORS + " UNION ALL ".join(f"SELECT {n} AS node, page_id, pos FROM anchors WHERE regexp_matches(lower(target), '{'|'.join(p)}') OR regexp_matches(lower(anchor), '{'|'.join(p)}')" for n, p in L.ALLOWED.items()))
+def l5(t: Tables) -> DataFrame:
+    """Links that a node follows: its address or anchor matches one of the node's patterns."""
+    fits = F.array(*(F.when(L.matches_any(F.col("target"), p) | L.matches_any(F.col("anchor"), p), n) for n, p in L.ALLOWED.items()))
+    a = L.anchors(t.read("pages")).select("page_id", F.col("pos").cast("long").alias("pos"), F.explode(F.filter(fits, lambda x: x.isNotNull())).alias("node"))
+    return a.select("node", "page_id", "pos")
+
+
+def _sum(column: str, words: dict, halves: bool) -> str:
+    return " + ".join(f"regexp_matches({column}, '\\b{w}\\b')::INT * {n // 2 if halves else n}" for w, n in words.items())
+
+
+EVERY = {**L.CONFIGURATION_WORDS, **L.TENANCY_WORDS}
+LIKE = lambda words: "(" + " OR ".join(f"contains(p, '{w}')" for w in words) + ")"
+SCORED = ANCHORS + f"""
+, p AS (SELECT *, lower(regexp_extract(target, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p, lower(anchor) AS al FROM anchors),
+q AS (SELECT *, len(list_filter(string_split(p, '/'), lambda s: s <> '')) AS depth FROM p),
+scored AS (SELECT *, ({_sum('p', EVERY, False)} + {_sum('al', EVERY, True)} + {' + '.join(f"regexp_matches(lower(target), '{w}')::INT * 4 + regexp_matches(al, '{w}')::INT * 3" for w in L.ALLOWED[3])}
+  + CASE WHEN depth BETWEEN 1 AND 3 THEN 4 WHEN depth > 3 THEN -least(depth - 3, 4) ELSE 0 END + {' + '.join(f'({LIKE(a)} AND {LIKE(b)})::INT * {n}' for a, b, n in L.PAIRED_WORDS)})::INT AS score FROM q)
+"""
+
+
+def scored(t: Tables) -> DataFrame:
+    return L.anchors(t.read("pages")).withColumn("score", L.score(F.col("target"), F.col("anchor"), L.ALLOWED[3]))
+
+
+@query("l6_link_score", SCORED + "SELECT page_id, pos, score FROM scored")
+def l6(t: Tables) -> DataFrame:
+    return scored(t).select("page_id", F.col("pos").cast("long").alias("pos"), "score")
+
+
+@query("l7_best_links", SCORED + """
+, o AS (SELECT page_id, target, min(pos) AS pos, arg_min(score, pos) AS score FROM scored GROUP BY ALL)
+SELECT page_id, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INT AS rank FROM o) WHERE rank <= 4""")
+def l7(t: Tables) -> DataFrame:
+    return L.best_links(scored(t), 4).select("page_id", "target", "rank")
+
+
+@query("l8_frontier", f"""
+, pg AS (SELECT page_id, {NORM} AS u, {HOST} AS h FROM pages), e AS (SELECT DISTINCT a.u AS src, b.u AS dst FROM pg a JOIN pg b ON b.page_id IN (a.page_id + 1, a.page_id * 2)),
+s0 AS (SELECT DISTINCT u FROM pg WHERE page_id % 25 = 0), s1 AS (SELECT DISTINCT dst AS u FROM e JOIN s0 ON src = s0.u WHERE dst NOT IN (SELECT u FROM s0)),
+s2 AS (SELECT DISTINCT dst AS u FROM e JOIN s1 ON src = s1.u WHERE dst NOT IN (SELECT u FROM s0) AND dst NOT IN (SELECT u FROM s1))
+SELECT u AS url, 0 AS level FROM s0 UNION ALL SELECT u, 1 FROM s1 UNION ALL SELECT u, 2 FROM s2""")
+def l8(t: Tables) -> DataFrame:
+    """Two steps from every 25th page, where page n leads to pages n + 1 and 2n (stored pages hold no links to each other)."""
+    p = t.read("pages").select("page_id", L.normalize_url(F.col("url")).alias("u"))
+    to = p.select(F.col("u").alias("src"), F.explode(F.array(F.col("page_id") + 1, F.col("page_id") * 2)).alias("page_id"))
+    edges = to.join(p.withColumnRenamed("u", "dst"), "page_id").select("src", "dst").distinct()
+    return L.frontier(edges, p.filter("page_id % 25 = 0").select(F.col("u").alias("url")), 2)
+
+
+@query("l9_first_pages", f"SELECT {NORM} AS norm_url, min(page_id) AS page_id FROM pages GROUP BY 1")
+def l9(t: Tables) -> DataFrame:
+    return L.first_pages(t.read("pages").select("page_id", "url")).select("norm_url", "page_id")
+
+
+@query("l10_link_inventory", ANCHORS + """
+, o AS (SELECT page_id, target, min(pos) AS pos FROM anchors GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM o)
+SELECT page_id, count(*) AS links, string_agg(target, ' ' ORDER BY pos) AS inventory FROM r WHERE n <= 50 GROUP BY 1""")
+def l10(t: Tables) -> DataFrame:
+    a = L.anchors(t.read("pages")).filter(L.same_domain(F.col("url"), F.col("target"))).groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+    r = a.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter("n <= 50")
+    return r.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]), " ").alias("inventory"))
+
+
+@query("l11_budgets", ANCHORS + """
+, b AS (SELECT page_id, pos % 4 + 1 AS node FROM anchors), n AS (SELECT page_id, node, count(*) AS n FROM b GROUP BY ALL)
+SELECT node, sum(least(n, CASE WHEN node < 3 THEN 10 ELSE 15 END))::BIGINT AS followed FROM n GROUP BY 1""")
+def l11(t: Tables) -> DataFrame:
+    """Links followed under each node's budget, here with every fourth link of a page for a node."""
+    b = t.spark.createDataFrame([(k, *v) for k, v in L.BUDGETS.items()], "node int, depth int, links int, pages int, signs int")
+    n = L.anchors(t.read("pages")).groupBy("page_id", (F.col("pos") % 4 + 1).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(b), "node").groupBy("node").agg(F.sum(F.least(F.col("n"), F.col("links"))).alias("followed"))
+
+
+@query("n12_display_names", f"""
+, h AS (SELECT page_id, regexp_replace(lower({HOST}), '^www\\.', '') AS h FROM pages)
+SELECT page_id, array_to_string(list_transform(string_split(replace(replace(h, '.com', ''), '.co.uk', ''), '.'), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda v: upper(v[1]) || v[2:]), '-')), '.') AS name FROM h""")
+def n12(t: Tables) -> DataFrame:
+    return t.read("pages").select("page_id", L.display_name(F.col("url")).alias("name"))
+
+
+TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>', ' ', 'gs'), '<style>.*?</style>', ' ', 'gs'), '<nav>.*?</nav>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("x23_visible_text", f"SELECT page_id, {TEXT} AS text FROM pages")
+def x23(t: Tables) -> DataFrame:
+    return t.read("pages").select("page_id", X.visible_text(F.col("html")).alias("text"))
+
+
+@query("x26_api_urls", """
+, f AS (SELECT page_id, unnest(regexp_extract_all(html, '"(/[^"\\s<>]+)"', 1)) AS target, unnest(range(len(regexp_extract_all(html, '"(/[^"\\s<>]+)"')))) AS pos FROM pages),
+o AS (SELECT page_id, target, min(pos) AS pos FROM f WHERE regexp_matches(lower(target), '/api/|\\.json|graphql|/data/') GROUP BY ALL)
+SELECT page_id, target, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS n FROM o) WHERE n <= 5""")
+def x26(t: Tables) -> DataFrame:
+    return X.api_urls(t.read("pages"))
+
+
+@query("x_fragment_kinds", """
+SELECT 'title' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'heading', count(*) FROM pages UNION ALL SELECT 'meta', count(*) FROM pages UNION ALL SELECT 'list', count(*) FROM pages WHERE html LIKE '%<ul><li>%'""")
+def x_kinds(t: Tables) -> DataFrame:
+    f = X.extract(t.read("pages")).filter(F.col("kind").isin("title", "heading", "meta", "list"))
+    return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x_fragments")
+def x_all(t: Tables) -> DataFrame:
+    """All fragments of all pages; tested against literal pages."""
+    return X.extract(t.read("pages")).select("page_id", "seq", "kind", "label", "body")
+
+
+@query("x18_nav_lists", ANCHORS + "SELECT page_id, string_agg(anchor, ' ' ORDER BY pos) AS items FROM anchors GROUP BY 1")
+def x18(t: Tables) -> DataFrame:
+    f = X.extract(t.read("pages")).filter("kind = 'list'")
+    return f.select("page_id", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("items"))
+
+
+@query("x14_container_dedup", ANCHORS + "SELECT page_id, count(DISTINCT lower(anchor)) AS n FROM anchors GROUP BY 1")
+def x14(t: Tables) -> DataFrame:
+    """Containers of one key once, in order: here a page's anchors by their lower-case text."""
+    a = L.anchors(t.read("pages")).withColumn("n", F.row_number().over(Window.partitionBy("page_id", F.lower("anchor")).orderBy("pos"))).filter("n = 1")
+    return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x6_x7_type_and_phone", r"""
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'student\s+accommodation') THEN 'Student Accommodation' END AS property_type, nullif(regexp_extract(text, '0[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}', 0), '') AS phone FROM documents""")
+def x6(t: Tables) -> DataFrame:
+    return t.read("documents").select("doc_id", X.property_type(F.col("text")).alias("property_type"), X.first_phone(F.col("text")).alias("phone"))
+
+
+MOST = 4000
+CATEGORY = "CASE " + " ".join(f"WHEN {LIKE(w)} THEN " + (f"CASE WHEN {LIKE(f)} THEN '{s}' ELSE '{p}' END" if f else f"'{p}'") for w, f, s, p in C.RULES) + " ELSE 'general' END"
+RANKS = "CASE category " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in C.CATEGORIES.items()) + " END"
+SHARES = "CASE category " + " ".join(f"WHEN '{k}' THEN {MOST // v[1]}" for k, v in C.CATEGORIES.items()) + " END"
+CATEGORIZED = f", g0 AS (SELECT page_id, url, html, {HOST} AS site, lower(url || CASE WHEN page_id % 3 = 0 THEN '/room-detail' WHEN page_id % 5 = 0 THEN '/price-weekly' WHEN page_id % 7 = 0 THEN '/faq' ELSE '' END) AS p FROM pages), g AS (SELECT *, {CATEGORY} AS category FROM g0)"
+PACKED = CATEGORIZED + f"""
+, r AS (SELECT *, {TEXT} AS text, page_id = min(page_id) OVER (PARTITION BY site) AS main FROM g),
+s AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY main DESC, {RANKS}, page_id) AS rank, E'\\n\\n=== ' || CASE WHEN main THEN 'MAIN PAGE' ELSE upper(category) END || ': ' || p || E' ===\\n' AS header, least(length(text), CASE WHEN main THEN {MOST // 4} ELSE {SHARES} END) AS want FROM r),
+b AS (SELECT *, coalesce(sum(length(header) + want) OVER (PARTITION BY site ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+packed AS (SELECT *, CASE WHEN main THEN want ELSE greatest(0, least(want, {MOST} - before - length(header))) END::INT AS take FROM b WHERE before < {MOST})
+"""
+
+
+def marked(t: Tables) -> DataFrame:
+    """Pages by site with an address that tells a category, made by rule."""
+    k = F.col("page_id")
+    ending = F.when(k % 3 == 0, "/room-detail").when(k % 5 == 0, "/price-weekly").when(k % 7 == 0, "/faq").otherwise("")
+    return t.read("pages").select("page_id", L.host(F.col("url")).alias("site"), F.lower(F.concat("url", ending)).alias("url"), X.visible_text(F.col("html")).alias("text"))
+
+
+@query("c1_c2_categories", CATEGORIZED + f" SELECT page_id, category, {RANKS} AS priority FROM g")
+def c1(t: Tables) -> DataFrame:
+    return marked(t).select("page_id", C.category(F.col("url")).alias("category")).withColumn("priority", C.priority(F.col("category")))
+
+
+@query("c3_c4_packing", PACKED + "SELECT page_id, site, rank::INT AS rank, take FROM packed")
+def c4(t: Tables) -> DataFrame:
+    return C.pack(marked(t), "site", MOST).select("page_id", "site", "rank", "take")
+
+
+@query("c5_contexts", PACKED + "SELECT site, string_agg(header || left(text, take), '' ORDER BY rank) AS context FROM packed GROUP BY 1")
+def c5(t: Tables) -> DataFrame:
+    return C.context(C.pack(marked(t), "site", MOST), "site")
+
+
+@query("c6_highlight", r"""SELECT doc_id, regexp_replace(text, '((?:password|token|\+1|licen[cs]e)[^\n.!?]*)', '[IMPORTANT] \1 [/IMPORTANT]', 'g') AS text FROM documents""")
+def c6(t: Tables) -> DataFrame:
+    return t.read("documents").select("doc_id", C.highlight(F.col("text"), ("password", "token", r"\+1", "licen[cs]e")).alias("text"))

@@ -1 +1,171 @@
-"""."""
+"""Queries of hints (H) and of questions and policies (F)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import fragments as X
+from ..operators import hints as H
+from ..operators import links as L
+from .crawling import HOST, TEXT
+from .registry import query
+from .tables import Tables
+
+# texts with wording by rule, as the given documents have none of it
+WORDED = """
+, w AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'A guarantor is required here. ' WHEN 1 THEN 'No guarantor ' WHEN 2 THEN 'We have a Guarantor. ' WHEN 3 THEN 'Our refund policy: cooling off of 14 days. ' WHEN 4 THEN 'Flats in Leeds West, LS1 4AB, 12 High Street. ' WHEN 5 THEN E'Deposit: 100\\nRent: 5\\nDeposit: 200\\n' WHEN 6 THEN 'If the visa refused you, no questions asked. Terms apply. ' ELSE '' END || left(text, 300) AS text FROM documents WHERE text IS NOT NULL)
+"""
+
+
+def worded(t: Tables) -> DataFrame:
+    texts = ("A guarantor is required here. ", "No guarantor ", "We have a Guarantor. ", "Our refund policy: cooling off of 14 days. ", "Flats in Leeds West, LS1 4AB, 12 High Street. ", "Deposit: 100\nRent: 5\nDeposit: 200\n", "If the visa refused you, no questions asked. Terms apply. ", "")
+    head = F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    return t.read("documents").filter("text IS NOT NULL").select("doc_id", "source", F.concat(head, F.substring("text", 1, 300)).alias("text"))
+
+
+@query("h1_longest_name", "SELECT p_brand, arg_max(p_name, (length(p_name), -p_partkey)) AS p_name FROM part GROUP BY 1")
+def h1(t: Tables) -> DataFrame:
+    return H.longest(t.read("part"), "p_brand", "p_name", "p_partkey")
+
+
+@query("h2_coordinates", """
+, p AS (SELECT s_suppkey AS page_id, s_nationkey AS site, CASE WHEN s_suppkey % 4 = 0 THEN 'nan' WHEN s_suppkey % 4 = 1 THEN '91' ELSE s_suppkey::VARCHAR END AS lat, (s_suppkey / 2)::DOUBLE AS lng, s_suppkey % 3 AS source_rank FROM supplier)
+SELECT site, arg_min(lat, (source_rank, page_id)) AS lat, arg_min(lng, (source_rank, page_id)) AS lng FROM p WHERE page_id % 4 > 1 AND page_id <= 90 GROUP BY 1""")
+def h2(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    p = t.read("supplier").select(F.col("s_nationkey").alias("site"), k.alias("page_id"), F.lit(0).alias("seq"), (k % 3).alias("source_rank"), F.when(k % 4 == 0, "nan").when(k % 4 == 1, "91").otherwise(k.cast("string")).alias("lat"), (k / 2).cast("string").alias("lng"))
+    return H.coordinates(p, "site").withColumn("lng", F.col("lng").cast("double"))
+
+
+@query("h3_address", WORDED + r"""
+SELECT source, arg_min(pc, doc_id) FILTER (pc <> '') AS postcode, arg_min(city, doc_id) FILTER (city <> '') AS city, arg_min(street, doc_id) FILTER (street <> '') AS street FROM
+ (SELECT *, regexp_extract(text, '\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b', 1) AS pc, regexp_extract(text, '\b(?:in|at|near)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1) AS city,
+   regexp_extract(text, '\b([0-9]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Street|Road|Avenue|Lane|Drive|Close|Way))\b', 1) AS street FROM w) GROUP BY 1""")
+def h3(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return H.first_by(worded(t), "source", "doc_id", {"postcode": H.found(c, H.POSTCODE), "city": H.found(c, H.CITY), "street": H.found(c, H.STREET)})
+
+
+@query("h4_h7_contact", r"""
+SELECT source, arg_min(m, doc_id) FILTER (m <> '') AS email, arg_min(p, doc_id) FILTER (p <> '') AS phone FROM
+ (SELECT source, doc_id, regexp_extract(text, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', 1) AS m, regexp_extract(text, '0[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}', 0) AS p FROM documents) GROUP BY 1""")
+def h4(t: Tables) -> DataFrame:
+    return H.first_by(t.read("documents"), "source", "doc_id", {"email": H.found(F.col("text"), H.EMAIL), "phone": X.first_phone(F.col("text"))})
+
+
+@query("h5_lists_by_label", f", h AS (SELECT page_id, {HOST} AS site FROM pages) SELECT site, 'general' AS label, count(*) AS n FROM h GROUP BY 1")
+def h5(t: Tables) -> DataFrame:
+    f = X.extract(t.read("pages")).filter("kind = 'list'").join(t.read("pages").select("page_id", L.host(F.col("url")).alias("site")), "page_id")
+    return f.groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h6_definitions", WORDED + r"""
+, l AS (SELECT source, doc_id, unnest(string_split(text, E'\n')) AS l, unnest(range(len(string_split(text, E'\n')))) AS line FROM w),
+p AS (SELECT source, doc_id, line, lower(regexp_replace(split_part(l, ':', 1), '^\s+|\s+$', '', 'g')) AS k, regexp_replace(l[strpos(l, ':') + 1:], '^\s+|\s+$', '', 'g') AS v FROM l WHERE contains(l, ':')),
+g AS (SELECT source, k, doc_id, arg_max(v, line) AS v FROM p WHERE k <> '' AND v <> '' GROUP BY ALL)
+SELECT source, k, arg_min(v, doc_id) AS v FROM g GROUP BY ALL""")
+def h6(t: Tables) -> DataFrame:
+    return H.definitions(worded(t), "source", "doc_id", "text")
+
+
+@query("h8_guarantor", WORDED + "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'guarantor_required' WHEN 1 THEN 'no_guarantor' WHEN 2 THEN 'guarantor_mentioned' END AS guarantor FROM w")
+def h8(t: Tables) -> DataFrame:
+    return worded(t).select("doc_id", H.guarantor_class(F.col("text")).alias("guarantor"))
+
+
+@query("h9_amenities", "SELECT property_id, name, n FROM (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY name)::INT AS n FROM (SELECT DISTINCT property_id, name || ' ' || type AS name FROM feature)) WHERE n <= 50")
+def h9(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    f = t.feature.select("property_id", F.concat_ws(" ", "name", "type").alias("name")).distinct()
+    return f.withColumn("n", F.row_number().over(Window.partitionBy("property_id").orderBy("name"))).filter("n <= 50")
+
+
+@query("h10_source_link", f"SELECT {HOST} AS site, arg_min(url, page_id) AS url FROM pages GROUP BY 1")
+def h10(t: Tables) -> DataFrame:
+    return t.read("pages").groupBy(L.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"))
+
+
+@query("x8_heading_sections", f"""
+SELECT page_id, true AS has_section FROM pages WHERE length({TEXT}) > 700""")
+def x8(t: Tables) -> DataFrame:
+    """Pages with long texts have a section below their heading."""
+    f = X.extract(t.read("pages")).filter("kind = 'heading_section'").select("page_id").distinct()
+    long = t.read("pages").filter(F.length(X.visible_text(F.col("html"))) > 700).select("page_id")
+    return long.join(f.withColumn("has_section", F.lit(True)), "page_id", "left").select("page_id", F.coalesce("has_section", F.lit(False)).alias("has_section"))
+
+
+@query("x21_footers", "SELECT page_id FROM pages WHERE length(trim(regexp_replace(replace(replace(regexp_extract(html, '<footer>(.*)</footer>', 1, 's'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g'))) > 50 AND NOT contains(regexp_extract(html, '<footer>(.*)</footer>', 1, 's'), '&amp;')")
+def x21(t: Tables) -> DataFrame:
+    amp = t.read("pages").filter(F.regexp_extract("html", "(?s)<footer>(.*)</footer>", 1).contains("&amp;")).select("page_id")
+    return X.extract(t.read("pages")).filter("kind = 'footer'").select("page_id").join(amp, "page_id", "left_anti")
+
+
+@query("x24_page_texts", "SELECT page_id, 4 AS kinds FROM pages")
+def x24(t: Tables) -> DataFrame:
+    """Fragments of a page joined by the rank of their kind, cut to the budget of a page."""
+    f = X.extract(t.read("pages")).filter(F.col("kind").isin("title", "heading", "list", "meta"))
+    rank = F.array_position(F.array(*map(F.lit, ("meta", "title", "heading", "list"))), F.col("kind"))
+    g = f.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "seq", "body"))).alias("x"), F.count_distinct("kind").alias("n"))
+    text = F.substring(F.array_join(F.transform("x", lambda x: x["body"]), "\n"), 1, 120000)
+    return g.select("page_id", F.when(F.length(text) > 0, F.col("n")).cast("int").alias("kinds"))
+
+
+@query("f2_turn_pairs", """
+, w AS (SELECT *, lead(role) OVER o AS r, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text AS question, answer FROM w WHERE role = 'user' AND r = 'assistant'""")
+def f2(t: Tables) -> DataFrame:
+    return H.turn_pairs(t.read("conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("f2_question_lines", r"""
+, l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Q: ' || split_part(text, E'\n', 1) ELSE 'A: ' || split_part(text, E'\n', 1) END AS l FROM conversations),
+w AS (SELECT *, sum((turn % 2 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS pair FROM l)
+SELECT conv_id, pair::BIGINT AS pair, regexp_replace(arg_min(l[3:], turn) FILTER (turn % 2 = 0), '^\s+|\s+$', '', 'g') AS question, regexp_replace(arg_min(l[3:], turn) FILTER (turn % 2 = 1), '^\s+|\s+$', '', 'g') AS answer FROM w WHERE pair > 0
+GROUP BY ALL HAVING question <> '' AND answer <> ''""")
+def f2_lines(t: Tables) -> DataFrame:
+    first = F.split("text", "\n")[0]
+    l = t.read("conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Q: "), first)).otherwise(F.concat(F.lit("A: "), first)).alias("l"))
+    return H.question_pairs(l, ["conv_id"], "turn", "l")
+
+
+@query("f3_definition_questions", WORDED + r"SELECT source, count(DISTINCT doc_id % 8) AS n FROM w WHERE doc_id % 8 = 5 GROUP BY 1")
+def f3(t: Tables) -> DataFrame:
+    """Terms that end in a question mark, with their definition."""
+    d = worded(t).filter(F.pmod("doc_id", F.lit(8)) == 5).withColumn("text", F.regexp_replace("text", "(?s)^Deposit: 100\n.*", "What deposit?: 100"))
+    return H.definitions(d, "source", "doc_id", "text").filter(F.col("k").endswith("?")).groupBy("source").agg(F.count_distinct("k").alias("n"))
+
+
+@query("f4_distinct_pairs", """
+, w AS (SELECT *, lead(role) OVER o AS r, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT lower(text) AS q, lower(answer) AS a FROM w WHERE role = 'user' AND r = 'assistant' GROUP BY ALL""")
+def f4(t: Tables) -> DataFrame:
+    return H.distinct_pairs(f2(t), [], ["conv_id", "turn"]).select(F.lower("question").alias("q"), F.lower("answer").alias("a"))
+
+
+@query("f5_policy_texts", WORDED + "SELECT doc_id FROM w WHERE regexp_matches(lower(text), 'policy|policies|term|rule|cancellation|refund')")
+def f5(t: Tables) -> DataFrame:
+    return worded(t).filter(H.is_policy(F.col("text"))).select("doc_id")
+
+
+@query("f6_policy_snippets", WORDED + r"""
+SELECT doc_id, key, CASE WHEN pos > 0 THEN regexp_replace(substr(text, greatest(1, pos - 120), pos + n + 240 - greatest(1, pos - 120)), '^\s+|\s+$', '', 'g') ELSE '' END AS value FROM (
+SELECT doc_id, text, 'cooling_off_period' AS key, strpos(lower(text), regexp_extract(lower(text), 'cooling\s*off', 0)) * (regexp_matches(lower(text), 'cooling\s*off'))::INT AS pos, length(regexp_extract(lower(text), 'cooling\s*off', 0)) AS n FROM w
+UNION ALL SELECT doc_id, text, 'no_questions_asked', strpos(lower(text), 'no questions asked'), 18 FROM w)""")
+def f6(t: Tables) -> DataFrame:
+    return H.policies(worded(t), ["doc_id"], "text").filter(F.col("key").isin("cooling_off_period", "no_questions_asked"))
+
+
+@query("f7_policy_keys", WORDED + "SELECT doc_id, 12 AS keys, 1 + (doc_id % 8 IN (3))::INT + 2 * (doc_id % 8 = 6)::INT AS filled FROM w")
+def f7(t: Tables) -> DataFrame:
+    """All twelve keys for each text; what the record has already stays."""
+    d = worded(t).withColumn("text", F.when(F.pmod("doc_id", F.lit(8)) == 3, "cooling off").when(F.pmod("doc_id", F.lit(8)) == 6, "visa refused, no questions asked").otherwise("x")).withColumn("old", F.create_map(F.lit("other_policies"), F.lit("as agreed")))
+    p = H.policies(d, ["doc_id"], "text", "old")
+    return p.groupBy("doc_id").agg(F.count_distinct("key").cast("int").alias("keys"), F.count_if(F.col("value") != "").cast("int").alias("filled"))
+
+
+@query("f8_sparse", "SELECT doc_id, ((length(text) > 50)::INT + (lang = 'en')::INT + (n_chars > 1000)::INT) AS points, ((length(text) > 50)::INT + (lang = 'en')::INT + (n_chars > 1000)::INT) <= 2 AS sparse FROM documents")
+def f8(t: Tables) -> DataFrame:
+    p = H.sparseness(F.length("text") > 50, F.col("lang") == "en", F.col("n_chars") > 1000)
+    return t.read("documents").select("doc_id", p.alias("points"), (p <= 2).alias("sparse"))
