@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 FRAGMENT = "page_id long, seq int, kind string, label string, attrs map<string,string>, body string"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4"}
+BLOCKS = HEADINGS | {"p", "div", "ul", "ol", "dl", "table", "section", "article", "footer", "address"}
 # Classes of containers by widget, words that name a table or a list, least lengths.
 WIDGETS = {"tab": ("tab", "tabs", "tab-pane", "tab-content"), "accordion": ("accordion", "accordion-item", "collapse"), "expandable": ("expandable", "expand", "read-more"), "modal": ("modal", "dialog", "popup"), "carousel": ("carousel", "slider", "swiper")}
 TABLE_WORDS = (("pricing", ("price", "cost", "rent", "fee", "£", "$", "€")), ("features", ("feature", "amenity", "facility")), ("tenancy", ("tenancy", "contract", "lease", "term")))
@@ -49,6 +50,8 @@ class Cutter(HTMLParser):
         if tag in ("script", "style"):
             self.raw = (tag, a, [])
             return
+        while tag in BLOCKS and self.open and self.open[-1][1] == "heading":  # left open
+            self._close(*self.open.pop())
         data = {k: v for k, v in a.items() if k.startswith("data-")}
         if "data-lat" in data and ("data-lng" in data or "data-lon" in data):
             self._add("data_coords", tag, data, "")

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.streaming import progress as P
@@ -9,7 +10,14 @@ from hearthline.streaming import progress as P
 ROWS = [(i, 1000 + 60 * i, i % 4, ("job_started", "node_started", "node_completed", "node_failed")[i % 4 if i > 4 else 0], i % 5, float(i % 7)) for i in range(200)]
 
 
-def files(spark, folder, parts=4):
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def files(spark, folder, parts=2):
     d = spark.createDataFrame(ROWS, "event_id long, s long, job_id long, event_type string, node long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s").select("event_id", "ts", "job_id", "event_type", "node", "value")
     for k in range(parts):
         d.filter(F.floor(F.col("event_id") / (len(ROWS) // parts)) == k).coalesce(1).write.mode("append").parquet(folder)
