@@ -62,7 +62,7 @@ def edited(slot_map: list[dict], stats: list[tuple[int, int, int]], shards: int)
     for _ in range(len(size)):
         full, least = max(range(shards), key=lambda s: (total[s], s)), min(range(shards), key=lambda s: (total[s], s))
         gap = total[full] - total[least]
-        best = min((x for x in held[full] if 0 < x[0] < gap), key=lambda x: (abs(gap - 2 * x[0]), x[1]), default=None)
+        best = min((x for x in held[full] if 0 < 2 * x[0] <= gap), key=lambda x: (abs(gap - 2 * x[0]), x[1]), default=None)
         if best is None:
             break
         held[full].remove(best)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f",
     "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f", "κύριος": "m", "κυρία": "f", "Κύριος": "m", "Κυρία": "f",
 }
-NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[  ]((?:[^\W\d_]+(?:['’-][^\W\d_]+)*)(?:[  ](?:[^\W\d_]+(?:['’-][^\W\d_]+)*)){0,2})")
+NAME = regex.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ \u00a0]((?:\p{Lu}\p{L}*(?:['’-]\p{L}+)*)(?:[ \u00a0]\p{Lu}\p{L}*(?:['’-]\p{L}+)*){0,2})")
 # Syllables and gender endings by script, from which surrogate names are made.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ha jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vi wa ya".split(),
@@ -68,23 +69,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), "ssn", digits))
         elif 13 <= len(digits) <= 19 and "+" not in m[0] and "(" not in m[0] and luhn(digits[:-1]) == int(digits[-1]):
             out.append((m.start(), m.end(), "card", digits))
-        elif 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(re.findall(r"[0-9]+", m[0])) >= 3):
+        elif 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(digits) >= 9 and len(re.findall(r"[0-9]+", m[0])) >= 3):
             out.append((m.start(), m.end(), "phone", digits))
         elif 13 <= len(digits) <= 19 and len(digits) == len(m[0]):
             out.append((m.start(), m.end(), "number", digits))
     for m in NAME.finditer(text):
-        at = m.start(2)
-        words = m[2].replace(" ", " ").split(" ")
-        given = True
-        for w in words:
-            if not w[0].isupper():
-                break
-            last = w == words[-1] or not words[words.index(w) + 1][:1].isupper()
+        at, words = m.start(2), re.split("[ \u00a0]", m[2])
+        for i, w in enumerate(words, 1):
             # a single name after a title, and the last of several, is a family name, which tells no gender
-            kind = "family" if last else "given-" + TITLES[m[1]]
-            out.append((at, at + len(w), f"{kind if given or last else 'given-' + TITLES[m[1]]}-{script(w)}", w.lower()))
+            kind = "family" if i == len(words) else "given-" + TITLES[m[1]]
+            out.append((at, at + len(w), f"{kind}-{script(w)}", w.lower()))
             at += len(w) + 1
-            given = False
     kept, end = [], 0
     for e in sorted(out, key=lambda e: (e[0], -e[1])):
         if e[0] >= end:

@@ -25,7 +25,7 @@ ship(__name__)
 WINDOW, STRIDE = 64, 48
 HIDDEN, ATTEND, EMBED = 8, 8, 6
 GRAM, GRAM_BITS = 4, 15
-CELLS = 64 * 2048  # words in a batch of windows, padding included
+CELLS = 64 * 1024  # words in a batch of windows, padding included
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -37,8 +37,24 @@ class Words(NamedTuple):
     first: np.ndarray  # of each text, its first word; one more entry at the end
 
 
-def words_of(column: pa.Array) -> Words:
-    """Words and their grams; a gram starts with the sign before the word or one of its bytes, and stays inside the word and the sign after it."""
+def words_of(column: pa.Array, piece: int = 256 << 10) -> Words:
+    """Words and their grams, worked out over about ``piece`` bytes at a time."""
+    _, off = _words.buffers(column)
+    parts, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + piece, "right")) - 1)
+        parts.append(_words_of(column.slice(lo, hi - lo)))
+        lo = hi
+    if len(parts) == 1:
+        return parts[0]
+    grams, words = np.cumsum([0] + [len(p.grams) for p in parts]), np.cumsum([0] + [len(p.hashes) for p in parts])
+    join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+    first = join([p.first[:-1] + a for p, a in zip(parts, words, strict=False)])
+    return Words(join([p.hashes for p in parts]), join([p.grams for p in parts]), join([p.gram_first + a for p, a in zip(parts, grams, strict=False)]), np.append(first, words[-1]).astype(np.int64))
+
+
+def _words_of(column: pa.Array) -> Words:
+    """A gram starts with the sign before the word or one of its bytes, and stays inside the word and the sign after it."""
     w = _words.split(column, _words.NOT_ALNUM)
     n = w.ends - w.starts
     k = np.maximum(1, n + 3 - GRAM)  # grams of "^word$"
@@ -52,7 +68,7 @@ def words_of(column: pa.Array) -> Words:
     for i in range(GRAM):
         c = np.where((left > i) & ~(begins & (i == 0)), data[np.minimum(at + i, len(data) - 1)], 1)
         code = code * np.uint64(257) + c
-    return Words(_words.hashes(w, lower=True), (_words.mix(code) >> np.uint64(64 - GRAM_BITS)).astype(np.int64), first, w.first)
+    return Words(_words.hashes(w, lower=True), (_words.mix(code) >> np.uint64(64 - GRAM_BITS)).astype(np.int32), first, w.first)
 
 
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,20 +105,24 @@ class Network:
 
     def inputs(self, w: Words, ids: np.ndarray) -> np.ndarray:
         """A row of features per word."""
-        if not len(ids):
-            return np.zeros((0, 2 * EMBED + 3), np.float32)
-        count = np.diff(np.append(w.gram_first, len(w.grams)))[:, None].astype(np.float32)
-        odds = self.gram_odds[w.grams]
-        gram = np.add.reduceat(self.p["gram"][w.grams], w.gram_first) / count
-        fixed = [np.maximum.reduceat(odds, w.gram_first), np.add.reduceat(odds, w.gram_first) / count[:, 0], self.word_odds[ids]]
-        return np.concatenate([self.p["word"][ids], gram, np.stack(fixed, 1)], 1)
+        out = np.empty((len(ids), 2 * EMBED + 3), np.float32)
+        ends = np.append(w.gram_first, len(w.grams))
+        for lo in range(0, len(ids), 65536):
+            hi = min(len(ids), lo + 65536)
+            first, grams, x = ends[lo:hi] - ends[lo], w.grams[ends[lo] : ends[hi]], out[lo:hi]
+            count = np.diff(ends[lo : hi + 1])[:, None].astype(np.float32)
+            odds = self.gram_odds[grams]
+            x[:, :EMBED] = self.p["word"][ids[lo:hi]]
+            x[:, EMBED : 2 * EMBED] = np.add.reduceat(self.p["gram"][grams], first) / count
+            x[:, -3], x[:, -2], x[:, -1] = np.maximum.reduceat(odds, first), np.add.reduceat(odds, first) / count[:, 0], self.word_odds[ids[lo:hi]]
+        return out
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows: ``index`` (time, window) points into the rows ``x``."""
         p, (steps, batch) = self.p, index.shape
         proj = np.matmul(x[None], p["W"]) + p["b"]
-        states = np.zeros((2, steps, batch, HIDDEN), np.float32)
-        h, memo = np.zeros((2, batch, HIDDEN), np.float32), []
+        states = np.zeros((2, steps, batch, HIDDEN), proj.dtype)
+        h, memo = np.zeros((2, batch, HIDDEN), proj.dtype), []
         for t in range(steps):
             at = (t, steps - 1 - t)
             a = np.stack([proj[d, index[at[d]]] for d in (0, 1)])
@@ -136,7 +156,7 @@ class Network:
         d_u = d_e[..., None] * p["v"] * (1 - u**2)
         g |= {"v": np.einsum("tb,tba->a", d_e, u), "A": np.einsum("tbs,tba->sa", s, d_u), "a": d_u.sum((0, 1))}
         d_s = d_s + d_u @ p["A"].T
-        d_u_all, d_proj = np.zeros_like(p["U"]), np.zeros((2, len(x), 3 * HIDDEN), np.float32)
+        d_u_all, d_proj = np.zeros_like(p["U"]), np.zeros((2, len(x), 3 * HIDDEN), x.dtype)
         d_h = np.zeros_like(memo[0][0])
         for t in reversed(range(steps)):
             at = (t, steps - 1 - t)
@@ -190,8 +210,9 @@ def _odds(of: np.ndarray, size: int, toxic: np.ndarray, n: tuple[int, int]) -> n
     return np.clip(np.log((a + 2.0) / (n[1] + 4.0)) - np.log((b + 2.0) / (n[0] + 4.0)), -4, 4) / 2
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128, rate: float = 0.01, min_texts: int = 5, most_words: int = 20_000, seed: int = 5) -> Network:
-    """A network fitted to these texts; the vocabulary holds the words of ``min_texts`` texts at least."""
+def train(texts: list[str], labels: list[int], steps: int = 200, batch: int = 32, rate: float = 0.01, decay: float = 0.3, min_texts: int = 5, most_words: int = 20_000, seed: int = 5) -> Network:
+    """A network fitted to these texts in about ``steps`` batches, two rounds over all texts at least; the vocabulary holds
+    the words of ``min_texts`` texts at least."""
     y = np.array(labels, np.float32)
     w = words_of(pa.array(texts, pa.string()))
     n = (int((y == 0).sum()), int((y == 1).sum()))
@@ -204,6 +225,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128
     odds = _odds(pairs % max(1, len(vocabulary)), len(vocabulary), y[pairs // max(1, len(vocabulary))] == 1, n)[keep]
     gram_text = np.repeat(text, np.diff(np.append(w.gram_first, len(w.grams))))
     gram_pairs = np.unique(gram_text << GRAM_BITS | w.grams)
+    del gram_text
     gram_odds = _odds(gram_pairs & (1 << GRAM_BITS) - 1, 1 << GRAM_BITS, y[gram_pairs >> GRAM_BITS] == 1, n)
     net = Network(vocabulary[keep], np.concatenate([[0], odds]), gram_odds, n[1] / max(1, sum(n)), seed)
     if not min(n):
@@ -213,7 +235,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128
     ids = net.word_ids(w.hashes)
     of, start, length = windows_of(w.first)
     r, step, m, v = np.random.default_rng(seed), 0, {}, {}
-    for epoch in range(epochs):
+    for epoch in range(max(2, round(steps * batch / len(y)))):
         x = net.inputs(w, ids)
         # at first the window with the likeliest word or gram stands for the text, later the one that scores highest
         score = np.array([x[a : a + k, -1].max() + x[a : a + k, -3].max() for a, k in zip(start, length, strict=True)]) if epoch == 0 else net.window_logits(x, start, length)
@@ -239,6 +261,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 128
             for name, d in g.items():  # Adam
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * d
                 v[name] = 0.999 * v.get(name, 0) + 0.001 * d * d
+                net.p[name] *= 1 - rate * decay
                 net.p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
@@ -248,7 +271,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2400, most_chars: int = 4000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: int = 1600, most_chars: int = 4000) -> Network:
     """Trained on a bounded sample of the labelled rows that are not held out: ``toxic_rows`` and ``clean_rows`` in order of
     a hash of doc_id, of which those with texts over ``most_chars`` characters are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
