@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -11,6 +14,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def ship(name: str) -> None:
     """Pickle the functions of module ``name`` by value, so that executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[name])
@@ -40,8 +46,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES, as texts may be long; a lower bound in bytes that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key).rstrip("bB")
+    if not known.isdigit() or int(known) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on, and the next operator needs it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and ``more``) of ``docs``, whatever other columns it carries."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *(docs[c] for c in more))
 
 

@@ -124,7 +124,7 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(x)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Slices of a batch with about ``most`` bytes of text each, one row at least."""
     c = batch.column(batch.schema.get_field_index(column))
     _, off = buffers(c)

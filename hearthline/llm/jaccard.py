@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ship, table, text_only, written
+from ._common import release, ship, table, text_only, written
 from ._words import chunks
 from .components import components
 
@@ -242,6 +242,8 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
                 label[label == label[j]] = label[i]
         if not across:
             index.add(items, int(n[i]))
+    del index
+    release()
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 

@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ship, table, text_only, written
+from ._common import release, ship, table, text_only, written
 from ._words import chunks
 
 ship(__name__)
 
 WINDOW, MER = 20, 4
 BITS = 1 << 26  # of the filter of repeated minimisers; when it fills up, more windows travel, and none fewer
+PART = 4 << 20  # bytes of super-k-mers that are sorted at once
 FREQUENT = 20_000  # m-mers that come last in the order, at most
 U64 = np.uint64
 TOP = U64(1 << 63)
@@ -142,7 +143,19 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch.filter(pa.compute.invert(sent)))
     if not sum(map(len, held)):
         return
-    t = pa.Table.from_batches(held).combine_chunks()
+    t = pa.Table.from_batches(held)
+    del held
+    # equal windows have equal keys, so the keys may be taken in parts
+    parts = 1 + t.nbytes // PART
+    of = _words.mix(t.column(0).to_numpy().view(U64)) % U64(parts)
+    for i in range(parts):
+        yield from _sorted_windows(t.filter(pa.array(of == U64(i))).combine_chunks())
+    release()
+
+
+def _sorted_windows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not len(t):
+        return
     doc, tag, at = (t.column(i).to_numpy() for i in (1, 2, 3))
     w = _words.split(t.column(5))
     h = _words.hashes(w)

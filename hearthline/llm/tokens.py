@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import ensure_dir, shared_dir, ship, table, text_only, written
+from ._common import ensure_dir, release, shared_dir, ship, table, text_only, written
 from ._words import chunks
 
 ship(__name__)
 
 BLOCK_BITS = 512
-FILE_TOKENS = 4 << 20
-CACHE_WORDS = 300_000
+FILE_TOKENS = 2 << 20
+CACHE_WORDS = 100_000
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
@@ -182,6 +182,7 @@ def _writer(folder: str, name: str, end_id: int | None, file_tokens: int):
         from pyarrow import fs
         from pyspark import TaskContext
 
+        release()
         part = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         enc, end = encoder(vocabulary(name)), b"" if end_id is None else struct.pack("<I", end_id)
@@ -197,7 +198,7 @@ def _writer(folder: str, name: str, end_id: int | None, file_tokens: int):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [file], "docs": pa.array([len(docs)], pa.int64()), "tokens": pa.array([count], pa.int64())})
 
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", 1 << 20):
                 texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
                 for d, raw in zip(piece.column(0).to_pylist(), enc.encode(texts), strict=True):
                     docs.append(d)
@@ -208,6 +209,8 @@ def _writer(folder: str, name: str, end_id: int | None, file_tokens: int):
                         ids, docs, count, seq = [], [], 0, seq + 1
         if docs:
             yield flush()
+        ids, docs = [], []
+        release()
 
     return write
 

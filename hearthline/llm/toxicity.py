@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ship, table, text_only
+from ._common import release, ship, small_batches, table, text_only
 from ._words import chunks
 
 ship(__name__)
@@ -291,6 +291,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             for piece in chunks(batch, "text", 1 << 20):
                 s = held.value.scores(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(s.astype(float))], ["doc_id", "score"])
+        release()
 
     out = text_only(docs).mapInArrow(rows, "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -299,6 +300,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't call toxic, with all their columns."""
     net = fit(docs, labels)
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
@@ -306,6 +308,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in chunks(batch, "text", 1 << 20):
                 yield piece.filter(pa.array(held.value.scores(piece.column(at)) < 0.5))
+        release()
 
     return docs.mapInArrow(rows, docs.schema)
 
