@@ -23,14 +23,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def set_overlap(items: DataFrame, pairs: DataFrame, owner: str, item: str, ours: str = "ours", theirs: str = "theirs") -> DataFrame:
-    """Jaccard share of the item sets of each pair of owners, by counting common items instead of comparing arrays."""
-    distinct = items.select(owner, item).distinct()
-    size = distinct.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    side = lambda d, name, *more: d.select(F.col(owner).alias(name), *more)
-    common = pairs.join(side(distinct, ours, item), ours).join(side(distinct, theirs, item), [theirs, item]).groupBy(ours, theirs).agg(F.count(F.lit(1)).alias("common"))
-    sized = pairs.join(side(size, ours, F.col("n").alias("n_ours")), ours).join(side(size, theirs, F.col("n").alias("n_theirs")), theirs)
-    both = sized.join(common, [ours, theirs], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    return both.select(ours, theirs, "common", (F.col("common") / (F.col("n_ours") + F.col("n_theirs") - F.col("common"))).alias("overlap"))
+    """Common items and Jaccard share of the item sets of each pair of owners.
+
+    One array an owner (the features of a listing are few), joined to both sides: rows stay as many as pairs."""
+    sets = items.groupBy(owner).agg(F.collect_set(item).alias("s"))
+    side = lambda name, column: sets.select(F.col(owner).alias(name), F.col("s").alias(column))
+    both = pairs.join(side(ours, "a"), ours).join(side(theirs, "b"), theirs).withColumn("common", F.size(F.array_intersect("a", "b")).cast("long"))
+    return both.select(ours, theirs, "common", (F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).alias("overlap"))
 
 
 def competitors(listings: DataFrame, key: str = "property_id", area: str = "region", most: int | None = None) -> DataFrame:
