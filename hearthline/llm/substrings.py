@@ -24,7 +24,7 @@ from ._words import chunks
 ship(__name__)
 
 WINDOW, MER = 20, 4
-BITS = 1 << 26  # of the filter of repeated minimisers; when it fills up, more windows travel, and none fewer
+BITS = 1 << 25  # of the filter of repeated minimisers; when it fills up, more windows travel, and none fewer
 PART = 4 << 20  # bytes of super-k-mers that are sorted at once
 FREQUENT = 20_000  # m-mers that come last in the order, at most
 U64 = np.uint64
