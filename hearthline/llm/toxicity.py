@@ -271,7 +271,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: int = 1600, most_chars: int = 4000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 500, clean_rows: int = 1000, most_chars: int = 4000) -> Network:
     """Trained on a bounded sample of the labelled rows that are not held out: ``toxic_rows`` and ``clean_rows`` in order of
     a hash of doc_id, of which those with texts over ``most_chars`` characters are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
@@ -279,7 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 800, clean_rows: i
     chosen = F.broadcast(pick(1, toxic_rows).union(pick(0, clean_rows)))  # bounded by the two parameters
     rows = text_only(docs).filter(F.length("text") <= most_chars).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda x: (x[0], x[1]))
-    return train([x[1] for x in rows], [x[2] for x in rows])
+    net = train([x[1] for x in rows], [x[2] for x in rows])
+    del rows
+    release()
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
