@@ -16,9 +16,16 @@ from ._common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
+BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
 SCALE = float(1 << 52)
 
 
+def _few_sources(docs: DataFrame) -> bool:
+    """Whether a table of one row a source is small enough to go to every executor."""
+    s = docs.select(F.col("source").cast("string").alias("source")).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("source")).alias("bytes")).first()
+    return s["n"] <= BROADCAST_SOURCES and (s["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def _uniform(seed: int) -> Column:
     """From (0, 1), by doc_id, or by the text where that is null."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text")), F.lit("none")))
@@ -49,16 +56,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     Null or empty texts have size 0 and are taken 0 times 0 words; a null source is a source of its own, last in order.
     Equal rows (same doc_id and text) share one draw. Own columns of these names are replaced. A source of any share of
-    the rows is ranked in bins of its draws; only the bin where the sample ends is sorted.
+    the rows is ranked in bins of its draws; only the bin where the sample ends is sorted. The tables of one row a source
+    are broadcast up to BROADCAST_SOURCES and BROADCAST_BYTES, so that texts stay in place; beyond, they are shuffled.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    small = F.broadcast if _few_sources(docs) else lambda x: x
     d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__u", _uniform(seed))
     d = d.withColumn("__tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = goal.withColumn("__due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("__sure", F.floor("__due")).withColumn("__odd", F.col("__due") - F.floor("__due")).withColumn("__want", F.col("target") - F.col("__sure") * F.col("source_size"))
     goal = goal.withColumnRenamed("source", "__s")
-    d = d.join(goal, d["source"].eqNullSafe(goal["__s"]), "left").drop("__s")
+    d = d.join(small(goal), d["source"].eqNullSafe(goal["__s"]), "left").drop("__s")
     # odds(u) / odds(p), brought into (0, 1]; nobody is drawn where nothing is left to share
     p = F.col("__odd")
     q = F.when(p > 0, F.col("__u") * (1 - p) / (F.col("__u") * (1 - p) + (1 - F.col("__u")) * p)).otherwise(F.lit(1.0))
@@ -69,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     # the last bin of each source that is taken whole, and the one in which the wanted words end
     here = (F.col("__from") < F.col("__goal")) & (F.col("__goal") < F.col("__to"))
     ends = bins.groupBy(F.col("source").alias("__s")).agg(F.max(F.when(F.col("__to") <= F.col("__goal"), F.col("__bin"))).alias("__full"), F.max(F.when(here, F.col("__bin"))).alias("__end"), F.max(F.when(here, F.col("__from"))).alias("__from"))
-    d = d.join(ends, d["source"].eqNullSafe(ends["__s"]), "left").drop("__s")
+    d = d.join(small(ends), d["source"].eqNullSafe(ends["__s"]), "left").drop("__s")
     # only the rows of such a bin are ranked; all others get the key of a single row
     at_end = F.col("__bin") == F.col("__end")
     ranked = Window.partitionBy("source", "__end").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -277,7 +277,7 @@ def test_components(spark):
 
 
 # 8
-def test_mixing(spark, sf, odd, none):
+def test_mixing(spark, sf, odd, none, monkeypatch):
     d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)))
     rows = mixing.mix(d).collect()
     assert len(rows) == d.count() and all(r.taken == r.copies * r["size"] and r.copies <= 2 for r in rows)
@@ -289,6 +289,9 @@ def test_mixing(spark, sf, odd, none):
     assert math.isclose(sum(g[0].target for g in by.values()), 1.5 * sum(r["size"] for r in rows))
     pick = lambda x: sorted((r.doc_id, r.copies) for r in x)
     assert pick(rows) == pick(mixing.mix(d.repartition(7)).collect())
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "BROADCAST_SOURCES", 0)
+        assert pick(rows) == pick(mixing.mix(d).collect())
     got = mixing.mix(odd).collect()
     assert len(got) == 12 and {r.taken for r in got if r.doc_id in (2, 3, 4)} == {0} and mixing.mix(none).count() == 0
     assert mixing.mix(odd.filter("doc_id = 2")).first().target == 0.0
