@@ -2,12 +2,14 @@
 
 An item's seeds are its n-grams of words that are rarest in the corpus. Where a document holds seeds, the passage around
 them is cut out and joined to the items of its seeds; Smith-Waterman alignment over words then scores the pair, so that
-edited or paraphrased copies count as well as exact ones.
+edited or paraphrased copies count as well as exact ones. Seeds that are too frequent for this join are looked up where
+the texts are: a pair is aligned there if enough of the item's words stand around a hit to reach the least score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,9 @@ RARE = 20  # documents: seeds in no more count as rare, whatever the item's othe
 LEAST = 0.4  # of the score that an exact copy of the item has
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_SEEDS = 1_000_000  # seeds that a task holds at once; a larger benchmark is taken in blocks
+SLICE = 1 << 18  # pairs of a hit and an item that a task looks at at once
 FOUND = "doc_id long, tag long, at int, words array<long>, seeds array<struct<seed:long,place:int>>"
+ALIGNED = "doc_id long, tag long, item_id long, seeds int, score double, first_word long, last_word long"
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +97,85 @@ def _passages(held, around: int):
     return rows
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ranges that begin at ``first`` with ``n`` places each, and the number of the range of each place."""
+    of = np.repeat(np.arange(len(n)), n)
+    return first[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of], of
+
+
+def _looked_up(seeds: pd.DataFrame, items: pd.DataFrame) -> SimpleNamespace:
+    """Seeds with the items and places that have them, and the words of these items, as arrays."""
+    ids = items["item_id"].to_numpy(np.int64)
+    words = np.concatenate([np.asarray(w, np.int64) for w in items["words"]])
+    vocabulary, numbers = np.unique(words, return_inverse=True)
+    order = np.argsort(seeds["seed"].to_numpy(np.int64), kind="stable")
+    seed, start = np.unique(seeds["seed"].to_numpy(np.int64)[order], return_index=True)
+    by_id = np.argsort(ids)
+    item = by_id[np.searchsorted(ids[by_id], seeds["item_id"].to_numpy(np.int64)[order])]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in items["words"]])])
+    return SimpleNamespace(item_ids=ids, first=first, words=words, vocabulary=vocabulary, numbers=numbers, seeds=seed, start=np.append(start, len(order)), item=item, place=seeds["item_at"].to_numpy(np.int64)[order])
+
+
+def _regions(held: SimpleNamespace, w: _words.Words, at: np.ndarray, text: np.ndarray, which: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """text, item, hits, begin and end of the regions in which an alignment through a hit can lie."""
+    pos, of = _spread(held.start[which], held.start[which + 1] - held.start[which])
+    t, item, begin = text[of], held.item[pos], at[of] - held.place[pos]
+    order = np.lexsort((begin, item, t))
+    t, item, begin = t[order], item[order], begin[order]
+    size = held.first[item + 1] - held.first[item]
+    # 2 a match, 1 off a word left out: with more words between, the score falls below the least
+    pad = np.ceil((MATCH * size * max(0.0, 1 - least)) / -GAP).astype(np.int64) + 1
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + size[1:])])
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(t)) - 1
+    low, high = w.first[t[a]], w.first[t[a] + 1]
+    return t[a], item[a], z - a + 1, np.maximum(low, begin[a] - pad[a]), np.minimum(high, begin[z] + size[a] + pad[a])
+
+
+def _frequent(shared, least: float):
+    """The alignments of at least ``least`` through the hits of frequent seeds, found within the task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                w, h, at, text = _hits(piece, held.seeds)
+                if not len(at):
+                    continue
+                which = np.searchsorted(held.seeds, _seeds(h)[at])
+                h = h.view(np.int64)
+                no = np.minimum(np.searchsorted(held.vocabulary, h), len(held.vocabulary) - 1)
+                known = np.flatnonzero(held.vocabulary[no] == h)
+                index = np.sort(no[known] * (len(h) + 1) + known)  # where each word of the items stands
+                ends = np.cumsum(held.start[which + 1] - held.start[which])
+                lo = 0
+                while lo < len(at):  # a slice ends between texts, if it can
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE, "right")))
+                    if hi < len(at) and text[hi] != text[lo]:
+                        hi = int(np.searchsorted(text, text[hi]))
+                    t, item, hits, begin, end = _regions(held, w, at[lo:hi], text[lo:hi], which[lo:hi], least)
+                    lo = hi
+                    out: list[tuple] = []
+                    size = held.first[item + 1] - held.first[item]
+                    parts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), SLICE), "left")
+                    for x, y in zip(parts, [*parts[1:], len(t)], strict=True):
+                        place, of = _spread(held.first[item[x:y]], size[x:y])
+                        key = held.numbers[place] * (len(h) + 1)
+                        there = np.searchsorted(index, key + begin[x:y][of]) < np.searchsorted(index, key + end[x:y][of])
+                        good = x + np.flatnonzero(np.bincount(of[there], minlength=y - x) >= least * size[x:y] - 1e-9)
+                        for i in good:
+                            score, p, q = align(held.words[held.first[item[i]] : held.first[item[i] + 1]], h[begin[i] : end[i]])
+                            if (score := score / (MATCH * int(size[i]))) >= least:
+                                a = int(begin[i] - w.first[t[i]])
+                                out.append((int(t[i]), int(held.item_ids[item[i]]), int(hits[i]), score, a + p, a + q))
+                    if out:
+                        c = list(zip(*out, strict=True))
+                        take = pa.array(c[0])
+                        yield pa.RecordBatch.from_arrays([piece.column(0).take(take), piece.column(2).take(take), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.int64())], ["doc_id", "tag", "item_id", "seeds", "score", "first_word", "last_word"])
+
+    return rows
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: its score, and the words of the passage from and to which it reaches."""
     n = len(passage)
@@ -141,7 +224,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     items = written(items.filter(F.size("words") >= SEED), "items")
     seeds = written(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int"), "seeds")
     total, longest = seeds.count(), items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = [_block(docs, items, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), longest) for blocks in [max(1, -(-total // BLOCK_SEEDS))] for b in range(blocks)]
+    found = [_block(docs, items, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), longest, least) for blocks in [max(1, -(-total // BLOCK_SEEDS))] for b in range(blocks)]
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -149,21 +232,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     return every.filter(F.col("score") >= least).withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
-def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int) -> DataFrame:
+def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int, least: float) -> DataFrame:
     """The same for the items of these seeds, of which there are BLOCK_SEEDS or little more."""
     sc = docs.sparkSession.sparkContext
     held = lambda s: sc.broadcast(np.sort(s.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)))
     df = docs.mapInArrow(_count(held(seeds)), "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df"))
     middle = F.percentile("df", F.lit(0.5)).over(Window.partitionBy("item_id"))
     rare = seeds.join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = written(rare.filter("df > 0").withColumn("middle", middle).filter(F.col("df") <= F.greatest("middle", F.lit(RARE))).drop("middle"), "rare")
+    told = written(rare.filter("df > 0").withColumn("rare", F.col("df") <= F.greatest(middle, F.lit(RARE))), "told")
+    rare, frequent = told.filter("rare").drop("rare"), told.filter("NOT rare")
     passages = written(docs.mapInArrow(_passages(held(rare), longest + longest // 2 + 4), FOUND), "passages")
     place = passages.select("doc_id", "tag", "at", F.explode("seeds").alias("s")).select("doc_id", "tag", "at", "s.seed", "s.place")
     pairs = place.join(rare, "seed").groupBy("doc_id", "tag", "at", "item_id").agg(F.min(F.col("place") - F.col("item_at")).alias("low"), F.max(F.col("place") - F.col("item_at")).alias("high"), F.count(F.lit(1)).cast("int").alias("hits"))
     keyed = lambda d: d.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
     both = keyed(pairs).join(keyed(passages.drop("seeds")), ["__id", "tag", "at"]).join(items.withColumnRenamed("words", "item"), "item_id")
     both = both.withColumn("doc_id", F.nullif("__id", F.lit(-(1 << 63))))
-    return both.select("doc_id", "tag", "at", "item_id", "low", "high", "hits", "words", "item").mapInPandas(_aligned, "doc_id long, tag long, item_id long, seeds int, score double, first_word long, last_word long")
+    by_rare = both.select("doc_id", "tag", "at", "item_id", "low", "high", "hits", "words", "item").mapInPandas(_aligned, ALIGNED)
+    left = frequent.select("item_id", "seed", "item_at").toPandas()
+    if not len(left):
+        return by_rare
+    own = items.join(frequent.select("item_id").distinct(), "item_id", "left_semi").toPandas()
+    return by_rare.unionByName(docs.mapInArrow(_frequent(sc.broadcast(_looked_up(left, own)), least), ALIGNED))
 
 
 def without(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

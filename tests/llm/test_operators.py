@@ -40,6 +40,17 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.filter("false")).count() == 0
 
 
+def test_decontaminate_frequent_edited_copy(spark):
+    words = [f"item{i}" for i in range(60)]
+    edited = [f"other{i}" if i % 5 == 4 else x for i, x in enumerate(words)]  # 40 % of the 3-grams are left
+    rows = [(0, " ".join(words))] + [(i, " ".join([f"a{i}"] * (i % 50) + edited + [f"b{i}"] * 9)) for i in range(1, 61)]
+    rows += [(i, f"c{i} " * 30 + "item0 item1 item2 " + f"d{i} " * 30) for i in range(61, 90)]  # one frequent seed alone
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:3], *(f"own{i}" for i in range(40))]))], "item_id long, text string")
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 1) for i in range(61)}
+    assert all((r.first_word, r.last_word) == (r.doc_id % 50, r.doc_id % 50 + 59) and abs(r.score - 84 / 120) < 0.01 for r in got if r.doc_id)
+
+
 def test_alignment_is_smith_waterman():
     r = np.random.default_rng(1)
     for _ in range(50):
