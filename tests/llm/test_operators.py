@@ -1,8 +1,10 @@
 """Operators against plain versions, and on odd, empty and repeated rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import struct
 import urllib.parse
@@ -333,6 +335,30 @@ def test_secrets(spark, odd, none):
     assert {r.base_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_secrets_in_nested_layers(monkeypatch):
+    plain = b"secret: abcdefgh12345"
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda t, end="\n", n=76: end.join(t[i : i + n] for i in range(0, len(t), n))
+    long = b"the first words of a long text, then more of them " * 2 + plain + b" and an end of the text"
+    cases = {
+        "gzip in gzip": b64(gzip.compress(gzip.compress(plain))), "gzip in bz2": b64(bz2.compress(gzip.compress(plain))), "gzip in xz": b64(lzma.compress(zlib.compress(plain))),
+        "two members": b64(gzip.compress(b"nothing") + gzip.compress(plain)), "two bz2": b64(bz2.compress(b"nothing") + bz2.compress(plain)), "two xz": b64(lzma.compress(b"nothing") + lzma.compress(plain)),
+        "percent": urllib.parse.quote(gzip.compress(plain), safe=""), "form": urllib.parse.quote_plus(gzip.compress(plain + bytes(range(256)))), "percent UTF-16": urllib.parse.quote(plain.decode().encode("utf-16")), "percent zlib": urllib.parse.quote(zlib.compress(plain), safe=""), "escapes": repr(gzip.compress(plain))[2:-1], "all escapes": "".join(f"\\x{c:02x}" for c in bz2.compress(plain)),
+        "wrapped": wrap(b64(long)), "wrapped by CRLF": wrap(b64(long), "\r\n"), "wrapped in JSON": wrap(b64(long), "\\n", 64), "wrapped gzip": wrap(b64(gzip.compress(plain * 2 + bytes(range(256))))),
+        "not UTF-8": b64(b"\xff\xfe\xfa" + plain), "latin": b64("clé é ".encode("latin-1") + plain), "UTF-16": b64(plain.decode().encode("utf-16")), "UTF-16 BE": b64(gzip.compress(plain.decode().encode("utf-16-be"))),
+    }
+    for name, x in cases.items():
+        base, spans, _ = secret_scan.scan("é " + x + " end")
+        assert not base and len({z for _, _, z in spans}) >= 1 and all(k == 0 and 2 <= a < z <= 2 + len(x) for a, k, z in spans), name
+    x = wrap(b64(long))
+    (a, _, z), = secret_scan.scan(x)[1]
+    assert plain in base64.b64decode(x[a - (len(x[:a].replace("\n", "")) % 4) : z].replace("\n", "") + "==") and z - a < 40
+    assert secret_scan.scan("PEM-CERTIFICATE-----\n" + x + "\nwords")[1] == [(21 + a, 0, 21 + z)]
+    monkeypatch.setattr(secret_scan, "PIECE", 32)  # pieces of a long layer are not cut in a match
+    for n in range(1, 40):
+        assert secret_scan.scan(b64(gzip.compress(b"a, b." + b" w" * n + b" password:      abcdefghijkl" + b", x" * 30)))[1], n
+
+
 # 10
 def test_tokens(spark, sf, odd, none):
     d, rows = docs_of(spark, sf)
