@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
 Entities are found by pattern and brought into one canonical form per person, number or address, so that all mentions
-share a surrogate. A surrogate is a keyed permutation of the values of the same format: digits stay digits, letters keep
+share a surrogate. A name is found behind a title; then it is found all over the document, also without one. A surrogate is a keyed permutation of the values of the same format: digits stay digits, letters keep
 their script and case, card numbers keep a valid check digit, names keep gender and script. A permutation keeps
 different entities apart within a format; what still collides (with another surrogate or a real entity of the corpus)
 is found by joins and drawn again.
@@ -36,6 +36,10 @@ TITLES = {
     "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f", "κύριος": "m", "κυρία": "f", "Κύριος": "m", "Κυρία": "f",
 }
 NAME = regex.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ \u00a0]((?:\p{Lu}\p{L}*(?:['’-]\p{L}+)*)(?:[ \u00a0]\p{Lu}\p{L}*(?:['’-]\p{L}+)*){0,2})")
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+JOINERS = "'’-"
+# Words that a capital may give behind a name ("Mr Smith He said"): alone they tell nobody.
+FUNCTION_WORDS = frozenset("the a an he she it we you they i and or but in on at of to as is was his her this that der die das er sie und la le el il".split())
 # Syllables and gender endings by script, from which surrogate names are made.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ha jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vi wa ya".split(),
@@ -43,7 +47,7 @@ SYLLABLES = {
     "greek": "βα γε δα δη θε κα κλε λα λε λυ μα με μι να νι πα πε ρα ρι σα σο στα τα τι φι χρι".split(),
 }
 ENDINGS = {"latin": {"m": "n", "f": "a", "n": "el"}, "cyrillic": {"m": "н", "f": "на", "n": "ко"}, "greek": {"m": "ς", "f": "α", "n": "ου"}}
-ENTITY = "doc_id long, tag long, start int, end int, kind string, canon string"
+ENTITY = "doc_id long, tag long, start int, end int, kind string, canon string, person string"
 
 
 def luhn(digits: str) -> int:
@@ -56,9 +60,48 @@ def script(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "greek" if any("Ͱ" <= c <= "Ͽ" for c in word) else "latin"
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of the entities in a text, in order and apart."""
+def _bare(text: str, named: list[tuple[int, int, str, str, str | None]]) -> list[tuple[int, int, str, str, str | None]]:
+    """Mentions without title of the names that a text has with one: whole words, those in small letters only where two
+    names stand together. A word that is of several people is of the last one named before it, or of the first."""
+    by: dict[str, list] = {}
+    for e in sorted(named):
+        if len(e[3]) > 1 and e[3] not in FUNCTION_WORDS:
+            by.setdefault(e[3], []).append(e)
+    if not by:
+        return []
+    most = max(sum(c in JOINERS for c in w) for w in by) + 1
+    words = [(m.start(), m.end()) for m in WORD.finditer(text) if not (m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1] == "_")) and not (m.end() < len(text) and (text[m.end()].isdigit() or text[m.end()] == "_"))]
+    found, i = [], 0
+    while i < len(words):
+        for n in range(min(most, len(words) - i), 0, -1):  # the longest name first, as in Anne-Marie
+            a, z = words[i][0], words[i + n - 1][1]
+            if all(words[j][1] + 1 == words[j + 1][0] and text[words[j][1]] in JOINERS for j in range(i, i + n - 1)) and (w := text[a:z].lower()) in by:
+                found.append((a, z, w))
+                i += n
+                break
+        else:
+            i += 1
     out = []
+    for j, (a, z, w) in enumerate(found):
+        after = found[j + 1] if j + 1 < len(found) and text[z : found[j + 1][0]] in (" ", "\u00a0") else None
+        before = j and text[found[j - 1][1] : a] in (" ", "\u00a0")
+        if not text[a].isupper() and not after and not before:
+            continue
+        people = by[w]
+        if after and (own := [e for e in people if e[2].startswith("given") and e[4] == f"{w}|{after[2]}"]):
+            people = own
+        elif not after and (own := [e for e in people if e[2].startswith("family")]):
+            people = own
+        e = next((e for e in reversed(people) if e[0] <= a), people[0])
+        out.append((a, z, e[2], w, e[4]))
+    return out
+
+
+def entities(text: str) -> list[tuple[int, int, str, str, str | None]]:
+    """(start, end, kind, canonical form, person) of the entities in a text, in order and apart.
+
+    A person, for given names only, is the given name and the family name; it settles the gender later."""
+    out: list[tuple] = []
     if "@" in text:
         out += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     out += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text)]
@@ -73,13 +116,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), "phone", digits))
         elif 13 <= len(digits) <= 19 and len(digits) == len(m[0]):
             out.append((m.start(), m.end(), "number", digits))
+    named = []
     for m in NAME.finditer(text):
         at, words = m.start(2), re.split("[ \u00a0]", m[2])
-        for i, w in enumerate(words, 1):
+        bare = [w[:-2] if w.lower().endswith(("'s", "’s")) else w for w in words]
+        for i, (w, name) in enumerate(zip(words, bare, strict=True), 1):
             # a single name after a title, and the last of several, is a family name, which tells no gender
-            kind = "family" if i == len(words) else "given-" + TITLES[m[1]]
-            out.append((at, at + len(w), f"{kind}-{script(w)}", w.lower()))
+            last = i == len(words)
+            kind = "family" if last else "given-" + TITLES[m[1]]
+            named.append((at, at + len(name), f"{kind}-{script(name)}", name.lower(), None if last else f"{name.lower()}|{bare[-1].lower()}"))
             at += len(w) + 1
+    out = [(*e, None) for e in out] + named + (_bare(text, named) if named else [])
     kept, end = [], 0
     for e in sorted(out, key=lambda e: (e[0], -e[1])):
         if e[0] >= end:
@@ -157,7 +204,7 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
 def rendered(mention: str, kind: str, value: str) -> str:
     """A surrogate in canonical form, written as the mention is: its separators, its capitals."""
     if kind.startswith(("given", "family")):
-        return value.upper() if len(mention) > 1 and mention.isupper() else value.capitalize()
+        return value.upper() if len(mention) > 1 and mention.isupper() else value if mention.islower() else value.capitalize()
     if kind == "ip":
         return value
     if kind == "email":
@@ -168,7 +215,7 @@ def rendered(mention: str, kind: str, value: str) -> str:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in ENTITY.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
     for batch in batches:
         out = [(d, g, *e) for d, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if t for e in entities(t)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names)
@@ -221,6 +268,16 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.string()))], ["doc_id", "text", "n_entities", "kinds", "spans"])
 
 
+def settled(found: DataFrame) -> DataFrame:
+    """``found`` without person: where one of a person's titles tells the gender and another doesn't, all mentions have it."""
+    gender = F.regexp_extract("kind", "^given-([mfn])-", 1)
+    given = found.filter("person IS NOT NULL")
+    known = given.withColumn("gender", gender).filter("gender <> 'n'").groupBy("person").agg(F.min("gender").alias("gender"), F.max("gender").alias("other")).filter("gender = other").drop("other")
+    kind = F.when(F.col("kind").startswith("given-n-") & F.col("gender").isNotNull(), F.concat(F.lit("given-"), F.col("gender"), F.substring("kind", 8, 100))).otherwise(F.col("kind"))
+    given = given.join(known, "person", "left").withColumn("kind", kind).select(*found.columns)
+    return given.unionByName(found.filter("person IS NULL")).drop("person")
+
+
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with every entity replaced, n_entities, kinds and spans (start:end in the old text) of each document.
 
@@ -228,7 +285,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     documents and rows; a document's spans are handled in one row, as its text is.
     """
     docs = text_only(docs).withColumn("tag", F.xxhash64("text"))
-    found = written(docs.mapInArrow(_found, ENTITY), "found")
+    found = written(settled(written(docs.mapInArrow(_found, ENTITY), "mentions")), "found")
     own = F.coalesce("doc_id", F.lit(-(1 << 63)))
     spans = found.distinct().join(surrogates(found, key), ["kind", "canon"]).groupBy(own.alias("own"), "tag").agg(F.collect_list(F.struct("start", "end", "kind", "value")).alias("spans"))
     joined = docs.withColumn("own", own).join(spans, ["own", "tag"], "left").select("doc_id", "text", "spans")

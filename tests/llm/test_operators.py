@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import math
+import re
 import struct
 import urllib.parse
 import zlib
@@ -224,6 +225,17 @@ def test_surrogates(spark, odd, none):
     assert surrogates.replace(none).count() == 0 and surrogates.replace(odd).count() == 12
 
 
+def test_surrogates_of_bare_mentions_and_gender(spark):
+    a = "John came. Mr John Smith left, Smith said; JOHN and Smith's dog, O'Brien-like Blacksmith, smith, john smith, mail smith@x.org. Dr O'Brien's car, O'Brien's. Dr Anna Petrova, Anna"
+    rows = [(1, a), (2, "Frau Anna Petrova came, and Petrova left; Smith stays"), (3, "Dr Anna Maier"), (4, "Mrs Smith I think, I know")]
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, family = re.match(r"(\w+) came\. Mr \1 (\w+) left, \2 said; ", got[1]).groups()
+    brien, anna, petrova = re.search(r"Dr (\w+)'s car, \1's\. Dr (\w+) (\w+), \2$", got[1]).groups()
+    assert f"; {given.upper()} and {family}'s dog, {brien}-like Blacksmith, smith, {given.lower()} {family.lower()}, mail " in got[1]
+    assert anna.endswith("a") and got[2] == f"Frau {anna} {petrova} came, and {petrova} left; Smith stays"
+    assert not {"John", "Smith", "Brien", "Anna", "Petrova"} & set(re.findall(r"\w+", got[1])) and got[3].split()[1].endswith("el") and got[4].endswith(", I know")
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"], "kind string, canon string")
     got = surrogates.surrogates(found).collect()
