@@ -30,6 +30,14 @@ def _named(text: str, rules: tuple) -> str:
     return next((name for name, words in rules if any(w in low for w in words)), "general")
 
 
+_DEGREES = r"(-?[0-9]{1,3}(?:\.[0-9]+)?)"
+# How scripts give a place: named degrees, and the calls and options of map libraries.
+COORDS = [re.compile(p.replace("#", _DEGREES), re.I) for p in (
+    r"lat(?:itude)?['\"]?\s*[:=]\s*#\s*[,;]\s*['\"]?(?:lng|lon|longitude)['\"]?\s*[:=]\s*#", r"google\.maps\.LatLng\(\s*#\s*,\s*#\s*\)",
+    r"(?:center|coordinates)['\"]?\s*:\s*\[\s*#\s*,\s*#\s*\]", r"setView\(\s*\[\s*#\s*,\s*#\s*\]",
+)]
+
+
 class Cutter(HTMLParser):
     """Fragments of one page in order; tolerant of tags left open."""
 
@@ -87,7 +95,7 @@ class Cutter(HTMLParser):
             elif kind == "script" and "json" in a.get("type", "") or kind == "script" and len(text) > 50 and text.lstrip()[:1] in "{[":
                 self._add("inline_json", "", {}, text[:CAP])
             if kind == "script":
-                for lat, lng in re.findall(r"lat(?:itude)?['\"]?\s*[:=]\s*(-?[0-9]{1,3}\.[0-9]+)\s*,\s*['\"]?(?:lng|lon|longitude)['\"]?\s*[:=]\s*(-?[0-9]{1,3}\.[0-9]+)", text):
+                for lat, lng in dict.fromkeys(m.groups() for p in COORDS for m in p.finditer(text)):
                     if abs(float(lat)) <= 90 and abs(float(lng)) <= 180:
                         self._add("coords", "", {"lat": lat, "lng": lng}, "")
             return
