@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import percent
 
+CANDIDATES = 5  # competitors of a listing
+BUCKET = 10_000  # keys that are numbered together
 LIMITED = 0.5  # configuration quality below which data counts as limited
 
 
@@ -32,14 +34,26 @@ def set_overlap(items: DataFrame, pairs: DataFrame, owner: str, item: str, ours:
     return both.select(ours, theirs, "common", (F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).alias("overlap"))
 
 
-def competitors(listings: DataFrame, key: str = "property_id", area: str = "region", most: int | None = None) -> DataFrame:
-    """(ours, theirs) of the listings of one area; for each the ``most`` nearest following keys, going round, if given."""
-    a, b = listings.select(F.col(key).alias("ours"), area), listings.select(F.col(key).alias("theirs"), area)
-    pairs = a.join(b, area).filter("ours <> theirs")
-    if most is not None:
-        order = Window.partitionBy("ours").orderBy(F.col("theirs") < F.col("ours"), "theirs")
-        pairs = pairs.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most)
-    return pairs.select("ours", "theirs")
+def ranked(listings: DataFrame, key: str, area: str) -> DataFrame:
+    """key, area, place (from 0, by key) and number of listings of each area.
+
+    Keys are numbered in runs of BUCKET, so that no area is sorted in one task."""
+    d = listings.select(F.col(key).alias("__k"), F.col(area).alias("__a")).withColumn("__b", F.floor(F.col("__k") / BUCKET))
+    runs = d.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__a").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("n", F.sum("__n").over(Window.partitionBy("__a")))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__a", "__b").orderBy("__k")) - 1
+    return d.join(runs, ["__a", "__b"]).select(F.col("__k").alias("key"), F.col("__a").alias("area"), place.alias("place"), "n")
+
+
+def competitors(listings: DataFrame, key: str = "property_id", area: str = "region", most: int = CANDIDATES) -> DataFrame:
+    """(ours, theirs): for each listing the ``most`` nearest following keys (numbers) of its area, going round.
+
+    Rows stay ``most`` a listing: partners are found by their place in the area, not by pairing all of it."""
+    r = ranked(listings, key, area)
+    to = F.pmod(F.col("place") + F.col("step"), F.col("n"))
+    ours = r.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n") - 1).cast("int")))).filter("step > 0").select(F.col("key").alias("ours"), "area", to.alias("place"))
+    return ours.join(r.select("area", "place", F.col("key").alias("theirs")), ["area", "place"]).select("ours", "theirs")
 
 
 def side_by_side(configurations: DataFrame, pairs: DataFrame, name: str, columns: list[str]) -> DataFrame:

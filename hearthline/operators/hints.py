@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions.text import any_of, key, strip
 
+# a word begins or ends here, in letters of any script
+BEGIN, END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 # What tells a postcode, a city and a street, a mail address, and the classes of guarantor wording.
-POSTCODE = r"\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b"
-CITY = r"\b(?:in|at|near)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
-STREET = r"\b([0-9]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Street|Road|Avenue|Lane|Drive|Close|Way))\b"
+POSTCODE = BEGIN + r"([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})" + END
+CITY = BEGIN + r"(?:in|at|near)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)" + END
+STREET = BEGIN + r"([0-9]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Street|Road|Avenue|Lane|Drive|Close|Way))" + END
 EMAIL = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 GUARANTOR = (
     (r"guarantor\s+(?:is\s+)?(?:required|needed|mandatory)", "guarantor_required"),

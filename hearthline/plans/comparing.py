@@ -12,32 +12,38 @@ from ..operators.score import configuration_quality
 from .registry import query
 from .tables import Tables
 
-PAIRS = ", pairs AS (SELECT a.property_id AS ours, b.property_id AS theirs FROM listing a JOIN listing b ON a.region = b.region AND a.property_id <> b.property_id)"
-# each listing and the next one of its region
-FIRST = PAIRS + ", firsts AS (SELECT ours, theirs FROM (SELECT *, row_number() OVER (PARTITION BY ours ORDER BY theirs < ours, theirs) AS n FROM pairs) WHERE n <= 1)"
+# each listing and the next five of its region, going round
+PAIRS = """
+, firsts AS (SELECT ours, theirs FROM (SELECT a.property_id AS ours, b.property_id AS theirs, row_number() OVER (PARTITION BY a.property_id ORDER BY b.property_id < a.property_id, b.property_id) AS n
+   FROM listing a JOIN listing b ON a.region = b.region AND a.property_id <> b.property_id) WHERE n <= 5)"""
 
 
-def firsts(t: Tables) -> DataFrame:
-    return K.competitors(t.listing, most=1)
+def pairs(t: Tables) -> DataFrame:
+    return K.competitors(t.listing)
 
 
-@query("k1_price_deviation", FIRST + """
+@query("k1_price_deviation", PAIRS + """
 SELECT ours, theirs, a.config_name, (a.price - b.price) / b.price * 100 AS deviation FROM firsts JOIN configuration a ON a.property_id = ours JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name""")
 def k1(t: Tables) -> DataFrame:
-    both = K.side_by_side(t.configuration, firsts(t), "config_name", ["price"]).filter("in_ours AND in_theirs")
+    both = K.side_by_side(t.configuration, pairs(t), "config_name", ["price"]).filter("in_ours AND in_theirs")
     return both.select("ours", "theirs", "config_name", K.deviation(F.col("our_price"), F.col("their_price")).alias("deviation"))
 
 
-@query("k2_feature_overlap", PAIRS + """
+OVERLAP = """
 , f AS (SELECT DISTINCT property_id, name, type FROM feature), n AS (SELECT property_id, count(*) AS n FROM f GROUP BY 1),
-c AS (SELECT ours, theirs, count(*) AS common FROM pairs JOIN f a ON a.property_id = ours JOIN f b ON b.property_id = theirs AND a.name = b.name AND a.type = b.type GROUP BY ALL)
-SELECT ours, theirs, coalesce(common, 0) AS common, coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) AS overlap FROM pairs JOIN n x ON x.property_id = ours JOIN n y ON y.property_id = theirs LEFT JOIN c USING (ours, theirs)""")
+com AS (SELECT ours, theirs, count(*) AS common FROM firsts JOIN f a ON a.property_id = ours JOIN f b ON b.property_id = theirs AND a.name = b.name AND a.type = b.type GROUP BY ALL),
+overlap AS (SELECT ours, theirs, coalesce(common, 0) AS common, coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) AS overlap FROM firsts JOIN n x ON x.property_id = ours JOIN n y ON y.property_id = theirs LEFT JOIN com USING (ours, theirs))
+"""
+
+
+@query("k2_feature_overlap", PAIRS + OVERLAP + "SELECT * FROM overlap")
 def k2(t: Tables) -> DataFrame:
-    return K.set_overlap(t.feature.select("property_id", F.concat_ws("|", "name", "type").alias("item")), K.competitors(t.listing), "property_id", "item")
+    return K.set_overlap(t.feature.select("property_id", F.concat_ws("|", "name", "type").alias("item")), pairs(t), "property_id", "item")
 
 
 TENANCY_SETS = """
-, s AS (SELECT property_id, config_name, array_agg(DISTINCT CASE WHEN length_text LIKE '% months' THEN regexp_extract(length_text, '([0-9]+)', 1) || 'm' ELSE length_text END) AS k FROM tenancy GROUP BY ALL)
+, s AS (SELECT property_id, config_name, array_agg(DISTINCT CASE WHEN length_text LIKE '% months' THEN regexp_extract(length_text, '([0-9]+)', 1) || 'm' ELSE length_text END) AS k FROM tenancy GROUP BY ALL),
+matched AS (SELECT ours, theirs, a.config_name, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS ratio FROM firsts JOIN s a ON a.property_id = ours JOIN s b ON b.property_id = theirs AND a.config_name = b.config_name)
 """
 
 
@@ -45,40 +51,43 @@ def tenancy_sets(t: Tables) -> DataFrame:
     return t.tenancy.groupBy("property_id", "config_name").agg(F.collect_set(duration_key(F.col("length_text"))).alias("keys"))
 
 
-@query("k3_tenancy_match", FIRST + TENANCY_SETS + """
-SELECT ours, theirs, a.config_name, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS ratio FROM firsts JOIN s a ON a.property_id = ours JOIN s b ON b.property_id = theirs AND a.config_name = b.config_name""")
+@query("k3_tenancy_match", PAIRS + TENANCY_SETS + "SELECT * FROM matched")
 def k3(t: Tables) -> DataFrame:
-    both = K.side_by_side(tenancy_sets(t), firsts(t), "config_name", ["keys"]).filter("in_ours AND in_theirs")
+    both = K.side_by_side(tenancy_sets(t), pairs(t), "config_name", ["keys"]).filter("in_ours AND in_theirs")
     return both.select("ours", "theirs", "config_name", K.jaccard(F.col("our_keys"), F.col("their_keys")).alias("ratio"))
 
 
-@query("k4_missing_configurations", FIRST + """
+@query("k4_missing_configurations", PAIRS + """
 SELECT ours, theirs, 'configurations[' || a.config_name || ']' AS path FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name WHERE b.config_name IS NULL""")
 def k4(t: Tables) -> DataFrame:
-    ours = firsts(t).join(t.configuration.withColumnRenamed("property_id", "ours"), "ours")
+    ours = pairs(t).join(t.configuration.withColumnRenamed("property_id", "ours"), "ours")
     theirs = t.configuration.select(F.col("property_id").alias("theirs"), "config_name")
     return ours.join(theirs, ["theirs", "config_name"], "left_anti").select("ours", "theirs", F.concat(F.lit("configurations["), "config_name", F.lit("]")).alias("path"))
 
 
-@query("k5_match_rate", FIRST + """
+@query("k5_match_rate", PAIRS + """
 SELECT ours, theirs, avg((b.config_name IS NOT NULL)::INT) AS rate FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name GROUP BY ALL""")
 def k5(t: Tables) -> DataFrame:
-    both = K.side_by_side(t.configuration, firsts(t), "config_name", ["price"]).filter("in_ours")
+    both = K.side_by_side(t.configuration, pairs(t), "config_name", ["price"]).filter("in_ours")
     return both.groupBy("ours", "theirs").agg(F.avg(F.col("in_theirs").cast("int")).alias("rate"))
 
 
-@query("k6_diff_report", FIRST + """
+@query("k6_diff_report", PAIRS + OVERLAP + TENANCY_SETS + """
 , c AS (SELECT ours, theirs, a.config_name, a.price AS p, b.price AS q FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name)
 SELECT ours, theirs, 'basic_info.name' AS path, NULL::DOUBLE AS delta FROM firsts JOIN listing a ON a.property_id = ours JOIN listing b ON b.property_id = theirs WHERE a.name <> b.name
 UNION ALL SELECT ours, theirs, 'configurations[' || config_name || ']', NULL FROM c WHERE q IS NULL
 UNION ALL SELECT ours, theirs, 'configurations[' || config_name || '].Pricing.deviation_pct', (p - q) / q * 100 FROM c WHERE q <> 0
+UNION ALL SELECT ours, theirs, 'configurations[' || config_name || '].tenancies.match_ratio', ratio FROM matched
+UNION ALL SELECT ours, theirs, 'summary.amenity_overlap_pct', overlap * 100 FROM overlap
 UNION ALL SELECT ours, theirs, 'summary.configuration_match_rate', avg((q IS NOT NULL)::INT) FROM c GROUP BY ALL""")
 def k6(t: Tables) -> DataFrame:
     """Differences and summary in long form."""
-    names = firsts(t).join(t.listing.select(F.col("property_id").alias("ours"), F.col("name").alias("a")), "ours").join(t.listing.select(F.col("property_id").alias("theirs"), F.col("name").alias("b")), "theirs").filter("a <> b")
+    names = pairs(t).join(t.listing.select(F.col("property_id").alias("ours"), F.col("name").alias("a")), "ours").join(t.listing.select(F.col("property_id").alias("theirs"), F.col("name").alias("b")), "theirs").filter("a <> b")
     null = F.lit(None).cast("double").alias("delta")
     rows = names.select("ours", "theirs", F.lit("basic_info.name").alias("path"), null).unionByName(k4(t).select("ours", "theirs", "path", null))
     rows = rows.unionByName(k1(t).select("ours", "theirs", F.concat(F.lit("configurations["), "config_name", F.lit("].Pricing.deviation_pct")).alias("path"), F.col("deviation").alias("delta")))
+    rows = rows.unionByName(k3(t).select("ours", "theirs", F.concat(F.lit("configurations["), "config_name", F.lit("].tenancies.match_ratio")).alias("path"), F.col("ratio").alias("delta")))
+    rows = rows.unionByName(k2(t).select("ours", "theirs", F.lit("summary.amenity_overlap_pct").alias("path"), (F.col("overlap") * 100).alias("delta")))
     return rows.unionByName(k5(t).select("ours", "theirs", F.lit("summary.configuration_match_rate").alias("path"), F.col("rate").alias("delta")))
 
 
@@ -86,24 +95,24 @@ def rated(t: Tables) -> DataFrame:
     return t.configuration.withColumn("quality", configuration_quality(F.lit(True), F.col("price") > 0, F.col("options") > 1, F.col("area") > 25, F.lit(False)))
 
 
-@query("k7_configuration_table", FIRST + """
+@query("k7_configuration_table", PAIRS + """
 , r AS (SELECT *, .4 + .3 * (options > 1)::INT + .2 * (area > 25)::INT AS quality FROM configuration),
 a AS (SELECT ours, theirs, r.* FROM firsts JOIN r ON property_id = ours), b AS (SELECT ours, theirs, r.* FROM firsts JOIN r ON property_id = theirs)
 SELECT ours, theirs, config_name, a.price AS our_price, b.price AS their_price, a.options AS our_options, b.options AS their_options, floor((b.price - a.price) / a.price * 100 + .5)::INT AS diff_pct,
   CASE WHEN b.price IS NULL THEN 'only in ours' WHEN a.price IS NULL THEN 'only in theirs' WHEN least(a.quality, b.quality) < .5 THEN 'limited data' ELSE 'both' END AS status
 FROM a FULL OUTER JOIN b USING (ours, theirs, config_name)""")
 def k7(t: Tables) -> DataFrame:
-    return K.configuration_table(rated(t), firsts(t))
+    return K.configuration_table(rated(t), pairs(t))
 
 
-@query("k8_tenancy_table", FIRST + """
+@query("k8_tenancy_table", PAIRS + """
 , o AS (SELECT property_id, config_name, CASE WHEN length_text LIKE '% months' THEN regexp_extract(length_text, '([0-9]+)', 1) || 'm' ELSE length_text END AS duration, min(floor(l_extendedprice)) AS price FROM tenancy GROUP BY ALL),
 a AS (SELECT ours, theirs, o.* FROM firsts JOIN o ON property_id = ours), b AS (SELECT ours, theirs, o.* FROM firsts JOIN o ON property_id = theirs)
 SELECT ours, theirs, config_name, duration, a.price AS our_price, b.price AS their_price, CASE WHEN duration LIKE '%m' THEN regexp_extract(duration, '([0-9]+)', 1)::INT ELSE 9999 END AS sort_key FROM a FULL OUTER JOIN b USING (ours, theirs, config_name, duration)""")
 def k8(t: Tables) -> DataFrame:
     o = t.tenancy.withColumn("duration", duration_key(F.col("length_text"))).groupBy("property_id", "config_name", "duration").agg(F.min(F.floor("l_extendedprice").cast("double")).alias("price"))
     o = o.withColumn("option", F.struct("config_name", "duration"))
-    rows = K.side_by_side(o, firsts(t), "option", ["price"])
+    rows = K.side_by_side(o, pairs(t), "option", ["price"])
     months = F.nullif(F.regexp_extract("option.duration", "^([0-9]+)m$", 1), F.lit("")).cast("int")
     return rows.select("ours", "theirs", "option.config_name", "option.duration", "our_price", "their_price", F.coalesce(months, F.lit(9999)).alias("sort_key"))
 
@@ -111,26 +120,26 @@ def k8(t: Tables) -> DataFrame:
 FIELDS = ["name", "city", "region", "balance"]
 
 
-@query("k9_comparison_rows", FIRST + """
+@query("k9_comparison_rows", PAIRS + """
 , u AS (SELECT property_id, unnest(['name', 'city', 'region']) AS field, unnest([name, city, region]) AS value FROM listing)
 SELECT ours, theirs, 'Basic Info' AS section, a.field, a.value AS our_value, b.value AS their_value, CASE WHEN a.value = b.value THEN 'same' ELSE 'different' END AS verdict FROM firsts JOIN u a ON a.property_id = ours JOIN u b ON b.property_id = theirs AND a.field = b.field""")
 def k9(t: Tables) -> DataFrame:
     u = K.unpivot_fields(t.listing, ["property_id"], FIELDS[:3], "value")
-    both = K.side_by_side(u, firsts(t), "field", ["value"])
+    both = K.side_by_side(u, pairs(t), "field", ["value"])
     verdict = F.when(F.col("our_value") == F.col("their_value"), "same").otherwise("different")
     return both.select("ours", "theirs", F.lit("Basic Info").alias("section"), "field", "our_value", "their_value", verdict.alias("verdict"))
 
 
-@query("k10_price_ranges", FIRST + """
+@query("k10_price_ranges", PAIRS + """
 , r AS (SELECT property_id, min(price) AS low, max(price) AS high FROM configuration GROUP BY 1)
 SELECT ours, theirs, a.low AS our_low, a.high AS our_high, b.low AS their_low, b.high AS their_high, a.low - b.low AS low_gap FROM firsts JOIN r a ON a.property_id = ours JOIN r b ON b.property_id = theirs""")
 def k10(t: Tables) -> DataFrame:
     r = t.configuration.groupBy("property_id").agg(F.min("price").alias("low"), F.max("price").alias("high"))
     side = lambda s: r.select(F.col("property_id").alias(f"{s}s" if s == "our" else "theirs"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high"))
-    return firsts(t).join(side("our"), "ours").join(side("their"), "theirs").withColumn("low_gap", F.col("our_low") - F.col("their_low"))
+    return pairs(t).join(side("our"), "ours").join(side("their"), "theirs").withColumn("low_gap", F.col("our_low") - F.col("their_low"))
 
 
-@query("k11_feature_sets", FIRST + """
+@query("k11_feature_sets", PAIRS + """
 , f AS (SELECT DISTINCT property_id, name || ' ' || type AS name FROM feature),
 j AS (SELECT coalesce(a.ours, b.ours) AS ours, coalesce(a.theirs, b.theirs) AS theirs, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'theirs' WHEN b.name IS NULL THEN 'ours' ELSE 'shared' END AS side
       FROM (SELECT ours, theirs, name FROM firsts JOIN f ON property_id = ours) a FULL OUTER JOIN (SELECT ours, theirs, name FROM firsts JOIN f ON property_id = theirs) b ON a.ours = b.ours AND a.theirs = b.theirs AND a.name = b.name)
@@ -138,28 +147,26 @@ SELECT ours, theirs, side, name FROM (SELECT *, row_number() OVER (PARTITION BY
 def k11(t: Tables) -> DataFrame:
     """The first ten features, by name, that only one side or both sides have."""
     f = t.feature.select("property_id", F.concat_ws(" ", "name", "type").alias("name"), F.lit(1).alias("x"))
-    both = K.side_by_side(f, firsts(t), "name", ["x"]).withColumn("side", F.when(~F.col("in_ours"), "theirs").when(~F.col("in_theirs"), "ours").otherwise("shared"))
+    both = K.side_by_side(f, pairs(t), "name", ["x"]).withColumn("side", F.when(~F.col("in_ours"), "theirs").when(~F.col("in_theirs"), "ours").otherwise("shared"))
     n = F.row_number().over(Window.partitionBy("ours", "theirs", "side").orderBy("name"))
     return both.withColumn("n", n).filter("n <= 10").select("ours", "theirs", "side", "name")
 
 
-@query("k12_candidates", PAIRS + """
-SELECT ours, theirs FROM (SELECT *, row_number() OVER (PARTITION BY ours ORDER BY theirs < ours, theirs) AS n FROM pairs) WHERE n <= 5""")
+@query("k12_candidates", PAIRS + "SELECT * FROM firsts")
 def k12(t: Tables) -> DataFrame:
-    return K.competitors(t.listing, most=5)
+    return pairs(t)
 
 
-@query("k13_similarity", FIRST + """
-, f AS (SELECT DISTINCT property_id, name || '|' || type AS item FROM feature), n AS (SELECT property_id, count(*) AS n FROM f GROUP BY 1),
-c AS (SELECT ours, theirs, count(*) AS common FROM firsts JOIN f a ON a.property_id = ours JOIN f b ON b.property_id = theirs AND a.item = b.item GROUP BY ALL),
-o AS (SELECT ours, theirs, coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) AS overlap FROM firsts JOIN n x ON x.property_id = ours JOIN n y ON y.property_id = theirs LEFT JOIN c USING (ours, theirs)),
-r AS (SELECT ours, theirs, avg((b.config_name IS NOT NULL)::INT) AS rate FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name GROUP BY ALL)
-SELECT ours, theirs, (coalesce(overlap, 0) + coalesce(rate, 0)) / ((overlap IS NOT NULL)::INT + (rate IS NOT NULL)::INT) AS similarity FROM o FULL OUTER JOIN r USING (ours, theirs)""")
+@query("k13_similarity", PAIRS + OVERLAP + TENANCY_SETS + """
+, r AS (SELECT ours, theirs, avg((b.config_name IS NOT NULL)::INT) AS rate FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name GROUP BY ALL),
+x AS (SELECT ours, theirs, avg(ratio) AS ratio FROM matched GROUP BY ALL)
+SELECT ours, theirs, (coalesce(overlap, 0) + coalesce(ratio, 0) + coalesce(rate, 0)) / ((overlap IS NOT NULL)::INT + (ratio IS NOT NULL)::INT + (rate IS NOT NULL)::INT) AS similarity
+FROM overlap FULL OUTER JOIN r USING (ours, theirs) LEFT JOIN x USING (ours, theirs)""")
 def k13(t: Tables) -> DataFrame:
-    """Mean of what is known of feature overlap and configuration match rate."""
-    o = K.set_overlap(t.feature.select("property_id", F.concat_ws("|", "name", "type").alias("item")), firsts(t), "property_id", "item")
-    both = o.join(k5(t), ["ours", "theirs"], "full_outer")
-    known = F.filter(F.array("overlap", "rate"), lambda x: x.isNotNull())
+    """Mean of what is known of feature overlap, tenancy match and configuration match rate."""
+    tenancies = k3(t).groupBy("ours", "theirs").agg(F.avg("ratio").alias("ratio"))
+    both = k2(t).join(k5(t), ["ours", "theirs"], "full_outer").join(tenancies, ["ours", "theirs"], "left")
+    known = F.filter(F.array("overlap", "ratio", "rate"), lambda x: x.isNotNull())
     return both.select("ours", "theirs", (F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).alias("similarity"))
 
 
@@ -170,14 +177,14 @@ def k14(t: Tables) -> DataFrame:
     return t.job.groupBy("customer").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("status") != "pending").alias("analysed"), ok.alias("ok"), F.format_string("%.1f%%", F.floor(ok * 1000.0 / F.count(F.lit(1)) + 0.5) / 10).alias("success_rate"))
 
 
-@query("k15_fields_side_by_side", FIRST + """
+@query("k15_fields_side_by_side", PAIRS + """
 , u AS (SELECT property_id, unnest(['city', 'name', 'note']) AS field, unnest([city, name, CASE WHEN property_id % 2 = 0 THEN region END]) AS value FROM listing), v AS (SELECT * FROM u WHERE value IS NOT NULL),
 a AS (SELECT ours, theirs, field, value FROM firsts JOIN v ON property_id = ours), b AS (SELECT ours, theirs, field, value FROM firsts JOIN v ON property_id = theirs)
 SELECT ours, theirs, field, a.value AS our_value, b.value AS their_value FROM a FULL OUTER JOIN b USING (ours, theirs, field)""")
 def k15(t: Tables) -> DataFrame:
     d = t.listing.withColumn("note", F.when(F.col("property_id") % 2 == 0, F.col("region")))
     u = K.unpivot_fields(d, ["property_id"], ["city", "name", "note"], "value").filter("value IS NOT NULL")
-    return K.side_by_side(u, firsts(t), "field", ["value"]).select("ours", "theirs", "field", "our_value", "their_value")
+    return K.side_by_side(u, pairs(t), "field", ["value"]).select("ours", "theirs", "field", "our_value", "their_value")
 
 
 @query("k16_failed_jobs", """

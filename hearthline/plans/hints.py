@@ -12,16 +12,16 @@ from .crawling import HOST, TEXT
 from .registry import query
 from .tables import Tables
 
-# texts with wording by rule, as the given documents have none of it
+# whole texts behind an opening by rule, as the given documents have little of such wording
 WORDED = """
-, w AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'A guarantor is required here. ' WHEN 1 THEN 'No guarantor ' WHEN 2 THEN 'We have a Guarantor. ' WHEN 3 THEN 'Our refund policy: cooling off of 14 days. ' WHEN 4 THEN 'Flats in Leeds West, LS1 4AB, 12 High Street. ' WHEN 5 THEN E'Deposit: 100\\nRent: 5\\nDeposit: 200\\n' WHEN 6 THEN 'If the visa refused you, no questions asked. Terms apply. ' ELSE '' END || left(text, 300) AS text FROM documents WHERE text IS NOT NULL)
+, w AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'A guarantor is required here. ' WHEN 1 THEN 'No guarantor ' WHEN 2 THEN 'We have a Guarantor. ' WHEN 3 THEN 'Our refund policy: cooling off of 14 days. ' WHEN 4 THEN 'Flats in Leeds West, LS1 4AB, 12 High Street. ' WHEN 5 THEN E'Deposit: 100\\nRent: 5\\nDeposit: 200\\nWhat deposit?: 100\\n' WHEN 6 THEN 'If the visa refused you, no questions asked. Terms apply. ' ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL)
 """
 
 
 def worded(t: Tables) -> DataFrame:
-    texts = ("A guarantor is required here. ", "No guarantor ", "We have a Guarantor. ", "Our refund policy: cooling off of 14 days. ", "Flats in Leeds West, LS1 4AB, 12 High Street. ", "Deposit: 100\nRent: 5\nDeposit: 200\n", "If the visa refused you, no questions asked. Terms apply. ", "")
+    texts = ("A guarantor is required here. ", "No guarantor ", "We have a Guarantor. ", "Our refund policy: cooling off of 14 days. ", "Flats in Leeds West, LS1 4AB, 12 High Street. ", "Deposit: 100\nRent: 5\nDeposit: 200\nWhat deposit?: 100\n", "If the visa refused you, no questions asked. Terms apply. ", "")
     head = F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
-    return t.read("documents").filter("text IS NOT NULL").select("doc_id", "source", F.concat(head, F.substring("text", 1, 300)).alias("text"))
+    return t.read("documents").filter("text IS NOT NULL").select("doc_id", "source", F.concat(head, "text").alias("text"))
 
 
 @query("h1_longest_name", "SELECT p_brand, arg_max(p_name, (length(p_name), -p_partkey)) AS p_name FROM part GROUP BY 1")
@@ -38,10 +38,9 @@ def h2(t: Tables) -> DataFrame:
     return H.coordinates(p, "site").withColumn("lng", F.col("lng").cast("double"))
 
 
-@query("h3_address", WORDED + r"""
+@query("h3_address", WORDED + f"""
 SELECT source, arg_min(pc, doc_id) FILTER (pc <> '') AS postcode, arg_min(city, doc_id) FILTER (city <> '') AS city, arg_min(street, doc_id) FILTER (street <> '') AS street FROM
- (SELECT *, regexp_extract(text, '\b([A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2})\b', 1) AS pc, regexp_extract(text, '\b(?:in|at|near)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1) AS city,
-   regexp_extract(text, '\b([0-9]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Street|Road|Avenue|Lane|Drive|Close|Way))\b', 1) AS street FROM w) GROUP BY 1""")
+ (SELECT *, regexp_extract(text, '{H.POSTCODE}', 1) AS pc, regexp_extract(text, '{H.CITY}', 1) AS city, regexp_extract(text, '{H.STREET}', 1) AS street FROM w) GROUP BY 1""")
 def h3(t: Tables) -> DataFrame:
     c = F.col("text")
     return H.first_by(worded(t), "source", "doc_id", {"postcode": H.found(c, H.POSTCODE), "city": H.found(c, H.CITY), "street": H.found(c, H.STREET)})
@@ -60,16 +59,20 @@ def h5(t: Tables) -> DataFrame:
     return f.groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h6_definitions", WORDED + r"""
+DEFINITIONS = WORDED + r"""
 , l AS (SELECT source, doc_id, unnest(string_split(text, E'\n')) AS l, unnest(range(len(string_split(text, E'\n')))) AS line FROM w),
 p AS (SELECT source, doc_id, line, lower(regexp_replace(split_part(l, ':', 1), '^\s+|\s+$', '', 'g')) AS k, regexp_replace(l[strpos(l, ':') + 1:], '^\s+|\s+$', '', 'g') AS v FROM l WHERE contains(l, ':')),
-g AS (SELECT source, k, doc_id, arg_max(v, line) AS v FROM p WHERE k <> '' AND v <> '' GROUP BY ALL)
-SELECT source, k, arg_min(v, doc_id) AS v FROM g GROUP BY ALL""")
+g AS (SELECT source, k, doc_id, arg_max(v, line) AS v FROM p WHERE k <> '' AND v <> '' GROUP BY ALL),
+definitions AS (SELECT source, k, arg_min(v, doc_id) AS v FROM g GROUP BY ALL)
+"""
+
+
+@query("h6_definitions", DEFINITIONS + "SELECT * FROM definitions")
 def h6(t: Tables) -> DataFrame:
     return H.definitions(worded(t), "source", "doc_id", "text")
 
 
-@query("h8_guarantor", WORDED + "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'guarantor_required' WHEN 1 THEN 'no_guarantor' WHEN 2 THEN 'guarantor_mentioned' END AS guarantor FROM w")
+@query("h8_guarantor", WORDED + "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for p, k in H.GUARANTOR) + " WHEN contains(lower(text), 'guarantor') THEN 'guarantor_mentioned' END AS guarantor FROM w")
 def h8(t: Tables) -> DataFrame:
     return worded(t).select("doc_id", H.guarantor_class(F.col("text")).alias("guarantor"))
 
@@ -130,11 +133,10 @@ def f2_lines(t: Tables) -> DataFrame:
     return H.question_pairs(l, ["conv_id"], "turn", "l")
 
 
-@query("f3_definition_questions", WORDED + r"SELECT source, count(DISTINCT doc_id % 8) AS n FROM w WHERE doc_id % 8 = 5 GROUP BY 1")
+@query("f3_definition_questions", DEFINITIONS + "SELECT source, k AS question, v AS answer FROM definitions WHERE ends_with(k, '?')")
 def f3(t: Tables) -> DataFrame:
     """Terms that end in a question mark, with their definition."""
-    d = worded(t).filter(F.pmod("doc_id", F.lit(8)) == 5).withColumn("text", F.regexp_replace("text", "(?s)^Deposit: 100\n.*", "What deposit?: 100"))
-    return H.definitions(d, "source", "doc_id", "text").filter(F.col("k").endswith("?")).groupBy("source").agg(F.count_distinct("k").alias("n"))
+    return H.definitions(worded(t), "source", "doc_id", "text").filter(F.col("k").endswith("?")).select("source", F.col("k").alias("question"), F.col("v").alias("answer"))
 
 
 @query("f4_distinct_pairs", """
@@ -149,18 +151,21 @@ def f5(t: Tables) -> DataFrame:
     return worded(t).filter(H.is_policy(F.col("text"))).select("doc_id")
 
 
-@query("f6_policy_snippets", WORDED + r"""
-SELECT doc_id, key, CASE WHEN pos > 0 THEN regexp_replace(substr(text, greatest(1, pos - 120), pos + n + 240 - greatest(1, pos - 120)), '^\s+|\s+$', '', 'g') ELSE '' END AS value FROM (
-SELECT doc_id, text, 'cooling_off_period' AS key, strpos(lower(text), regexp_extract(lower(text), 'cooling\s*off', 0)) * (regexp_matches(lower(text), 'cooling\s*off'))::INT AS pos, length(regexp_extract(lower(text), 'cooling\s*off', 0)) AS n FROM w
-UNION ALL SELECT doc_id, text, 'no_questions_asked', strpos(lower(text), 'no questions asked'), 18 FROM w)""")
+SNIPPETS = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS key, regexp_extract(lower(text), '{p}', 0) AS m FROM w" for p, k in H.POLICIES)
+
+
+@query("f6_policy_snippets", WORDED + f"""
+, m AS ({SNIPPETS}), a AS (SELECT *, strpos(lower(text), m) AS pos, length(m) AS n FROM m)
+SELECT doc_id, key, CASE WHEN m <> '' THEN regexp_replace(substr(text, greatest(1, pos - 120), pos + n + 240 - greatest(1, pos - 120)), '^\\s+|\\s+$', '', 'g') ELSE '' END AS value FROM a
+UNION ALL SELECT doc_id, 'other_policies', '' FROM w""")
 def f6(t: Tables) -> DataFrame:
-    return H.policies(worded(t), ["doc_id"], "text").filter(F.col("key").isin("cooling_off_period", "no_questions_asked"))
+    return H.policies(worded(t), ["doc_id"], "text")
 
 
-@query("f7_policy_keys", WORDED + "SELECT doc_id, 12 AS keys, 1 + (doc_id % 8 IN (3))::INT + 2 * (doc_id % 8 = 6)::INT AS filled FROM w")
+@query("f7_policy_keys", WORDED + "SELECT doc_id, 12 AS keys, 1" + "".join(f" + regexp_matches(lower(text), '{p}')::INT" for p, _ in H.POLICIES) + " AS filled FROM w")
 def f7(t: Tables) -> DataFrame:
     """All twelve keys for each text; what the record has already stays."""
-    d = worded(t).withColumn("text", F.when(F.pmod("doc_id", F.lit(8)) == 3, "cooling off").when(F.pmod("doc_id", F.lit(8)) == 6, "visa refused, no questions asked").otherwise("x")).withColumn("old", F.create_map(F.lit("other_policies"), F.lit("as agreed")))
+    d = worded(t).withColumn("old", F.create_map(F.lit("other_policies"), F.lit("as agreed")))
     p = H.policies(d, ["doc_id"], "text", "old")
     return p.groupBy("doc_id").agg(F.count_distinct("key").cast("int").alias("keys"), F.count_if(F.col("value") != "").cast("int").alias("filled"))
 

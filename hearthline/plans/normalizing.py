@@ -129,9 +129,9 @@ def n16(t: Tables) -> DataFrame:
 
 
 @query("n17_split_features", r"""
-, s AS (SELECT doc_id, unnest(string_split_regex(left(text, 400), '[,;\n]')) AS x FROM documents WHERE text IS NOT NULL),
+, s AS (SELECT doc_id, unnest(string_split_regex(text, '[,;\n]')) AS x FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM s)
 SELECT d.doc_id, count(x) FILTER (x <> '') AS n, coalesce(sum(length(x)), 0)::BIGINT AS signs FROM documents d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id""")
 def n17(t: Tables) -> DataFrame:
-    f = F.coalesce(T.features_of(F.substring("text", 1, 400)), F.array())
+    f = F.coalesce(T.features_of(F.col("text")), F.array())
     return t.read("documents").select("doc_id", f.alias("f")).select("doc_id", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("signs"))

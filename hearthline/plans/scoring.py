@@ -15,15 +15,15 @@ DOC = "struct<basic_info:struct<name:string,guarantor_required:string,property_t
 def node1(t: Tables) -> DataFrame:
     """property_id and doc: a nested node-1 record of each listing, with gaps by rule."""
     k = F.col("property_id")
-    names = t.feature.filter("property_id % 3 > 0").groupBy("property_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    names = t.feature.groupBy("property_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
     contact = F.struct(F.when(k % 2 == 0, F.concat(F.lit("+44"), k.cast("string"))).alias("phone"))
     basic = F.struct("name", F.when(k % 4 == 0, "").when(k % 4 == 1, "Information unavailable").otherwise("No guarantor required").alias("guarantor_required"), F.when(k % 5 > 0, "Studio").alias("property_type"), contact.alias("contact"))
     at = F.struct(F.col("city").alias("location_name"), F.when(k % 3 == 0, F.lit(None)).otherwise("51.5").alias("latitude"), F.when(k % 3 == 0, F.lit(None)).otherwise("0").alias("longitude"), "city", "region", F.lit(" ").alias("postcode"))
-    return t.listing.join(names, "property_id", "left").select("property_id", F.struct(basic.alias("basic_info"), at.alias("location"), F.slice("names", 1, 4).alias("features")).cast(DOC).alias("doc"))
+    return t.listing.join(names, "property_id", "left").select("property_id", F.struct(basic.alias("basic_info"), at.alias("location"), F.col("names").alias("features")).cast(DOC).alias("doc"))
 
 
 NODE1 = """
-, f AS (SELECT property_id, least(count(DISTINCT name), 4) AS n FROM feature WHERE property_id % 3 > 0 GROUP BY 1),
+, f AS (SELECT property_id, count(DISTINCT name) AS n FROM feature GROUP BY 1),
 n1 AS (SELECT l.property_id AS k, coalesce(n, 0) AS n, n IS NOT NULL AS has_features FROM listing l LEFT JOIN f USING (property_id)),
 s AS (SELECT k, n, (k % 4 > 0)::INT AS g, (k % 4 > 1)::INT AS g_known, (k % 5 > 0)::INT AS p, (k % 2 = 0)::INT AS ph, (k % 3 > 0)::INT AS co, has_features::INT AS fe FROM n1),
 -- keys: 3 sections, 4 + 1 of basic_info, 6 of location, and the features
