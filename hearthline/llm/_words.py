@@ -7,6 +7,7 @@ at a time, whatever the length of a document.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,6 @@ NOT_ALNUM = np.ones(256, bool)  # all ASCII but letters and digits
 for _a, _z in ((48, 58), (65, 91), (97, 123), (128, 256)):
     NOT_ALNUM[_a:_z] = False
 BLOCK = 1 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
 
@@ -37,26 +37,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-    if lower:
-        v[65:91] = v[97:123]
-    return v
-
-
-VALUES = {False: _byte_values(False), True: _byte_values(True)}
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers.get("p", ())) < n:
-        size = max(n, BLOCK + 1)
-        for name, base in (("p", BASE), ("i", pow(BASE, -1, 1 << 64))):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["p"], _powers["i"]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)  # of the first bytes of a block of eight
+LONG = 1024  # bytes from which a word is hashed by a digest
 
 
 class Words(NamedTuple):
@@ -97,19 +81,40 @@ def split(column: pa.Array, space: np.ndarray = SPACE) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, off))
 
 
+def blocks(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` (8 at most) bytes from each place on as one value; ``data`` goes on for 8 bytes after its last word."""
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at])
+    return eight.view("<u8").ravel() & MASK[n]
+
+
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``data`` (which goes on for 8 bytes after the last span): blocks of eight bytes, scrambled one
+    into the next. Spans of up to seven bytes without control characters never collide."""
+    n = ends - starts
+    first = blocks(data, starts, np.minimum(n, 8))
+    h = mix(np.where(n < 8, first | (n.astype(U64) << U64(56)), first))
+    at, k = np.flatnonzero(n > 8), 8
+    while len(at) and k < LONG:
+        at = at[n[at] <= LONG] if k == 8 else at
+        h[at] = mix(h[at] * U64(0xA24BAED4963EE407) + mix(blocks(data, starts[at] + k, np.minimum(n[at] - k, 8)) + U64(k)))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def hashes(w: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; ``lower``: A-Z count as a-z."""
-    values, out = VALUES[lower], np.empty(len(w.starts), U64)
+    out = np.empty(len(w.starts), U64)
     lo, n = 0, len(w.starts)
     while lo < n:
         a = w.starts[lo]
         hi = max(lo + 1, int(np.searchsorted(w.ends, a + BLOCK, "right")))
         z = w.ends[hi - 1]
-        p, inverse = _power(int(z - a) + 1)
-        c = np.zeros(z - a + 1, U64)
-        np.cumsum(values[w.data[a:z]] * p[: z - a], out=c[1:])
-        s, e = w.starts[lo:hi] - a, w.ends[lo:hi] - a
-        out[lo:hi] = mix((c[e] - c[s]) * inverse[s] + (e - s).astype(U64))
+        data = np.zeros(z - a + 16, np.uint8)
+        data[: z - a] = LOWER[w.data[a:z]] if lower else w.data[a:z]
+        out[lo:hi] = spans_hash(data, w.starts[lo:hi] - a, w.ends[lo:hi] - a)
         lo = hi
     return out
 

@@ -1,21 +1,22 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents are sets of word shingles. Equal sets are one class. Of each class the shingles that come first in a global
-order are counted over the corpus; a class of which too few occur elsewhere cannot have a partner. What is left is split
-into blocks of classes that share a rare shingle, and each block is searched with DivideSkip: the short inverted lists of
-a query are merged, the long ones probed by bisection, and candidates that reach the required overlap are linked.
+order are counted over the corpus; a class of which too few occur elsewhere cannot have a partner. What is left meets
+in groups: two similar sets share a rare shingle, and go to the group of the first set that holds it. A task searches
+its groups with DivideSkip: the short inverted lists of a query are merged, the long ones probed by bisection, and
+candidates that reach the required overlap are linked. Lists that hold only sets linked to the query already can't add
+a link between classes that are still apart, and are left out, so that a large group of near copies costs a search of
+few lists for each set.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ ship(__name__)
 WIDTH = 5
 EXTRA = 64  # shingles beyond the least prefix that are counted, so many of which a partner must share
 SKIP = 0.01  # DivideSkip's mu: how soon lists count as long
-MERGE = 2000  # entries up to which lists are merged by a heap, beyond that by sorting
-BLOCK_ITEMS = 400_000
+MERGE = 512  # entries up to which lists are merged by a heap, beyond that by a sort of their runs
+GROUP_ITEMS = 500_000  # of a chunk; a larger group is dealt as pairs of chunks
+TASK_ITEMS = 1_000_000  # that a task of the search is to have
 BROADCAST_ROWS = 2_000_000
 U64 = np.uint64
 
@@ -151,100 +153,153 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Inverted lists over sets numbered in order of arrival."""
-
-    def __init__(self) -> None:
-        self.lists: dict[int, array] = {}
-        self.n: list[int] = []
-
-    def add(self, items: list[int], n: int) -> None:
-        i = len(self.n)
-        for x in items:
-            if (found := self.lists.get(x)) is None:
-                self.lists[x] = array("q", (i,))
-            else:
-                found.append(i)
-        self.n.append(n)
-
-    def search(self, items: list[int], n: int, skip) -> Iterator[int]:
-        """Numbers of the sets with a Jaccard similarity of 0.8 or more, but for those that ``skip`` (vectorised) rules out."""
-        least = required(n)
-        lists = [x for x in map(self.lists.get, items) if x is not None]
-        if len(lists) < least:
+    """Inverted lists over sets in ascending order of size, and which of the sets are connected so far.
+
+    ``sets`` are arrays of distinct items, ``n`` the sizes of the whole sets (items that no other set has may be left out)."""
+
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray) -> None:
+        self.n, m = n, len(sets)
+        self.first = np.cumsum([0, *map(len, sets)])
+        _, item = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        self.post = np.repeat(np.arange(m), np.diff(self.first))[order]  # all lists, one after the other
+        self.keys = item[order] * m + self.post  # ascending: a list is probed by bisection
+        self.item = item
+        self.start = np.searchsorted(item[order], np.arange(item.max() + 1 if len(item) else 0))
+        self.at = np.empty(len(item), np.int64)  # of each item of each set, its place in its list
+        self.at[order] = np.arange(len(item))
+        earlier = self.at - self.start[item]
+        held = np.concatenate([[0], np.cumsum(earlier > 0)])
+        self.hopeful = held[self.first[1:]] - held[self.first[:-1]] >= -(-4 * n // 5)
+        self.label = np.arange(m)
+        self.members = {}  # of labels that hold several sets
+        self.mixed = np.zeros(len(self.start), bool)  # lists with sets of several labels
+
+    def union(self, i: int, j: int) -> None:
+        a, b = int(self.label[i]), int(self.label[j])
+        x, y = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(x) > len(y):
+            a, x, y = b, y, x
+        keep = int(self.label[y[0]])
+        self.label[x] = keep
+        y.extend(x)
+        self.members[keep] = y
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs with a Jaccard similarity of 0.8 or more that connect all sets which such pairs connect."""
+        for i, hopeful in enumerate(self.hopeful.tolist()):
+            item = self.item[self.first[i] : self.first[i + 1]]
+            start, end = self.start[item], self.at[self.first[i] : self.first[i + 1]]
+            some = end > start
+            start, end, item = start[some], end[some], item[some]
+            if hopeful:
+                yield from self._search(i, item, start, end)
+            self.mixed[item] |= self.label[self.post[start]] != self.label[i]
+
+    def _search(self, i: int, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+        n, least = int(self.n[i]), required(int(self.n[i]))
+        # the set that is last in most of the lists often is a partner by itself
+        last, times = np.unique(self.post[end - 1], return_counts=True)
+        k = int(times.argmax())
+        if 9 * int(times[k]) >= 4 * (n + int(self.n[last[k]])):
+            yield i, int(last[k])
+            self.union(i, int(last[k]))
+        apart = self.mixed[item] | (self.label[self.post[start]] != self.label[i])
+        if np.count_nonzero(apart) < least:
             return
-        lists.sort(key=len, reverse=True)
-        many = min(least - 1, int(least / (SKIP * math.log2(len(lists[0]) + 1) + 1)))
-        long, short = lists[:many], lists[many:]
-        need = least - many
-        for i, count in _sorted_merge(short, need, skip) if sum(map(len, short)) > MERGE else _heap_merge(short, need):
-            both = n + self.n[i]
-            if skip(np.array([i]))[0] or 9 * min(n, self.n[i]) < 4 * both:
-                continue
-            for k, x in enumerate(long):
-                if 9 * (count + len(long) - k) < 4 * both:
-                    break
-                at = bisect_left(x, i)
-                count += at < len(x) and x[at] == i
-            if 9 * count >= 4 * both:
-                yield i
-
-
-def _heap_merge(lists: list[array], need: int) -> Iterator[tuple[int, int]]:
-    """(number, lists that hold it) of what is in ``need`` lists at least, by a heap that skips ahead."""
+        item, start, end = item[apart], start[apart], end[apart]
+        order = np.argsort(start - end, kind="stable")  # long lists first
+        many = min(least - 1, int(least / (SKIP * math.log2(int(end[order[0]] - start[order[0]]) + 1) + 1)))
+        long, short, need = order[:many], order[many:], least - many
+        small = int(np.searchsorted(self.n, -(-4 * n // 5)))  # sets before this one are too small
+        lists = [self.post[a:z] for a, z in zip(start[short].tolist(), end[short].tolist(), strict=True)]
+        lists = [x[(x >= small) & (self.label[x] != self.label[i])] for x in lists]
+        lists = [x for x in lists if len(x)]
+        if len(lists) < need:
+            return
+        number, count = _heap_merge([x.tolist() for x in lists], need) if sum(map(len, lists)) <= MERGE else _run_merge(lists, need)
+        enough = 4 * (n + self.n[number])
+        order = np.argsort(-count, kind="stable")
+        number, count, enough = number[order], count[order], enough[order]
+        size = 1
+        while len(number):
+            open_ = (self.label[number] != self.label[i]) & (9 * (count + len(long)) >= enough)
+            number, count, enough = number[open_], count[open_], enough[open_]
+            j, c, e = number[:size], count[:size], enough[:size]
+            probe = (item[long] * len(self.n))[None, :] + j[:, None]
+            found = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            for x in j[9 * (c + (self.keys[found] == probe).sum(1)) >= e].tolist():
+                if self.label[x] != self.label[i]:
+                    yield i, x
+                    self.union(i, x)
+            number, count, enough = number[size:], count[size:], enough[size:]
+            size = min(2 * size, 64)
+
+
+def _heap_merge(lists: list[list[int]], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is in ``need`` lists at least and in how many, by a heap that skips ahead."""
     heap = [(x[0], k, 0) for k, x in enumerate(lists)]
     heapq.heapify(heap)
+    number, count = [], []
     while len(heap) >= need:
         least, popped = heap[0][0], []
         while heap and heap[0][0] == least:
             popped.append(heapq.heappop(heap))
         if len(popped) >= need:
-            yield least, len(popped)
+            number.append(least)
+            count.append(len(popped))
             jump = least + 1
         else:
             while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap))
             if not heap:
-                return
+                break
             jump = heap[0][0]  # nothing below can be in ``need`` lists
         for _, k, at in popped:
             x = lists[k]
             if (at := bisect_left(x, jump, at)) < len(x):
                 heapq.heappush(heap, (x[at], k, at))
+    return np.array(number, np.int64), np.array(count, np.int64)
+
+
+def _run_merge(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for long inputs: one sort merges the ascending runs."""
+    every = np.sort(np.concatenate(lists), kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(new, len(every)))
+    return every[new[count >= need]], count[count >= need]
 
 
-def _sorted_merge(lists: list[array], need: int, skip) -> list[tuple[int, int]]:
-    """The same for long inputs, by sorting all entries at once."""
-    every = np.concatenate([np.array(x) for x in lists])
-    every = every[~skip(every)]
-    if not len(every):
-        return []
-    number, count = np.unique(every, return_counts=True)
-    return [(int(i), int(c)) for i, c in zip(number[count >= need], count[count >= need], strict=True)]
-
-
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that join what is similar in a block, as a forest: what is connected already is not linked again.
-
-    ``side`` tells the chunks of a block apart; where there are two, only pairs across them are searched."""
-    pdf = pdf.sort_values(["side", "n", "sig"], kind="stable").reset_index(drop=True)
-    sig, n, side = pdf["sig"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-    label = np.arange(len(pdf))
-    index, out = Index(), []
-    across = side[0] != side[-1] if len(side) else False
-    for i, items in enumerate(pdf["items"]):
-        if across and side[i] == side[0]:
-            index.add(items.tolist(), int(n[i]))
-            continue
-        items = items.tolist()
-        for j in index.search(items, int(n[i]), lambda x: label[x] == label[i]):  # noqa: B023
-            if label[j] != label[i]:
-                out.append((sig[i], sig[j]))
-                label[label == label[j]] = label[i]
-        if not across:
-            index.add(items, int(n[i]))
-    del index
+def _linked(sig: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    order = np.lexsort((sig, n))
+    order = order[np.concatenate([[True], sig[order][1:] != sig[order][:-1]])]  # a set of several groups counts once
+    sig, n = sig[order], n[order]
+    found = np.array(list(Index([sets[i] for i in order], n).links()), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(sig[found[:, 0]]), pa.array(sig[found[:, 1]])], ["a", "b"])
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (group, i, j, sig, n, items) in order of the first three; small groups are searched together."""
+    sig, n, sets, items, last = [], [], [], 0, None
+    for batch in batches:
+        group, i, j, s, m = (batch.column(c).to_numpy() for c in range(5))
+        values, off = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        new[0] = last != (group[0], i[0], j[0]) if len(new) and batch.num_rows else False
+        for k in range(batch.num_rows):
+            if new[k] and items >= GROUP_ITEMS:
+                yield _linked(np.array(sig), np.array(n), sets)
+                sig, n, sets, items = [], [], [], 0
+            sig.append(s[k])
+            n.append(m[k])
+            sets.append(values[off[k] : off[k + 1]].copy())
+            items += len(sets[-1])
+        if batch.num_rows:
+            last = (group[-1], i[-1], j[-1])
+    if sets:
+        yield _linked(np.array(sig), np.array(n), sets)
+    del sig, n, sets
     release()
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def class_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,24 +319,27 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = written(sets.filter(F.size("s") * 5 >= F.col("n") * 4).select("sig", "n", F.col("s.item").alias("items")), "sets")
     # rarest first: items that no other set has fill the head of the prefix
     free = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)) + 1 - (F.col("n") - F.size("items"))
-    heads = sets.select("sig", F.explode(F.slice("items", 1, F.greatest(F.lit(0), free).cast("int"))).alias("item"))
-    heads = written(heads, "heads")
-    first = heads.groupBy("item").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    blocks = components(heads.join(first, "item").select(F.col("sig").alias("a"), "b"))
-    placed = sets.join(blocks.select(F.col("node").alias("sig"), F.col("root").alias("block")), "sig")
-    parts = placed.groupBy("block").agg(F.ceil(F.sum(F.size("items")) / F.lit(BLOCK_ITEMS)).cast("int").alias("parts"))
+    heads = written(sets.select("sig", F.explode(F.slice("items", 1, F.greatest(F.lit(0), free).cast("int"))).alias("item")), "heads")
+    # two partners share an item of their heads, and so the first holder of it, whose group both are in
+    first = heads.groupBy("item").agg(F.min("sig").alias("group"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    placed = heads.join(first, "item").select("sig", "group").distinct().join(sets, "sig")
+    parts = placed.groupBy("group").agg(F.sum(F.size("items")).alias("total"))
+    parts = written(parts.withColumn("parts", F.ceil(F.col("total") / F.lit(GROUP_ITEMS)).cast("int")), "parts")
+    work = parts.agg(F.sum(F.col("total") * F.col("parts"))).first()[0] or 0
     chunk = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    dealt = placed.join(parts, "block").withColumn("side", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "sig", "n", "items")
-    return dealt.groupBy("block", "i", "j").applyInPandas(lambda p: _links(p[["side", "sig", "n", "items"]]), "a long, b long")
+    dealt = placed.join(parts, "group").withColumn("side", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sig", "n", "items")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK_ITEMS))
+    return dealt.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_searched, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of similarity 0.8 or more) of each document.
 
     Null and empty texts have no shingles and are linked with nothing, nor is a class of which every doc_id is null. A
-    repeated doc_id is a row of its own. Equal sets are one class from the start, so copies cost one row each. Sets and
-    their elements are told apart by 64-bit hashes.
+    repeated doc_id is a row of its own. Equal sets are one class from the start, so copies cost one row each. Very long
+    texts are cut into words piece by piece. Other columns are not read. Sets and their elements are told apart by 64-bit
+    hashes, of words of up to seven bytes without collisions.
     """
     docs = text_only(docs)
     signed, classes = class_table(docs)
@@ -294,9 +352,15 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    kept = join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of ``docs`` whose doc_id is the smallest of its component; of rows equal in doc_id and text one stays.
+
+    Rows with a null doc_id all stay, as do different texts of one doc_id that are no near copies of another doc_id.
+    """
+    joined = written(join(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "firsts")
+    once, more = (joined.filter(c).select(F.col("doc_id").alias("__kept")) for c in ("__n = 1", "__n > 1"))
+    alone = docs.join(once, docs["doc_id"] == once["__kept"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    repeated = docs.join(more, docs["doc_id"] == more["__kept"], "left_semi")
+    return alone.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

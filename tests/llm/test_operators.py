@@ -256,7 +256,7 @@ def test_jaccard(spark, sf, odd, none):
     assert len(got) == 12 and by[5] == by[6] == (1, 5) and by[7] == by[8] == (2, 7) and by[2] == (0, 2) and by[3] == (0, 3) and by[4] == (0, 4)
     assert jaccard.join(none).count() == 0
     kept = jaccard.keep_first(odd)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 1, 2, None, None, 3, 4, 5, 7, 9])
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, None, 3, 4, 5, 7, 9])
 
 
 def test_jaccard_groups_and_chunks(spark, monkeypatch):
@@ -273,25 +273,41 @@ def test_jaccard_groups_and_chunks(spark, monkeypatch):
     want = brute.jaccard_components(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(d).collect()} == want
-    monkeypatch.setattr(jaccard, "BLOCK_ITEMS", 300)  # a block in several chunks
+    monkeypatch.setattr(jaccard, "GROUP_ITEMS", 300)  # a group in several chunks
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1)  # classes joined, not broadcast
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(d).collect()} == want
 
 
-def test_divide_skip():
+def test_divide_skip(monkeypatch):
     r = np.random.default_rng(5)
-    sets = [sorted(set(map(int, r.choice(60, r.integers(5, 40))))) for _ in range(120)]
-    sets += [sorted(set(s[1:])) for s in sets[:60]]
-    index = jaccard.Index()
-    none = lambda x: np.zeros(len(x), bool)
-    for i, s in enumerate(sets):
-        want = [j for j in range(i) if 100 * len(set(s) & set(sets[j])) >= 80 * len(set(s) | set(sets[j])) and len(sets[j]) <= len(s)]
-        for most in (0, 10**9):
-            jaccard.MERGE = most
-            got = [j for j in index.search(s, len(s), none) if len(sets[j]) <= len(s)]
-            assert got == want
-        index.add(s, len(s))
-    jaccard.MERGE = 2000
+    for trial in range(8):
+        monkeypatch.setattr(jaccard, "MERGE", (0, 512)[trial % 2])
+        monkeypatch.setattr(jaccard, "SKIP", (0.01, 1, 1e-9, 10)[trial % 4])
+        sets = [np.unique(r.choice(60, r.integers(5, 40))) for _ in range(120)]
+        sets = sorted(sets + [s[1:] for s in sets[:60]] + [s[:-1] for s in sets[:60]], key=len)
+        n = np.array([len(s) for s in sets])
+        similar = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - k)}
+        got = list(jaccard.Index(sets, n).links())
+        assert set(got) <= similar
+
+        def roots(pairs):
+            root = list(range(len(sets)))
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            return root
+
+        assert roots(got) == roots(similar) and len(got) == len(sets) - len(set(roots(similar)))  # no link twice
+
+
+def test_word_hashes_tell_constructed_words_apart(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    one = "a"
+    while len(one) < 4096:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = jaccard.join(spark.createDataFrame([(1, one), (2, other), (3, one[:1024]), (4, other[:1024])], "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
 
 
 def test_components(spark):
@@ -387,11 +403,24 @@ def test_tokens(spark, sf, odd, none):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and tokens.encode_to_files(none).count() == 0
 
 
-def test_words_encode_as_texts():
+def test_pieces_encode_as_texts(monkeypatch):
     e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
-    texts = ["It's  a\tTest of 中文 İstanbul ΑΣ é é <|endoftext|> x y don't 12.5", "", "\n", "ſ K 🙂👍🏽 a‍b"] * 2
-    want = [np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert e.by_word and e.encode([t.encode() for t in texts]) == want
+    assert e.units is not None
+    texts = [
+        "It's  a\tTest of 中文 İstanbul ΑΣ é é <|endoftext|> x y don't 12.5", "", "\n", None, "ſ K 🙂👍🏽 a‍b", "ÀÉß×÷ÿŸ a\x00b \x1c \x85x\xa0y £5 ¼ ²", "É" + "x" * 3000 + " " + "Ab1," * 500, "<|startoftext|>ab a<|endoftext|", " a", "b "
+    ]
+    r = np.random.default_rng(4)
+    signs = list("aBé É'st d1,.-\n\t中Σ×\u0301£ÿß\x00\x7f\xadI<|")
+    texts += ["".join(r.choice(signs, r.integers(0, 30))) for _ in range(2000)]
+    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (10**6, 50, 50):  # with and without room for what is known
+        monkeypatch.setattr(tokens, "CACHE_UNITS", most)
+        for n in (7, 500):
+            got = []
+            for i in range(0, len(texts), n):
+                ids, off = e.encode(pa.array(texts[i : i + n], pa.string()))
+                got += [ids[a:z].tolist() for a, z in zip(off[:-1], off[1:], strict=True)]
+            assert got == want
 
 
 def test_addressable_codes():
