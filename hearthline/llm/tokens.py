@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import ensure_dir, release, shared_dir, ship, table, text_only, written
+from . import _words
+from ._common import ensure_dir, release, shared_dir, ship, table, text_only
 from ._words import chunks
 
 ship(__name__)
 
 BLOCK_BITS = 512
 FILE_TOKENS = 2 << 20
-CACHE_WORDS = 100_000
+CACHE_UNITS = 1_000_000
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: what splits the texts of such a vocabulary
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
@@ -106,61 +108,148 @@ class Packed:
         return value
 
 
+class Units:
+    """Ids of texts piece by piece of what the vocabulary's own splitting gives: runs of letters, single digits, runs of other
+    signs, of texts in small letters. Pieces are found and looked up for a whole batch at once; a piece goes to the
+    tokenizer once while it is known. Words with signs beyond ASCII and the letters of two bytes that begin with C3, with
+    apostrophes, control characters or added tokens are pieces as a whole.
+
+    Known pieces: two sorted tables of a 64-bit hash, with the place and number of their ids; beyond CACHE_UNITS those
+    that were not used for the longest time go. It lives as long as the worker.
+    """
+
+    APOSTROPHE, C3 = 0x27, 0xC3
+    SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+
+    def __init__(self, tok) -> None:
+        self.tok, self.model = tok, tok.model
+        self.added = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+        kind = np.full(256, self.ODD, np.uint8)
+        kind[33:127] = self.SIGN
+        kind[48:58] = self.DIGIT
+        kind[65:91] = kind[97:123] = self.LETTER
+        kind[[9, 10, 11, 12, 13, 32]] = self.SPACE
+        kind[self.APOSTROPHE] = self.ODD
+        self.kind = kind
+        # the signs of a byte-level vocabulary: printable bytes stand for themselves, others follow from 256 on
+        other = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self.signs = {b: 256 + i for i, b in enumerate(other)}
+        self.clock = 0
+        self.keys, self.places, self.counts, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes in small letters, starts and ends of all pieces, and which of them are odd words."""
+        low, kind = _words.LOWER[data], self.kind[data]
+        at = np.flatnonzero(data[:-1] == self.C3)
+        second = data[at + 1]
+        at, second = (x[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)] for x in (at, second))
+        kind[at] = kind[at + 1] = self.LETTER
+        low[at + 1] += np.where(second < 0x9F, 32, 0).astype(np.uint8)
+        raw = data.tobytes()
+        for token in self.added:
+            here = raw.find(token)
+            while here >= 0:
+                kind[here] = self.ODD
+                here = raw.find(token, here + 1)
+        # a word with an odd byte is a piece
+        solid = kind != self.SPACE
+        border = np.zeros(len(data) + 1, bool)
+        border[off] = True
+        begin = solid & (np.concatenate([[True], ~solid[:-1]]) | border[:-1])
+        word = np.cumsum(begin) - 1
+        odd_word = np.zeros(int(begin.sum()) + 1, bool)
+        odd_word[word[kind == self.ODD]] = True
+        odd = odd_word[word] & solid
+        kind[odd] = self.ODD
+        before = np.concatenate([[self.SPACE], kind[:-1]])
+        starts = np.flatnonzero(solid & ((kind != before) | (kind == self.DIGIT) | begin))
+        after = np.concatenate([kind[1:], [self.SPACE]])
+        last = np.concatenate([begin[1:], [True]])
+        ends = np.flatnonzero(solid & ((kind != after) | (kind == self.DIGIT) | last)) + 1
+        low[odd] = data[odd]
+        return low, starts, ends, odd[starts]
+
+    def _encoded(self, pieces: list[bytes], odd: list[bool]) -> list[list[int]]:
+        rest = iter(self.tok.encode_batch_fast([x.decode("utf-8", "replace") for x, o in zip(pieces, odd, strict=True) if o], add_special_tokens=False))
+        signs = [x.decode() if x.isascii() else x.decode("latin-1").translate(self.signs) for x in pieces]
+        return [next(rest).ids if o else [t.id for t in self.model.tokenize(s)] for s, o in zip(signs, odd, strict=True)]
+
+    def _learn(self, keys: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> None:
+        """Adds pieces (with ascending keys)."""
+        lists = self._encoded([low[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], odd.tolist())
+        n = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([i for x in lists for i in x], np.uint32)
+        if len(self.keys) + len(keys) > CACHE_UNITS:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_UNITS // 2])
+            kept = np.repeat(self.places[keep] - np.concatenate([[0], np.cumsum(self.counts[keep])[:-1]]), self.counts[keep]) + np.arange(self.counts[keep].sum())
+            self.ids, self.keys, self.counts, self.used = self.ids[kept], self.keys[keep], self.counts[keep], self.used[keep]
+            self.places = np.cumsum(self.counts) - self.counts
+        to = np.searchsorted(self.keys, keys)
+        self.places = np.insert(self.places, to, len(self.ids) + np.cumsum(n) - n)
+        self.keys, self.counts, self.used = np.insert(self.keys, to, keys), np.insert(self.counts, to, n), np.insert(self.used, to, self.clock)
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column one after the other, and the offset of each text in them."""
+        data, off = _words.buffers(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        low, starts, ends, odd = self._cut(data, off)
+        low = np.concatenate([low, np.zeros(8, np.uint8)])
+        key = _words.spans_hash(low, starts, ends)
+        key[odd] = _words.mix(key[odd] + np.uint64(1))
+        unique, one, which = np.unique(key, return_index=True, return_inverse=True)
+        self.clock += 1
+        at = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != unique)
+        if len(new):
+            self._learn(unique[new], low, starts[one[new]], ends[one[new]], odd[one[new]])
+            at = np.searchsorted(self.keys, unique)
+            gone = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] != unique)
+            if len(gone):  # forgotten to make room
+                self._learn(unique[gone], low, starts[one[gone]], ends[one[gone]], odd[one[gone]])
+                at = np.searchsorted(self.keys, unique)
+        self.used[at] = self.clock
+        at = at[which]
+        n = self.counts[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.places[at] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, off)]
+
+
 class Encoder:
-    """Ids of whole texts. Words between ASCII white space are encoded once while they stay in the cache; the cache has
-    two generations of CACHE_WORDS words and lives as long as the worker. Valid for vocabularies whose tokens never
-    span white space, as ``spans_no_space`` checks."""
+    """Ids of whole texts: by pieces where the vocabulary splits as ``Units`` does, else text by text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.by_word = spans_no_space(self.tok)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _add(self, missing: list[bytes]) -> None:
-        old, new = self.old, self.new
-        words = []
-        for w in missing:
-            if (x := old.get(w)) is None:
-                words.append(w)
-            else:
-                new[w] = x
-        for lo in range(0, len(words), 20_000):
-            part = [w.decode("utf-8", "replace") for w in words[lo : lo + 20_000]]
-            groups = [part[i : i + 500] for i in range(0, len(part), 500)]
-            at = lo
-            for group, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                starts = np.cumsum([0] + [len(w) + 1 for w in group])[:-1]
-                word = np.searchsorted(starts, np.array([a for a, _ in e.offsets], np.int64), "right") - 1
-                ends = (4 * np.cumsum(np.bincount(word, minlength=len(group)))).tolist()
-                raw, before = np.array(e.ids, "<u4").tobytes(), 0
-                for w, z in zip(words[at : at + len(group)], ends, strict=True):
-                    new[w] = raw[before:z]
-                    before = z
-                at += len(group)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        lists = [t.split() for t in texts]
-        self._add([w for w in set().union(*lists) if w not in self.new])
-        get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
-
-
-def spans_no_space(tok) -> bool:
-    """Whether this tokenizer gives the joined ids of the words for a text of words, by its settings and a probe."""
+        self.units = Units(self.tok) if splits_into_units(self.tok) else None
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column (null: none) one after the other, and the offset of each text in them."""
+        if self.units:
+            return self.units.encode(column)
+        found = self.tok.encode_batch([(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()], add_special_tokens=False)
+        return np.array([i for e in found for i in e.ids], np.uint32), np.concatenate([[0], np.cumsum([len(e.ids) for e in found], dtype=np.int64)])
+
+
+def splits_into_units(tok) -> bool:
+    """Whether a tokenizer lowers, splits and encodes as ``Units`` takes for granted, by its settings and a probe."""
     import json
 
-    pre = json.dumps(json.loads(tok.to_str()).get("pre_tokenizer") or {})
-    text = "a  b'd\téé 1 2\r\n(x)  it's\x0b don' t Σσ 中文  z"
-    parts = [i for w in text.encode().split() for i in tok.encode(w.decode(), add_special_tokens=False).ids]
-    return "\\\\s" in pre and '"Removed"' in pre and tok.encode(text, add_special_tokens=False).ids == parts
+    spec = json.loads(tok.to_str())
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = [(x.get("pattern") or {}).get("Regex") for x in cuts if x.get("type") == "Split" and x.get("invert") and x.get("behavior") == "Removed"]
+    added = spec.get("added_tokens") or []
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or len(x["content"].split()) != 1 for x in added):
+        return False
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or pattern != [SPLIT] or cuts[1].get("add_prefix_space"):
+        return False
+    text = "a  b'd\téé 1 23x\r\n(x)  It's\x0b don' t Σσ 中文  z... Éa×÷ß-Ö"
+    return tok.encode(text, add_special_tokens=False).ids == Units(tok).encode(pa.array([text]))[0].tolist()
 
 
 def encoder(path: str) -> Encoder:
@@ -185,7 +274,7 @@ def _writer(folder: str, name: str, end_id: int | None, file_tokens: int):
         release()
         part = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
-        enc, end = encoder(vocabulary(name)), b"" if end_id is None else struct.pack("<I", end_id)
+        enc, end = encoder(vocabulary(name)), np.array([] if end_id is None else [end_id], np.uint32)
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         count = seq = 0
@@ -199,10 +288,10 @@ def _writer(folder: str, name: str, end_id: int | None, file_tokens: int):
 
         for batch in batches:
             for piece in chunks(batch, "text", 1 << 20):
-                texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
-                for d, raw in zip(piece.column(0).to_pylist(), enc.encode(texts), strict=True):
+                flat, off = enc.encode(piece.column(1))
+                for d, a, z in zip(piece.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                     docs.append(d)
-                    ids.append(np.frombuffer(raw + end, "<u4"))
+                    ids.append(np.concatenate([flat[a:z], end]))
                     count += len(ids[-1])
                     if count >= file_tokens:
                         yield flush()
