@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 A source's target is shared out by weight and stops at ``most`` times its words. A document is due target / words of
-its source copies: the whole part is certain; for the rest every document draws a uniform number u, and documents
+its source copies on average: the whole part is certain; of the rest each document has an inclusion probability of its
+own, higher for what has more words (or a higher ``measure``). Every document draws a uniform number u, and documents
 rank by odds(u) / odds(inclusion). The sample is the head of that ranking whose words come nearest the words still
 wanted, so its size is fixed, and the same in every run.
 """
@@ -12,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import table
+from ._common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 4096
+BINS = 4096  # of the ranking; the bin where a sample ends is cut into as many again
+HALF = 200  # words of a document of middle measure
 BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
 SCALE = float(1 << 52)
 
@@ -51,46 +53,96 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * left / free)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 8) -> DataFrame:
+def by_size(size: Column) -> Column:
+    """The measure of a document from 0 to 1000, so that sums are exact: size / (size + HALF)."""
+    return F.floor(F.lit(1000) * size / (size + HALF)).cast("long")
+
+
+def drawn(docs: DataFrame, seed: int, measure: Column | None = None) -> DataFrame:
+    """``docs`` with size, __u (its draw), __m (its measure) and __tie."""
+    d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__u", _uniform(seed))
+    d = d.withColumn("__m", by_size(F.col("size")) if measure is None else F.least(F.greatest(F.coalesce(measure.cast("long"), F.lit(0)), F.lit(0)), F.lit(1000)))
+    return d.withColumn("__tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+
+
+def ranked(d: DataFrame, goal: DataFrame) -> DataFrame:
+    """``d`` with the columns of its source in ``goal``, __p (inclusion probability) and __q: odds(u) / odds(p) brought into (0, 1].
+
+    p is the source's mean moved by the document's measure against the mean measure of a word there, at most by the
+    distance to 0 or 1; so the words due to the source stay what they are."""
+    d = d.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    odd = F.col("__odd")
+    p = odd + F.least(odd, 1 - odd) * (F.col("__m") - F.col("__mean")) / F.lit(1000.0)
+    d = d.withColumn("__p", F.when(odd > 0, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0)))
+    p, u = F.col("__p"), F.col("__u")
+    return d.withColumn("__q", F.when(p > 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p)).otherwise(F.lit(1.0)))
+
+
+def _end(d: DataFrame, keys: list[str], bin_: Column) -> DataFrame:
+    """Of each source, the bin in which the words wanted end and the words before it (no row where all bins are taken or none)."""
+    bins = d.groupBy(*keys, bin_.alias("__bin")).agg(F.sum("size").alias("__w"), F.first("__left").alias("__left"))
+    run = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to = F.sum("__w").over(run)
+    return bins.withColumn("__to", to).withColumn("__from", F.col("__to") - F.col("__w")).filter("__from <= __left AND __left < __to").select(*keys, F.col("__bin").alias("__end"), F.col("__from"))
+
+
+def cuts(slim: DataFrame, goal: DataFrame, small) -> DataFrame:
+    """source and __cut, the place (__q, doc_id, __tie) of the last document that its sample takes.
+
+    The ranking is summed in bins, and the bin where the words wanted end in bins again; what is sorted is one in
+    BINS * BINS of a source. A source whose words all are wanted has no row."""
+    d = ranked(slim, small(goal)).filter("__odd > 0").withColumn("__left", F.col("__want"))
+    d = d.withColumn("__b1", F.least(F.floor(F.col("__q") * BINS), F.lit(BINS - 1))).withColumn("__b2", F.least(F.floor((F.col("__q") * BINS - F.col("__b1")) * BINS), F.lit(BINS - 1)))
+    keep = ("source", "__q", "doc_id", "__tie", "size", "__left", "__b1", "__b2")
+    for b in ("__b1", "__b2"):
+        e = small(_end(d, ["source"], F.col(b)).withColumnRenamed("source", "__s"))
+        d = d.join(e, F.col("source").eqNullSafe(F.col("__s"))).filter(F.col(b) == F.col("__end")).withColumn("__left", F.col("__left") - F.col("__from")).select(*keep)
+    place = F.struct("__q", "doc_id", "__tie")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = d.withColumn("__to", upto).groupBy("source").agg(F.max(F.when(2 * F.col("__to") - F.col("size") <= 2 * F.col("__left"), place)).alias("__in"), F.min(place).alias("__first"))
+    return last.select("source", F.col("__in").alias("__cut"), "__first")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 8, measure: Column | None = None) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, copies and taken, beside their own columns.
 
-    Null or empty texts have size 0 and are taken 0 times 0 words; a null source is a source of its own, last in order.
-    Equal rows (same doc_id and text) share one draw. Own columns of these names are replaced. A source of any share of
-    the rows is ranked in bins of its draws; only the bin where the sample ends is sorted. The tables of one row a source
-    are broadcast up to BROADCAST_SOURCES and BROADCAST_BYTES, so that texts stay in place; beyond, they are shuffled.
+    ``measure`` (0 to 1000, null as 0; by default the size's) says what is rather included. Null or empty texts have size 0
+    and are taken 0 times 0 words; a null source is a source of its own, last in order. Equal rows (same doc_id and text)
+    share one draw and one place, and stay or go together. Own columns of these names are replaced. No table gives no
+    rows. A source of any share of the rows is ranked in bins of its ranking, and never sorted as a whole. The tables of
+    one row a source are broadcast up to BROADCAST_SOURCES and BROADCAST_BYTES, so that texts stay in place; beyond, they
+    are shuffled.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    small = F.broadcast if _few_sources(docs) else lambda x: x
-    d = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__u", _uniform(seed))
-    d = d.withColumn("__tie", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = goal.withColumn("__due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = goal.withColumn("__sure", F.floor("__due")).withColumn("__odd", F.col("__due") - F.floor("__due")).withColumn("__want", F.col("target") - F.col("__sure") * F.col("source_size"))
-    goal = goal.withColumnRenamed("source", "__s")
-    d = d.join(small(goal), d["source"].eqNullSafe(goal["__s"]), "left").drop("__s")
-    # odds(u) / odds(p), brought into (0, 1]; nobody is drawn where nothing is left to share
-    p = F.col("__odd")
-    q = F.when(p > 0, F.col("__u") * (1 - p) / (F.col("__u") * (1 - p) + (1 - F.col("__u")) * p)).otherwise(F.lit(1.0))
-    d = d.withColumn("__q", q).withColumn("__bin", F.least(F.floor(F.col("__q") * BINS), F.lit(BINS - 1)).cast("int"))
-    bins = d.groupBy("source", "__bin").agg(F.sum("size").alias("__w"), F.first("__want").alias("__goal"))
-    run = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("__to", F.sum("__w").over(run)).withColumn("__from", F.col("__to") - F.col("__w"))
-    # the last bin of each source that is taken whole, and the one in which the wanted words end
-    here = (F.col("__from") < F.col("__goal")) & (F.col("__goal") < F.col("__to"))
-    ends = bins.groupBy(F.col("source").alias("__s")).agg(F.max(F.when(F.col("__to") <= F.col("__goal"), F.col("__bin"))).alias("__full"), F.max(F.when(here, F.col("__bin"))).alias("__end"), F.max(F.when(here, F.col("__from"))).alias("__from"))
-    d = d.join(small(ends), d["source"].eqNullSafe(ends["__s"]), "left").drop("__s")
-    # only the rows of such a bin are ranked; all others get the key of a single row
-    at_end = F.col("__bin") == F.col("__end")
-    ranked = Window.partitionBy("source", "__end").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = d.filter(at_end).withColumn("__to", F.col("__from") + F.sum("size").over(ranked)).withColumn("__in", 2 * F.col("__to") - F.col("size") <= 2 * F.col("__want")).drop("__to")
-    outer = d.filter(~F.coalesce(at_end, F.lit(False))).withColumn("__in", F.coalesce(F.col("__bin") <= F.col("__full"), F.lit(False)) & (F.col("__odd") > 0))
-    out = inner.unionByName(outer).withColumn("copies", (F.col("__sure") + F.col("__in").cast("int")).cast("int")).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
-    return out.select(*docs.columns, "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "copies", "taken")
+    d = drawn(docs, seed, measure)
+    slim = written(d.select("doc_id", "source", "size", "__u", "__m", "__tie"), "drawn")
+    return mixed(d, slim, weights, share, most).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(d: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """``d`` (as ``drawn`` gives it) with what the mix of ``slim``, the same rows without texts, takes of each row."""
+    small = F.broadcast if _few_sources(slim) else lambda x: x
+    totals = written(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__m")).alias("__weighed")), "totals")
+    goal = targets(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "__t")
+    goal = totals.join(goal.drop("source_size"), F.col("source").eqNullSafe(F.col("__t"))).drop("__t")
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = goal.withColumn("__sure", F.floor(due)).withColumn("__odd", due - F.floor(due)).withColumn("__want", F.col("target") - F.col("__sure") * F.col("source_size"))
+    goal = goal.withColumn("__mean", F.when(F.col("source_size") > 0, F.col("__weighed") / F.col("source_size")).otherwise(0.0)).drop("__weighed")
+    goal = written(goal, "goal")
+    ends = written(cuts(slim, goal, small).withColumnRenamed("source", "__s").withColumn("__ends", F.lit(True)), "cuts")
+    d = ranked(d, small(goal))
+    d = d.join(small(ends), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    place = F.struct("__q", "doc_id", "__tie")
+    # before the documents that were sorted, or among those of them that are taken; nothing is sorted where all is wanted
+    inside = F.when(F.col("__ends").isNull(), F.lit(True)).otherwise((place < F.col("__first")) | F.coalesce(place <= F.col("__cut"), F.lit(False)))
+    taken = inside & (F.col("__odd") > 0)
+    return d.withColumn("copies", (F.col("__sure") + taken.cast("int")).cast("int")).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = drawn(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), seed=8)
+    slim = written(docs.drop("text"), "drawn")
+    return mixed(slim, slim, (5, 2, 1), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
@@ -102,8 +154,10 @@ s2 AS (SELECT *, ([5, 2, 1])[((place - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE
 s3 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
               + cap / weight * sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= whole AS capped FROM s2),
 s4 AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, weight::DOUBLE * (whole - (SELECT coalesce(sum(cap), 0) FROM s3 WHERE capped)) / (SELECT sum(weight) FROM s3 WHERE NOT capped)::DOUBLE) END AS target FROM s3),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS odd FROM s4),
-r AS (SELECT d.doc_id, d.size, d.u, d.text, g.*, CASE WHEN odd > 0 THEN u * (1 - odd) / (u * (1 - odd) + (1 - u) * odd) ELSE 1 END AS q FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+m AS (SELECT source, sum(size * (1000 * size // (size + 200))) / nullif(sum(size), 0)::DOUBLE AS mean FROM d GROUP BY 1),
+g AS (SELECT s4.*, mean, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS sure, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS odd FROM s4 JOIN m ON s4.source IS NOT DISTINCT FROM m.source),
+p AS (SELECT d.doc_id, d.size, d.u, d.text, g.*, CASE WHEN odd > 0 THEN least(greatest(odd + least(odd, 1 - odd) * ((1000 * d.size // (d.size + 200)) - mean) / 1000.0::DOUBLE, 0), 1) ELSE 0 END AS p FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+r AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE 1 END AS q FROM p),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, md5(coalesce(text, '')) ROWS UNBOUNDED PRECEDING) AS upto FROM r)
 SELECT doc_id, size, source_size, target, ((sure + CASE WHEN odd > 0 AND 2 * upto - size <= 2 * (target - sure * source_size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
