@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import percent
 
+# Sites of competitors, and cities for which they have a page.
+SITES = ("www.homesforstudents.com", "www.iqstudentaccommodation.com", "www.unite-students.com", "www.freshstudentliving.com", "www.studentroost.co.uk")
+CITIES = ("leeds", "manchester", "london")
 CANDIDATES = 5  # competitors of a listing
 BUCKET = 10_000  # keys that are numbered together
 LIMITED = 0.5  # configuration quality below which data counts as limited
@@ -56,6 +61,18 @@ def competitors(listings: DataFrame, key: str = "property_id", area: str = "regi
     return ours.join(r.select("area", "place", F.col("key").alias("theirs")), ["area", "place"]).select("ours", "theirs")
 
 
+def known_sites(listings: DataFrame, city: str, found: DataFrame, key: str = "property_id", most: int = CANDIDATES) -> DataFrame:
+    """(key, n, url): the ``most`` competitor addresses of each listing: those ``found`` for it (key, url), else the known sites,
+    on their page of the listing's city where they have one."""
+    w = Window.partitionBy(key).orderBy("url")
+    own = found.select(key, "url").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
+    rest = listings.join(own.select(key).distinct(), key, "left_anti")
+    low = F.lower(F.coalesce(F.col(city), F.lit("")))
+    place = reduce(lambda a, c: F.when(low.contains(c), "/" + c).otherwise(a), reversed(CITIES), F.lit(""))
+    sites = F.posexplode(F.array(*(F.concat(F.lit(f"https://{h}/student-accommodation"), place) for h in SITES[:most]))).alias("i", "url")
+    return rest.select(key, sites).select(key, (F.col("i") + 1).alias("n"), "url").unionByName(own.select(key, "n", "url"))
+
+
 def side_by_side(configurations: DataFrame, pairs: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """Full outer: every configuration name of either side of each pair, with both sides' columns."""
     c = configurations.select("property_id", name, *columns)

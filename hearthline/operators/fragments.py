@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,18 +12,71 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .links import normalize_url, same_domain
+
 FRAGMENT = "page_id long, seq int, kind string, label string, attrs map<string,string>, body string"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HEADINGS = {"h1", "h2", "h3", "h4"}
-BLOCKS = HEADINGS | {"p", "div", "ul", "ol", "dl", "table", "section", "article", "footer", "address"}
-# Classes of containers by widget, words that name a table or a list, least lengths.
-WIDGETS = {"tab": ("tab", "tabs", "tab-pane", "tab-content"), "accordion": ("accordion", "accordion-item", "collapse"), "expandable": ("expandable", "expand", "read-more"), "modal": ("modal", "dialog", "popup"), "carousel": ("carousel", "slider", "swiper")}
-TABLE_WORDS = (("pricing", ("price", "cost", "rent", "fee", "£", "$", "€")), ("features", ("feature", "amenity", "facility")), ("tenancy", ("tenancy", "contract", "lease", "term")))
-LIST_WORDS = (("features", ("feature", "amenity", "facility", "wifi")), ("rules", ("rule", "policy", "condition")), ("contact", ("phone", "email", "contact")))
-META_NAMES = ("description", "keywords", "author", "title", "robots")
-PHONES = (r"\+44\s*[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}", r"\(0\)[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}", r"0[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}")
+HEADINGS = ("h1", "h2", "h3", "h4")
+BLOCKS = {*HEADINGS, "p", "div", "ul", "ol", "dl", "table", "section", "article", "footer", "address"}
+# Words that name a table or a list; names of meta tags; what marks places, contacts and sections.
+TABLE_WORDS = (("pricing", ("price", "cost", "rent", "fee", "deposit")), ("features", ("feature", "amenity", "facility", "included")), ("tenancy", ("date", "start", "end", "duration", "term")))
+LIST_WORDS = (("features", ("feature", "amenity", "facility", "included")), ("rules", ("rule", "policy", "term", "condition")), ("contact", ("contact", "phone", "email", "address")))
+META_NAMES = ("description", "keywords", "og:description", "og:title", "og:type", "author", "robots", "viewport")
+META_PLACES = {
+    "og:latitude": "latitude", "og:longitude": "longitude", "geo.position": "position", "geo.region": "region", "geo.placename": "placename", "geo.country": "country",
+    "og:locality": "locality", "og:region": "region", "og:country-name": "country", "og:street-address": "street_address", "og:postal-code": "postal_code",
+}
+PHONES = (r"\+44\s*[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}", r"\(0\)[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}", r"0[0-9]{1,4}\s*[0-9]{1,4}\s*[0-9]{1,4}", r"07[0-9]{3}\s*[0-9]{3}\s*[0-9]{3}", r"01[0-9]{3}\s*[0-9]{3}\s*[0-9]{3}", r"02[0-9]{3}\s*[0-9]{3}\s*[0-9]{3}")
 PROPERTY_TYPES = (r"student\s+accommodation", r"residential\s+(?:accommodation|property)", r"purpose\s+built\s+student\s+residence", r"student\s+residence", r"student\s+housing", r"student\s+apartments", r"student\s+flats")
-CAP = 2000
+TYPE_SOURCES = ("meta[property=og:type]", "meta[name=property-type]", "meta[name=accommodation-type]", "[data-property-type]", "[data-accommodation-type]")
+ADDRESSES = ("address", "[itemtype*=PostalAddress]", "[itemtype*=Place]", ".address", ".location", ".property-address", ".contact-address")
+CONTACTS = (".contact", ".contact-info", ".contact-details", ".get-in-touch", ".phone", ".telephone", ".call-us", ".contact-us")
+SECTIONS = ("main", "article", "section", "div.content", "div.main", "div.description", "div.property", "div.room", "div.pricing", "div.tenancy", "div.details", "div.features", "div.amenities")
+HIDDEN = (
+    "[style*=display: none]", "[style*=display:none]", "[style*=visibility: hidden]", "[hidden]", "[aria-hidden=true]", ".hidden", ".d-none", ".invisible",
+    "[data-hidden=true]", "[data-visible=false]", ".js-hidden", ".js-hidden-content",
+)
+DATA_TEXTS = ("data-content", "data-text", "data-description", "data-info", "data-details", "data-features", "data-amenities", "data-pricing", "data-tenancy", "data-rooms", "data-configuration")
+DESCRIPTIONS = ("aria-label", "title", "alt", "data-tooltip", "data-title")
+JSON_SCRIPTS = ("script[type=application/json]", "script[type=application/ld+json]", "script[data-config]", "script[data-content]", "script[data-property]")
+# The containers of each kind of widget, and within them what names a part and what holds its text.
+WIDGETS = {
+    "tab": (
+        ("[role=tablist]", "[role=tab]", "[role=tabpanel]", ".tabs", ".tab", ".tab-content", ".tab-panel", ".tab-container", ".nav-tabs", ".nav-item", ".nav-link", ".tab-pane", ".nav", ".nav-pills", ".tabbable", ".tabbable-pane", ".tabbable-content",
+         "[data-tab]", "[data-target]", "[data-toggle=tab]", ".js-tab", ".js-tabs", ".tab-wrapper", ".tab-group", ".room-tabs", ".pricing-tabs", ".tenancy-tabs", ".amenity-tabs", ".property-tabs", ".accommodation-tabs", ".booking-tabs",
+         ".interactive", ".content-tabs", ".section-tabs", ".info-tabs"),
+        ("[role=tab]", ".tab", ".nav-link", ".nav-item", "[data-toggle=tab]", "[data-target]", "[data-tab]", ".tab-header", ".tab-title", ".tab-label", ".tab-name"),
+        ("[role=tabpanel]", ".tab-content", ".tab-panel", ".tab-pane", ".tab-body", ".tab-content-area", ".tab-inner"),
+    ),
+    "accordion": (
+        (".accordion", ".accordion-item", ".accordion-header", ".accordion-content", ".accordion-title", ".accordion-body", ".accordion-collapse", ".accordion-button", ".Accordion", ".Accordion_item", ".Accordion__header", ".Accordion__content",
+         ".Accordion__heading", ".Accordion__content__inner", ".faq-accordion", ".faq-accordion-item", ".faq-item", ".FAQ_item", ".faq-question", ".faq-answer", ".FAQ_question", ".FAQ_answer", ".room-accordion", ".pricing-accordion",
+         ".amenity-accordion", ".tenancy-accordion", ".policy-accordion", ".feature-accordion", ".expandable", ".collapsible", ".toggle", ".Toggle", ".expand-trigger", ".collapse-trigger", ".toggle-trigger"),
+        (".accordion-header", ".accordion-title", ".accordion-button", ".Accordion__header", ".Accordion__heading", ".accordion-heading", ".faq-question", ".FAQ_question", ".expand-trigger", ".toggle-trigger", "h3", "h4", "h5", "h6", ".title", ".heading", ".label"),
+        (".accordion-content", ".accordion-body", ".accordion-collapse", ".Accordion__content", ".Accordion__content__inner", ".faq-answer", ".FAQ_answer", ".expand-content", ".toggle-content", ".content", ".body", ".panel", ".section"),
+    ),
+    "expandable": (
+        (".expandable", ".collapsible", ".toggle", ".Toggle", ".expand-trigger", ".collapse-trigger", ".toggle-trigger", ".collapse", ".Collapse", ".collapsing", ".expand-section", ".collapsible-section", ".toggle-section", ".expandable-content",
+         ".collapsible-content", ".toggle-content", ".room-details", ".pricing-details", ".amenity-details", ".tenancy-details", ".policy-details", ".feature-details", ".interactive", ".clickable", "[data-toggle=collapse]", "[data-target]", "[data-expand]"),
+        (".expand-trigger", ".collapse-trigger", ".toggle-trigger", ".expand-button", ".collapse-button", ".toggle-button", "button", ".btn", ".button", "[role=button]"),
+        (),
+    ),
+    "modal": (
+        (".modal", ".Modal", ".modal-dialog", ".modal-content", ".modal-header", ".modal-body", ".modal-footer", ".popup", ".Popup", ".dialog", ".Dialog", ".overlay", ".Overlay", ".lightbox", ".Lightbox", ".room-modal", ".pricing-modal",
+         ".amenity-modal", ".tenancy-modal", ".policy-modal", ".booking-modal", ".popup-content", ".popup-body", ".popup-text", "[data-modal]", "[data-popup]", "[data-dialog]"),
+        (".modal-title", ".modal-header", ".popup-title", ".popup-header", ".dialog-title", ".dialog-header", "h1", "h2", "h3", "h4", "h5", "h6", ".title", ".heading"),
+        (),
+    ),
+    "carousel": (
+        (".carousel", ".Carousel", ".carousel-inner", ".carousel-item", ".carousel-caption", ".carousel-control", ".carousel-indicators", ".slider", ".Slider", ".slideshow", ".Slideshow", ".slide", ".Slide", ".slide-content", ".slide-text",
+         ".room-carousel", ".pricing-carousel", ".amenity-carousel", ".tenancy-carousel", ".photo-carousel", ".gallery-carousel", ".slider-content", ".carousel-content", "[data-carousel]", "[data-slider]", "[data-slideshow]"),
+        (".carousel-caption", ".slide-caption", ".slide-description", ".carousel-text", ".slide-text", ".carousel-description"),
+        (".carousel-item", ".slide", ".Slide", ".slide-content", ".carousel-slide", ".slider-item", ".slideshow-item"),
+    ),
+}
+# What data endpoints have in their address.
+API_WORDS = r"/api/|\.json|\?format=json|&_format=json|/wp-json/"
+CAP, AROUND = 2000, 500
 
 
 def _named(text: str, rules: tuple) -> str:
@@ -33,130 +87,240 @@ def _named(text: str, rules: tuple) -> str:
 _DEGREES = r"(-?[0-9]{1,3}(?:\.[0-9]+)?)"
 # How scripts give a place: named degrees, and the calls and options of map libraries.
 COORDS = [re.compile(p.replace("#", _DEGREES), re.I) for p in (
-    r"lat(?:itude)?['\"]?\s*[:=]\s*#\s*[,;]\s*['\"]?(?:lng|lon|longitude)['\"]?\s*[:=]\s*#", r"google\.maps\.LatLng\(\s*#\s*,\s*#\s*\)",
-    r"(?:center|coordinates)['\"]?\s*:\s*\[\s*#\s*,\s*#\s*\]", r"setView\(\s*\[\s*#\s*,\s*#\s*\]",
+    r"google\.maps\.LatLng\(\s*#\s*,\s*#\s*\)", r"center['\"]?\s*:\s*\{\s*lat\s*:\s*#\s*,\s*lng\s*:\s*#", r"position['\"]?\s*:\s*\{\s*lat\s*:\s*#\s*,\s*lng\s*:\s*#", r"center['\"]?\s*:\s*\[\s*#\s*,\s*#\s*\]",
+    r"coordinates['\"]?\s*:\s*\[\s*#\s*,\s*#\s*\]", r"setView\(\s*\[\s*#\s*,\s*#\s*\]", r"lat(?:itude)?\s*[:=]\s*#\s*[,;]\s*(?:lng|lon|long|longitude)\s*[:=]\s*#", r"['\"]lat(?:itude)?['\"]\s*:\s*#\s*[,;]\s*['\"](?:lng|lon|longitude)['\"]\s*:\s*#",
 )]
 
 
-class Cutter(HTMLParser):
-    """Fragments of one page in order; tolerant of tags left open."""
+class Node:
+    """An element: its place in the page, the last place below it, and texts and elements in it."""
+
+    __slots__ = ("attrs", "last", "parent", "parts", "place", "tag")
+
+    def __init__(self, tag: str, attrs: dict, place: int, parent: Node | None) -> None:
+        self.tag, self.attrs, self.place, self.last, self.parent, self.parts = tag, attrs, place, place, parent, []
+
+    def text(self) -> str:
+        out: list[str] = []
+        stack: list = [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x.tag not in ("script", "style"):
+                stack.extend(reversed(x.parts))
+        return " ".join(" ".join(out).split())
+
+
+class Page(HTMLParser):
+    """The elements of a page in order, found again by tag, class and attribute; tolerant of tags left open."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, dict, str]] = []
-        self.open: list[tuple[str, str, str, dict, list]] = []  # tag, kind, label, attributes, text parts
-        self.section: tuple[str, list] | None = None
-        self.raw: tuple[str, dict, list] | None = None
+        self.nodes: list[Node] = []
+        self.by: dict[str, list[Node]] = {}
+        self.texts: list[tuple[int, str, Node]] = []  # number of elements before, text, where
+        self.root = self.at = Node("", {}, -1, None)
+        self.feed(html)
+        self.close()
+        while self.at is not self.root:
+            self._up()
 
-    def _add(self, kind: str, label: str, attrs: dict, body: str) -> None:
-        body = " ".join(body.split())
-        if body or attrs:
-            self.found.append((kind, label, attrs, body))
+    def _up(self) -> None:
+        self.at.last = len(self.nodes) - 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag in ("script", "style"):
-            self.raw = (tag, a, [])
-            return
-        while tag in BLOCKS and self.open and self.open[-1][1] == "heading":  # left open
-            self._close(*self.open.pop())
-        data = {k: v for k, v in a.items() if k.startswith("data-")}
-        if "data-lat" in data and ("data-lng" in data or "data-lon" in data):
-            self._add("data_coords", tag, data, "")
-        elif data:
-            self._add("data_attributes", tag, data, "")
-        if a.get("itemprop") or a.get("itemtype"):
-            self._add("schema", a.get("itemprop") or a["itemtype"], {k: a[k] for k in ("itemprop", "itemtype", "content") if k in a}, "")
-        if tag == "meta":
-            name = a.get("name") or a.get("property") or ""
-            kind = "meta_loc" if name.startswith(("geo.", "og:latitude", "og:longitude", "og:locality", "og:region", "place:")) else "og" if name.startswith(("og:", "twitter:")) else "meta"
-            if "charset" in a or kind != "meta" or name in META_NAMES:
-                self._add(kind, name or "charset", a, "")
-        if tag in VOID:
-            return
-        classes = set(a.get("class", "").split())
-        kind = {"title": "title", "ul": "list", "ol": "list", "table": "table", "dl": "dl", "footer": "footer", "address": "address", "section": "section"}.get(tag)
-        if kind is None:
-            kind = next((w for w, names in WIDGETS.items() if classes & set(names)), None)
-        if kind is None and ("hidden" in a or "display:none" in a.get("style", "").replace(" ", "")):
-            kind = "hidden"
-        if tag in HEADINGS:
-            self._end_section()
-            kind = "heading"
-        if kind or tag in ("li", "td", "th", "dt", "dd", "tr"):
-            self.open.append((tag, kind or tag, a.get("id") or a.get("class", ""), a, []))
+        while tag in BLOCKS and self.at.tag in HEADINGS:  # left open
+            self._up()
+        n = Node(tag, {k: v or "" for k, v in attrs}, len(self.nodes), self.at)
+        self.nodes.append(n)
+        self.at.parts.append(n)
+        for key in (tag, *dict.fromkeys("." + c for c in n.attrs.get("class", "").split()), *(f"[{k}]" for k in n.attrs)):
+            self.by.setdefault(key, []).append(n)
+        if tag not in VOID:
+            self.at = n
 
     def handle_endtag(self, tag: str) -> None:
-        if self.raw and tag == self.raw[0]:
-            kind, a, parts = self.raw
-            text, self.raw = "".join(parts), None
-            if kind == "script" and "ld+json" in a.get("type", ""):
-                self._add("jsonld", "", {}, text)
-            elif kind == "script" and "json" in a.get("type", "") or kind == "script" and len(text) > 50 and text.lstrip()[:1] in "{[":
-                self._add("inline_json", "", {}, text[:CAP])
-            if kind == "script":
-                for lat, lng in dict.fromkeys(m.groups() for p in COORDS for m in p.finditer(text)):
-                    if abs(float(lat)) <= 90 and abs(float(lng)) <= 180:
-                        self._add("coords", "", {"lat": lat, "lng": lng}, "")
-            return
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None:
-            return
-        while len(self.open) > at:
-            self._close(*self.open.pop())
-
-    def _close(self, tag: str, kind: str, label: str, attrs: dict, parts: list) -> None:
-        text = " ".join("".join(parts).split())
-        sep = {"li": "\n", "td": " | ", "th": " | ", "tr": "\n", "dt": ": ", "dd": "\n"}.get(tag, " ")
-        if self.open:
-            self.open[-1][4].append(text + sep)
-        if kind == "heading":
-            self._add("heading", tag, {}, text)
-            self.section = (text, [])
-        elif kind == "table":
-            self._add(kind, _named(text, TABLE_WORDS), {}, text)
-        elif kind == "list":
-            self._add(kind, _named(text, LIST_WORDS), {}, text)
-        elif kind == "footer" and len(text) > 50 or kind == "section" and len(text) > 100 or kind == "hidden" and len(text) > 20 or kind in ("title", "dl", "address") or kind in WIDGETS:
-            self._add(kind, label, {}, text)
+        n = self.at
+        while n is not self.root and n.tag != tag:
+            n = n.parent
+        if n is not self.root:
+            while self.at is not n:
+                self._up()
+            self._up()
 
     def handle_data(self, data: str) -> None:
-        if self.raw:
-            self.raw[2].append(data)
+        self.at.parts.append(data)
+        self.texts.append((len(self.nodes), data, self.at))
+
+    def matching(self, selector: str) -> list[Node]:
+        """Elements by "tag", ".class", "tag.class", "[attribute]", "[attribute=value]", "[attribute*=part]", these with a tag too."""
+        tag, mark, rest = re.match(r"([a-z0-9]*)([.\[]?)(.*)", selector).groups()
+        if mark == ".":
+            found = self.by.get("." + rest, [])
+        elif mark:
+            name, how, value = re.match(r"([^=*\]]+)(\*?=?)(.*)\]$", rest).groups()
+            found = self.by.get(f"[{name}]", [])
+            if how:
+                found = [n for n in found if (value in n.attrs[name] if how == "*=" else value == n.attrs[name])]
         else:
-            if self.open:
-                self.open[-1][4].append(data)
-            if self.section and not (self.open and self.open[-1][1] in ("heading", "title", "footer")):
-                self.section[1].append(data)
-
-    def _end_section(self) -> None:
-        if self.section:
-            title, parts = self.section
-            body = " ".join(" ".join(parts).split())
-            if len(body) > 80:
-                self._add("heading_section", title, {}, body)
-        self.section = None
-
-    def done(self) -> list[tuple[str, str, dict, str]]:
-        self.close()
-        while self.open:
-            self._close(*self.open.pop())
-        self._end_section()
-        return self.found
+            return self.by.get(tag, [])
+        return [n for n in found if n.tag == tag] if tag else found
+
+    def select(self, selectors: tuple[str, ...], inside: Node | None = None) -> list[tuple[Node, str]]:
+        """Elements (below ``inside``) that match, in order of the page, each with the first selector that it matches."""
+        found: dict[int, tuple[Node, str]] = {}
+        for s in selectors:
+            nodes = self.matching(s)  # in order of the page
+            if inside is not None:
+                nodes = nodes[bisect_right(nodes, inside.place, key=_place) : bisect_right(nodes, inside.last, key=_place)]
+            for n in nodes:
+                found.setdefault(n.place, (n, s))
+        return [found[k] for k in sorted(found)]
+
+
+def _place(n: Node) -> int:
+    return n.place
+
+
+def _raw(n: Node) -> str:
+    return "".join(x for x in n.parts if isinstance(x, str)).strip()
+
+
+def _widgets(page: Page, kind: str) -> Iterator[tuple[Node, str, dict, str]]:
+    """The parts of the widgets of one kind. Containers of one id, or else class, count once.
+
+    Tabs and accordions: each name with the text at its place, or names alone and the start of the text around them;
+    carousels: each item with the caption at its place; expandables and modals: the whole text under its first name."""
+    containers, names, bodies = WIDGETS[kind]
+    seen = set()
+    for c, _ in page.select(containers):
+        key = c.attrs.get("id") or c.attrs.get("class", "")
+        if key in seen:
+            continue
+        seen.add(key)
+        heads = list(dict.fromkeys(t for n, _ in page.select(names, c) if (t := n.text())))
+        if not bodies:
+            if text := c.text():
+                yield c, heads[0] if heads else "", {"group": key}, text
+            continue
+        texts = list(dict.fromkeys(t for n, _ in page.select(bodies, c) if (t := n.text())))
+        if kind == "carousel":
+            most = len(texts) or len(heads)
+            heads, texts = (heads + [""] * most)[:most], texts or [""] * most
+        elif heads and not texts:
+            texts = [""] * len(heads)
+            if around := (c.parent.text() if c.parent else ""):
+                yield c, "around", {"group": key}, around[:AROUND]
+        for i, (head, text) in enumerate(zip(heads, texts, strict=False), 1):
+            yield c, head, {"group": key, "item": str(i)}, text
+
+
+def _plain(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
+    """(element, kind, label, attributes, body) of all fragments but widgets and heading sections."""
+    for n in page.nodes:
+        a, tag = n.attrs, n.tag
+        if tag == "title":
+            yield n, "title", "", {}, n.text()
+        elif tag in HEADINGS:
+            yield n, "heading", tag, {}, n.text()
+        elif tag == "table":
+            rows = [[c.text() for c, _ in page.select(("td", "th"), r)] for r, _ in page.select(("tr",), n)]
+            text = "\n".join(" | ".join(c for c in r if c) for r in rows if any(r))
+            yield n, "table", _named(text, TABLE_WORDS), {}, text
+        elif tag in ("ul", "ol"):
+            items = [t for i, _ in page.select(("li",), n) if (t := i.text())]
+            yield n, "list", _named(n.text(), LIST_WORDS), {}, "\n".join(items)
+        elif tag == "dl":
+            terms, told = ([x.text() for x, _ in page.select((t,), n)] for t in ("dt", "dd"))
+            yield n, "dl", "", {}, "\n".join(f"{t}: {d}" for t, d in zip(terms, told, strict=False) if t and d)
+        elif tag == "footer" and len(text := n.text()) > 50:
+            yield n, "footer", "", {}, text
+        elif tag == "meta":
+            name, content = a.get("name") or a.get("property") or "", a.get("content") or a.get("charset", "")
+            if name in META_PLACES and content:
+                yield n, "meta_loc", META_PLACES[name], {}, content
+            if (name in META_NAMES or "charset" in a) and len(content) > 5:
+                yield n, "meta", name or "charset", {}, content
+            if name.startswith(("og:", "twitter:")) and content:
+                yield n, "og", name, {}, content
+        elif tag == "script" and (text := _raw(n)):
+            kind = a.get("type", "")
+            if "ld+json" in kind:
+                yield n, "jsonld", "", {}, text
+            elif "json" in kind or len(text) > 50 and text[:1] in "{[":
+                yield n, "inline_json", "", {}, text[:CAP]
+            places = {}
+            for p in COORDS:
+                places |= dict.fromkeys([m for m in p.findall(text) if abs(float(m[0])) <= 90 and abs(float(m[1])) <= 180][:1])
+            for lat, lng in places:
+                yield n, "coords", "", {"lat": lat, "lng": lng}, ""
+        data = {k: v for k, v in a.items() if k.startswith("data-")}
+        if "data-lat" in data and "data-lng" in data:
+            yield n, "data_coords", tag, data, ""
+        elif data:
+            yield n, "data_attributes", tag, data, ""
+        if told := next((k for k in DATA_TEXTS if k in a), None):
+            yield n, "data_attr", told, {}, a[told]
+            if tag != "script" and len(text := n.text()) > 20:
+                yield n, "data_text", told, {}, text
+        if (told := next((k for k in DESCRIPTIONS if k in a), None)) and len(a[told]) > 10:
+            yield n, "aria", told, {}, a[told]
+        if "itemprop" in a or "itemtype" in a:
+            yield n, "item", a.get("itemprop") or a["itemtype"], {k: a[k] for k in ("itemprop", "itemtype", "content") if k in a}, n.text()
+        if "schema.org" in a.get("itemtype", ""):
+            properties: dict[str, str] = {}
+            for p, _ in page.select(("[itemprop]",), n):
+                if value := p.attrs.get("content") or p.text():
+                    properties.setdefault(p.attrs["itemprop"], value)
+            yield n, "schema", a["itemtype"], properties, ""
+    for kind, selectors, least in (("address", ADDRESSES, 0), ("section", SECTIONS, 100), ("hidden", HIDDEN, 20)):
+        for n, s in page.select(selectors):
+            if len(text := n.text()) > least:
+                yield n, kind, s, {}, text
+    for s in CONTACTS:
+        if first := next(((n, t) for n in page.matching(s) if (t := n.text())), None):
+            yield first[0], "contact", s, {}, first[1]
+    for s in TYPE_SOURCES:
+        for n in page.matching(s)[:1]:
+            if value := n.attrs.get("content") or n.attrs.get("data-property-type") or n.attrs.get("data-accommodation-type"):
+                yield n, "property_type", s, {}, value
+    for n, s in page.select(JSON_SCRIPTS):
+        if len(text := _raw(n)) > 50:
+            yield n, "script_json", s, {}, text[:CAP] + ("..." if len(text) > CAP else "")
+    text = page.root.text()
+    for p in PHONES:
+        if m := re.search(p, text):
+            yield page.root, "contact", "phone", {}, m[0]
+    if re.search("|".join(PROPERTY_TYPES), text.lower()):
+        yield page.root, "property_type", "text", {}, "Student Accommodation"
+
+
+def _sections(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
+    """The text after each heading up to the next one, where it has more than 80 signs."""
+    heads = page.select(HEADINGS)
+    at = 0
+    for i, (h, _) in enumerate(heads):
+        end = heads[i + 1][0].place if i + 1 < len(heads) else len(page.nodes)
+        parts = []
+        while at < len(page.texts) and page.texts[at][0] <= end:
+            _, text, n = page.texts[at]
+            at += 1
+            while n is not page.root and n.tag not in ("footer", "title", "script", "style", *HEADINGS):
+                n = n.parent
+            if n is page.root and page.texts[at - 1][0] > h.place:
+                parts.append(text)
+        body = " ".join(" ".join(parts).split())
+        if len(body) > 80:
+            yield h, "heading_section", h.text(), {}, body
 
 
 def cut(html: str | None) -> list[tuple[str, str, dict, str]]:
-    """(kind, label, attributes, body) of a page's fragments; containers of one id or class and kind once."""
-    c = Cutter()
-    c.feed(html or "")
-    out, seen = [], set()
-    for kind, label, attrs, body in c.done():
-        if kind in WIDGETS and label:
-            if (kind, label) in seen:
-                continue
-            seen.add((kind, label))
-        out.append((kind, label, attrs, body))
-    return out
+    """(kind, label, attributes, body) of a page's fragments, in order of the page."""
+    page = Page(html or "")
+    found = [*_plain(page), *_sections(page), *((n, kind, *x) for kind in WIDGETS for n, *x in _widgets(page, kind))]
+    return [(kind, label, attrs, body) for n, kind, label, attrs, body in sorted(found, key=lambda f: f[0].place) if body or attrs]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -183,12 +347,15 @@ def visible_text(html: Column) -> Column:
 
 
 def api_urls(pages: DataFrame, most: int = 5) -> DataFrame:
-    """Quoted paths of a page that look like data endpoints, each once, the first ``most``."""
+    """Addresses in a page that look like data endpoints: absolute ones, then quoted paths; on the page's host, each once, the
+    first ``most``."""
     from pyspark.sql.window import Window
 
-    found = F.regexp_extract_all("html", F.lit(r'"(/[^"\s<>]+)"'), 1)
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "target")).filter(F.lower("target").rlike(r"/api/|\.json|graphql|/data/"))
-    once = rows.groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+    absolute = F.regexp_extract_all("html", F.lit(r"(https?://[^\s\"'<>]+)"), 1)
+    paths = F.transform(F.regexp_extract_all("html", F.lit(r"[\"'](/[^\"'\s<>]+)[\"']"), 1), lambda p: F.when(p.startswith("//"), F.concat(F.lit("https:"), p)).otherwise(F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), p)))
+    rows = pages.select("page_id", "url", F.posexplode(F.concat(absolute, paths)).alias("pos", "target")).filter(F.lower("target").rlike(API_WORDS))
+    rows = rows.filter(same_domain(F.col("url"), F.col("target")))
+    once = rows.groupBy("page_id", normalize_url(F.col("target")).alias("__n")).agg(F.min_by("target", "pos").alias("target"), F.min("pos").alias("pos"))
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return once.withColumn("n", n).filter(F.col("n") <= most).select("page_id", "target", "n")
 

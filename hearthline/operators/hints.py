@@ -39,6 +39,7 @@ POLICIES = (
     (r"no\s*questions\s*asked", "no_questions_asked"),
     (r"extenuating\s*circumstances|exceptional\s*circumstances|medical\s*reason", "extenuating_circumstances"),
 )
+PLACE = r"lat(?:itude)?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,;]\s*(?:lng|lon|longitude)\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)"
 POLICY_WORDS = ("policy", "policies", "term", "rule", "cancellation", "refund")
 POLICY_KEYS = (*(k for _, k in POLICIES), "other_policies")
 
@@ -65,6 +66,37 @@ def coordinates(df: DataFrame, site: str) -> DataFrame:
     return ok.groupBy(site).agg(F.min_by(F.struct("lat", "lng"), F.struct("source_rank", "page_id", "seq")).alias("p")).select(site, "p.*")
 
 
+def linked_data(fragments: DataFrame) -> DataFrame:
+    """page_id, seq and doc (a variant) of the JSON-LD fragments that parse; lists give each of their items."""
+    d = fragments.filter("kind = 'jsonld'").select("page_id", "seq", F.try_parse_json("body").alias("v")).filter("v IS NOT NULL")
+    many = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    return d.select("page_id", "seq", F.explode(many).alias("doc"))
+
+
+def linked_names(data: DataFrame) -> DataFrame:
+    """page_id, seq and name of what has a name."""
+    text = lambda path: F.nullif(strip(F.try_variant_get("doc", path, "string")), F.lit(""))
+    return data.select("page_id", "seq", F.coalesce(text("$.name"), text("$['@name']")).alias("name")).filter("name IS NOT NULL")
+
+
+def places(fragments: DataFrame, data: DataFrame, texts: DataFrame) -> DataFrame:
+    """page_id, seq, source_rank, lat, lng: from map scripts and data attributes, then JSON-LD, then ``texts`` (page_id, text)."""
+    of = lambda *keys: F.coalesce(*(F.col("attrs")[k] for k in keys))
+    marks = fragments.filter(F.col("kind").isin("coords", "data_coords")).select("page_id", "seq", F.lit(0).alias("source_rank"), of("lat", "data-lat").alias("lat"), of("lng", "data-lng").alias("lng"))
+    geo = lambda k: F.try_variant_get("doc", f"$.geo.{k}", "string").alias({"latitude": "lat", "longitude": "lng"}[k])
+    linked = data.select("page_id", "seq", F.lit(1).alias("source_rank"), geo("latitude"), geo("longitude"))
+    part = lambda i: F.nullif(F.regexp_extract(F.lower("text"), PLACE, i), F.lit(""))
+    free = texts.select("page_id", F.lit(0).alias("seq"), F.lit(2).alias("source_rank"), part(1).alias("lat"), part(2).alias("lng"))
+    return marks.unionByName(linked).unionByName(free).filter("lat IS NOT NULL AND lng IS NOT NULL")
+
+
+def amenities(data: DataFrame) -> DataFrame:
+    """page_id, seq, i and name of the amenity features in JSON-LD, objects with a name or plain texts."""
+    items = F.posexplode(F.try_variant_get("doc", "$.amenityFeature", "array<variant>")).alias("i", "f")
+    name = F.coalesce(F.try_variant_get("f", "$.name", "string"), F.when(F.schema_of_variant("f") == "STRING", F.try_variant_get("f", "$", "string")))
+    return data.select("page_id", "seq", items).select("page_id", "seq", "i", strip(name).alias("name")).filter("name <> ''")
+
+
 def definitions(df: DataFrame, site: str, order: str, text: str) -> DataFrame:
     """key and value of lines "key: value": in a page the last line of a key, among pages the first page."""
     lines = df.select(site, order, F.posexplode(F.split(text, "\n")).alias("line", "l")).filter(F.col("l").contains(":"))

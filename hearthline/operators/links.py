@@ -20,6 +20,7 @@ TENANCY_WORDS = {
     r"per\s*week": 8, r"per\s*month": 7, "pw": 8, "pm": 7, "start": 7, "end": 7, "date": 6, "move": 6, "arrival": 6, "departure": 6, "semester": 8, r"academic\s*year": 8, "term": 7, "session": 6, "guarantor": 8, "guarantee": 7,
     "reference": 6, "requirement": 6, "cancellation": 7, "refund": 7, "modification": 6, "transfer": 6, "offer": 6, "deal": 6, "promotion": 6, "discount": 6, "incentive": 6,
 }
+WEIGHTS = {**CONFIGURATION_WORDS, **TENANCY_WORDS}
 # Pairs of word groups that together on a path add a bonus.
 PAIRED_WORDS = (
     (("room", "studio", "apartment", "ensuite"), ("detail", "info", "spec", "configuration"), 8),
@@ -43,7 +44,8 @@ HOST_NAMES = {
     "chapter-living.com": "Chapter Living", "downtownstudentliving.com": "Downtown Student Living", "amberstudent.com": "Amber Student", "studentuniverse.com": "Student Universe", "accommodationforstudents.com": "Accommodation for Students",
 }
 
-ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+# a link: its address in double, single or no quotes, and what stands in it
+ANCHOR = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 
 
 def normalize_url(c: Column) -> Column:
@@ -82,10 +84,18 @@ def join_url(base: Column, href: Column) -> Column:
     )
 
 
+def unescaped(c: Column) -> Column:
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return c
+
+
 def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, href, anchor and target of every link, in order of the page."""
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("anchor"))
-    rows = pages.select("page_id", "url", F.posexplode(both).alias("pos", "a")).select("page_id", "url", "pos", "a.href", F.trim("a.anchor").alias("anchor"))
+    """page_id, url, pos, href, anchor and target of every link, in order of the page; tags within a link are left out."""
+    group = lambda i: F.regexp_extract("m", ANCHOR, i)
+    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "m"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(group(4), "<[^>]*>", " "), r"\s+", " "))
+    rows = rows.select("page_id", "url", "pos", unescaped(F.concat(group(1), group(2), group(3))).alias("href"), unescaped(text).alias("anchor"))
     return rows.withColumn("target", join_url(F.col("url"), F.col("href")))
 
 
@@ -93,14 +103,21 @@ def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
     return F.lower(c).rlike("|".join(patterns))
 
 
+def _weight(text: Column, words: dict[str, int], halves: bool) -> Column:
+    """Weights of the words in a text, each once: single words by its list of words, the others by pattern."""
+    n = {w: v // 2 if halves else v for w, v in words.items()}
+    single = {w: v for w, v in n.items() if w.isalpha()}
+    known = F.create_map(*(F.lit(x) for p in single.items() for x in p))
+    told = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    total = F.aggregate(told, F.lit(0), lambda s, w: s + F.coalesce(F.try_element_at(known, w), F.lit(0)))
+    return reduce(lambda x, y: x + y, (F.when(text.rlike(rf"\b{w}\b"), v).otherwise(0) for w, v in n.items() if w not in single), total)
+
+
 def score(url: Column, anchor: Column, patterns: tuple[str, ...]) -> Column:
     """One expression: word weights, pattern hits, depth and paired words."""
     p, a = F.lower(path(url)), F.lower(F.coalesce(anchor, F.lit("")))
     hit = lambda cond, n: F.when(cond, n).otherwise(0)
-    parts = []
-    for words in (CONFIGURATION_WORDS, TENANCY_WORDS):
-        for w, n in words.items():
-            parts += [hit(p.rlike(rf"\b{w}\b"), n), hit(a.rlike(rf"\b{w}\b"), n // 2)]
+    parts = [_weight(p, WEIGHTS, False), _weight(a, WEIGHTS, True)]
     for w in patterns:
         parts += [hit(F.lower(url).rlike(w), 4), hit(a.rlike(w), 3)]
     depth = F.size(F.filter(F.split(p, "/"), lambda s: s != ""))
@@ -117,7 +134,8 @@ def best_links(links: DataFrame, k: int) -> DataFrame:
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
-    """url and level of what is reached from ``seeds`` (url) over ``edges`` (src, dst) in ``depth`` steps, each once.
+    """url and level of what is reached from ``seeds`` (url) over ``edges`` (src, dst) in ``depth`` steps, each once. Links a page
+    at most are set before, by ``best_links``.
 
     One join a level, its result cut with checkpoint(); ``most``: pages at most, by level, then address."""
     seen = seeds.select("url").distinct().withColumn("level", F.lit(0))

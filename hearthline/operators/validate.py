@@ -118,3 +118,66 @@ def meets_goal(df: DataFrame, node: Column, completeness: Column) -> DataFrame:
     """With the goal of the node and whether its completeness (percent) reaches it."""
     goal = F.element_at(F.create_map(*(F.lit(x) for p in COMPLETENESS_GOALS.items() for x in p)), node)
     return df.withColumn("goal", goal).withColumn("met", completeness >= goal)
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    return reduce(lambda a, k: a | _kind(v).startswith(k), kinds, F.lit(False))
+
+
+def _at(v: Column, path: str) -> Column:
+    """What stands at a path of a document, JSON nulls too; null where the path is missing."""
+    return F.try_variant_get(v, path, "variant")
+
+
+def _items(df: DataFrame, keys: list[str], list_: Column, where: Column) -> DataFrame:
+    """Rows (keys, at, v): the items of a list with their place, after ``where``."""
+    items = F.when(_is(list_, "ARRAY"), F.try_variant_get(list_, "$", "array<variant>"))
+    return df.select(*keys, where.alias("__where"), F.posexplode(items).alias("__i", "v")).select(*keys, F.concat("__where", F.col("__i").cast("string")).alias("at"), "v")
+
+
+# The messages of the checks below.
+def node2(df: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """A JSON text with a description: its email, if filled, and its questions."""
+    d = df.select(*keys, F.try_parse_json(document).alias("doc"))
+    told, email, faqs = _at(F.col("doc"), "$.description"), _at(F.col("doc"), "$.description.email"), _at(F.col("doc"), "$.description.faqs")
+    text = F.try_variant_get(F.col("doc"), "$.description.email", "string")
+    missing = F.when(told.isNull(), "Missing 'description' section").when(~_is(told, "OBJECT"), "Description must be a dictionary")
+    mail = F.when(_is(told, "OBJECT") & _is(email, "STRING") & (text != "") & ~is_email(text), "Invalid email format")
+    filled = faqs.isNotNull() & ~_is(faqs, "VOID") & ~F.coalesce(F.to_json(faqs).isin('""', "[]", "{}", "0", "false"), F.lit(False))
+    whole = _errors(d, keys, "description", [missing, mail, F.when(_is(told, "OBJECT") & filled & ~_is(faqs, "ARRAY"), F.lit("FAQs must be a list"))])
+    item = _items(d, keys, faqs, F.lit("FAQ "))
+    both = _at(F.col("v"), "$.question").isNotNull() & _at(F.col("v"), "$.answer").isNotNull()
+    shape = F.when(~_is(F.col("v"), "OBJECT"), F.concat("at", F.lit(" must be a dictionary"))).when(~both, F.concat("at", F.lit(" must have 'question' and 'answer' fields")))
+    return whole.unionByName(_errors(item, keys, "description", [shape]))
+
+
+def node3(df: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """A JSON text with configurations, each with its three required sections."""
+    d = df.select(*keys, F.try_parse_json(document).alias("doc"))
+    told = _at(F.col("doc"), "$.configurations")
+    whole = _errors(d, keys, "configurations", [F.when(told.isNull(), "Missing 'configurations' section").when(~_is(told, "ARRAY"), "Configurations must be a list")])
+    item = _items(d, keys, told, F.lit("Configuration "))
+    shape = F.when(~_is(F.col("v"), "OBJECT"), F.concat("at", F.lit(" must be a dictionary")))
+    lacks = [F.when(_is(F.col("v"), "OBJECT") & _at(F.col("v"), f"$['{x}']").isNull(), F.concat("at", F.lit(f" missing '{x}' section"))) for x in ("Basic", "Source Details", "Pricing")]
+    return whole.unionByName(_errors(item, keys, "configurations", [shape, *lacks]))
+
+
+def node4(df: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """A JSON text with what holds for the property, and the types of the tenancy options of each configuration."""
+    d = df.select(*keys, F.try_parse_json(document).alias("doc"))
+    level, told = _at(F.col("doc"), "$.property_level"), _at(F.col("doc"), "$.configurations")
+    whole = [F.when(level.isNotNull() & ~_is(level, "OBJECT"), "Property level data must be a dictionary"), F.when(told.isNotNull() & ~_is(told, "ARRAY"), "Configurations must be a list")]
+    item = _items(d, keys, told, F.lit("Configuration "))
+    options = _at(F.col("v"), "$.tenancy_options")
+    shape = F.when(~_is(F.col("v"), "OBJECT"), F.concat("at", F.lit(" must be a dictionary"))).when(options.isNotNull() & ~_is(options, "ARRAY"), F.concat("at", F.lit(" tenancy_options must be a list")))
+    option = _items(item, keys, options, F.concat("at", F.lit(" tenancy_options["))).withColumn("at", F.concat("at", F.lit("]")))
+    weeks = _at(F.col("v"), "$.tenancy_length_weeks")
+    found = [F.when(~_is(F.col("v"), "OBJECT"), F.concat("at", F.lit(" must be a dictionary"))), F.when(weeks.isNotNull() & ~_is(weeks, "BIGINT", "BOOLEAN"), F.concat("at", F.lit(".tenancy_length_weeks must be int")))]
+    for x in ("price_per_week", "price_total"):
+        price = _at(F.col("v"), f"$.{x}")
+        found.append(F.when(price.isNotNull() & ~_is(price, "BIGINT", "BOOLEAN", "DECIMAL", "DOUBLE", "FLOAT"), F.concat("at", F.lit(f".{x} must be number"))))
+    return _errors(d, keys, "tenancy", whole).unionByName(_errors(item, keys, "tenancy", [shape])).unionByName(_errors(option, keys, "tenancy", found))

@@ -157,6 +157,21 @@ def k12(t: Tables) -> DataFrame:
     return pairs(t)
 
 
+@query("k12_known_sites", """
+, c AS (SELECT property_id, CASE property_id % 4 WHEN 0 THEN 'Leeds West' WHEN 1 THEN 'LONDON' ELSE city END AS city FROM listing),
+f AS (SELECT s_suppkey AS property_id, 'https://competitor.example/' || (s_suppkey + i) AS url FROM supplier, range(0, 7) r(i) WHERE s_suppkey % 5 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY url)::INT AS n FROM f)
+SELECT property_id, n, url FROM o WHERE n <= 5 UNION ALL
+SELECT property_id, unnest(range(1, 6))::INT, 'https://' || unnest(['www.homesforstudents.com', 'www.iqstudentaccommodation.com', 'www.unite-students.com', 'www.freshstudentliving.com', 'www.studentroost.co.uk']) || '/student-accommodation'
+  || CASE WHEN lower(city) LIKE '%leeds%' THEN '/leeds' WHEN lower(city) LIKE '%manchester%' THEN '/manchester' WHEN lower(city) LIKE '%london%' THEN '/london' ELSE '' END FROM c WHERE property_id % 5 <> 0""")
+def k12_sites(t: Tables) -> DataFrame:
+    """Addresses found on the pages of every fifth listing, by rule, and known sites of the others."""
+    k = F.col("property_id")
+    d = t.listing.select("property_id", F.when(k % 4 == 0, "Leeds West").when(k % 4 == 1, "LONDON").otherwise(F.col("city")).alias("city"))
+    found = t.listing.filter("property_id % 5 = 0").select("property_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat(F.lit("https://competitor.example/"), (k + i).cast("string")))).alias("url"))
+    return K.known_sites(d, "city", found)
+
+
 @query("k13_similarity", PAIRS + OVERLAP + TENANCY_SETS + """
 , r AS (SELECT ours, theirs, avg((b.config_name IS NOT NULL)::INT) AS rate FROM firsts JOIN configuration a ON a.property_id = ours LEFT JOIN configuration b ON b.property_id = theirs AND a.config_name = b.config_name GROUP BY ALL),
 x AS (SELECT ours, theirs, avg(ratio) AS ratio FROM matched GROUP BY ALL)
@@ -177,13 +192,20 @@ def k14(t: Tables) -> DataFrame:
     return t.job.groupBy("customer").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("status") != "pending").alias("analysed"), ok.alias("ok"), F.format_string("%.1f%%", F.floor(ok * 1000.0 / F.count(F.lit(1)) + 0.5) / 10).alias("success_rate"))
 
 
+DESCRIBED = {
+    "about": ("property_id % 2 = 0", "name"), "email": ("property_id % 3 = 0", "city"), "payments.booking_deposit": ("property_id % 5 > 0", "region"), "payments.mode_of_payment": ("property_id % 7 = 0", "name"),
+    "cancellation_policy.cooling_off_period": ("property_id % 4 = 1", "city"), "cancellation_policy.no_visa_no_pay": ("property_id % 4 = 2", "region"), "faqs": ("property_id % 6 > 2", "name"), "commute_pois": ("property_id % 3 = 1", "city"),
+}
+
+
 @query("k15_fields_side_by_side", PAIRS + """
-, u AS (SELECT property_id, unnest(['city', 'name', 'note']) AS field, unnest([city, name, CASE WHEN property_id % 2 = 0 THEN region END]) AS value FROM listing), v AS (SELECT * FROM u WHERE value IS NOT NULL),
+, v AS (""" + " UNION ALL ".join(f"SELECT property_id, '{f}' AS field, {c} AS value FROM listing WHERE {w}" for f, (w, c) in DESCRIBED.items()) + """),
 a AS (SELECT ours, theirs, field, value FROM firsts JOIN v ON property_id = ours), b AS (SELECT ours, theirs, field, value FROM firsts JOIN v ON property_id = theirs)
 SELECT ours, theirs, field, a.value AS our_value, b.value AS their_value FROM a FULL OUTER JOIN b USING (ours, theirs, field)""")
 def k15(t: Tables) -> DataFrame:
-    d = t.listing.withColumn("note", F.when(F.col("property_id") % 2 == 0, F.col("region")))
-    u = K.unpivot_fields(d, ["property_id"], ["city", "name", "note"], "value").filter("value IS NOT NULL")
+    """Description, payments, policies, questions and places nearby of both sides, filled by rule."""
+    d = t.listing.select("property_id", *(F.when(F.expr(w), F.col(c)).alias(f) for f, (w, c) in DESCRIBED.items()))
+    u = d.unpivot(["property_id"], [f"`{f}`" for f in DESCRIBED], "field", "value").filter("value IS NOT NULL")
     return K.side_by_side(u, pairs(t), "field", ["value"]).select("ours", "theirs", "field", "our_value", "their_value")
 
 

@@ -14,10 +14,13 @@ from .tables import Tables
 
 NORM = "lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''))"
 HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
-PATTERN = "<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>"
+PATTERN = L.ANCHOR.replace("'", "''")
+UNESCAPED = "replace(replace(replace(replace(replace(@@, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
 ANCHORS = f"""
-, a0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{PATTERN}', 1)) AS href, unnest(regexp_extract_all(html, '{PATTERN}', 2)) AS anchor, unnest(range(len(regexp_extract_all(html, '{PATTERN}')))) AS pos FROM pages),
-anchors AS (SELECT page_id, url, pos, href, trim(anchor) AS anchor, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE href END AS target FROM a0)
+, m0 AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{PATTERN}', 0)) AS m, unnest(range(len(regexp_extract_all(html, '{PATTERN}', 0)))) AS pos FROM pages),
+a0 AS (SELECT page_id, url, pos, {UNESCAPED.replace('@@', f"regexp_extract(m, '{PATTERN}', 1) || regexp_extract(m, '{PATTERN}', 2) || regexp_extract(m, '{PATTERN}', 3)")} AS href,
+  {UNESCAPED.replace('@@', f"trim(regexp_replace(regexp_replace(regexp_extract(m, '{PATTERN}', 4), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")} AS anchor FROM m0),
+anchors AS (SELECT page_id, url, pos, href, anchor, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE href END AS target FROM a0)
 """
 
 
@@ -84,16 +87,20 @@ def l7(t: Tables) -> DataFrame:
     return L.best_links(scored(t), 4).select("page_id", "target", "rank")
 
 
-@query("l8_frontier", f"""
-, pg AS (SELECT page_id, {NORM} AS u, {HOST} AS h FROM pages), e AS (SELECT DISTINCT a.u AS src, b.u AS dst FROM pg a JOIN pg b ON b.page_id IN (a.page_id + 1, a.page_id * 2)),
+@query("l8_frontier", SCORED + f"""
+, o AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(score, pos) AS score FROM scored GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM o),
+pg AS (SELECT page_id, {NORM} AS u FROM pages),
+e AS (SELECT a.u AS src, b.u AS dst FROM pg a JOIN pg b ON b.page_id IN (a.page_id + 1, a.page_id * 2) UNION SELECT {NORM}, {NORM.replace('url', 'target')} FROM k WHERE rank <= 3),
 s0 AS (SELECT DISTINCT u FROM pg WHERE page_id % 25 = 0), s1 AS (SELECT DISTINCT dst AS u FROM e JOIN s0 ON src = s0.u WHERE dst NOT IN (SELECT u FROM s0)),
 s2 AS (SELECT DISTINCT dst AS u FROM e JOIN s1 ON src = s1.u WHERE dst NOT IN (SELECT u FROM s0) AND dst NOT IN (SELECT u FROM s1))
 SELECT u AS url, 0 AS level FROM s0 UNION ALL SELECT u, 1 FROM s1 UNION ALL SELECT u, 2 FROM s2""")
 def l8(t: Tables) -> DataFrame:
-    """Two steps from every 25th page, where page n leads to pages n + 1 and 2n (stored pages hold no links to each other)."""
+    """Two steps from every 25th page over the three best links of each page, and from page n to pages n + 1 and 2n (stored pages
+    hold no links to each other)."""
     p = t.read("pages").select("page_id", L.normalize_url(F.col("url")).alias("u"))
     to = p.select(F.col("u").alias("src"), F.explode(F.array(F.col("page_id") + 1, F.col("page_id") * 2)).alias("page_id"))
-    edges = to.join(p.withColumnRenamed("u", "dst"), "page_id").select("src", "dst").distinct()
+    links = L.best_links(scored(t), 3).join(p, "page_id").select(F.col("u").alias("src"), L.normalize_url(F.col("target")).alias("dst"))
+    edges = to.join(p.withColumnRenamed("u", "dst"), "page_id").select("src", "dst").unionByName(links).distinct()
     return L.frontier(edges, p.filter("page_id % 25 = 0").select(F.col("u").alias("url")), 2)
 
 
@@ -136,19 +143,61 @@ def x23(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", X.visible_text(F.col("html")).alias("text"))
 
 
-@query("x26_api_urls", """
-, f AS (SELECT page_id, unnest(regexp_extract_all(html, '"(/[^"\\s<>]+)"', 1)) AS target, unnest(range(len(regexp_extract_all(html, '"(/[^"\\s<>]+)"')))) AS pos FROM pages),
-o AS (SELECT page_id, target, min(pos) AS pos FROM f WHERE regexp_matches(lower(target), '/api/|\\.json|graphql|/data/') GROUP BY ALL)
+# the text of a piece of a page: no tags, entities as signs, white space as one space
+def plain(c: str) -> str:
+    for entity, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def inner(begin: str, end: str) -> str:
+    return plain(f"regexp_replace(regexp_extract(html, '{begin}(.*?){end}', 1, 's'), '<[^>]*>', ' ', 'g')")
+
+
+FRAGMENTS = f"""
+, words AS (SELECT page_id, {plain("string_agg(anchor, ' ' ORDER BY pos)")} AS items FROM anchors GROUP BY 1),
+pieces AS (SELECT page_id, {inner('<title>', '</title>')} AS title, {inner('<h1>', '</h1>')} AS h1, {inner('</h1>', '<footer>')} AS body, {inner('<article>', '</article>')} AS article, {inner('<footer>', '</footer>')} AS footer FROM pages),
+fragments AS (SELECT page_id, 'title' AS kind, '' AS label, title AS body FROM pieces UNION ALL SELECT page_id, 'heading', 'h1', h1 FROM pieces
+UNION ALL SELECT page_id, 'heading_section', h1, body FROM pieces WHERE length(body) > 80 UNION ALL SELECT page_id, 'section', 'article', article FROM pieces WHERE length(article) > 100
+UNION ALL SELECT page_id, 'footer', '', footer FROM pieces WHERE length(footer) > 50
+UNION ALL SELECT page_id, 'list', CASE WHEN regexp_matches(lower(items), 'feature|amenity|facility|included') THEN 'features' WHEN regexp_matches(lower(items), 'rule|policy|term|condition') THEN 'rules'
+  WHEN regexp_matches(lower(items), 'contact|phone|email|address') THEN 'contact' ELSE 'general' END, items FROM words)
+"""
+
+
+def fragments(t: Tables, *kinds: str) -> DataFrame:
+    """Fragments of the given kinds, their bodies on one line."""
+    return X.extract(t.read("pages")).filter(F.col("kind").isin(*kinds)).withColumn("body", F.regexp_replace("body", r"\s+", " "))
+
+
+@query("x26_api_urls", rf"""
+, d AS (SELECT page_id, url, html || '<script>get("/api/rooms/' || page_id || '"); get(''/API/rooms/' || page_id || '?x=1''); get("/wp-json/a?b"); get("/plain"); get("https://' || {HOST} || '/data.json"); get("https://other.example/api/x")</script>' AS html FROM pages),
+l AS (SELECT page_id, url, list_concat(regexp_extract_all(html, '(https?://[^\s"''<>]+)', 1), list_transform(regexp_extract_all(html, '["''](/[^"''\s<>]+)["'']', 1), lambda p: CASE WHEN p LIKE '//%' THEN 'https:' || p ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || p END)) AS l FROM d),
+n AS (SELECT page_id, url, unnest(l) AS target, unnest(range(len(l))) AS pos FROM l),
+o AS (SELECT page_id, arg_min(target, pos) AS target, min(pos) AS pos FROM n WHERE regexp_matches(lower(target), '{X.API_WORDS}') AND regexp_extract(target, '^[A-Za-z]+://([^/?#]*)', 1) = {HOST}
+  GROUP BY page_id, {NORM.replace('url', 'target')})
 SELECT page_id, target, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS n FROM o) WHERE n <= 5""")
 def x26(t: Tables) -> DataFrame:
-    return X.api_urls(t.read("pages"))
+    """Endpoints in pages that got calls of some by rule, as the given ones have none."""
+    calls = F.format_string("<script>get(\"/api/rooms/%d\"); get('/API/rooms/%d?x=1'); get(\"/wp-json/a?b\"); get(\"/plain\"); get(\"https://%s/data.json\"); get(\"https://other.example/api/x\")</script>", "page_id", "page_id", L.host(F.col("url")))
+    return X.api_urls(t.read("pages").withColumn("html", F.concat("html", calls)))
 
 
-@query("x_fragment_kinds", """
-SELECT 'title' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'heading', count(*) FROM pages UNION ALL SELECT 'meta', count(*) FROM pages UNION ALL SELECT 'list', count(*) FROM pages WHERE html LIKE '%<ul><li>%'""")
+@query("x_fragment_bodies", ANCHORS + FRAGMENTS + "SELECT * FROM fragments")
+def x_bodies(t: Tables) -> DataFrame:
+    return fragments(t, "title", "heading", "heading_section", "section", "footer", "list").select("page_id", "kind", "label", "body")
+
+
+@query("x_fragment_kinds", ANCHORS + FRAGMENTS + "SELECT kind, count(*) AS n FROM fragments GROUP BY 1")
 def x_kinds(t: Tables) -> DataFrame:
-    f = X.extract(t.read("pages")).filter(F.col("kind").isin("title", "heading", "meta", "list"))
-    return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return fragments(t, "title", "heading", "heading_section", "section", "footer", "list").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x14_container_dedup", ANCHORS + "SELECT page_id, count(DISTINCT lower(anchor)) AS n FROM anchors GROUP BY 1")
+def x14(t: Tables) -> DataFrame:
+    """What has one key once, in order: here a page's anchors by their lower-case text; containers of widgets are in x9_x14_widgets."""
+    a = L.anchors(t.read("pages")).withColumn("n", F.row_number().over(Window.partitionBy("page_id", F.lower("anchor")).orderBy("pos"))).filter("n = 1")
+    return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x_fragments")
@@ -157,17 +206,26 @@ def x_all(t: Tables) -> DataFrame:
     return X.extract(t.read("pages")).select("page_id", "seq", "kind", "label", "body")
 
 
-@query("x18_nav_lists", ANCHORS + "SELECT page_id, string_agg(anchor, ' ' ORDER BY pos) AS items FROM anchors GROUP BY 1")
+@query("x18_nav_lists", ANCHORS + FRAGMENTS + "SELECT page_id, label, body AS items FROM fragments WHERE kind = 'list'")
 def x18(t: Tables) -> DataFrame:
-    f = X.extract(t.read("pages")).filter("kind = 'list'")
-    return f.select("page_id", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("items"))
+    return fragments(t, "list").select("page_id", "label", F.col("body").alias("items"))
 
 
-@query("x14_container_dedup", ANCHORS + "SELECT page_id, count(DISTINCT lower(anchor)) AS n FROM anchors GROUP BY 1")
-def x14(t: Tables) -> DataFrame:
-    """Containers of one key once, in order: here a page's anchors by their lower-case text."""
-    a = L.anchors(t.read("pages")).withColumn("n", F.row_number().over(Window.partitionBy("page_id", F.lower("anchor")).orderBy("pos"))).filter("n = 1")
-    return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+WIDGETS = (
+    '<div class="accordion" id="faq"><h3>Deposit</h3><div class="content">Pay %d</div><h3>Pets</h3><div class="content">None</div></div><div class="accordion" id="faq"><h3>Again</h3><div class="content">Again</div></div>'
+    '<div class="room-tabs"><a class="tab-title">Studio</a><div class="tab-body">From %d</div></div><div class="info-tabs"><a class="tab-name">Alone</a></div><div class="popup"><h2>Offer</h2>Only %d</div>'
+    '<div class="expand-section"><button>More</button>Text %d</div><div class="gallery-carousel"><div class="slider-item">View %d</div><div class="slider-item">Roof</div><div class="slide-caption">Garden</div></div>'
+)
+
+
+@query("x9_x14_widgets", """
+SELECT page_id, unnest(['accordion', 'accordion', 'tab', 'tab', 'modal', 'expandable', 'carousel', 'carousel']) AS kind, unnest(['Deposit', 'Pets', 'Studio', 'Alone', 'Offer', 'More', 'Garden', '']) AS label, unnest([1, 2, 1, 1, NULL, NULL, 1, 2]) AS item,
+  unnest(['Pay ' || page_id, 'None', 'From ' || page_id, '', 'Offer Only ' || page_id, 'More Text ' || page_id, 'View ' || page_id, 'Roof']) AS body FROM pages""")
+def x9(t: Tables) -> DataFrame:
+    """Widgets of pages that got some by rule, as the given ones have none: containers of one id or class count once."""
+    d = t.read("pages").withColumn("html", F.concat("html", F.format_string(WIDGETS, *["page_id"] * 5)))
+    f = X.extract(d).filter(F.col("kind").isin(*X.WIDGETS) & (F.col("label") != "around"))
+    return f.select("page_id", "kind", "label", F.try_element_at("attrs", F.lit("item")).cast("int").alias("item"), "body")
 
 
 @query("x6_x7_type_and_phone", r"""

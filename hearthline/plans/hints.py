@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fragments as X
 from ..operators import hints as H
 from ..operators import links as L
-from .crawling import HOST, TEXT
+from .crawling import ANCHORS, FRAGMENTS, HOST, fragments
 from .registry import query
 from .tables import Tables
 
@@ -38,6 +38,49 @@ def h2(t: Tables) -> DataFrame:
     return H.coordinates(p, "site").withColumn("lng", F.col("lng").cast("double"))
 
 
+# pages with data by rule, as the given ones have none: JSON-LD on two of three, a map script on every other, a place in the text of all
+SITE = f", h AS (SELECT page_id, {HOST} AS site FROM pages)"
+
+
+def with_data(t: Tables) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    linked = F.concat(F.lit('<script type="application/ld+json">{"name": "Hall '), k, F.lit('", "geo": {"latitude": 1.5, "longitude": '), k, F.lit('}, "amenityFeature": [{"name": "Wifi '), k, F.lit('"}, "Gym"]}</script>'))
+    script = F.concat(F.lit("<script>m.setView([2.5, "), (F.col("page_id") % 180).cast("string"), F.lit("]);</script>"))
+    more = F.concat(F.when(F.col("page_id") % 3 > 0, linked).otherwise(""), F.when(F.col("page_id") % 2 == 0, script).otherwise(""), F.lit("<p>Latitude: 3.5, longitude: 7</p>"))
+    return t.read("pages").withColumn("html", F.concat("html", more)).withColumn("site", L.host(F.col("url")))
+
+
+@query("h1_linked_names", SITE + " SELECT site, arg_max('Hall ' || page_id, (length('Hall ' || page_id), -page_id)) AS name FROM h WHERE page_id % 3 > 0 GROUP BY 1")
+def h1_linked(t: Tables) -> DataFrame:
+    d = with_data(t)
+    return H.longest(H.linked_names(H.linked_data(X.extract(d))).join(d.select("page_id", "site"), "page_id"), "site", "name", "page_id")
+
+
+@query("h2_places", SITE + """
+, p AS (SELECT site, page_id, 0 AS r, '2.5' AS lat, (page_id % 180)::VARCHAR AS lng, 1 AS seq FROM h WHERE page_id % 2 = 0 UNION ALL SELECT site, page_id, 0, '1.5', page_id::VARCHAR, 0 FROM h WHERE page_id % 3 > 0 AND page_id <= 180
+  UNION ALL SELECT site, page_id, 2, '3.5', '7', 0 FROM h)
+SELECT site, arg_min(lat, (r, page_id, seq)) AS lat, arg_min(lng, (r, page_id, seq)) AS lng FROM p GROUP BY 1""")
+def h2_places(t: Tables) -> DataFrame:
+    """Scripts go first (JSON-LD that names degrees is one of them), then the texts."""
+    d = with_data(t)
+    f = X.extract(d)
+    found = H.places(f, H.linked_data(f), d.select("page_id", X.visible_text(F.col("html")).alias("text")))
+    return H.coordinates(found.join(d.select("page_id", "site"), "page_id"), "site")
+
+
+@query("h9_linked_amenities", SITE + """
+, a AS (SELECT site, 'Wifi ' || page_id AS name, page_id, 0 AS i FROM h WHERE page_id % 3 > 0 UNION ALL SELECT site, 'Gym', page_id, 1 FROM h WHERE page_id % 3 > 0),
+o AS (SELECT site, name, min((page_id, i)) AS place FROM a GROUP BY ALL)
+SELECT site, name, n FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY place)::INT AS n FROM o) WHERE n <= 50""")
+def h9_linked(t: Tables) -> DataFrame:
+    """The first fifty amenities of a site's pages, each once."""
+    from pyspark.sql.window import Window
+
+    d = with_data(t)
+    once = H.amenities(H.linked_data(X.extract(d))).join(d.select("page_id", "site"), "page_id").groupBy("site", "name").agg(F.min(F.struct("page_id", "seq", "i")).alias("at"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("at"))).filter("n <= 50").select("site", "name", "n")
+
+
 @query("h3_address", WORDED + f"""
 SELECT source, arg_min(pc, doc_id) FILTER (pc <> '') AS postcode, arg_min(city, doc_id) FILTER (city <> '') AS city, arg_min(street, doc_id) FILTER (street <> '') AS street FROM
  (SELECT *, regexp_extract(text, '{H.POSTCODE}', 1) AS pc, regexp_extract(text, '{H.CITY}', 1) AS city, regexp_extract(text, '{H.STREET}', 1) AS street FROM w) GROUP BY 1""")
@@ -53,10 +96,13 @@ def h4(t: Tables) -> DataFrame:
     return H.first_by(t.read("documents"), "source", "doc_id", {"email": H.found(F.col("text"), H.EMAIL), "phone": X.first_phone(F.col("text"))})
 
 
-@query("h5_lists_by_label", f", h AS (SELECT page_id, {HOST} AS site FROM pages) SELECT site, 'general' AS label, count(*) AS n FROM h GROUP BY 1")
+@query("h5_lists_by_label", ANCHORS + FRAGMENTS + f"""
+, h AS (SELECT page_id, {HOST} AS site FROM pages)
+SELECT site, label, count(*) AS n, string_agg(body, ' | ' ORDER BY page_id) AS lists FROM fragments JOIN h USING (page_id) WHERE kind = 'list' GROUP BY ALL""")
 def h5(t: Tables) -> DataFrame:
-    f = X.extract(t.read("pages")).filter("kind = 'list'").join(t.read("pages").select("page_id", L.host(F.col("url")).alias("site")), "page_id")
-    return f.groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"))
+    f = fragments(t, "list").join(t.read("pages").select("page_id", L.host(F.col("url")).alias("site")), "page_id")
+    g = f.groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("page_id", "seq", "body"))).alias("x"))
+    return g.select("site", "label", "n", F.array_join(F.transform("x", lambda x: x["body"]), " | ").alias("lists"))
 
 
 DEFINITIONS = WORDED + r"""
@@ -90,29 +136,25 @@ def h10(t: Tables) -> DataFrame:
     return t.read("pages").groupBy(L.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"))
 
 
-@query("x8_heading_sections", f"""
-SELECT page_id, true AS has_section FROM pages WHERE length({TEXT}) > 700""")
+@query("x8_heading_sections", ANCHORS + FRAGMENTS + "SELECT page_id, label AS title, body FROM fragments WHERE kind = 'heading_section'")
 def x8(t: Tables) -> DataFrame:
-    """Pages with long texts have a section below their heading."""
-    f = X.extract(t.read("pages")).filter("kind = 'heading_section'").select("page_id").distinct()
-    long = t.read("pages").filter(F.length(X.visible_text(F.col("html"))) > 700).select("page_id")
-    return long.join(f.withColumn("has_section", F.lit(True)), "page_id", "left").select("page_id", F.coalesce("has_section", F.lit(False)).alias("has_section"))
+    return fragments(t, "heading_section").select("page_id", F.col("label").alias("title"), "body")
 
 
-@query("x21_footers", "SELECT page_id FROM pages WHERE length(trim(regexp_replace(replace(replace(regexp_extract(html, '<footer>(.*)</footer>', 1, 's'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g'))) > 50 AND NOT contains(regexp_extract(html, '<footer>(.*)</footer>', 1, 's'), '&amp;')")
+@query("x21_footers", ANCHORS + FRAGMENTS + "SELECT page_id, body FROM fragments WHERE kind = 'footer'")
 def x21(t: Tables) -> DataFrame:
-    amp = t.read("pages").filter(F.regexp_extract("html", "(?s)<footer>(.*)</footer>", 1).contains("&amp;")).select("page_id")
-    return X.extract(t.read("pages")).filter("kind = 'footer'").select("page_id").join(amp, "page_id", "left_anti")
+    return fragments(t, "footer").select("page_id", "body")
+
+
+RANKS = ("title", "heading", "list", "heading_section", "footer", "section")
 
 
-@query("x24_page_texts", "SELECT page_id, 4 AS kinds FROM pages")
+@query("x24_page_texts", ANCHORS + FRAGMENTS + f"SELECT page_id, left(string_agg(body, E'\\n' ORDER BY list_position({list(RANKS)}, kind)), 120000) AS text FROM fragments GROUP BY 1")
 def x24(t: Tables) -> DataFrame:
-    """Fragments of a page joined by the rank of their kind, cut to the budget of a page."""
-    f = X.extract(t.read("pages")).filter(F.col("kind").isin("title", "heading", "list", "meta"))
-    rank = F.array_position(F.array(*map(F.lit, ("meta", "title", "heading", "list"))), F.col("kind"))
-    g = f.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "seq", "body"))).alias("x"), F.count_distinct("kind").alias("n"))
-    text = F.substring(F.array_join(F.transform("x", lambda x: x["body"]), "\n"), 1, 120000)
-    return g.select("page_id", F.when(F.length(text) > 0, F.col("n")).cast("int").alias("kinds"))
+    """Fragments of a page joined by the rank of their kind, cut to the budget of a page (a rule of the operator)."""
+    rank = F.array_position(F.array(*map(F.lit, RANKS)), F.col("kind"))
+    g = fragments(t, *RANKS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "seq", "body"))).alias("x"))
+    return g.select("page_id", F.substring(F.array_join(F.transform("x", lambda x: x["body"]), "\n"), 1, 120000).alias("text"))
 
 
 @query("f2_turn_pairs", """

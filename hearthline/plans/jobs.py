@@ -24,9 +24,13 @@ def j2(t: Tables) -> DataFrame:
     return t.job.orderBy(F.desc("created_at"), "job_id").offset(40).limit(20).select("job_id", "created_at").join(F.broadcast(total), how="cross")
 
 
-@query("j3_queue_order", f"SELECT job_id, row_number() OVER (ORDER BY {RANK}, created_at, job_id) AS position FROM job WHERE status = 'pending'")
+@query("j3_queue_order", f"""
+, w AS (SELECT *, CASE WHEN job_id % 3 = 0 THEN created_at + INTERVAL 40 DAYS END AS scheduled_at FROM job WHERE status = 'pending')
+SELECT job_id, row_number() OVER (ORDER BY {RANK}, coalesce(scheduled_at, created_at), job_id) AS position FROM w""")
 def j3(t: Tables) -> DataFrame:
-    return J.queue(t.job.filter("status = 'pending'")).select("job_id", "position")
+    """Every third job is scheduled for a later day."""
+    waiting = t.job.filter("status = 'pending'").withColumn("scheduled_at", F.when(F.col("job_id") % 3 == 0, F.col("created_at") + F.expr("INTERVAL 40 DAYS")))
+    return J.queue(waiting).select("job_id", "position")
 
 
 @query("j4_queue_stats", """
@@ -67,6 +71,25 @@ def j8(t: Tables) -> DataFrame:
     return J.retry_delays(t.job.filter("priority = 'urgent'").select("job_id"), 5, 30, 300).select("job_id", F.col("attempt").cast("long").alias("attempt"), "delay_s")
 
 
+@query("j8_node_backoff", """
+, n AS (SELECT job_id, node, l_linenumber, ['timeout', 'network', 'rate_limit', 'validation'][(l_partkey % 4 + 1)::INT] AS category FROM node WHERE status = 'failed')
+SELECT job_id, node, l_linenumber, category, a AS attempt, least(30, 5 * 2 ** a)::INT AS delay_s FROM n, range(0, 4) r(a) WHERE category <> 'validation'""")
+def j8_nodes(t: Tables) -> DataFrame:
+    """Waits before the retries of failed nodes, with a category of their error by rule."""
+    n = t.node.filter("status = 'failed'").select("job_id", "node", "l_linenumber", F.element_at(F.array(*map(F.lit, ("timeout", "network", "rate_limit", "validation"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("category"))
+    return J.node_delays(n, F.col("category"), 4).select("job_id", "node", "l_linenumber", "category", F.col("attempt").cast("long").alias("attempt"), "delay_s")
+
+
+@query("j10_newest_kept", """
+, s AS (SELECT job_id, created_at, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status FROM job),
+r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, job_id DESC) AS n FROM s)
+SELECT job_id, status FROM r WHERE status NOT IN ('completed', 'failed') OR n <= CASE status WHEN 'completed' THEN 100 ELSE 50 END""")
+def j10_kept(t: Tables) -> DataFrame:
+    """The newest 100 completed and 50 failed jobs, and all others."""
+    d = t.job.select("job_id", "created_at", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")).alias("status"))
+    return J.newest_kept(d, {"completed": 100, "failed": 50}).select("job_id", "status")
+
+
 @query("j9_last_events", "SELECT job_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS n FROM progress) WHERE n <= 50")
 def j9(t: Tables) -> DataFrame:
     return J.last_events(t.progress, "job_id", "ts", "event_id", 50).select("job_id", "event_id", "ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +113,48 @@ def v8(t: Tables) -> DataFrame:
     return t.read("orders").select("o_orderkey", V.is_date(shape).alias("ok"))
 
 
+# node documents by rule: (text, its errors); # stands for a number of the listing
+NODE2 = (
+    ('{"x": #}', ("Missing 'description' section",)), ('{"description": [#]}', ("Description must be a dictionary",)), ('{"description": {"email": "none#", "faqs": "x"}}', ("Invalid email format", "FAQs must be a list")),
+    ('{"description": {"email": "a#@b.example", "faqs": [{"question": "Q"}, 7, {"question": "Q", "answer": null}]}}', ("FAQ 0 must have 'question' and 'answer' fields", "FAQ 1 must be a dictionary")), ('{"description": {"email": "", "faqs": []}}', ()),
+)
+NODE3 = (
+    ("{}", ("Missing 'configurations' section",)), ('{"configurations": {"n": #}}', ("Configurations must be a list",)), ('{"configurations": [{"Basic": #, "Source Details": {}, "Pricing": null}]}', ()),
+    ('{"configurations": [{"Basic": {"Name": "#"}}, "x"]}', ("Configuration 0 missing 'Source Details' section", "Configuration 0 missing 'Pricing' section", "Configuration 1 must be a dictionary")),
+)
+NODE4 = (
+    ("{}", ()), ('{"property_level": "#", "configurations": 1}', ("Property level data must be a dictionary", "Configurations must be a list")),
+    ('{"property_level": {}, "configurations": [#, {"tenancy_options": {}}, {"tenancy_options": [{"tenancy_length_weeks": 44, "price_per_week": 99.5, "price_total": #}]}]}', ("Configuration 0 must be a dictionary", "Configuration 1 tenancy_options must be a list")),
+    ('{"configurations": [{"tenancy_options": [1, {"tenancy_length_weeks": 44.5, "price_per_week": "#", "price_total": null}]}]}',
+     ("Configuration 0 tenancy_options[0] must be a dictionary", "Configuration 0 tenancy_options[1].tenancy_length_weeks must be int", "Configuration 0 tenancy_options[1].price_per_week must be number", "Configuration 0 tenancy_options[1].price_total must be number")),
+)
+
+
+def node_documents(t: Tables, rules: tuple) -> DataFrame:
+    text = F.element_at(F.array(*(F.lit(x) for x, _ in rules)), (F.pmod("property_id", F.lit(len(rules))) + 1).cast("int"))
+    return t.listing.select("property_id", F.replace(text, F.lit("#"), F.col("property_id").cast("string")).alias("doc"))
+
+
+def node_errors(rules: tuple, section: str) -> str:
+    rows = ", ".join("({}, '{}')".format(i, e.replace("'", "''")) for i, (_, errors) in enumerate(rules) for e in errors)
+    return f"SELECT property_id, '{section}' AS section, error FROM listing JOIN (VALUES {rows}) r(i, error) ON property_id % {len(rules)} = i"
+
+
+@query("v9_node2", node_errors(NODE2, "description"))
+def v9(t: Tables) -> DataFrame:
+    return V.node2(node_documents(t, NODE2), ["property_id"], "doc")
+
+
+@query("v10_node3", node_errors(NODE3, "configurations"))
+def v10(t: Tables) -> DataFrame:
+    return V.node3(node_documents(t, NODE3), ["property_id"], "doc")
+
+
+@query("v11_node4", node_errors(NODE4, "tenancy"))
+def v11(t: Tables) -> DataFrame:
+    return V.node4(node_documents(t, NODE4), ["property_id"], "doc")
+
+
 @query("v12_node1_rollup", BASIC_ERRORS + LOCATION_ERRORS + "SELECT property_id, section || '.' || error AS error FROM basic_errors UNION ALL SELECT property_id, section || '.' || error FROM location_errors")
 def v12(t: Tables) -> DataFrame:
     return v2(t).unionByName(v3(t)).select("property_id", F.concat_ws(".", "section", "error").alias("error"))
@@ -129,12 +173,13 @@ def v13_valid(t: Tables) -> DataFrame:
     return V.valid(t.listing.select("property_id", "name"), ["property_id"], v2(t).unionByName(v3(t)))
 
 
-@query("v14_dispatch", BASIC_ERRORS + FEATURE_ERRORS + """
-, e AS (SELECT 1 AS node, error FROM basic_errors UNION ALL SELECT 3, error FROM feature_errors)
+@query("v14_dispatch", BASIC_ERRORS + LOCATION_ERRORS + f"""
+, e AS (SELECT 1 AS node, error FROM basic_errors UNION ALL SELECT 1, error FROM location_errors UNION ALL SELECT 2, error FROM ({node_errors(NODE2, '')}) UNION ALL SELECT 3, error FROM ({node_errors(NODE3, '')}) UNION ALL SELECT 4, error FROM ({node_errors(NODE4, '')}))
 SELECT node, count(*) FILTER (error LIKE '%must be%') AS errors, count(*) FILTER (error NOT LIKE '%must be%') AS warnings FROM e GROUP BY node""")
 def v14(t: Tables) -> DataFrame:
-    """The checks of each node, with counts of what is empty (errors) and what is outside its choices (warnings)."""
-    e = v2(t).select(F.lit(1).alias("node"), "error").unionByName(v4(t).select(F.lit(3).alias("node"), "error"))
+    """The checks of each node, with counts of what has a wrong form (errors) and of the rest (warnings)."""
+    checks = {1: v2(t).unionByName(v3(t)), 2: v9(t), 3: v10(t), 4: v11(t)}
+    e = reduce(DataFrame.unionByName, (d.select(F.lit(n).alias("node"), "error") for n, d in checks.items()))
     return e.groupBy("node").agg(F.count_if(F.col("error").contains("must be")).alias("errors"), F.count_if(~F.col("error").contains("must be")).alias("warnings"))
 
 
