@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; set here only where unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share. On one machine alone, where nothing is shared, it
+    may be unset, and a temporary folder serves; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark, "_hearthline_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         spark._hearthline_dir = base
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

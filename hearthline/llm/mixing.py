@@ -139,6 +139,15 @@ def mixed(d: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float,
     return d.withColumn("copies", (F.col("__sure") + taken.cast("int")).cast("int")).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as many times as the mix takes it, with its own columns as they are, whatever their names."""
+    own = [f"__own_{i}" for i in range(len(docs.columns))]
+    kept = {"doc_id", "text", "source"}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(c if c in kept else o) for c, o in zip(docs.columns, own, strict=True)))
+    taken = mix(renamed, **options).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col(c if c in kept else o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = drawn(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), seed=8)
     slim = written(docs.drop("text"), "drawn")
