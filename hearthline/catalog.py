@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import comparing, crawling, exporting, hints, jobs, merging, normalizing, registry, scoring, streams, validating  # noqa: F401
+from .plans import comparing, crawling, exporting, hints, jobs, merging, normalizing, registry, scoring, validating  # noqa: F401
 
 FLAGSHIP = "k7_configuration_table"
 QUERIES = registry.QUERIES

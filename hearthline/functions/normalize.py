@@ -1,8 +1,8 @@
-"""Prices, currencies, tenancy lengths and configuration names in one form. All are column expressions."""
+"""Prices, currencies, tenancy lengths and configuration names in one form. Column expressions, and steps over frames where one would repeat."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import any_of, blank_to_null, strip
@@ -46,20 +46,34 @@ def duration_months(c: Column) -> Column:
     return F.when(weeks.isNotNull(), F.bround(weeks / F.lit(WEEKS_PER_MONTH_OF_DURATION)).cast("int")).otherwise(months)
 
 
-def length_weeks(c: Column) -> Column:
-    """Weeks of a tenancy length in weeks, months, semesters, terms or years."""
-    s, real = F.lower(strip(c)), r"([0-9]+(?:\.[0-9]+)?)"
-    weeks = _number_before(s, r"(?:w|week|weeks)\b", real).cast("double")
-    months = _number_before(s, r"(?:m|mo|month|months)\b", real).cast("double")
+_REAL = r"([0-9]+(?:\.[0-9]+)?)"
+WEEKS_TEXT, MONTHS_TEXT = _REAL + r"\s*(?:w|week|weeks)\b", _REAL + r"\s*(?:m|mo|month|months)\b"
+
+
+def _weeks(s: Column, weeks: Column, months: Column) -> Column:
+    """Weeks from a text in small letters and the numbers (as texts, empty where none) before its weeks and months."""
     n = F.coalesce(F.nullif(F.regexp_extract(s, "([0-9]+)", 1), F.lit("")).cast("int"), F.lit(1))
     return (
-        F.when(weeks.isNotNull(), F.bround(weeks).cast("int"))
-        .when(months.isNotNull(), F.bround(months * F.lit(WEEKS_PER_MONTH)).cast("int"))
+        F.when(weeks != "", F.bround(weeks.cast("double")).cast("int"))
+        .when(months != "", F.bround(months.cast("double") * F.lit(WEEKS_PER_MONTH)).cast("int"))
         .when(any_of(s, ("semester", "term")), n * WEEKS_PER_TERM)
         .when(any_of(s, ("year", "yr")), n * WEEKS_PER_YEAR)
     )
 
 
+def length_weeks(c: Column) -> Column:
+    """Weeks of a tenancy length in weeks, months, semesters, terms or years."""
+    s = F.lower(strip(c))
+    return _weeks(s, F.regexp_extract(s, WEEKS_TEXT, 1), F.regexp_extract(s, MONTHS_TEXT, 1))
+
+
+def with_length_weeks(df: DataFrame, text: str, name: str) -> DataFrame:
+    """The same as a column, each of its patterns worked out once a row."""
+    d = df.withColumn("__s", F.lower(strip(F.col(text)))).withColumn("__w", F.regexp_extract("__s", WEEKS_TEXT, 1))
+    d = d.withColumn("__m", F.when(F.col("__w") == "", F.regexp_extract("__s", MONTHS_TEXT, 1)))
+    return d.withColumn(name, _weeks(F.col("__s"), F.col("__w"), F.col("__m"))).drop("__s", "__w", "__m")
+
+
 def parsed_price(c: Column) -> Column:
     """Struct (currency, amount): the first currency sign or code, as a code, and the first number."""
     s = strip(c)

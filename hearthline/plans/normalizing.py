@@ -17,9 +17,10 @@ MONTHS = "CASE WHEN length_text LIKE '% weeks' THEN round_even(regexp_extract(le
 
 def priced(t: Tables) -> DataFrame:
     """Tenancies with weeks, amount, price per week and in total."""
-    d = t.tenancy.withColumn("weeks", N.length_weeks(F.col("length_text"))).withColumn("amount", N.parsed_price(F.col("price_text"))["amount"])
-    weekly, total = N.weekly_and_total(F.col("amount"), N.price_type(F.col("price_type"), F.col("price_text")), F.col("weeks"))
-    return d.withColumn("price_per_week", weekly).withColumn("price_total", total)
+    d = N.with_length_weeks(t.tenancy, "length_text", "weeks").withColumn("amount", N.parsed_price(F.col("price_text"))["amount"])
+    d = d.withColumn("__kind", N.price_type(F.col("price_type"), F.col("price_text")))
+    weekly, total = N.weekly_and_total(F.col("amount"), F.col("__kind"), F.col("weeks"))
+    return d.withColumn("price_per_week", weekly).withColumn("price_total", total).drop("__kind")
 
 
 PRICED = f"""
