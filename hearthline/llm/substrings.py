@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ ship(__name__)
 WINDOW, MER = 20, 4
 BITS = 1 << 25  # of the filter of repeated minimisers; when it fills up, more windows travel, and none fewer
 PART = 4 << 20  # bytes of super-k-mers that are sorted at once
+SEEN = 100_000  # strings that a task remembers to have sent
 FREQUENT = 20_000  # m-mers that come last in the order, at most
 U64 = np.uint64
 TOP = U64(1 << 63)
@@ -88,17 +88,22 @@ def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 def _super_mers(frequent: np.ndarray, bitmap: np.ndarray):
     """Rows (key, doc_id, tag, at, n, packed): n words from ``at`` on; without ``packed``, words that are known to go.
 
-    Of equal strings in a piece the first travels; the others repeat all its windows, so all their words go."""
+    Of equal strings in a task the one that starts first travels, as far as they are known when it goes; later ones repeat
+    all its windows, so all their words go and they travel without their words. So a passage that stands in any share of
+    the documents reaches its bucket about once a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for piece in chunks(batch, "text"):
-                yield from _of_piece(piece, frequent, bitmap)
+                yield from _of_piece(piece, frequent, bitmap, sent)
+                if len(sent) > SEEN:
+                    sent.clear()
 
     return rows
 
 
-def _of_piece(piece: pa.RecordBatch, frequent: np.ndarray, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _of_piece(piece: pa.RecordBatch, frequent: np.ndarray, bitmap: np.ndarray, sent: dict[bytes, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     w = _words.split(piece.column(1))
     o, starts = _windows(w, _words.hashes(w))
     if not len(starts):
@@ -118,46 +123,54 @@ def _of_piece(piece: pa.RecordBatch, frequent: np.ndarray, bitmap: np.ndarray) -
     at, n = starts[begin] - w.first[text[begin]], starts[last] - starts[begin] + WINDOW
     raw, a, z = w.data.tobytes(), w.starts[starts[begin]].tolist(), w.ends[starts[last] + WINDOW - 1].tolist()
     packed = [b" ".join(raw[x:y].split()) for x, y in zip(a, z, strict=True)]
-    first: dict[bytes, int] = {}
+    stays = np.ones(len(packed), bool)
     for i in np.lexsort((at, doc)).tolist():
-        first.setdefault(packed[i], i)
-    stays = np.zeros(len(packed), bool)
-    stays[list(first.values())] = True
-    for i in np.flatnonzero(~stays).tolist():  # equal rows of one doc_id: neither starts before the other
-        j = first[packed[i]]
-        if doc[i] == doc[j] and at[i] == at[j]:
-            stays[i] = True
+        own = (int(doc[i]), int(at[i]))
+        before = sent.get(packed[i])
+        if before is None or own < before:
+            sent[packed[i]] = own
+        elif own > before:  # equal rows of one doc_id: neither starts before the other
+            stays[i] = False
     to = np.where(stays, key[begin], _words.mix(doc.view(U64) + at.view(U64))).view(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array([p if s else None for p, s in zip(packed, stays, strict=True)], pa.binary())], ["key", "doc", "tag", "at", "n", "packed"])
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, a, z): words a to z of a document that a window covers which starts earlier too."""
-    held = []
+    """Rows (doc, tag, a, z): words a to z of a document that a window covers which starts earlier too.
+
+    Rows come in order of key, string and start: of equal strings only the first is kept, so that what is held at a time is
+    PART bytes and the distinct strings of one key."""
+    held: list[tuple] = []
+    size, last, word, first = 0, None, None, (0, 0)
     for batch in batches:
-        sent = batch.column(5).is_null()
-        known = batch.filter(sent)
-        if len(known):
-            at, n = known.column(3).to_numpy(), known.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), pa.array(at), pa.array(at + n)], ["doc", "tag", "a", "z"])
-        held.append(batch.filter(pa.compute.invert(sent)))
-    if not sum(map(len, held)):
-        return
-    t = pa.Table.from_batches(held)
+        gone: list[tuple] = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            key, doc, tag, at, n, packed = row
+            if packed is None or key == last and packed == word and (doc, at) > first:
+                gone.append((doc, tag, at, at + n))
+                continue
+            if key != last and size > PART:
+                yield from _sorted_windows(held)
+                held, size = [], 0
+            last, word, first = key, packed, (doc, at)
+            held.append(row[1:])
+            size += len(packed)
+        if gone:
+            yield _spans(*zip(*gone, strict=True))
+    if held:
+        yield from _sorted_windows(held)
     del held
-    # equal windows have equal keys, so the keys may be taken in parts
-    parts = 1 + t.nbytes // PART
-    of = _words.mix(t.column(0).to_numpy().view(U64)) % U64(parts)
-    for i in range(parts):
-        yield from _sorted_windows(t.filter(pa.array(of == U64(i))).combine_chunks())
     release()
 
 
-def _sorted_windows(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    if not len(t):
-        return
-    doc, tag, at = (t.column(i).to_numpy() for i in (1, 2, 3))
-    w = _words.split(t.column(5))
+def _spans(doc, tag, a, z) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["doc", "tag", "a", "z"])
+
+
+def _sorted_windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    doc, tag, at, _, packed = zip(*rows, strict=True)
+    doc, tag, at = np.array(doc, np.int64), np.array(tag, np.int64), np.array(at, np.int64)
+    w = _words.split(pa.array(packed, pa.binary()))
     h = _words.hashes(w)
     n = np.diff(w.first)
     starts = np.arange(len(h))[np.repeat(w.first[1:] - WINDOW, n) >= np.arange(len(h))]
@@ -185,7 +198,7 @@ def _sorted_windows(t: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]))
     last = np.append(cut[1:], len(row)) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(tag[row[cut]]), pa.array(place[cut].astype(np.int32)), pa.array((place[last] + WINDOW).astype(np.int32))], ["doc", "tag", "a", "z"])
+    yield _spans(doc[row[cut]], tag[row[cut]], place[cut], place[last] + WINDOW)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -193,7 +206,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     frequent, bitmap = repeated(docs)
     held = docs.sparkSession.sparkContext.broadcast((frequent, bitmap))
     sent = docs.mapInArrow(lambda b: _super_mers(*held.value)(b), "key long, doc long, tag long, at int, n int, packed binary")
-    spans = sent.repartition("key").mapInArrow(_bucket, "doc long, tag long, a int, z int")
+    spans = sent.repartition("key").sortWithinPartitions("key", "packed", "doc", "at").mapInArrow(_bucket, "doc long, tag long, a int, z int")
     return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
@@ -218,8 +231,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space) of each document.
 
     Removed is every word that a window covers whose words also start earlier (smaller doc_id, or earlier in the same
-    document). Documents below WINDOW words keep all; null texts have none. A null doc_id comes first in order. Rows of
-    one doc_id do not come before each other, so equal rows fare alike.
+    document). Documents below WINDOW words keep all; null and empty texts have none. A null doc_id comes first in order. Rows
+    of one doc_id do not come before each other, so equal rows fare alike. Very long texts are taken whole. Other columns are
+    not read. An empty table gives no rows.
     """
     docs = text_only(docs).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     r = repeats(docs)
