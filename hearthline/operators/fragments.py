@@ -9,8 +9,9 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .links import normalize_url, same_domain
 
@@ -337,6 +338,20 @@ def extract(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(rows, FRAGMENT)
 
 
+def register(spark: SparkSession) -> None:
+    """The table function html_fragments(html) for SQL: seq, kind, label, attrs and body of a page's fragments."""
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    class Fragments:
+        def eval(self, html: str):
+            for i, (kind, label, attrs, body) in enumerate(cut(html)):
+                yield i, kind, label, attrs, body
+
+    spark.udtf.register("html_fragments", udtf(Fragments, returnType="seq int, kind string, label string, attrs map<string,string>, body string"))
+
+
 def visible_text(html: Column) -> Column:
     """Text without scripts, styles, navigation and tags, white space collapsed; built-in expressions only."""
     out = html

@@ -160,6 +160,24 @@ def distinct_pairs(pairs: DataFrame, scope: list[str], order: list) -> DataFrame
     return pairs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def enriched(records: DataFrame, pairs: DataFrame, key: str, present: str, least: int = 2) -> DataFrame:
+    """key and faqs: a record's ``present`` questions (an array of question, answer), and where these are fewer than ``least`` also
+    those of ``pairs`` (key, place, question, answer) that it hasn't yet, whatever their case."""
+    few = records.filter(F.size(F.coalesce(present, F.array())) < least)
+    had = few.select(key, F.posexplode(present).alias("place", "f")).select(key, F.lit(0).alias("rank"), "place", "f.question", "f.answer")
+    new = pairs.join(few.select(key), key).select(key, F.lit(1).alias("rank"), "place", "question", "answer")
+    once = distinct_pairs(had.unionByName(new), [key], ["rank", "place"])
+    more = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "place", "question", "answer"))).alias("x"))
+    more = more.select(key, F.transform("x", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"))).alias("__more"))
+    return records.join(more, key, "left").select(key, F.coalesce("__more", present).alias("faqs"))
+
+
+def blocks(fragments: DataFrame, kinds: tuple[str, ...], key: str = "page_id") -> DataFrame:
+    """key, kind and the bodies of a page's fragments of these kinds, in order: what marked blocks of a text would hold."""
+    g = fragments.filter(F.col("kind").isin(*kinds)).groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("x"))
+    return g.select(key, "kind", F.transform("x", lambda x: x["body"]).alias("bodies"))
+
+
 def sparseness(*conditions: Column) -> Column:
     """Points of a description, one for each condition that holds."""
     return sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))

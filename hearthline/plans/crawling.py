@@ -200,6 +200,13 @@ def x14(t: Tables) -> DataFrame:
     return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("x_html_fragments", ANCHORS + FRAGMENTS + "SELECT * FROM fragments WHERE kind IN ('title', 'footer', 'list')")
+def x_udtf(t: Tables) -> DataFrame:
+    """The same by the table function, in SQL."""
+    X.register(t.spark)
+    return t.spark.sql("SELECT page_id, kind, label, regexp_replace(body, r'\\s+', ' ') AS body FROM {pages}, LATERAL html_fragments(html) WHERE kind IN ('title', 'footer', 'list')", pages=t.read("pages"))
+
+
 @query("x_fragments")
 def x_all(t: Tables) -> DataFrame:
     """All fragments of all pages; tested against literal pages."""

@@ -188,6 +188,24 @@ def f4(t: Tables) -> DataFrame:
     return H.distinct_pairs(f2(t), [], ["conv_id", "turn"]).select(F.lower("question").alias("q"), F.lower("answer").alias("a"))
 
 
+@query("f4_enriched", """
+, w AS (SELECT *, lead(role) OVER o AS r, lead(text) OVER o AS answer FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT conv_id, turn, text AS q, answer AS a FROM w WHERE role = 'user' AND r = 'assistant'),
+c AS (SELECT DISTINCT conv_id FROM conversations), h AS (SELECT conv_id, i AS turn, 'Q' || i AS q, 'A' || i AS a FROM c, range(0, 3) r(i) WHERE i < conv_id % 4),
+u AS (SELECT *, 0 AS rank FROM h UNION ALL SELECT *, 1 FROM p WHERE conv_id % 4 < 2), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(q), lower(a) ORDER BY rank, turn) AS n FROM u)
+SELECT conv_id, coalesce(count(q), 0) AS n, coalesce(string_agg(q || '=' || a, '|' ORDER BY rank, turn), '') AS faqs FROM c LEFT JOIN (SELECT * FROM o WHERE n = 1 OR conv_id % 4 > 1) USING (conv_id) GROUP BY 1""")
+def f4_enriched(t: Tables) -> DataFrame:
+    """Records with none to three questions by rule; those with fewer than two get the ones of their conversation."""
+    had = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < F.col("conv_id") % 4), lambda i: F.struct(F.concat(F.lit("Q"), i.cast("string")).alias("question"), F.concat(F.lit("A"), i.cast("string")).alias("answer")))
+    records = t.read("conversations").select("conv_id").distinct().withColumn("present", had)
+    out = H.enriched(records, f2(t).withColumnRenamed("turn", "place"), "conv_id", "present")
+    return out.select("conv_id", F.size("faqs").cast("long").alias("n"), F.array_join(F.transform("faqs", lambda x: F.concat_ws("=", x["question"], x["answer"])), "|").alias("faqs"))
+
+
+@query("f1_blocks", ANCHORS + FRAGMENTS + "SELECT page_id, kind, string_agg(body, ' | ') AS blocks FROM fragments WHERE kind IN ('list', 'footer') GROUP BY ALL")
+def f1(t: Tables) -> DataFrame:
+    return H.blocks(fragments(t, "list", "footer"), ("list", "footer")).select("page_id", "kind", F.array_join("bodies", " | ").alias("blocks"))
+
+
 @query("f5_policy_texts", WORDED + "SELECT doc_id FROM w WHERE regexp_matches(lower(text), 'policy|policies|term|rule|cancellation|refund')")
 def f5(t: Tables) -> DataFrame:
     return worded(t).filter(H.is_policy(F.col("text"))).select("doc_id")

@@ -272,3 +272,15 @@ def r9_sessions(t: Tables) -> DataFrame:
 @query("r10_latest", "SELECT job_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM progress GROUP BY 1")
 def r10(t: Tables) -> DataFrame:
     return t.progress.groupBy("job_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+@query("r2_job_states", """
+, f AS (SELECT job_id, event_type, count(*) AS n, min((ts, event_id)) AS first FROM progress GROUP BY ALL), p AS (SELECT job_id, string_agg(event_type, ',' ORDER BY first) AS phases FROM f GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS n FROM progress), l AS (SELECT job_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS last_events FROM r WHERE n <= 100 GROUP BY 1),
+j AS (SELECT job_id, count(*) AS events, count(*) FILTER (event_type = 'node_completed') AS completed, count(*) FILTER (event_type = 'node_failed') AS failed, greatest(0, max(value))::DOUBLE AS progress, max(ts) AS last_ts FROM progress GROUP BY 1)
+SELECT job_id, events, completed, failed, progress, phases, last_ts, last_events FROM j JOIN p USING (job_id) JOIN l USING (job_id)""")
+def r2(t: Tables) -> DataFrame:
+    """The state machine of the stream over stored events."""
+    from ..streaming.progress import batch_states
+
+    return batch_states(t.progress)

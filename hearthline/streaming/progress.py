@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "event_id long, ts timestamp, job_id long, event_type string, node long, value double"
-STATE = "job_id long, events long, completed long, failed long, progress double, phases string, last_ts timestamp"
+STATE = "job_id long, events long, completed long, failed long, progress double, phases string, last_ts timestamp, last_events string"
 RING = 100  # last events kept for each job
 
 
@@ -33,66 +34,97 @@ def first_submissions(submissions: DataFrame, url: str, ts: str, late: str) -> D
 
 
 class JobState(StatefulProcessor):
-    """Counts, never falling progress, phases in order and the last events of each job; a job expires by state TTL."""
+    """Counts, never falling progress, phases in order and the last events of each job; a job expires by state TTL.
 
-    def __init__(self, hours: int = 24) -> None:
+    Frames are taken one by one, so that a job of any size needs RING rows of memory."""
+
+    def __init__(self, hours: float = 24) -> None:
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.hours * 3600 * 1000
+        ttl = int(self.hours * 3600 * 1000)
         self.job = handle.getValueState("job", "events long, completed long, failed long, progress double, last_ts timestamp", ttlDurationMs=ttl)
-        self.phases = handle.getListState("phases", "phase string", ttlDurationMs=ttl)
-        self.ring = handle.getListState("ring", "event_id long", ttlDurationMs=ttl)
+        self.phases = handle.getListState("phases", "phase string, ts timestamp, event_id long", ttlDurationMs=ttl)
+        self.ring = handle.getListState("ring", "ts timestamp, event_id long", ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events, completed, failed, progress, last = self.job.get() if self.job.exists() else (0, 0, 0, 0.0, None)
-        phases = [p[0] for p in self.phases.get()] if self.phases.exists() else []
-        ring = [e[0] for e in self.ring.get()] if self.ring.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        events += len(batch)
-        completed += int((batch["event_type"] == "node_completed").sum())
-        failed += int((batch["event_type"] == "node_failed").sum())
-        progress = max(progress, float(batch["value"].max()))
-        last = max(x for x in (last, batch["ts"].max()) if x is not None)
-        phases += [p for p in dict.fromkeys(batch["event_type"]) if p not in phases]
-        ring = (ring + batch["event_id"].tolist())[-RING:]
+        first = {p: (ts, e) for p, ts, e in self.phases.get()} if self.phases.exists() else {}
+        ring = [tuple(e) for e in self.ring.get()] if self.ring.exists() else []
+        for batch in rows:
+            events += len(batch)
+            completed += int((batch["event_type"] == "node_completed").sum())
+            failed += int((batch["event_type"] == "node_failed").sum())
+            progress = max(progress, float(batch["value"].fillna(0.0).max()))
+            pairs = sorted((ts, int(e), p) for ts, e, p in zip(batch["ts"], batch["event_id"], batch["event_type"], strict=True))
+            for ts, e, p in pairs:
+                first[p] = min(first.get(p, (ts, e)), (ts, e))
+            ring = sorted(ring + [(ts, e) for ts, e, _ in pairs])[-RING:]
+            last = max(x for x in (last, pairs[-1][0]) if x is not None)
         self.job.update((events, completed, failed, progress, last))
-        self.phases.put([(p,) for p in phases])
-        self.ring.put([(int(e),) for e in ring])
-        yield pd.DataFrame({"job_id": [key[0]], "events": [events], "completed": [completed], "failed": [failed], "progress": [progress], "phases": [",".join(phases)], "last_ts": [last]})
+        self.phases.put([(p, *at) for p, at in first.items()])
+        self.ring.put(ring)
+        phases = ",".join(sorted(first, key=first.get))
+        yield pd.DataFrame({"job_id": [key[0]], "events": [events], "completed": [completed], "failed": [failed], "progress": [progress], "phases": [phases], "last_ts": [last], "last_events": [",".join(str(e) for _, e in ring)]})
 
     def close(self) -> None:
         pass
 
 
-def job_states(events: DataFrame, hours: int = 24) -> DataFrame:
+def batch_states(events: DataFrame) -> DataFrame:
+    """The states of all jobs from stored events: the batch twin of ``job_states``."""
+    from ..operators.jobs import last_events
+
+    of = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("n")).otherwise(0))
+    kinds = events.groupBy("job_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"), F.max("ts").alias("ts"), F.min(F.struct("ts", "event_id")).alias("first"))
+    jobs = kinds.groupBy("job_id").agg(
+        F.sum("n").alias("events"), of("node_completed").alias("completed"), of("node_failed").alias("failed"), F.greatest(F.lit(0.0), F.max("value")).alias("progress"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]), ",").alias("phases"), F.max("ts").alias("last_ts"),
+    )
+    ring = last_events(events, "job_id", "ts", "event_id", RING).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
+    return jobs.join(ring.select("job_id", F.array_join(F.transform("x", lambda x: x["event_id"].cast("string")), ",").alias("last_events")), "job_id")
+
+
+def job_states(events: DataFrame, hours: float = 24) -> DataFrame:
     """The state of every job that a batch touches, in update mode; needs the RocksDB state store."""
     return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobState(hours), outputStructType=STATE, outputMode="Update", timeMode="ProcessingTime")
 
 
-def fan_out(sinks: list[Callable[[DataFrame, int], None]], failures: list | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: hands each batch to every sink; one that fails does not stop the others."""
+def fan_out(sinks: list[Callable[[DataFrame, int], None]], failures: list | None = None, keep: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands each batch to every sink; one that fails does not stop the others.
+
+    ``keep``: a folder for the batches that a sink failed on, by sink and number, so that they can be given to it again."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for sink in sinks:
+        for i, sink in enumerate(sinks):
             try:
                 sink(batch, number)
             except Exception as e:  # a subscriber's fault stays with the subscriber
                 if failures is not None:
                     failures.append((number, repr(e)))
+                if keep is not None:
+                    batch.write.mode("overwrite").parquet(f"{keep}/sink={i}/batch={number}")
         batch.unpersist()
 
     return each
 
 
 def upsert_latest(path: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps the latest row of each key in versions below ``path``; a repeated batch gives the same."""
+    """For foreachBatch: keeps the latest row of each key in versions below ``path``; a repeated batch gives the same.
+
+    Each version goes on from the newest one before it, so that numbers may be missing or begin anew."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        every = batch if known is None else known.select(*batch.columns).unionByName(batch)
+        every = batch
+        try:
+            stored = batch.sparkSession.read.parquet(path).filter(F.col("version") < number)
+            before = stored.agg(F.max("version")).first()[0]
+            if before is not None:
+                every = stored.filter(F.col("version") == before).select(*batch.columns).unionByName(batch)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
         latest = every.groupBy(key).agg(F.max_by(F.struct(*(c for c in batch.columns if c != key)), ts).alias("x")).select(key, "x.*")
         latest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number}")
 

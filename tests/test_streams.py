@@ -1,6 +1,7 @@
 """Streams end to end: availableNow over files, compared with the batch result."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,11 +54,28 @@ def test_job_states(spark, tmp_path):
         out.update({r.job_id: r for r in d.collect()})
 
     run(P.job_states(P.read(spark, str(tmp_path / "in"), batch.schema, maxFilesPerTrigger="1")), sink, "update", str(tmp_path / "c"))
-    want = batch.groupBy("job_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "node_completed").alias("completed"), F.max("value").alias("progress"), F.max("ts").alias("last_ts")).collect()
-    assert len(want) == 4 and all((out[r.job_id].events, out[r.job_id].completed, out[r.job_id].progress, out[r.job_id].last_ts) == tuple(r)[1:] for r in want)
+    want = {r.job_id: r.asDict() for r in P.batch_states(batch).collect()}
+    assert len(want) == 4 and {k: r.asDict() for k, r in out.items()} == want
     assert out[0].phases.startswith("job_started")
 
 
+def test_job_states_expire_and_keep_the_last_events(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "RING", 5)
+    batch = files(spark, str(tmp_path / "in"), parts=1)
+    out = {}
+
+    def sink(d, _):
+        out.update({r.job_id: r for r in d.collect()})
+
+    states = lambda: P.job_states(P.read(spark, str(tmp_path / "in"), batch.schema), hours=2 / 3600)
+    run(states(), sink, "update", str(tmp_path / "c"))
+    assert out[0].events == 50 and out[0].last_events.split(",")[-5:] == ["180", "184", "188", "192", "196"]
+    time.sleep(3)
+    batch.filter("event_id = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run(states(), sink, "update", str(tmp_path / "c"))
+    assert out[0].events == 1 and out[0].last_events == "0"
+
+
 def test_fan_out_and_upsert(spark, tmp_path):
     batch = files(spark, str(tmp_path / "in"))
     seen, failures = [], []
@@ -66,9 +84,11 @@ def test_fan_out_and_upsert(spark, tmp_path):
         raise RuntimeError("no")
 
     target = str(tmp_path / "latest")
-    sinks = P.fan_out([broken, lambda d, n: seen.append(d.count()), P.upsert_latest(target, "job_id", "ts")], failures)
+    sinks = P.fan_out([broken, lambda d, n: seen.append(d.count()), P.upsert_latest(target, "job_id", "ts")], failures, str(tmp_path / "kept"))
     run(P.read(spark, str(tmp_path / "in"), batch.schema, maxFilesPerTrigger="1"), sinks, "append", str(tmp_path / "c"))
     assert sum(seen) == len(ROWS) and len(failures) == len(seen)
+    assert spark.read.parquet(str(tmp_path / "kept")).filter("sink = 0").count() == len(ROWS)
+    P.upsert_latest(target, "job_id", "ts")(batch.filter("event_id < 9"), 7)  # numbers may be missing, old rows change nothing
     last = sorted(os.listdir(target))[-1]
     got = {r.job_id: r.event_id for r in spark.read.parquet(f"{target}/{last}").collect()}
     assert got == {r.job_id: r.e for r in batch.groupBy("job_id").agg(F.max("event_id").alias("e")).collect()}
