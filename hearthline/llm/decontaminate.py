@@ -25,7 +25,8 @@ from ._words import chunks
 ship(__name__)
 
 SEED = 3  # words
-RARE = 20  # documents: seeds in no more count as rare, whatever the item's others
+RARE, MOST = 20, 1000  # documents: seeds in no more than the first count as rare, whatever the item's others, and in more than the second never
+LONG = 8  # passages are no longer than so many times what may stand around a hit, and two of these
 LEAST = 0.4  # of the score that an exact copy of the item has
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_SEEDS = 1_000_000  # seeds that a task holds at once; a larger benchmark is taken in blocks
@@ -85,6 +86,9 @@ def _passages(held, around: int):
                     continue
                 h, s = h.view(np.int64), _seeds(h)
                 cut = np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > at[:-1] + around)])
+                # long chains of hits are cut: what an alignment through a hit can reach is in its passage all the same
+                step = (at - at[np.flatnonzero(cut)][np.cumsum(cut) - 1]) // (LONG * around)
+                cut[1:] |= step[1:] != step[:-1]
                 begin = np.flatnonzero(cut)
                 last = np.append(begin[1:], len(at)) - 1
                 t = text[begin]
@@ -217,7 +221,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     whose alignment scores ``least`` or more of the item's full score; the best passage of each pair.
 
     Words are runs of letters and digits, in any case. Null and empty texts match nothing; items of fewer than SEED words
-    have no seed and match nothing. Equal items and equal documents match alike.
+    have no seed and match nothing. Equal items and equal documents match alike, and of rows equal in doc_id and text one
+    counts. Very long texts are taken in passages around the hits. Other columns are not read. An empty table gives no rows.
+
+    Seeds in up to MOST documents join passages to items; more frequent ones never shuffle, whatever share of the rows has
+    them: they are looked up and aligned where the texts are.
     """
     docs = text_only(docs).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_item_words, "item_id long, words array<long>")
@@ -239,7 +247,7 @@ def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int, le
     df = docs.mapInArrow(_count(held(seeds)), "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df"))
     middle = F.percentile("df", F.lit(0.5)).over(Window.partitionBy("item_id"))
     rare = seeds.join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    told = written(rare.filter("df > 0").withColumn("rare", F.col("df") <= F.greatest(middle, F.lit(RARE))), "told")
+    told = written(rare.filter("df > 0").withColumn("rare", F.col("df") <= F.greatest(F.least(middle, F.lit(MOST)), F.lit(RARE))), "told")
     rare, frequent = told.filter("rare").drop("rare"), told.filter("NOT rare")
     passages = written(docs.mapInArrow(_passages(held(rare), longest + longest // 2 + 4), FOUND), "passages")
     place = passages.select("doc_id", "tag", "at", F.explode("seeds").alias("s")).select("doc_id", "tag", "at", "s.seed", "s.place")
