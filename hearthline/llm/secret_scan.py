@@ -53,6 +53,8 @@ SIGN = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa
 SIMPLE = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\"", strict=True))
 # What a layer of bytes that are no readable text must hold to be worth a scan.
 TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|\x00")
+# What data must hold, or begin compressed, if it is decoded with signs glued to its front.
+SECRET = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
 # Long layers are cut only behind signs that are in no match and in nothing that decodes.
 CUT = re.compile(r"[,()<>!?*@\[\]|~`^$]|[^A-Za-z0-9+/_=\r\n \t-]\n|\n[ \t]*\n")
 URL_SAFE = str.maketrans("-_", "+/")
@@ -324,42 +326,56 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
 
 def _base64(layer: Layer) -> Iterator[Layer | Packed]:
     for lines in _runs(layer.text):
-        run = "".join(layer.text[a:z] for a, z in lines).rstrip("=")
-        if len(run) % 4 == 1:
-            if len(lines) == 1:
+        whole, places = "".join(layer.text[a:z] for a, z in lines).rstrip("=").translate(URL_SAFE), None
+        for shift in range(4):  # signs glued to the front move the groups of four
+            run = whole[shift:]
+            if len(run) % 4 == 1:
+                if len(lines) == 1 and not shift:
+                    continue
+                run = run[:-1]
+            try:
+                data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+            except (binascii.Error, ValueError):
                 continue
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run.translate(URL_SAFE) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.span(lines[0][0], lines[-1][1])
-        if PACKED.match(data):
-            yield Packed(data, *whole)
-        if not _readable(data) and not TELLING.search(data):
-            continue
-        place = [i for a, z in lines for i in range(a, z)] if len(lines) > 1 else range(*lines[0])
-
-        def spread(sizes: list[int], begin: list, end: list, place=place) -> None:  # three bytes to four signs
-            at = 0
-            for n in sizes:
-                s, e = layer.span(place[at // 3 * 4], place[min(len(place), (at + n - 1) // 3 * 4 + 4) - 1] + 1)
-                begin.append(s)
-                end.append(e)
-                at += n
-
-        for codec in ("utf-8", "utf-16-le", "utf-16-be") if 0 in data else ("utf-8",):
-            text = data.decode(codec, "surrogateescape" if codec == "utf-8" else "replace")
-            begin: list[int] = []
-            end: list[int] = []
-            if codec == "utf-8":
-                spread([len(c.encode("utf-8", "surrogateescape")) for c in text], begin, end)
-            else:  # what is no UTF-16 takes a unit or what is left of it
-                sizes = [4 if c > "\uffff" else 2 for c in text]
-                if sum(sizes) != len(data) and sizes:
-                    sizes[-1] = max(1, len(data) - sum(sizes[:-1]))
-                spread(sizes, begin, end)
-            yield Layer(text, begin, end)
+            m = PACKED.search(data)
+            if m and (shift or m.start()) and not _begins(data[m.start() : m.start() + 64]):
+                m = None
+            if shift and not m and not SECRET.search(data):
+                continue
+            if m is None and not (not shift and _readable(data)) and not TELLING.search(data):
+                continue
+            places = places or [i for a, z in lines for i in range(a, z)]
+            place = places[shift:]
+            if m:
+                yield Packed(data[m.start() :], *layer.span(place[m.start() // 3 * 4], place[min(len(run), len(place)) - 1] + 1))
+                if not TELLING.search(data):
+                    continue
+            yield from _decoded(layer, data, place)
+
+
+def _decoded(layer: Layer, data: bytes, place: list[int]) -> Iterator[Layer]:
+    """The text of decoded base64, of which each sign stands at a place of the layer."""
+
+    def spread(sizes: list[int], begin: list, end: list) -> None:  # three bytes to four signs
+        at = 0
+        for n in sizes:
+            s, e = layer.span(place[at // 3 * 4], place[min(len(place), (at + n - 1) // 3 * 4 + 4) - 1] + 1)
+            begin.append(s)
+            end.append(e)
+            at += n
+
+    for codec in ("utf-8", "utf-16-le", "utf-16-be") if 0 in data else ("utf-8",):
+        text = data.decode(codec, "surrogateescape" if codec == "utf-8" else "replace")
+        begin: list[int] = []
+        end: list[int] = []
+        if codec == "utf-8":
+            spread([len(c.encode("utf-8", "surrogateescape")) for c in text], begin, end)
+        else:  # what is no UTF-16 takes a unit or what is left of it
+            sizes = [4 if c > "\uffff" else 2 for c in text]
+            if sum(sizes) != len(data) and sizes:
+                sizes[-1] = max(1, len(data) - sum(sizes[:-1]))
+            spread(sizes, begin, end)
+        yield Layer(text, begin, end)
 
 
 def _wide(layer: Layer) -> Iterator[Layer]:
@@ -430,7 +446,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of the secrets of every document, one row each, wherever they are encoded.
 
     Spans are kind:start:end in code points of the whole text, end exclusive, by start, then kind. A null text reads as
-    empty and has none. No layer is cut off: very long inflated layers are scanned in pieces that end outside of matches.
+    empty and has none. No layer is cut off: very long inflated layers are scanned in pieces that end outside of matches, one
+    after the other, so that memory stays near that of the text itself. Repeated rows and equal doc_ids are rows of their
+    own, other columns are not read, and an empty table gives no rows.
     """
     return text_only(docs).mapInArrow(_rows, RESULT)
 
