@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,27 +84,41 @@ def _rows(version: int, shard_of: dict[int, int], stats: list[tuple[int, int, in
     return out
 
 
-def build_map(records: DataFrame, shards: int, path: str, previous: list[dict] | None = None) -> DataFrame:
-    """Writes the next version of the slot map to ``path``/version=N and returns it.
+def load_map(spark: SparkSession, path: str) -> list[dict]:
+    """The newest version of the slot map stored below ``path``, one row a slot; none where there is no map yet."""
+    try:
+        stored = spark.read.schema(MAP).parquet(path)
+        newest = stored.agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [r.asDict() for r in stored.filter(F.col("version") == newest).collect()] if newest is not None else []
+
+
+def build_map(records: DataFrame, shards: int, path: str) -> DataFrame:
+    """Writes the next version of the slot map to ``path``/version=N and returns it: the stored map edited, or the first one.
 
     Only the per-slot sums come to the driver: as many rows as there are virtual slots, whatever the corpus.
     """
     spark = records.sparkSession
     stats = [tuple(r) for r in slot_stats(records).select("vslot", "bytes", "rows").collect()]
+    previous = load_map(spark, path)
     rows = edited(previous, stats, shards) if previous else _rows(1, _assign(stats, shards), stats)
     version = rows[0]["version"] if rows else 1
     spark.createDataFrame(rows, MAP).coalesce(1).write.parquet(f"{path}/version={version}")
     return spark.read.schema(MAP).parquet(f"{path}/version={version}")
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = 8192, map_path: str | None = None, previous: list[dict] | None = None) -> DataFrame:
-    """Every document with its shard and its place there.
+def shard(docs: DataFrame, shards: int = 40, slots: int = 8192, map_path: str | None = None) -> DataFrame:
+    """Every document with its shard and its place there. ``map_path``: where the versions of the slot map are; a map that is stored
+    there is edited, so that only whole slots move.
 
     Returns doc_id, size, text_crc32, law ("bytes"), shard (from 0), slot (place in the shard, gapless from 0),
     grown_shard (null under this law) and vslot. Empty input gives no rows; equal rows get places of their own.
     """
     records = with_slots(docs, slots)
-    slot_map = build_map(records, shards, map_path or shared_dir(docs.sparkSession, "slot-map"), previous)
+    slot_map = build_map(records, shards, map_path or shared_dir(docs.sparkSession, "slot-map"))
     place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     held = F.broadcast(slot_map.select("vslot", "shard", "first_slot"))  # one row a slot: at most ``slots`` rows
     return records.withColumn("place", place).join(held, "vslot").select(
