@@ -24,10 +24,12 @@ from ._common import ship, table, text_only, written
 
 ship(__name__)
 
-KEY = b"hearthline"
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\w]|\.[0-9])")
 NUMBER = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?)?[0-9]{2,}(?:[ .-][0-9]{2,})*(?![\w]|[.-][0-9])")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-](?:0[1-9]|1[0-2])[ .-](?:0[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0[1-9]|[12][0-9]|3[01])[ .-](?:0[1-9]|1[0-2])[ .-](?:19|20)[0-9]{2}(?![0-9])")
+# Country codes of two digits; 1 and 7 have one digit, all others three.
+COUNTRIES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 IBAN = re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")
 # Titles before a name, and the gender they tell (m, f, or n where they tell none).
@@ -112,7 +114,9 @@ def entities(text: str) -> list[tuple[int, int, str, str, str | None]]:
             out.append((m.start(), m.end(), "ssn", digits))
         elif 13 <= len(digits) <= 19 and "+" not in m[0] and "(" not in m[0] and luhn(digits[:-1]) == int(digits[-1]):
             out.append((m.start(), m.end(), "card", digits))
-        elif 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(digits) >= 9 and len(re.findall(r"[0-9]+", m[0])) >= 3):
+        elif DATE.match(m[0]):
+            continue
+        elif 7 <= len(digits) <= 15 and ("+" in m[0] or "(" in m[0] or len(digits) >= 9 and len(re.findall(r"[0-9]+", m[0])) >= (2 if digits[0] == "0" else 3)):
             out.append((m.start(), m.end(), "phone", digits))
         elif 13 <= len(digits) <= 19 and len(digits) == len(m[0]):
             out.append((m.start(), m.end(), "number", digits))
@@ -172,7 +176,12 @@ def _same_format(text: str, fixed: set[int], key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
+def _country(canon: str) -> set[int]:
+    """The places of the country code with which a phone number may begin; a national one keeps its first digit."""
+    return {0} if canon[0] in "017" else {0, 1} if canon[:2] in COUNTRIES else {0, 1, 2}
+
+
+def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of an entity in canonical form; each ``attempt`` has a permutation of its own.
 
     Where a format has no free values left (eight attempts in a row), every eight attempts add a sign."""
@@ -187,9 +196,11 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
         body = _same_format(canon[:-1] + "0" * longer, {0}, key, tweak)
         return body + str(luhn(body))
     if kind == "iban":
-        return _same_format(canon + "0" * longer, {0, 1}, key, tweak)
+        body = _same_format(canon[4:] + "0" * longer, set(), key, f"{tweak}|{canon[:2]}")
+        check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
+        return f"{canon[:2]}{check:02d}{body}"
     if kind in ("phone", "ssn", "number"):
-        return _same_format(canon + "0" * longer, {0}, key, tweak)
+        return _same_format(canon + "0" * longer, _country(canon) if kind == "phone" else {0}, key, tweak)
     _, *gender, letters = kind.split("-")
     syllables = SYLLABLES[letters]
     size = len(syllables) ** (4 + longer)
@@ -224,12 +235,12 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _drawn(key: bytes):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(value=[surrogate(k, c, int(a), key) for k, c, a in zip(f["kind"], f["canon"], f["attempt"], strict=True)])
+            yield f.assign(value=[surrogate(k, c, key, int(a)) for k, c, a in zip(f["kind"], f["canon"], f["attempt"], strict=True)])
 
     return rows
 
 
-def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, value): one surrogate for each entity of ``found``, all distinct, none of them an entity itself.
 
     A round draws for the entities without a good one and checks by joins; the loser of a collision draws again. Nothing
@@ -278,11 +289,13 @@ def settled(found: DataFrame) -> DataFrame:
     return given.unionByName(found.filter("person IS NULL")).drop("person")
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with every entity replaced, n_entities, kinds and spans (start:end in the old text) of each document.
 
-    A null text stays null and an empty one empty, with no entities. The same entity gets the same surrogate in all
-    documents and rows; a document's spans are handled in one row, as its text is.
+    Whoever has the ``key`` can undo the permutations: it is the caller's secret. A null text stays null and an empty one
+    empty, with no entities. The same entity gets the same surrogate in all documents and rows, null and repeated doc_ids
+    too; a document's spans are handled in one row, as its text is, however long. Other columns are not read. An empty
+    table gives no rows.
     """
     docs = text_only(docs).withColumn("tag", F.xxhash64("text"))
     found = written(settled(written(docs.mapInArrow(_found, ENTITY), "mentions")), "found")
@@ -293,4 +306,6 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents"))
+    """The key comes from the session (hearthline.surrogates.key); without one, a key for demonstration that hides nothing."""
+    key = spark.conf.get("hearthline.surrogates.key", "for demonstration only")
+    return replace(table(spark, sf_dir, "documents"), key.encode())
