@@ -47,11 +47,20 @@ def record(t: Tables) -> DataFrame:
     return t.listing.join(f, "property_id").join(c, "property_id").select("property_id", F.struct("name").alias("basic_info"), F.struct("city", "region").alias("location"), "features", "configurations")
 
 
-@query("e5_format_dispatch", "SELECT count(DISTINCT f) AS formats, count(*) AS rows FROM listing, (SELECT unnest(['standard', 'airtable', 'crm']) AS f) x")
+@query("e5_format_dispatch", """
+, f AS (SELECT property_id, string_agg(DISTINCT name, ', ' ORDER BY name) AS features, count(DISTINCT name) AS n FROM feature GROUP BY 1), c AS (SELECT property_id, count(*) AS configurations FROM configuration GROUP BY 1),
+r AS (SELECT * FROM listing JOIN f USING (property_id) JOIN c USING (property_id))
+SELECT property_id, 'standard' AS format, name || '|' || city || '|' || region || '|' || features || '|' || configurations AS record FROM r
+UNION ALL SELECT property_id, 'airtable', name || '|' || city || '|' || region || '|' || features FROM r
+UNION ALL SELECT property_id, 'crm', name || '|' || city || ', ' || region || '|' || n || '|' || configurations FROM r""")
 def e5(t: Tables) -> DataFrame:
-    kinds = [E.shaped(record(t), f).select("property_id", F.lit(f).alias("f")) for f in ("standard", "airtable", "crm")]
-    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-    return every.agg(F.count_distinct("f").alias("formats"), F.count(F.lit(1)).alias("rows"))
+    """The three formats of each record, each as one text of all its fields."""
+    fields = {
+        "standard": ("basic_info.name", "location.city", "location.region", F.array_join("features", ", "), F.size("configurations")),
+        "airtable": ("basic_name", "location_city", "location_region", "features"), "crm": ("title", "place", "features", "configurations"),
+    }
+    kinds = [E.shaped(record(t), f).select("property_id", F.lit(f).alias("format"), F.concat_ws("|", *c).alias("record")) for f, c in fields.items()]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 @query("e6_job_detail", """

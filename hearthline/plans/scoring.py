@@ -43,12 +43,17 @@ def q1(t: Tables) -> DataFrame:
     return d.select("property_id", total.cast("long").alias("total"), filled.cast("long").alias("filled"), S.completeness(F.col("doc"), kind).alias("completeness"))
 
 
-@query("q2_presence", NODE1 + """
-SELECT k AS property_id, unnest(['basic_info.guarantor_required', 'basic_info.property_type', 'basic_info.contact.phone', 'location.latitude', 'features', 'location.postcode', 'basic_info.name']) AS path, unnest([g, p, ph, co, fe, 0, 1]) AS present FROM q""")
+PRESENT = {
+    "basic_info": "1", "basic_info.name": "1", "basic_info.guarantor_required": "g", "basic_info.property_type": "p", "basic_info.contact": "1", "basic_info.contact.phone": "ph", "location": "1", "location.location_name": "1",
+    "location.latitude": "co", "location.longitude": "co", "location.city": "1", "location.region": "1", "location.postcode": "0", "features": "fe",
+}
+
+
+@query("q2_presence", NODE1 + f"""
+SELECT k AS property_id, unnest({list(PRESENT)}) AS path, unnest([{', '.join(PRESENT.values())}]) AS present FROM q""")
 def q2(t: Tables) -> DataFrame:
     d, kind = _schema(t)
-    rows = d.select("property_id", F.explode(F.array(*S.presence(F.col("doc"), kind))).alias("x")).select("property_id", "x.*")
-    return rows.filter(F.col("path").isin("basic_info.guarantor_required", "basic_info.property_type", "basic_info.contact.phone", "location.latitude", "features", "location.postcode", "basic_info.name"))
+    return d.select("property_id", F.explode(F.array(*S.presence(F.col("doc"), kind))).alias("x")).select("property_id", "x.*")
 
 
 @query("q3_confidence_node1", NODE1 + """

@@ -11,7 +11,7 @@ from hearthline import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["k7_configuration_table", "n7_weekly_and_total", "m3_attach_tenancies", "v13_document", "q1_completeness", "j3_queue_order", "l4_anchors", "c3_c4_packing", "h6_definitions", "f2_question_lines", "e2_long_rows", "r9_counts_by_hour"]
+SAMPLE = ["k7_configuration_table", "n7_weekly_and_total", "m3_attach_tenancies", "v13_document", "q1_completeness", "j3_queue_order", "l4_anchors", "c3_c4_packing", "h6_definitions", "f2_question_lines", "e2_long_rows", "r9_counts_by_hour", "x_fragment_bodies", "x9_x14_widgets", "x_html_fragments", "l8_frontier", "v9_node2", "v11_node4", "k6_diff_report", "k12_known_sites", "h2_places", "f6_policy_snippets", "j10_newest_kept", "r2_job_states", "e5_format_dispatch", "q2_presence"]
 
 
 def rows(columns, data):
