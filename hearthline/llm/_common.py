@@ -49,6 +49,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the table that ``written`` gave, once nothing reads it any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of about BATCH_BYTES, as texts may be long; a lower bound in bytes that the session has stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import discarded, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node that some edge (a, b) of ``edges`` touches.
 
-    Each round halves the depth of what is left, and is written to the shared folder. Self-loops and repeats are fine;
+    Each round halves the depth of what is left, and is written to the shared folder; the round before is then deleted. Self-loops and repeats are fine;
     no edges give no rows.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -27,4 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        e, old = written(small, "edges"), e
+        discarded(old)
