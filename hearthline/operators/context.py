@@ -6,22 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import any_of
-
 # Categories in order of priority, with the share (1 / n) of the budget that a page may take.
 CATEGORIES = {
     "room_config_detail": (1, 5), "tenancy_pricing": (2, 5), "tenancy_academic": (3, 6), "room_config": (4, 6), "tenancy": (5, 7), "pricing": (6, 7),
     "room_visual": (7, 8), "academic": (8, 9), "features": (9, 10), "policies": (10, 12), "general": (99, 15),
 }
-# Words of an address that tell its category; the second group, where there is one, tells the finer one.
+# Patterns of an address that tell its category; the second group, where there is one, tells the finer one.
 RULES = (
     (("room", "studio", "apartment", "flat", "accommodation", "ensuite", "en-suite"), ("detail", "info", "spec", "configuration", "option", "variant"), "room_config_detail", "room_config"),
     (("configuration", "config", "option", "variant", "type", "style"), (), "", "room_config"),
-    (("floorplan", "floor-plan", "layout", "diagram", "gallery", "photo", "view"), (), "", "room_visual"),
+    ((r"floor\s*plan", "layout", "diagram", "gallery", "photo", "view"), (), "", "room_visual"),
     (("tenancy", "contract", "lease", "term", "duration", "agreement"), ("price", "cost", "fee", "rent", "deposit", "rate"), "tenancy_pricing", "tenancy"),
-    (("price", "pricing", "cost", "fee", "rent", "deposit"), ("weekly", "monthly", "pw", "pm", "perweek", "per-week", "permonth", "per-month"), "tenancy_pricing", "pricing"),
+    (("price", "pricing", "cost", "fee", "rent", "deposit"), ("weekly", "monthly", "pw", "pm", r"per\s*week", r"per\s*month"), "tenancy_pricing", "pricing"),
     (("booking", "reservation", "availability", "apply", "enquire"), (), "", "tenancy"),
-    (("semester", "academicyear", "academic-year", "term", "session"), ("tenancy", "contract", "booking", "availability"), "tenancy_academic", "academic"),
+    (("semester", r"academic\s*year", "term", "session"), ("tenancy", "contract", "booking", "availability"), "tenancy_academic", "academic"),
     (("feature", "amenity", "facility", "furniture", "equipped"), (), "", "features"),
     (("faq", "policy", "policies", "rule", "condition", "requirement"), (), "", "policies"),
 )
@@ -31,8 +29,8 @@ LEAST_HEADER = 16  # signs of the shortest header: so many pages at most share a
 def category(url: Column) -> Column:
     u, out = F.lower(url), F.lit("general")
     for words, finer, special, plain in reversed(RULES):
-        name = F.when(any_of(u, finer), special).otherwise(plain) if finer else F.lit(plain)
-        out = F.when(any_of(u, words), name).otherwise(out)
+        name = F.when(u.rlike("|".join(finer)), special).otherwise(plain) if finer else F.lit(plain)
+        out = F.when(u.rlike("|".join(words)), name).otherwise(out)
     return out
 
 

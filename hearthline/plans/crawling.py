@@ -242,7 +242,8 @@ def x6(t: Tables) -> DataFrame:
 
 
 MOST = 4000
-CATEGORY = "CASE " + " ".join(f"WHEN {LIKE(w)} THEN " + (f"CASE WHEN {LIKE(f)} THEN '{s}' ELSE '{p}' END" if f else f"'{p}'") for w, f, s, p in C.RULES) + " ELSE 'general' END"
+MATCHES = lambda words: f"regexp_matches(p, '{'|'.join(words)}')"
+CATEGORY = "CASE " + " ".join(f"WHEN {MATCHES(w)} THEN " + (f"CASE WHEN {MATCHES(f)} THEN '{s}' ELSE '{p}' END" if f else f"'{p}'") for w, f, s, p in C.RULES) + " ELSE 'general' END"
 RANKS = "CASE category " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in C.CATEGORIES.items()) + " END"
 SHARES = "CASE category " + " ".join(f"WHEN '{k}' THEN {MOST // v[1]}" for k, v in C.CATEGORIES.items()) + " END"
 CATEGORIZED = f", g0 AS (SELECT page_id, url, html, {HOST} AS site, lower(url || CASE WHEN page_id % 3 = 0 THEN '/room-detail' WHEN page_id % 5 = 0 THEN '/price-weekly' WHEN page_id % 7 = 0 THEN '/faq' ELSE '' END) AS p FROM pages), g AS (SELECT *, {CATEGORY} AS category FROM g0)"
