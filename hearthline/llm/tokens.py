@@ -32,7 +32,7 @@ from ._words import chunks
 ship(__name__)
 
 BLOCK_BITS = 512
-FILE_TOKENS = 2 << 20
+FILE_TOKENS = 8 << 20
 CACHE_UNITS = 1_000_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: what splits the texts of such a vocabulary
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
@@ -320,9 +320,11 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids before it in all files), n_tokens, ids_crc32 and file of every document, from the files."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    files = manifest.withColumn("first", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    files = files.select("path", "first").repartition(min(max(1, manifest.count()), 100_000))
+    # one row a partition of the writer, then the files of each
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).withColumn("of_parts", before(Window.orderBy("part"))).drop("tokens")
+    files = manifest.withColumn("of_files", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part")
+    files = files.select("path", (F.col("of_parts") + F.col("of_files")).alias("first")).repartition(min(max(1, manifest.count()), 100_000))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -340,7 +342,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def encode_to_files(docs: DataFrame, folder: str | None = None, name: str = "word_bpe_49k.json", end_id: int | None = 2) -> DataFrame:
-    """Writes the ids of ``docs`` and reads the files back; an empty table gives no files and no rows."""
+    """Writes the ids of ``docs`` and reads the files back; an empty table gives no files and no rows. Other columns are not read."""
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, name, end_id), folder)
 

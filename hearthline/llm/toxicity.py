@@ -8,6 +8,7 @@ gradient goes through each text's highest window.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -273,20 +274,47 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 500, clean_rows: int = 1000, most_chars: int = 4000) -> Network:
     """Trained on a bounded sample of the labelled rows that are not held out: ``toxic_rows`` and ``clean_rows`` in order of
-    a hash of doc_id, of which those with texts over ``most_chars`` characters are left out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).dropDuplicates(["doc_id"])
+    a hash of doc_id, of which those with texts over ``most_chars`` characters are left out. A doc_id with labels of both kinds
+    counts as toxic; of several texts of one doc_id the least is taken, so that no doc_id brings more than one row."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda t, n: known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, toxic_rows).union(pick(0, clean_rows)))  # bounded by the two parameters
-    rows = text_only(docs).filter(F.length("text") <= most_chars).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda x: (x[0], x[1]))
+    rows = text_only(docs).filter(F.length("text") <= most_chars).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text"), F.max("toxic")).collect()
+    rows.sort(key=lambda x: x[0])
     net = train([x[1] for x in rows], [x[2] for x in rows])
     del rows
     release()
     return net
 
 
+def save(net: Network, uri: str) -> None:
+    """Stores a network as one file, in any store that pyarrow opens by its address."""
+    from pyarrow import fs
+
+    out = io.BytesIO()
+    np.savez(out, vocabulary=net.vocabulary, word_odds=net.word_odds, gram_odds=net.gram_odds, base=net.base, **{f"p_{k}": v for k, v in net.p.items()})
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(path) as f:
+        f.write(out.getvalue())
+
+
+def load(uri: str) -> Network:
+    """A stored network, to score with as often as wanted after one training."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        kept = np.load(io.BytesIO(f.read()))
+    net = Network(kept["vocabulary"], kept["word_odds"], kept["gram_odds"], float(kept["base"]))
+    net.p = {k[2:]: kept[k] for k in kept.files if k.startswith("p_")}
+    return net
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.5) of every document; null and empty texts get the base rate."""
+    """doc_id, held_out, score and predicted (score >= 0.5) of every document; null and empty texts get the base rate.
+
+    Repeated rows and equal or null doc_ids are rows of their own, and equal texts score alike. Very long texts are scored
+    in all their windows. Other columns are not read. An empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,33 @@ def test_decontaminate_frequent_edited_copy(spark):
     assert all((r.first_word, r.last_word) == (r.doc_id % 50, r.doc_id % 50 + 59) and abs(r.score - 84 / 120) < 0.01 for r in got if r.doc_id)
 
 
+def test_decontaminate_against_brute_force(spark, sf, monkeypatch):
+    d, rows = docs_of(spark, sf)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    word = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
+    numbers: dict = {}
+    code = lambda t: np.array([numbers.setdefault(brute.lower(x), len(numbers)) for x in word.findall(t or "")], np.int64)
+    grams = lambda c: set(zip(c, c[1:], c[2:], strict=False))
+    items, texts, want = {r.item_id: code(r.text) for r in bench.collect()}, {i: code(t) for i, t in rows}, {}
+    for j, item in items.items():
+        for i, text in texts.items():
+            if grams(item) & grams(text) and (score := decontaminate.align(item, text)[0] / (2 * len(item))) >= decontaminate.LEAST:
+                want[i, j] = round(score, 9)
+    assert want
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.matches(d, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "MOST", 1)  # nearly all seeds by the way of the frequent ones
+    monkeypatch.setattr(decontaminate, "RARE", 1)
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.matches(d, bench).collect()} == want
+
+
+def test_decontaminate_long_chains_of_hits(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LONG", 1)
+    item = [f"i{k}" for k in range(30)]
+    text = " ".join(f"x{k} i3 i4 i5 y{k}" for k in range(900)) + " " + " ".join(item) + " " + " ".join(f"z{k} i8 i9 i10" for k in range(300))
+    got = decontaminate.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.score, r.first_word, r.last_word) for r in got] == [(1.0, 4500, 4530)]
+
+
 def test_alignment_is_smith_waterman():
     r = np.random.default_rng(1)
     for _ in range(50):
@@ -101,6 +128,20 @@ def test_map_is_edited_by_whole_slots():
     assert sharding.edited(two, stats, 5)[0]["version"] == 3
 
 
+def test_map_is_stored_and_edited_from_disk(spark, sf, tmp_path):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    path = f"file://{tmp_path}/map"
+    assert sharding.load_map(spark, path) == []
+    one = {r.doc_id: r for r in sharding.shard(d, shards=4, slots=64, map_path=path).collect()}
+    two = {r.doc_id: r for r in sharding.shard(d, shards=5, slots=64, map_path=path).collect()}
+    stored = sharding.load_map(spark, path)
+    assert {m["version"] for m in stored} == {2} and {m["vslot"]: m["shard"] for m in stored} == {r.vslot: r.shard for r in two.values()}
+    moved = {one[i].vslot for i in one if one[i].shard != two[i].shard}
+    assert 0 < len(moved) < 32 and all((one[i].vslot in moved) == (one[i].shard != two[i].shard) for i in one)
+    same = {r.doc_id: r.shard for r in sharding.shard(d, shards=5, slots=64, map_path=path).collect()}
+    assert same == {i: r.shard for i, r in two.items()}
+
+
 # 3
 def test_top_k(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
@@ -146,18 +187,18 @@ def test_cover_tree_and_pruning(spark):
         assert all(math.dist(a, b) > topk.BASE**level for i, a in enumerate(net) for b in net[:i])
     d = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     v = np.floor(256 * x)
-    for block in (16384, 800):
+    for block, most in ((16384, 0.3), (800, 0.9)):
         got = topk.top_k(d, every=10, block=block).collect()
         for q in range(0, len(x), 10):
             want = sorted((-int(v[q] @ v[c]), c) for c in range(len(x)) if c != q)[:5]
             assert [(-g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])] == want
         share = sum(g.scored for g in got if g["rank"] == 1) / (300 * len(x))
-        assert share < 0.4, share
+        assert share < most, share
 
 
 # 4
 def test_substrings(spark, sf, odd, none):
-    d, rows = docs_of(spark, sf)
+    d, rows = docs_of(spark, sf.replace("sf0.001", "sf0.01"))
     want = {i: (n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, (n, k) in brute.repeated_windows(rows).items()}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(d).collect()} == want
     got = substrings.dedup(odd).collect()
@@ -170,6 +211,17 @@ def test_substrings(spark, sf, odd, none):
     assert by[2] == {(0, 0)} and by[8] == {(80, 80)} and next(iter(by[7]))[1] > 0
 
 
+def test_substrings_against_brute_force_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PART", 500)
+    monkeypatch.setattr(substrings, "SEEN", 5)
+    r = np.random.default_rng(8)
+    phrases = [" ".join(f"p{g}w{i}" for i in range(40)) for g in range(5)]
+    rows = [(int(i), " ".join(phrases[int(r.integers(5))][int(r.integers(60)) :] if r.random() < 0.7 else f"own{i}x{k} " * int(r.integers(1, 9)) for k in range(6))) for i in r.permutation(80)]
+    want = {i: (n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, (n, k) in brute.repeated_windows(rows).items()}
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == want and any(n for _, n, _ in want.values())
+
+
 def test_substrings_hot_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(300)]
@@ -206,7 +258,7 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - d[at]) < 1e-2 * max(1e-3, abs(d[at])) + 2e-4, name
 
 
-def test_toxicity(spark, sf, odd, none):
+def test_toxicity(spark, sf, odd, none, tmp_path):
     big = sf.replace("sf0.001", "sf0.01")
     d = spark.read.parquet(f"{big}/documents.parquet")
     labels = spark.read.parquet(f"{big}/labels.parquet")
@@ -215,12 +267,22 @@ def test_toxicity(spark, sf, odd, none):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows) and all(0 <= r.score <= 1 for r in rows)
     pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in rows if a.toxic for b in rows if not b.toxic]
     assert np.mean(pairs) > 0.9
+    toxicity.save(net, f"file://{tmp_path}/net")
+    texts = pa.array([r.text for r in d.select("text").limit(50).collect()], pa.string())
+    assert (toxicity.load(f"file://{tmp_path}/net").scores(texts) == net.scores(texts)).all()
     got = toxicity.score(odd, net).collect()
     assert len(got) == 12 and all(r.predicted == (r.score >= 0.5) for r in got) and toxicity.score(none, net).count() == 0
     assert toxicity.score(odd.filter("false"), toxicity.train([], [])).count() == 0
     assert {r.predicted for r in toxicity.score(odd, toxicity.train(["a"], [0])).collect()} == {0}
 
 
+def test_labels_that_contradict(spark):
+    d = spark.createDataFrame([(i, "you idiot fool" if i % 2 else "kind words here") for i in range(80)] + [(1, "a text of the same id")] * 3, "doc_id long, text string")
+    labels = [(i, 0, i % 2) for i in range(80)] + [(i, 0, 0) for i in range(1, 80, 2)]
+    one, two = (toxicity.fit(d, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, labels[::-1]))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p) and one.scores(pa.array(["you idiot fool"]))[0] > 0.5
+
+
 def test_all_windows_are_scored():
     toxic = [" ".join(["kind words here"] * (i % 9) + ["you idiot fool"] + ["kind words here"] * (15 - i)) for i in range(15)]
     net = toxicity.train(toxic * 3 + [" ".join(["kind words here"] * i) for i in range(1, 20)] * 3, [1] * 45 + [0] * 57)
@@ -230,10 +292,24 @@ def test_all_windows_are_scored():
 
 
 # 6
+KEY = b"a key of the tests"
+
+
+def test_surrogates_of_formats():
+    kinds = lambda t: [(e[2], t[e[0] : e[1]]) for e in surrogates.entities(t)]
+    assert kinds("on 2024-01-02 12:30 and 02.01.2024, call 030 1234567 or +49 30 1234567") == [("phone", "030 1234567"), ("phone", "+49 30 1234567")]
+    assert kinds("to DE89 3704 0044 0532 0130 00 now") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    for k in range(20):
+        iban = surrogates.surrogate("iban", "DE89370400440532013000", KEY, k)
+        assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+        for number, code in (("4930123456789", "49"), ("35312345678", "353"), ("19885552485", "1"), ("0301234567", "0")):
+            assert surrogates.surrogate("phone", number, KEY, k).startswith(code) and surrogates.surrogate("phone", number, KEY, k) != surrogates.surrogate("phone", number, b"other", k)
+
+
 def test_surrogates(spark, odd, none):
     a = "Mail Jo.Do@mail.example.com or jo.do@mail.example.com, call +1 (988) 555-2485, card 4944339490429605, ip 44.161.181.40. Mr John Smith and Frau Smith met госпожа Анна Петрова."
     rows = [(1, a), (2, "again 1 (988) 555-2485? no: +1 988 555 2485; SMITH alone; Mr SMITH"), (3, None), (4, ""), (1, a), (5, "token e3b3ed3cc8548923d6 1234 and 2024-01-02 stay")]
-    got = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     one = [r for r in got if r.doc_id == 1]
     assert len(one) == 2 and one[0].text == one[1].text and one[0].n_entities == len(one[0].kinds) == 10
     text = one[0].text
@@ -254,13 +330,13 @@ def test_surrogates(spark, odd, none):
     assert given.endswith("n") and text.split("госпожа ")[1].split(" ")[0].endswith("на")
     by = {r.doc_id: r for r in got}
     assert by[3].text is None and by[4].text == "" and by[5].text == rows[5][1]
-    assert surrogates.replace(none).count() == 0 and surrogates.replace(odd).count() == 12
+    assert surrogates.replace(none, KEY).count() == 0 and surrogates.replace(odd, KEY).count() == 12
 
 
 def test_surrogates_of_bare_mentions_and_gender(spark):
     a = "John came. Mr John Smith left, Smith said; JOHN and Smith's dog, O'Brien-like Blacksmith, smith, john smith, mail smith@x.org. Dr O'Brien's car, O'Brien's. Dr Anna Petrova, Anna"
     rows = [(1, a), (2, "Frau Anna Petrova came, and Petrova left; Smith stays"), (3, "Dr Anna Maier"), (4, "Mrs Smith I think, I know")]
-    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     given, family = re.match(r"(\w+) came\. Mr \1 (\w+) left, \2 said; ", got[1]).groups()
     brien, anna, petrova = re.search(r"Dr (\w+)'s car, \1's\. Dr (\w+) (\w+), \2$", got[1]).groups()
     assert f"; {given.upper()} and {family}'s dog, {brien}-like Blacksmith, smith, {given.lower()} {family.lower()}, mail " in got[1]
@@ -270,7 +346,7 @@ def test_surrogates_of_bare_mentions_and_gender(spark):
 
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"], "kind string, canon string")
-    got = surrogates.surrogates(found).collect()
+    got = surrogates.surrogates(found, KEY).collect()
     assert len({r.value for r in got}) == len({r.canon for r in got}) == 400 and not {r.value for r in got} & {r.canon for r in got}
 
 
@@ -281,7 +357,7 @@ def test_permutation():
 
 # 7
 def test_jaccard(spark, sf, odd, none):
-    d, rows = docs_of(spark, sf)
+    d, rows = docs_of(spark, sf.replace("sf0.001", "sf0.01"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(d).collect()} == brute.jaccard_components(rows)
     got = jaccard.join(odd).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in got}
@@ -432,6 +508,38 @@ def test_secrets_in_nested_layers(monkeypatch):
         assert secret_scan.scan(b64(gzip.compress(b"a, b." + b" w" * n + b" password:      abcdefghijkl" + b", x" * 30)))[1], n
 
 
+def test_secrets_glued_and_in_a_bomb():
+    import tracemalloc
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    plain = b"secret: abcdefgh12345 and some more words"
+    for front in ("x/", "a", "abc/", "path/to/", "x-"):
+        for name, x in (("plain", b64(plain)), ("gzip", b64(gzip.compress(plain)))):
+            spans = secret_scan.scan("é " + front + x + " end")[1]
+            assert spans and all(k == 0 and 2 <= a < z <= 2 + len(front + x) for a, k, z in spans), (front, name)
+    bomb = b64(gzip.compress(b"some words, and more of them. " * 2_000_000 + plain))
+    tracemalloc.start()
+    assert len(secret_scan.scan("see " + bomb + " there")[1]) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak  # 60 MB are inflated
+
+
+def test_secrets_of_all_documents(spark, sf):
+    """Base matches against plain patterns over the whole table."""
+    d, rows = docs_of(spark, sf.replace("sf0.001", "sf0.01"))
+    patterns = (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA([A-Z0-9]+)", r"([0-9a-f]+)")
+    want = {}
+    for i, t in rows:
+        found = []
+        for k, (p, least) in enumerate(zip(patterns, (8, 12, 32), strict=True)):
+            found += [(m.start(), k, m.end()) for m in re.finditer(p, t or "", re.I | re.A if k == 0 else 0) if len(m[1]) >= least]
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in sorted(found))
+        want[i] = (*(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(joined.encode()).hexdigest())
+    got = secret_scan.scan_documents(d).collect()
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got} == want and sum(n for n, *_ in want.values())
+
+
 # 10
 def test_tokens(spark, sf, odd, none):
     d, rows = docs_of(spark, sf)
@@ -448,6 +556,22 @@ def test_tokens(spark, sf, odd, none):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and tokens.encode_to_files(none).count() == 0
 
 
+def test_tokens_of_stored_files(spark, sf, tmp_path):
+    """Any token by its place in the files of a query, over several files and partitions."""
+    d, rows = docs_of(spark, sf)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = tokens.write_tokens(d.repartition(3), folder, file_tokens=20_000)
+    got = {r.doc_id: r for r in tokens.read_tokens(manifest, folder).collect()}
+    assert len({r.file for r in got.values()}) > 3 and sum(r.tokens for r in manifest.collect()) == sum(r.n_tokens for r in got.values())
+    files = {f: tokens.Packed((tmp_path / "tokens" / f).read_bytes()) for f in {r.file for r in got.values()}}
+    starts = {f: min(r.start for r in got.values() if r.file == f) for f in files}
+    tok = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json")).tok
+    for i, t in rows[::9]:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        r = got[i]
+        assert r.n_tokens == len(ids) and [files[r.file].token(r.start - starts[r.file] + k) for k in range(0, len(ids), 7)] == ids[::7]
+
+
 def test_pieces_encode_as_texts(monkeypatch):
     e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
     assert e.units is not None
