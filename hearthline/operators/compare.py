@@ -81,6 +81,23 @@ def side_by_side(configurations: DataFrame, pairs: DataFrame, name: str, columns
     return left.join(right, ["ours", "theirs", name], "full_outer").withColumn("in_ours", F.coalesce("in_ours", F.lit(False))).withColumn("in_theirs", F.coalesce("in_theirs", F.lit(False)))
 
 
+def configuration_rows(configurations: DataFrame, pairs: DataFrame, name: str = "config_name") -> tuple[DataFrame, DataFrame]:
+    """(ours, theirs, path, delta) of what is missing, of price deviations and tenancy matches, and (ours, theirs, rate) of
+    configurations that both have; from one join. Needs price and keys (the tenancy lengths)."""
+    c = configurations.select("property_id", name, "price", "keys")
+    ours = pairs.join(c.withColumnRenamed("property_id", "ours"), "ours")
+    theirs = c.select(F.col("property_id").alias("theirs"), name, F.col("price").alias("their_price"), F.col("keys").alias("their_keys"), F.lit(True).alias("matched"))
+    d = ours.join(theirs, ["theirs", name], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    row = lambda suffix, delta, kept: F.when(kept, F.struct(F.concat(F.lit("configurations["), F.col(name), F.lit("]" + suffix)).alias("path"), delta.cast("double").alias("delta")))
+    told = F.array(
+        row("", F.lit(None), ~F.col("matched")),
+        row(".Pricing.deviation_pct", deviation(F.col("price"), F.col("their_price")), F.col("matched") & (F.col("their_price") != 0) & F.col("price").isNotNull()),
+        row(".tenancies.match_ratio", jaccard(F.col("keys"), F.col("their_keys")), F.col("matched") & (F.size("keys") > 0) & (F.size("their_keys") > 0)),
+    )
+    rows = d.select("ours", "theirs", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("x")).select("ours", "theirs", "x.*")
+    return rows, d.groupBy("ours", "theirs").agg(F.avg(F.col("matched").cast("int")).alias("rate"))
+
+
 def configuration_table(configurations: DataFrame, pairs: DataFrame, name: str = "config_name") -> DataFrame:
     """Price and option counts of both sides, their price against ours in whole percent, and what each side lacks.
 

@@ -83,12 +83,11 @@ UNION ALL SELECT ours, theirs, 'summary.configuration_match_rate', avg((q IS NOT
 def k6(t: Tables) -> DataFrame:
     """Differences and summary in long form."""
     names = pairs(t).join(t.listing.select(F.col("property_id").alias("ours"), F.col("name").alias("a")), "ours").join(t.listing.select(F.col("property_id").alias("theirs"), F.col("name").alias("b")), "theirs").filter("a <> b")
-    null = F.lit(None).cast("double").alias("delta")
-    rows = names.select("ours", "theirs", F.lit("basic_info.name").alias("path"), null).unionByName(k4(t).select("ours", "theirs", "path", null))
-    rows = rows.unionByName(k1(t).select("ours", "theirs", F.concat(F.lit("configurations["), "config_name", F.lit("].Pricing.deviation_pct")).alias("path"), F.col("deviation").alias("delta")))
-    rows = rows.unionByName(k3(t).select("ours", "theirs", F.concat(F.lit("configurations["), "config_name", F.lit("].tenancies.match_ratio")).alias("path"), F.col("ratio").alias("delta")))
+    c = t.tenancy.groupBy("property_id", "config_name").agg(F.min("p_retailprice").alias("price"), F.collect_set(duration_key(F.col("length_text"))).alias("keys"))
+    found, rates = K.configuration_rows(c, pairs(t))
+    rows = found.unionByName(names.select("ours", "theirs", F.lit("basic_info.name").alias("path"), F.lit(None).cast("double").alias("delta")))
     rows = rows.unionByName(k2(t).select("ours", "theirs", F.lit("summary.amenity_overlap_pct").alias("path"), (F.col("overlap") * 100).alias("delta")))
-    return rows.unionByName(k5(t).select("ours", "theirs", F.lit("summary.configuration_match_rate").alias("path"), F.col("rate").alias("delta")))
+    return rows.unionByName(rates.select("ours", "theirs", F.lit("summary.configuration_match_rate").alias("path"), F.col("rate").alias("delta")))
 
 
 def rated(t: Tables) -> DataFrame:
