@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -113,6 +114,18 @@ class Node:
         return " ".join(" ".join(out).split())
 
 
+@lru_cache(maxsize=1000)
+def _parsed(selector: str) -> tuple[str, str, str, str, str]:
+    """Where a page lists what a selector may match, and the tag and value that it asks for beyond that."""
+    tag, mark, rest = re.match(r"([a-z0-9]*)([.\[]?)(.*)", selector).groups()
+    if not mark:
+        return tag, "", "", "", ""
+    if mark == ".":
+        return "." + rest, tag, "", "", ""
+    name, how, value = re.match(r"([^=*\]]+)(\*?=?)(.*)\]$", rest).groups()
+    return f"[{name}]", tag, name, how, value
+
+
 class Page(HTMLParser):
     """The elements of a page in order, found again by tag, class and attribute; tolerant of tags left open."""
 
@@ -157,16 +170,12 @@ class Page(HTMLParser):
 
     def matching(self, selector: str) -> list[Node]:
         """Elements by "tag", ".class", "tag.class", "[attribute]", "[attribute=value]", "[attribute*=part]", these with a tag too."""
-        tag, mark, rest = re.match(r"([a-z0-9]*)([.\[]?)(.*)", selector).groups()
-        if mark == ".":
-            found = self.by.get("." + rest, [])
-        elif mark:
-            name, how, value = re.match(r"([^=*\]]+)(\*?=?)(.*)\]$", rest).groups()
-            found = self.by.get(f"[{name}]", [])
-            if how:
-                found = [n for n in found if (value in n.attrs[name] if how == "*=" else value == n.attrs[name])]
-        else:
-            return self.by.get(tag, [])
+        key, tag, name, how, value = _parsed(selector)
+        found = self.by.get(key)
+        if not found:
+            return []
+        if how:
+            found = [n for n in found if (value in n.attrs[name] if how == "*=" else value == n.attrs[name])]
         return [n for n in found if n.tag == tag] if tag else found
 
     def select(self, selectors: tuple[str, ...], inside: Node | None = None) -> list[tuple[Node, str]]:

@@ -41,6 +41,12 @@ POLICIES = (
 )
 PLACE = r"lat(?:itude)?\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,;]\s*(?:lng|lon|longitude)\s*[:=]\s*(-?[0-9]+(?:\.[0-9]+)?)"
 POLICY_WORDS = ("policy", "policies", "term", "rule", "cancellation", "refund")
+# Words of which each pattern needs one: texts without them are told apart before a pattern runs.
+NEEDED = {
+    "cooling_off_period": ("cooling",), "no_visa_no_pay": ("visa",), "no_place_no_pay": ("place",), "university_course_cancellation_or_modification": ("course",), "early_termination_by_student": ("early",),
+    "delayed_arrivals_or_travel_restrictions": ("delayed", "travel", "quarantine"), "replacement_tenant_found": ("tenant", "let", "reassign"), "deferring_studies": ("defer", "postpone"),
+    "university_intake_delayed": ("delayed",), "no_questions_asked": ("questions",), "extenuating_circumstances": ("circumstances", "medical"),
+}
 POLICY_KEYS = (*(k for _, k in POLICIES), "other_policies")
 
 
@@ -85,8 +91,9 @@ def places(fragments: DataFrame, data: DataFrame, texts: DataFrame) -> DataFrame
     marks = fragments.filter(F.col("kind").isin("coords", "data_coords")).select("page_id", "seq", F.lit(0).alias("source_rank"), of("lat", "data-lat").alias("lat"), of("lng", "data-lng").alias("lng"))
     geo = lambda k: F.try_variant_get("doc", f"$.geo.{k}", "string").alias({"latitude": "lat", "longitude": "lng"}[k])
     linked = data.select("page_id", "seq", F.lit(1).alias("source_rank"), geo("latitude"), geo("longitude"))
-    part = lambda i: F.nullif(F.regexp_extract(F.lower("text"), PLACE, i), F.lit(""))
-    free = texts.select("page_id", F.lit(0).alias("seq"), F.lit(2).alias("source_rank"), part(1).alias("lat"), part(2).alias("lng"))
+    first = F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(PLACE), 0), 1, 1)).alias("m")
+    part = lambda i: F.regexp_extract("m", PLACE, i)
+    free = texts.select("page_id", first).select("page_id", F.lit(0).alias("seq"), F.lit(2).alias("source_rank"), part(1).alias("lat"), part(2).alias("lng"))
     return marks.unionByName(linked).unionByName(free).filter("lat IS NOT NULL AND lng IS NOT NULL")
 
 
@@ -116,22 +123,25 @@ def is_policy(text: Column) -> Column:
     return any_of(F.lower(text), POLICY_WORDS)
 
 
-def policy_snippets(text: Column) -> list[tuple[str, Column]]:
-    """For each policy key the words around its first mention: 120 signs before it and 240 after, or null."""
+def policy_snippets(text: Column, low: Column) -> list[tuple[str, Column]]:
+    """For each policy key the words around its first mention: 120 signs before it and 240 after, or null. ``low``: the text in
+    small letters."""
     out = []
     for pattern, name in POLICIES:
-        at = F.regexp_instr(F.lower(text), F.lit(pattern))
-        n = F.length(F.regexp_extract(F.lower(text), pattern, 0))
+        at = F.regexp_instr(low, F.lit(pattern))
+        n = F.length(F.regexp_extract(low, pattern, 0))
         start = F.greatest(F.lit(1), at - 120)
-        out.append((name, F.when(at > 0, strip(F.substring(text, start, at + n + 240 - start)))))
+        out.append((name, F.when(any_of(low, NEEDED[name]), F.when(at > 0, strip(F.substring(text, start, at + n + 240 - start))))))
     return out
 
 
 def policies(df: DataFrame, keys: list[str], text: str, existing: str | None = None) -> DataFrame:
     """(key, value) rows for all twelve policy keys of each text; what exists stays, what is not told is empty."""
-    told = F.create_map(*(x for k, v in policy_snippets(F.col(text)) for x in (F.lit(k), v)))
     old = F.col(existing) if existing else F.create_map().cast("map<string,string>")
-    rows = df.select(*keys, told.alias("told"), old.alias("old"), F.explode(F.array(*map(F.lit, POLICY_KEYS))).alias("key"))
+    d = df.select(*keys, F.col(text).alias("__text"), F.lower(text).alias("__low"), old.alias("old"))
+    told = F.create_map(*(x for k, v in policy_snippets(F.col("__text"), F.col("__low")) for x in (F.lit(k), v)))
+    # a generator runs before what is selected beside it: the snippets are worked out below it, once a text
+    rows = d.select(*keys, told.alias("told"), "old").select(*keys, "told", "old", F.explode(F.array(*map(F.lit, POLICY_KEYS))).alias("key"))
     kept = F.nullif(F.try_element_at("old", F.col("key")), F.lit(""))
     return rows.select(*keys, "key", F.coalesce(kept, F.try_element_at("told", F.col("key")), F.lit("")).alias("value"))
 
