@@ -89,7 +89,7 @@ def blocks(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of ``data`` (which goes on for 8 bytes after the last span): blocks of eight bytes, scrambled one
-    into the next. Spans of up to seven bytes without control characters never collide."""
+    into the next, and from eight bytes on the length. Spans of up to seven bytes never collide, longer ones by chance only."""
     n = ends - starts
     first = blocks(data, starts, np.minimum(n, 8))
     h = mix(np.where(n < 8, first | (n.astype(U64) << U64(56)), first))
@@ -101,6 +101,8 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         at = at[n[at] > k]
     for i in np.flatnonzero(n > LONG):
         h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    at = np.flatnonzero(n >= 8)
+    h[at] = mix(h[at] ^ mix(n[at]))
     return h
 
 

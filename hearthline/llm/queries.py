@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, secret_scan, sharding, substrings, surrogates, tokens, topk, toxicity
+from . import collocations, decontaminate, jaccard, mixing, secret_scan, sharding, substrings, surrogates, tokens, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_tokens": tokens.op10_tokens,
+    "op11_collocations": collocations.op11_collocations,
 }
 ORACLES = {
     "op3_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
