@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, jaccard, mixing, secret_scan, sharding, substrings, surrogates, tokens, topk, toxicity, url_filter
+from . import collocations, decontaminate, jaccard, manifest, mixing, secret_scan, sharding, substrings, surrogates, tokens, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_tokens": tokens.op10_tokens,
     "op11_collocations": collocations.op11_collocations,
+    "op12_manifest": manifest.op12_manifest,
     "op13_url_filter": url_filter.op13_url_filter,
 }
 ORACLES = {
     "op3_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_manifest": manifest.ORACLE,
     "op13_url_filter": url_filter.ORACLE,
 }
