@@ -73,9 +73,12 @@ def containers(rows: DataFrame) -> DataFrame:
 
 def _directory(c: DataFrame) -> DataFrame:
     """``c`` with before: at each level, what stands before a place among its 4096 neighbours, so that no window is larger."""
+    lift = 1 << 51  # brings chunks of negative ids to 0 and above
     ends = c.agg(F.min("chunk"), F.max("chunk")).first()
     if ends[0] is None:
         return c.withColumn("before", F.lit(0).cast("long"))
+    low, high = ends[0] + lift, ends[1] + lift
+    c = c.withColumn("chunk", F.col("chunk") + lift)
     shift, level, found = 0, c.select("g", "chunk", "n"), c.withColumn("before", F.lit(0).cast("long")).drop("n")
     while True:
         upper = (F.shiftright("chunk", FAN)).alias("upper")
@@ -83,8 +86,8 @@ def _directory(c: DataFrame) -> DataFrame:
         own = level.select("g", "chunk", upper, "n").withColumn("own", F.coalesce(F.sum("n").over(run), F.lit(0))).select("g", F.col("chunk").alias("at"), "own")
         found = found.withColumn("at", F.shiftright("chunk", shift)).join(own, ["g", "at"]).withColumn("before", F.col("before") + F.col("own")).drop("at", "own")
         shift += FAN
-        if shift >= 64 or ends[0] >> shift == ends[1] >> shift:
-            return written(found, "directory")
+        if low >> shift == high >> shift:
+            return written(found.withColumn("chunk", F.col("chunk") - lift), "directory")
         level = written(level.groupBy("g", F.shiftright("chunk", FAN).alias("chunk")).agg(F.sum("n").alias("n")), "level")
 
 
