@@ -28,6 +28,7 @@ ship(__name__)
 LEAST = 10  # occurrences of a phrase that is reported
 SHARE, LOWERED = 8, 2  # one document of SHARE is in the sample, where LOWERED occurrences propose a phrase
 BITS = 1 << 26  # of each bitmap, a power of two; as they fill up, more of the border is counted, and nothing less
+PART = 1 << 15  # bits of a bitmap that come to the driver at once
 CHUNK = 16 << 20  # bytes of text that a task counts at once
 ROWS = 100_000  # of a batch that goes to Spark
 SALTS = 64  # into which a language is split before its first phrases are chosen
@@ -180,17 +181,14 @@ def _proposed(phrases: DataFrame, before: tuple | None) -> tuple[np.ndarray, np.
     What comes to the driver is bounded by the size of the bitmaps."""
     at = F.col("h").bitwiseAND(F.lit(BITS - 1))
     found = phrases.select("lang", "phrase", "words").mapInArrow(_hashed, "words int, h long").withColumn("at", at)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-    bits = found.groupBy("words", F.shiftright("at", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out, more = [], False
-    for k in (1, 2):
-        own = bits[bits["words"] == k]
-        one = np.zeros(BITS // 64, U64) if before is None else before[k - 1].copy()
-        add = own["bits"].to_numpy(np.int64).view(U64)
-        where = own["at"].to_numpy(np.int64)
-        more |= bool((add & ~one[where]).any())
-        one[where] |= add
-        out.append(one)
+    bits = found.groupBy("words", F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
+    out = [np.zeros(BITS // 64, U64) if before is None else before[k].copy() for k in (0, 1)]
+    more = False
+    for row in bits.toLocalIterator():  # parts of PART bits
+        own = out[row["words"] - 1][row["part"] * PART // 64 :][: PART // 64]
+        add = np.frombuffer(row["bits"], "<u8")[: len(own)]
+        more |= bool((add & ~own).any())
+        own |= add
     return (out[0], out[1]) if more or before is None else None
 
 

@@ -73,7 +73,7 @@ def test_collocations(spark, sf, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(df, lowered=10**6).collect())) == want
     assert sorted(map(tuple, collocations.collocations(df, share=1, lowered=1).collect())) == want and collocations.phrases(df, share=1, lowered=1)[1] == 1
     monkeypatch.setattr(collocations, "CHUNK", 64)  # texts are cut between pieces
-    monkeypatch.setattr(collocations, "BITS", 256)  # nearly full bitmaps
+    monkeypatch.setattr(collocations, "BITS", 1 << 10)  # nearly full bitmaps
     assert sorted(map(tuple, collocations.collocations(df).collect())) == want
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == plain_collocations([(x.lang, x.text) for x in docs.collect()])
