@@ -29,8 +29,8 @@ LEAST = 10  # occurrences of a phrase that is reported
 SHARE, LOWERED = 8, 2  # one document of SHARE is in the sample, where LOWERED occurrences propose a phrase
 BITS = 1 << 26  # of each bitmap, a power of two; as they fill up, more of the border is counted, and nothing less
 PART = 1 << 15  # bits of a bitmap that come to the driver at once
-CHUNK = 16 << 20  # bytes of text that a task counts at once
-ROWS = 100_000  # of a batch that goes to Spark
+CHUNK = 6 << 20  # bytes of text that a task counts at once
+ROWS = 50_000  # of a batch that goes to Spark
 SALTS = 64  # into which a language is split before its first phrases are chosen
 U64 = np.uint64
 STEP = U64(0xA24BAED4963EE407)
