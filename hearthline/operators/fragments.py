@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from pyspark.sql.functions import udtf
 
 from .links import normalize_url, same_domain
 
-FRAGMENT = "page_id long, seq int, kind string, label string, attrs map<string,string>, body string"
+PART = pa.struct([("a", pa.int32()), ("z", pa.int32()), ("sep", pa.string())])
+FOUND = "array<struct<seq:int,kind:string,label:string,name:struct<a:int,z:int,sep:string>,attrs:map<string,string>,body:string,parts:array<struct<a:int,z:int,sep:string>>>>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = ("h1", "h2", "h3", "h4")
 BLOCKS = {*HEADINGS, "p", "div", "ul", "ol", "dl", "table", "section", "article", "footer", "address"}
@@ -81,11 +83,6 @@ API_WORDS = r"/api/|\.json|\?format=json|&_format=json|/wp-json/"
 CAP, AROUND = 2000, 500
 
 
-def _named(text: str, rules: tuple) -> str:
-    low = text.lower()
-    return next((name for name, words in rules if any(w in low for w in words)), "general")
-
-
 _DEGREES = r"(-?[0-9]{1,3}(?:\.[0-9]+)?)"
 # How scripts give a place: named degrees, and the calls and options of map libraries.
 COORDS = [re.compile(p.replace("#", _DEGREES), re.I) for p in (
@@ -94,24 +91,34 @@ COORDS = [re.compile(p.replace("#", _DEGREES), re.I) for p in (
 )]
 
 
+# A tag ends at the first > outside of a quoted value; every quantifier is possessive, so that no byte is read twice for it.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
+SCOPES = {"ul": "list", "ol": "list", "table": "table", "tr": "row", "dl": "dl"}
+MEMBERS = {"li": "list", "tr": "table", "td": "row", "th": "row", "dt": "dl", "dd": "dl"}
+APART = {"footer", "title", "script", "style", *HEADINGS}  # what the text after a heading leaves out
+
+
 class Node:
-    """An element: its place in the page, the last place below it, and texts and elements in it."""
+    """An element: its place in the page, the last place below it, and its text as a span of the page's text.
 
-    __slots__ = ("attrs", "last", "parent", "parts", "place", "tag")
+    own: the items, rows, cells or terms that belong to it and to no list or table inside it; properties: likewise those of
+    what it describes."""
 
-    def __init__(self, tag: str, attrs: dict, place: int, parent: Node | None) -> None:
-        self.tag, self.attrs, self.place, self.last, self.parent, self.parts = tag, attrs, place, place, parent, []
+    __slots__ = ("a", "apart", "attrs", "ca", "cz", "last", "near", "own", "parent", "place", "properties", "raw", "tag", "z")
 
-    def text(self) -> str:
-        out: list[str] = []
-        stack: list = [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x.tag not in ("script", "style"):
-                stack.extend(reversed(x.parts))
-        return " ".join(" ".join(out).split())
+    def __init__(self, tag: str, attrs: dict, place: int, parent: Node | None) -> None:
+        self.tag, self.attrs, self.place, self.last, self.parent = tag, attrs, place, place, parent
+        self.a = self.z = self.ca = self.cz = 0
+        self.own, self.properties, self.raw = [], [], ""
+        self.apart = tag in APART or parent is not None and parent.apart
+        self.near: dict[str, Node] = parent.near if parent else {}  # of what is inside: the closest list, row, ...
+        if tag in SCOPES:
+            self.near = self.near | {SCOPES[tag]: self}
+        if "schema.org" in attrs.get("itemtype", ""):
+            self.near = self.near | {"schema": self}
 
 
 @lru_cache(maxsize=1000)
@@ -126,47 +133,142 @@ def _parsed(selector: str) -> tuple[str, str, str, str, str]:
     return f"[{name}]", tag, name, how, value
 
 
-class Page(HTMLParser):
-    """The elements of a page in order, found again by tag, class and attribute; tolerant of tags left open."""
+class Page:
+    """The elements of a page in order, found again by tag, class and attribute, and its text, kept once.
+
+    One pass over the tags, in time linear in the page, whatever is left open or broken: a tag without an end is text, and
+    where quotes are left open tags end at the next >."""
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.by: dict[str, list[Node]] = {}
         self.texts: list[tuple[int, str, Node]] = []  # number of elements before, text, where
+        self.open: dict[str, int] = {}
+        self.words: list[bytes] = []
+        self.size = self.chars = 0
         self.root = self.at = Node("", {}, -1, None)
-        self.feed(html)
-        self.close()
+        self._read(html)
         while self.at is not self.root:
             self._up()
+        self.root.last, self.root.z, self.root.cz = len(self.nodes) - 1, self.size, self.chars
+        self.text = b" ".join(self.words)
+        self.low = self.text.lower()
+        self._places: dict[str, list[int]] = {}
+        self._sums: tuple | None = None
+
+    def _read(self, html: str) -> None:
+        at, begin, tag = 0, 0, TAG
+        while (i := html.find("<", at)) >= 0:
+            at = i + 1
+            after = html[at : at + 1]
+            if after in ("!", "?") or after == "/" and not html[at + 1 : at + 2].isalpha():
+                end = html.find("-->", at + 3) + 2 if html.startswith("!--", at) else html.find(">", at)
+                if html.startswith("!--", at) and end == 1:
+                    end = len(html)
+                if end > 0:
+                    self._text(html[begin:i])
+                    at = begin = end + 1
+                continue
+            if not (after.isascii() and (after.isalpha() or after == "/")):
+                continue
+            m = tag.match(html, i)
+            if m is None and tag is TAG:
+                tag = SIMPLE_TAG  # for the rest of the page
+                m = tag.match(html, i)
+            if m is None:
+                if html.find(">", at) < 0:
+                    break
+                continue
+            self._text(html[begin:i])
+            at = begin = m.end()
+            name = m[2].lower()
+            if m[1]:
+                self._end(name)
+                continue
+            self._start(name, m[3])
+            if name in RAW and not m[3].endswith("/"):
+                close = RAW[name].search(html, at)
+                end = close.start() if close else len(html)
+                if name in ("script", "style"):
+                    self.at.raw = html[at:end]
+                else:
+                    self._text(html[at:end])
+                at = begin = end
+        self._text(html[begin:])
 
     def _up(self) -> None:
-        self.at.last = len(self.nodes) - 1
-        self.at = self.at.parent
+        n = self.at
+        n.last, n.z, n.cz = len(self.nodes) - 1, self.size, self.chars
+        self.open[n.tag] -= 1
+        self.at = n.parent
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _start(self, tag: str, rest: str) -> None:
         while tag in BLOCKS and self.at.tag in HEADINGS:  # left open
             self._up()
-        n = Node(tag, {k: v or "" for k, v in attrs}, len(self.nodes), self.at)
+        attrs: dict[str, str] = {}
+        if rest and rest != "/":
+            for m in ATTRIBUTE.finditer(rest):
+                attrs.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        n = Node(tag, attrs, len(self.nodes), self.at)
+        n.a, n.ca = self.size, self.chars
+        n.z, n.cz = n.a, n.ca
         self.nodes.append(n)
-        self.at.parts.append(n)
-        for key in (tag, *dict.fromkeys("." + c for c in n.attrs.get("class", "").split()), *(f"[{k}]" for k in n.attrs)):
+        near = self.at.near
+        if tag in MEMBERS and MEMBERS[tag] in near:
+            near[MEMBERS[tag]].own.append(n)
+        if "itemprop" in attrs and "schema" in near:
+            near["schema"].properties.append(n)
+        for key in (tag, *dict.fromkeys("." + c for c in attrs.get("class", "").split()), *(f"[{k}]" for k in attrs)):
             self.by.setdefault(key, []).append(n)
-        if tag not in VOID:
+        if tag not in VOID and not rest.endswith("/"):
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.at = n
 
-    def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n is not self.root and n.tag != tag:
-            n = n.parent
-        if n is not self.root:
-            while self.at is not n:
+    def _end(self, tag: str) -> None:
+        if self.open.get(tag):
+            while self.at.tag != tag:
                 self._up()
             self._up()
 
-    def handle_data(self, data: str) -> None:
-        self.at.parts.append(data)
-        self.texts.append((len(self.nodes), data, self.at))
+    def _text(self, data: str) -> None:
+        words = " ".join(unescape(data).split())
+        if words:
+            self.texts.append((len(self.nodes), words, self.at))
+            self.words.append(words.encode())
+            self.size += len(self.words[-1]) + 1
+            self.chars += len(words) + 1
+
+    def told(self, n: Node, most: int | None = None) -> str:
+        """The text of an element, or its first signs."""
+        end = max(n.a, n.z - 1)
+        return self.text[n.a : end if most is None else min(end, n.a + 4 * most)].decode(errors="ignore")[:most]
+
+    def named(self, among: list[Node], rules: tuple) -> str:
+        """The first rule of which a word stands in one of the texts ``among``."""
+        for name, words in rules:
+            for w in words:
+                if w not in self._places:
+                    self._places[w] = [m.start() for m in re.finditer(b"(?=" + re.escape(w.encode()) + b")", self.low)]
+                places = self._places[w]
+                for n in among if places else ():
+                    i = bisect_left(places, n.a)
+                    if i < len(places) and places[i] + len(w) < n.z:
+                        return name
+        return "general"
+
+    def once(self, nodes: list[Node]) -> list[Node]:
+        """The first of each text, found by sums of signs, so that no text is copied."""
+        if self._sums is None:
+            x = np.frombuffer(self.text, np.uint8).astype(np.uint64) + np.uint64(1)
+            powers = [np.cumprod(np.full(len(x) + 1, b, np.uint64), dtype=np.uint64) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            self._sums = powers, [np.append(np.zeros(1, np.uint64), np.cumsum(x * p[:-1], dtype=np.uint64)) for p in powers]
+        powers, sums = self._sums
+        seen: dict[tuple, Node] = {}
+        for n in nodes:
+            z = n.z - 1
+            key = (z - n.a, *((int(s[z]) - int(s[n.a])) * int(p[len(self.text) - n.a]) % (1 << 64) for p, s in zip(powers, sums, strict=True)))
+            seen.setdefault(key, n)
+        return list(seen.values())
 
     def matching(self, selector: str) -> list[Node]:
         """Elements by "tag", ".class", "tag.class", "[attribute]", "[attribute=value]", "[attribute*=part]", these with a tag too."""
@@ -178,14 +280,11 @@ class Page(HTMLParser):
             found = [n for n in found if (value in n.attrs[name] if how == "*=" else value == n.attrs[name])]
         return [n for n in found if n.tag == tag] if tag else found
 
-    def select(self, selectors: tuple[str, ...], inside: Node | None = None) -> list[tuple[Node, str]]:
-        """Elements (below ``inside``) that match, in order of the page, each with the first selector that it matches."""
+    def select(self, selectors: tuple[str, ...]) -> list[tuple[Node, str]]:
+        """Elements that match, in order of the page, each with the first selector that it matches."""
         found: dict[int, tuple[Node, str]] = {}
         for s in selectors:
-            nodes = self.matching(s)  # in order of the page
-            if inside is not None:
-                nodes = nodes[bisect_right(nodes, inside.place, key=_place) : bisect_right(nodes, inside.last, key=_place)]
-            for n in nodes:
+            for n in self.matching(s):
                 found.setdefault(n.place, (n, s))
         return [found[k] for k in sorted(found)]
 
@@ -194,59 +293,74 @@ def _place(n: Node) -> int:
     return n.place
 
 
-def _raw(n: Node) -> str:
-    return "".join(x for x in n.parts if isinstance(x, str)).strip()
+def _filled(nodes: list[Node]) -> list[Node]:
+    return [n for n in nodes if n.z > n.a]
 
 
-def _widgets(page: Page, kind: str) -> Iterator[tuple[Node, str, dict, str]]:
+def _joined(nodes: list[Node], sep: str) -> list[tuple[Node, str]]:
+    return [(n, sep if i < len(nodes) else "") for i, n in enumerate(nodes, 1)]
+
+
+def _widgets(page: Page, kind: str) -> Iterator[tuple]:
     """The parts of the widgets of one kind. Containers of one id, or else class, count once.
 
     Tabs and accordions: each name with the text at its place, or names alone and the start of the text around them;
-    carousels: each item with the caption at its place; expandables and modals: the whole text under its first name."""
+    carousels: each item with the caption at its place; expandables and modals: the whole text under its first name. Parts are
+    told by the outermost container that has some."""
     containers, names, bodies = WIDGETS[kind]
-    seen = set()
-    for c, _ in page.select(containers):
+    found = page.select(containers)
+    if not found:
+        return
+    names, bodies = _filled([n for n, _ in page.select(names)]), _filled([n for n, _ in page.select(bodies)])
+    inside = lambda nodes, c: nodes[bisect_right(nodes, c.place, key=_place) : bisect_right(nodes, c.last, key=_place)]
+    seen, told = set(), -1
+    for c, _ in found:
         key = c.attrs.get("id") or c.attrs.get("class", "")
         if key in seen:
             continue
         seen.add(key)
-        heads = list(dict.fromkeys(t for n, _ in page.select(names, c) if (t := n.text())))
-        if not bodies:
-            if text := c.text():
-                yield c, heads[0] if heads else "", {"group": key}, text
+        if kind in ("expandable", "modal"):
+            if c.z > c.a:
+                i = bisect_right(names, c.place, key=_place)
+                yield c, names[i] if i < len(names) and names[i].place <= c.last else "", {"group": key}, [(c, "")]
+            continue
+        if c.place <= told:
             continue
-        texts = list(dict.fromkeys(t for n, _ in page.select(bodies, c) if (t := n.text())))
+        heads, texts = page.once(inside(names, c)), page.once(inside(bodies, c))
+        if heads or texts:
+            told = c.last
         if kind == "carousel":
             most = len(texts) or len(heads)
-            heads, texts = (heads + [""] * most)[:most], texts or [""] * most
+            heads, texts = (heads + [""] * most)[:most], texts or [None] * most
         elif heads and not texts:
-            texts = [""] * len(heads)
-            if around := (c.parent.text() if c.parent else ""):
-                yield c, "around", {"group": key}, around[:AROUND]
+            texts = [None] * len(heads)
+            if around := page.told(c.parent, AROUND):
+                yield c, "around", {"group": key}, around
         for i, (head, text) in enumerate(zip(heads, texts, strict=False), 1):
-            yield c, head, {"group": key, "item": str(i)}, text
+            yield c, head, {"group": key, "item": str(i)}, [(text, "")] if text else ""
 
 
-def _plain(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
-    """(element, kind, label, attributes, body) of all fragments but widgets and heading sections."""
+def _plain(page: Page) -> Iterator[tuple]:
+    """(element, kind, label, attributes, body) of all fragments but widgets and heading sections. A body is a string, or elements
+    whose texts it joins, each with what follows it."""
     for n in page.nodes:
         a, tag = n.attrs, n.tag
         if tag == "title":
-            yield n, "title", "", {}, n.text()
+            yield n, "title", "", {}, [(n, "")]
         elif tag in HEADINGS:
-            yield n, "heading", tag, {}, n.text()
+            yield n, "heading", tag, {}, [(n, "")]
         elif tag == "table":
-            rows = [[c.text() for c, _ in page.select(("td", "th"), r)] for r, _ in page.select(("tr",), n)]
-            text = "\n".join(" | ".join(c for c in r if c) for r in rows if any(r))
-            yield n, "table", _named(text, TABLE_WORDS), {}, text
+            rows = [r for r in (_filled(r.own) for r in n.own) if r]
+            body = [(c, sep or "\n") for r in rows for c, sep in _joined(r, " | ")]
+            yield n, "table", page.named([c for r in rows for c in r], TABLE_WORDS), {}, [*body[:-1], *((c, "") for c, _ in body[-1:])]
         elif tag in ("ul", "ol"):
-            items = [t for i, _ in page.select(("li",), n) if (t := i.text())]
-            yield n, "list", _named(n.text(), LIST_WORDS), {}, "\n".join(items)
+            yield n, "list", page.named([n], LIST_WORDS), {}, _joined(_filled(n.own), "\n")
         elif tag == "dl":
-            terms, told = ([x.text() for x, _ in page.select((t,), n)] for t in ("dt", "dd"))
-            yield n, "dl", "", {}, "\n".join(f"{t}: {d}" for t, d in zip(terms, told, strict=False) if t and d)
-        elif tag == "footer" and len(text := n.text()) > 50:
-            yield n, "footer", "", {}, text
+            terms, told = ([x for x in n.own if x.tag == t] for t in ("dt", "dd"))
+            pairs = [(t, d) for t, d in zip(terms, told, strict=False) if t.z > t.a and d.z > d.a]
+            yield n, "dl", "", {}, [x for i, (t, d) in enumerate(pairs, 1) for x in ((t, ": "), (d, "\n" if i < len(pairs) else ""))]
+        elif tag == "footer" and n.cz - n.ca - 1 > 50:
+            yield n, "footer", "", {}, [(n, "")]
         elif tag == "meta":
             name, content = a.get("name") or a.get("property") or "", a.get("content") or a.get("charset", "")
             if name in META_PLACES and content:
@@ -255,7 +369,7 @@ def _plain(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
                 yield n, "meta", name or "charset", {}, content
             if name.startswith(("og:", "twitter:")) and content:
                 yield n, "og", name, {}, content
-        elif tag == "script" and (text := _raw(n)):
+        elif tag == "script" and (text := n.raw.strip()):
             kind = a.get("type", "")
             if "ld+json" in kind:
                 yield n, "jsonld", "", {}, text
@@ -273,33 +387,33 @@ def _plain(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
             yield n, "data_attributes", tag, data, ""
         if told := next((k for k in DATA_TEXTS if k in a), None):
             yield n, "data_attr", told, {}, a[told]
-            if tag != "script" and len(text := n.text()) > 20:
-                yield n, "data_text", told, {}, text
+            if n.cz - n.ca - 1 > 20:
+                yield n, "data_text", told, {}, [(n, "")]
         if (told := next((k for k in DESCRIPTIONS if k in a), None)) and len(a[told]) > 10:
             yield n, "aria", told, {}, a[told]
         if "itemprop" in a or "itemtype" in a:
-            yield n, "item", a.get("itemprop") or a["itemtype"], {k: a[k] for k in ("itemprop", "itemtype", "content") if k in a}, n.text()
+            yield n, "item", a.get("itemprop") or a["itemtype"], {k: a[k] for k in ("itemprop", "itemtype", "content") if k in a}, [(n, "")]
         if "schema.org" in a.get("itemtype", ""):
             properties: dict[str, str] = {}
-            for p, _ in page.select(("[itemprop]",), n):
-                if value := p.attrs.get("content") or p.text():
-                    properties.setdefault(p.attrs["itemprop"], value)
+            for p in n.properties:
+                if p.attrs["itemprop"] not in properties and (value := p.attrs.get("content") or page.told(p)):
+                    properties[p.attrs["itemprop"]] = value
             yield n, "schema", a["itemtype"], properties, ""
     for kind, selectors, least in (("address", ADDRESSES, 0), ("section", SECTIONS, 100), ("hidden", HIDDEN, 20)):
         for n, s in page.select(selectors):
-            if len(text := n.text()) > least:
-                yield n, kind, s, {}, text
+            if n.cz - n.ca - 1 > least:
+                yield n, kind, s, {}, [(n, "")]
     for s in CONTACTS:
-        if first := next(((n, t) for n in page.matching(s) if (t := n.text())), None):
-            yield first[0], "contact", s, {}, first[1]
+        for n in _filled(page.matching(s))[:1]:
+            yield n, "contact", s, {}, [(n, "")]
     for s in TYPE_SOURCES:
         for n in page.matching(s)[:1]:
             if value := n.attrs.get("content") or n.attrs.get("data-property-type") or n.attrs.get("data-accommodation-type"):
                 yield n, "property_type", s, {}, value
     for n, s in page.select(JSON_SCRIPTS):
-        if len(text := _raw(n)) > 50:
+        if len(text := n.raw.strip()) > 50:
             yield n, "script_json", s, {}, text[:CAP] + ("..." if len(text) > CAP else "")
-    text = page.root.text()
+    text = page.text.decode()
     for p in PHONES:
         if m := re.search(p, text):
             yield page.root, "contact", "phone", {}, m[0]
@@ -315,36 +429,67 @@ def _sections(page: Page) -> Iterator[tuple[Node, str, str, dict, str]]:
         end = heads[i + 1][0].place if i + 1 < len(heads) else len(page.nodes)
         parts = []
         while at < len(page.texts) and page.texts[at][0] <= end:
-            _, text, n = page.texts[at]
+            before, text, n = page.texts[at]
             at += 1
-            while n is not page.root and n.tag not in ("footer", "title", "script", "style", *HEADINGS):
-                n = n.parent
-            if n is page.root and page.texts[at - 1][0] > h.place:
+            if not n.apart and before > h.place:
                 parts.append(text)
-        body = " ".join(" ".join(parts).split())
+        body = " ".join(parts)
         if len(body) > 80:
-            yield h, "heading_section", h.text(), {}, body
+            yield h, "heading_section", h, {}, body
 
 
-def cut(html: str | None) -> list[tuple[str, str, dict, str]]:
-    """(kind, label, attributes, body) of a page's fragments, in order of the page."""
+def _found(html: str | None) -> tuple[Page, list[tuple]]:
     page = Page(html or "")
     found = [*_plain(page), *_sections(page), *((n, kind, *x) for kind in WIDGETS for n, *x in _widgets(page, kind))]
-    return [(kind, label, attrs, body) for n, kind, label, attrs, body in sorted(found, key=lambda f: f[0].place) if body or attrs]
+    held = lambda body: bool(body) and (isinstance(body, str) or any(n.z > n.a for n, _ in body))
+    return page, [f[1:] for f in sorted(found, key=lambda f: f[0].place) if f[3] or held(f[4])]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """The fragments of all pages, in one narrow job."""
+def cut(html: str | None) -> list[tuple[str, str, dict, str]]:
+    """(kind, label, attributes, body) of a page's fragments, in order of the page."""
+    page, found = _found(html)
+    told = lambda x: x if isinstance(x, str) else page.told(x) if isinstance(x, Node) else "".join(page.told(n) + sep for n, sep in x)
+    return [(kind, told(label), attrs, told(body)) for kind, label, attrs, body in found]
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, ends, rows = [], [0], []
+        for html in batch.column(1).to_pylist():
+            page, found = _found(html.decode(errors="replace") if html else "")
+            texts.append(page.text)
+            span = lambda n, sep: {"a": n.a, "z": max(n.a, n.z - 1), "sep": sep}
+            for i, (kind, label, attrs, body) in enumerate(found):
+                plain = isinstance(body, str)
+                rows.append((i, kind, label if isinstance(label, str) else None, None if isinstance(label, str) else span(label, ""), list(attrs.items()), body if plain else None, None if plain else [span(*x) for x in body]))
+            ends.append(len(rows))
+        types = (pa.int32(), pa.string(), pa.string(), PART, pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(PART))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["seq", "kind", "label", "name", "attrs", "body", "parts"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), found], ["page_id", "text", "found"])
+
+
+def spans(pages: DataFrame) -> DataFrame:
+    """page_id, text and found of each page, in one narrow job: the text once, in UTF-8, and the fragments as spans of it.
+
+    What comes out is linear in the page, however its containers nest: a fragment holds places, not texts. Any bytes are taken as
+    they are: bytes that aren't UTF-8 read as a replacement sign, a null or empty page has no fragments."""
     import sys
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(p, i, *x) for p, h in zip(f["page_id"], f["html"], strict=True) for i, x in enumerate(cut(h))]
-            yield pd.DataFrame(out, columns=["page_id", "seq", "kind", "label", "attrs", "body"])
-
-    return pages.select("page_id", "html").mapInPandas(rows, FRAGMENT)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("binary").alias("html")).mapInArrow(_spans, f"page_id long, text binary, found {FOUND}")
+
+
+def extract(pages: DataFrame, *kinds: str) -> DataFrame:
+    """page_id, seq, kind, label, attrs and body of the fragments of all pages (of ``kinds``, if given); bodies are cut from the
+    pages' texts here, in built-in expressions, and only those of the kinds that are asked for."""
+    told = "CAST(substring(text, {0}.a + 1, {0}.z - {0}.a) AS STRING)".format
+    d = spans(pages)
+    if kinds:
+        d = d.withColumn("found", F.filter("found", lambda f: f["kind"].isin(*kinds)))
+    body = f"coalesce(f.body, array_join(transform(f.parts, p -> concat({told('p')}, p.sep)), ''))"
+    rows = F.expr(f"transform(found, f -> named_struct('seq', f.seq, 'kind', f.kind, 'label', coalesce(f.label, {told('f.name')}), 'attrs', f.attrs, 'body', {body}))")
+    return d.select("page_id", F.explode(rows).alias("f")).select("page_id", "f.*")
 
 
 def register(spark: SparkSession) -> None:

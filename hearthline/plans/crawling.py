@@ -167,7 +167,7 @@ UNION ALL SELECT page_id, 'list', CASE WHEN regexp_matches(lower(items), 'featur
 
 def fragments(t: Tables, *kinds: str) -> DataFrame:
     """Fragments of the given kinds, their bodies on one line."""
-    return X.extract(t.read("pages")).filter(F.col("kind").isin(*kinds)).withColumn("body", F.regexp_replace("body", r"\s+", " "))
+    return X.extract(t.read("pages"), *kinds).withColumn("body", F.regexp_replace("body", r"\s+", " "))
 
 
 @query("x26_api_urls", rf"""
@@ -231,7 +231,7 @@ SELECT page_id, unnest(['accordion', 'accordion', 'tab', 'tab', 'modal', 'expand
 def x9(t: Tables) -> DataFrame:
     """Widgets of pages that got some by rule, as the given ones have none: containers of one id or class count once."""
     d = t.read("pages").withColumn("html", F.concat("html", F.format_string(WIDGETS, *["page_id"] * 5)))
-    f = X.extract(d).filter(F.col("kind").isin(*X.WIDGETS) & (F.col("label") != "around"))
+    f = X.extract(d, *X.WIDGETS).filter(F.col("label") != "around")
     return f.select("page_id", "kind", "label", F.try_element_at("attrs", F.lit("item")).cast("int").alias("item"), "body")
 
 
