@@ -91,6 +91,18 @@ COORDS = [re.compile(p.replace("#", _DEGREES), re.I) for p in (
 )]
 
 
+@lru_cache(maxsize=100)
+def _keys(selectors: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [(_parsed(s)[0], s) for s in selectors]
+
+
+def _places_of(word: bytes, text: bytes) -> Iterator[int]:
+    i = text.find(word)
+    while i >= 0:
+        yield i
+        i = text.find(word, i + 1)
+
+
 # A tag ends at the first > outside of a quoted value; every quantifier is possessive, so that no byte is read twice for it.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -248,7 +260,7 @@ class Page:
         for name, words in rules:
             for w in words:
                 if w not in self._places:
-                    self._places[w] = [m.start() for m in re.finditer(b"(?=" + re.escape(w.encode()) + b")", self.low)]
+                    self._places[w] = list(_places_of(w.encode(), self.low))
                 places = self._places[w]
                 for n in among if places else ():
                     i = bisect_left(places, n.a)
@@ -283,8 +295,8 @@ class Page:
     def select(self, selectors: tuple[str, ...]) -> list[tuple[Node, str]]:
         """Elements that match, in order of the page, each with the first selector that it matches."""
         found: dict[int, tuple[Node, str]] = {}
-        for s in selectors:
-            for n in self.matching(s):
+        for key, s in _keys(selectors):
+            for n in self.matching(s) if key in self.by else ():
                 found.setdefault(n.place, (n, s))
         return [found[k] for k in sorted(found)]
 
