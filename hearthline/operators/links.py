@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import any_of, title_case
+from ..sources.snapshot import written
 
 # Words that make a link worth following, with their weights; on the path in full, on the anchor by half.
 CONFIGURATION_WORDS = {
@@ -48,6 +49,10 @@ HOST_NAMES = {
 ANCHOR = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 
 
+# where a page says that its references start
+BASE = r"""(?is)<base\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def normalize_url(c: Column) -> Column:
     """Without query, fragment and one trailing slash, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), "/$", ""))
@@ -72,15 +77,30 @@ def allowed_domain(base: Column, target: Column, extra: list[str]) -> Column:
     return reduce(lambda a, d: a | (h == d) | h.endswith("." + d), [x.lower() for x in extra], same_domain(base, target))
 
 
+# the parts of an address or a reference: scheme, host with //, path, query with ?, fragment with #
+PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(p: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``..`` at the root goes."""
+    segments = F.split(p, "/")
+    rest = F.slice(segments, F.when(p.startswith("/"), 2).otherwise(1), F.size(segments))
+    fold = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(rest, F.array().cast("array<string>"), fold)
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p == "", p).otherwise(F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(kept, "/")))
+
+
 def join_url(base: Column, href: Column) -> Column:
-    """The address a link points to: absolute, with scheme only, from the root, or beside the page."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    root = F.concat(scheme, F.lit("://"), host(base))
-    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), r"[^/]*$", "")
-    bare = F.regexp_replace(base, r"#.*$", "")
+    """The address that a reference means on a page, as RFC 3986 resolves it (5.2.2, strictly)."""
+    of = lambda c, i: F.regexp_extract(c, PARTS, i)
+    scheme, host_, path_, query, fragment = (of(href, i) for i in range(1, 6))
+    folder = F.when((of(base, 2) != "") & (of(base, 3) == ""), "/").otherwise(F.regexp_replace(of(base, 3), r"[^/]*\z", ""))
+    start = F.concat(of(base, 1), F.lit(":"))
+    merged = without_dots(F.when(path_.startswith("/"), path_).otherwise(F.concat(folder, path_)))
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
-        .when(href == "", bare).when(href.startswith("#"), F.concat(bare, href)).otherwise(F.concat(root, folder, href))
+        F.when(scheme != "", F.concat(scheme, F.lit(":"), host_, F.when(path_.startswith("/"), without_dots(path_)).otherwise(path_), query, fragment)).when(host_ != "", F.concat(start, host_, without_dots(path_), query, fragment))
+        .when(path_ != "", F.concat(start, of(base, 2), merged, query, fragment)).otherwise(F.concat(start, of(base, 2), of(base, 3), F.when(query != "", query).otherwise(of(base, 4)), fragment))
     )
 
 
@@ -93,10 +113,12 @@ def unescaped(c: Column) -> Column:
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href, anchor and target of every link, in order of the page; tags within a link are left out."""
     group = lambda i: F.regexp_extract("m", ANCHOR, i)
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "m"))
+    base = unescaped(F.concat(*(F.regexp_extract("html", BASE, i) for i in (1, 2, 3))))
+    pages = pages.withColumn("base", F.when(base == "", F.col("url")).otherwise(join_url(F.col("url"), base)))
+    rows = pages.select("page_id", "url", "base", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "m"))
     text = F.trim(F.regexp_replace(F.regexp_replace(group(4), "<[^>]*>", " "), r"\s+", " "))
-    rows = rows.select("page_id", "url", "pos", unescaped(F.concat(group(1), group(2), group(3))).alias("href"), unescaped(text).alias("anchor"))
-    return rows.withColumn("target", join_url(F.col("url"), F.col("href")))
+    rows = rows.select("page_id", "url", "base", "pos", unescaped(F.concat(group(1), group(2), group(3))).alias("href"), unescaped(text).alias("anchor"))
+    return rows.withColumn("target", join_url(F.col("base"), F.col("href"))).drop("base")
 
 
 def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -133,20 +155,31 @@ def best_links(links: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", n).filter(F.col("rank") <= k)
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
-    """url and level of what is reached from ``seeds`` (url) over ``edges`` (src, dst) in ``depth`` steps, each once. Links a page
-    at most are set before, by ``best_links``.
+def frontier(links: DataFrame, seeds: DataFrame, depth: int, pages: int, links_a_page: int) -> DataFrame:
+    """site, url and level of what a crawl visits: from ``seeds`` (site, url) over ``links`` (src, dst, score, pos), level by level, up to
+    ``depth`` steps, ``links_a_page`` links of a page (the highest scores, earlier ones first) and ``pages`` pages of each site.
+
+    A page goes to the first level that reaches it; where a level has more than the site has left, its best links go first (by
+    score, then address). They are chosen in two steps, first among parts of a site. Each level is written to the shared folder, so
+    none is computed twice."""
+    order = [F.desc("score"), F.asc("url")]
+
+    def best(d: DataFrame) -> DataFrame:
+        d = d.withColumn("__part", F.pmod(F.xxhash64("url"), F.lit(32))).withColumn("__n", F.row_number().over(Window.partitionBy("site", "__part").orderBy(*order))).filter(F.col("__n") <= F.col("room"))
+        return d.withColumn("__n", F.row_number().over(Window.partitionBy("site").orderBy(*order))).filter(F.col("__n") <= F.col("room")).drop("__part", "__n")
 
-    One join a level, its result cut with checkpoint(); ``most``: pages at most, by level, then address."""
-    seen = seeds.select("url").distinct().withColumn("level", F.lit(0))
-    new = seen
+    each = links.groupBy("src", "dst").agg(F.min_by(F.struct("pos", "score"), "pos").alias("l")).select("src", "dst", "l.*")
+    n = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "pos"))
+    each = written(each.withColumn("__n", n).filter(F.col("__n") <= links_a_page).select("src", "dst", "score"), "links")
+    first = seeds.select("site", "url").distinct().withColumns({"score": F.lit(0), "room": F.lit(pages)})
+    seen = new = written(best(first).select("site", "url", F.lit(0).alias("level")), "level")
     for level in range(1, depth + 1):
-        step = edges.join(new.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
-        new = step.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
+        reached = new.join(each.withColumnRenamed("src", "url"), "url").groupBy("site", F.col("dst").alias("url")).agg(F.max("score").alias("score"))
+        reached = reached.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        room = seen.groupBy("site").agg((F.lit(pages) - F.count(F.lit(1))).cast("int").alias("room"))
+        new = written(best(reached.join(room, "site")).select("site", "url", F.lit(level).alias("level")), "level")
         seen = seen.unionByName(new)
-    return seen.orderBy("level", "url").limit(most) if most is not None else seen
+    return seen
 
 
 def first_pages(pages: DataFrame) -> DataFrame:

@@ -87,21 +87,39 @@ def l7(t: Tables) -> DataFrame:
     return L.best_links(scored(t), 4).select("page_id", "target", "rank")
 
 
-@query("l8_frontier", SCORED + f"""
-, o AS (SELECT page_id, url, target, min(pos) AS pos, arg_min(score, pos) AS score FROM scored GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM o),
-pg AS (SELECT page_id, {NORM} AS u FROM pages),
-e AS (SELECT a.u AS src, b.u AS dst FROM pg a JOIN pg b ON b.page_id IN (a.page_id + 1, a.page_id * 2) UNION SELECT {NORM}, {NORM.replace('url', 'target')} FROM k WHERE rank <= 3),
-s0 AS (SELECT DISTINCT u FROM pg WHERE page_id % 25 = 0), s1 AS (SELECT DISTINCT dst AS u FROM e JOIN s0 ON src = s0.u WHERE dst NOT IN (SELECT u FROM s0)),
-s2 AS (SELECT DISTINCT dst AS u FROM e JOIN s1 ON src = s1.u WHERE dst NOT IN (SELECT u FROM s0) AND dst NOT IN (SELECT u FROM s1))
-SELECT u AS url, 0 AS level FROM s0 UNION ALL SELECT u, 1 FROM s1 UNION ALL SELECT u, 2 FROM s2""")
+SITES = f"""
+, pg AS (SELECT page_id, {HOST} AS site, {NORM} AS u FROM pages),
+o AS (SELECT page_id, {NORM} AS src, {NORM.replace('url', 'target')} AS dst, pos, score FROM scored WHERE regexp_extract(target, '^[A-Za-z]+://([^/?#]*)', 1) = {HOST}),
+d AS (SELECT src, dst, min(pos) AS pos, arg_min(score, pos) AS score FROM o GROUP BY ALL), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, pos) <= 4)
+"""
+
+
+@query("l8_frontier", SCORED + SITES + """
+, s0 AS (SELECT site, u FROM (SELECT DISTINCT site, u FROM pg WHERE page_id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY site ORDER BY u) <= 12),
+c1 AS (SELECT site, dst AS u, max(score) AS score FROM k JOIN s0 ON src = s0.u WHERE (site, dst) NOT IN (SELECT (site, u) FROM s0) GROUP BY ALL),
+s1 AS (SELECT site, u FROM c1 QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, u) <= 12 - (SELECT count(*) FROM s0 WHERE s0.site = c1.site)),
+c2 AS (SELECT site, dst AS u, max(score) AS score FROM k JOIN s1 ON src = s1.u WHERE (site, dst) NOT IN (SELECT (site, u) FROM s0 UNION ALL SELECT (site, u) FROM s1) GROUP BY ALL),
+s2 AS (SELECT site, u FROM c2 QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, u) <= 12 - (SELECT count(*) FROM s0 WHERE s0.site = c2.site) - (SELECT count(*) FROM s1 WHERE s1.site = c2.site))
+SELECT site, u AS url, 0 AS level FROM s0 UNION ALL SELECT site, u, 1 FROM s1 UNION ALL SELECT site, u, 2 FROM s2""")
 def l8(t: Tables) -> DataFrame:
-    """Two steps from every 25th page over the three best links of each page, and from page n to pages n + 1 and 2n (stored pages
-    hold no links to each other)."""
-    p = t.read("pages").select("page_id", L.normalize_url(F.col("url")).alias("u"))
-    to = p.select(F.col("u").alias("src"), F.explode(F.array(F.col("page_id") + 1, F.col("page_id") * 2)).alias("page_id"))
-    links = L.best_links(scored(t), 3).join(p, "page_id").select(F.col("u").alias("src"), L.normalize_url(F.col("target")).alias("dst"))
-    edges = to.join(p.withColumnRenamed("u", "dst"), "page_id").select("src", "dst").unionByName(links).distinct()
-    return L.frontier(edges, p.filter("page_id % 25 = 0").select(F.col("u").alias("url")), 2)
+    """Two steps from every fifth page over the four best links of each page within its site, twelve pages a site."""
+    own = scored(t).filter(L.same_domain(F.col("url"), F.col("target")))
+    links = own.select(L.normalize_url(F.col("url")).alias("src"), L.normalize_url(F.col("target")).alias("dst"), "score", "pos")
+    seeds = t.read("pages").filter("page_id % 5 = 0").select(L.host(F.col("url")).alias("site"), L.normalize_url(F.col("url")).alias("url"))
+    return L.frontier(links, seeds, depth=2, pages=12, links_a_page=4)
+
+
+REFERENCES = ("../x", "./y/", "?p=2", "#z", "//h.test/q", "/a/./b/../c", "g;x=1/../y", "", "../../../up", "mailto:a@b")
+
+
+@query("l4_references", f"""
+, b AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+):', 1) AS s, {HOST} AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '([?][^#]*)', 1) AS q FROM pages),
+f AS (SELECT *, s || '://' || h AS root, regexp_replace(p, '[^/]*$', '') AS folder FROM b)
+SELECT page_id, unnest({list(REFERENCES)}) AS href, unnest([root || regexp_replace(folder, '[^/]+/$', '') || 'x', root || folder || 'y/', root || p || '?p=2', root || p || q || '#z', s || '://h.test/q', root || '/a/c', root || folder || 'y', root || p || q, root || '/up', 'mailto:a@b']) AS target FROM f""")
+def l4_references(t: Tables) -> DataFrame:
+    """What references of all forms mean on each page."""
+    d = t.read("pages").select("page_id", "url", F.explode(F.array(*map(F.lit, REFERENCES))).alias("href"))
+    return d.select("page_id", "href", L.join_url(F.col("url"), F.col("href")).alias("target"))
 
 
 @query("l9_first_pages", f"SELECT {NORM} AS norm_url, min(page_id) AS page_id FROM pages GROUP BY 1")

@@ -165,14 +165,17 @@ def f2(t: Tables) -> DataFrame:
 
 
 @query("f2_question_lines", r"""
-, l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Q: ' || split_part(text, E'\n', 1) ELSE 'A: ' || split_part(text, E'\n', 1) END AS l FROM conversations),
-w AS (SELECT *, sum((turn % 2 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS pair FROM l)
-SELECT conv_id, pair::BIGINT AS pair, regexp_replace(arg_min(l[3:], turn) FILTER (turn % 2 = 0), '^\s+|\s+$', '', 'g') AS question, regexp_replace(arg_min(l[3:], turn) FILTER (turn % 2 = 1), '^\s+|\s+$', '', 'g') AS answer FROM w WHERE pair > 0
-GROUP BY ALL HAVING question <> '' AND answer <> ''""")
+, l AS (SELECT conv_id, turn, unnest(string_split(text, E'\n')) AS l, unnest(range(len(string_split(text, E'\n')))) AS line FROM conversations),
+m AS (SELECT conv_id, turn, line, CASE WHEN line > 0 THEN l WHEN turn % 2 = 0 THEN 'Q: ' || l ELSE 'A: ' || l END AS l FROM l),
+s AS (SELECT *, regexp_replace(l, '^\s+|\s+$', '', 'g') AS b, regexp_replace(regexp_replace(l, '^\s*[QqAa]:', ''), '^\s+|\s+$', '', 'g') AS bare FROM m),
+a AS (SELECT *, starts_with(lower(b), 'q:') OR (ends_with(b, '?') AND NOT starts_with(lower(b), 'a:')) AS asks FROM s),
+w AS (SELECT *, sum(asks::INT) OVER (PARTITION BY conv_id ORDER BY turn, line) AS pair FROM a)
+SELECT conv_id, pair::BIGINT AS pair, arg_min(bare, (turn, line)) FILTER (asks) AS question, arg_min(bare, (turn, line)) FILTER (NOT asks AND b <> '') AS answer FROM w WHERE pair > 0 GROUP BY ALL HAVING question <> '' AND answer <> ''""")
 def f2_lines(t: Tables) -> DataFrame:
-    first = F.split("text", "\n")[0]
-    l = t.read("conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Q: "), first)).otherwise(F.concat(F.lit("A: "), first)).alias("l"))
-    return H.question_pairs(l, ["conv_id"], "turn", "l")
+    """All lines of all turns; the first of a turn is marked as question or answer."""
+    l = t.read("conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    mark = F.when(F.col("line") > 0, "").when(F.col("turn") % 2 == 0, "Q: ").otherwise("A: ")
+    return H.question_pairs(l.select("conv_id", F.struct("turn", "line").alias("at"), F.concat(mark, "l").alias("l")), ["conv_id"], "at", "l")
 
 
 @query("f3_definition_questions", DEFINITIONS + "SELECT source, k AS question, v AS answer FROM definitions WHERE ends_with(k, '?')")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import jobs as J
+from ..operators.scan import levels, running
+from ..sources.snapshot import shared_folder, written
+from ..streaming import keyed
 from .registry import query
 from .tables import Tables
 
@@ -54,8 +57,9 @@ def j5(t: Tables) -> DataFrame:
 @query("j6_running_average", """
 SELECT l_suppkey, job_id, l_linenumber, l_partkey, l_extendedprice, avg(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY end_time, job_id, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS mean FROM node""")
 def j6(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("end_time", "job_id", "l_linenumber", "l_partkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.node.select("l_suppkey", "job_id", "l_linenumber", "l_partkey", "l_extendedprice", F.avg("l_quantity").over(w).alias("mean"))
+    rows = t.node.select("l_suppkey", "end_time", "job_id", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    d = running(rows, ["l_suppkey"], "end_time", ["job_id", "l_linenumber", "l_partkey", "l_extendedprice"], {"s": ("sum", F.col("l_quantity")), "n": ("count", F.col("l_quantity"))}, block=90 * 86_400)
+    return d.select("l_suppkey", "job_id", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("s") / F.col("n")).alias("mean"))
 
 
 @query("j7_eligible", """
@@ -66,9 +70,12 @@ def j7(t: Tables) -> DataFrame:
     return t.job.join(failed, "job_id").select("job_id", F.col("failed").between(1, 2).alias("may_retry"), F.col("status").isin("pending", "running").alias("may_cancel"))
 
 
-@query("j8_retry_schedule", "SELECT job_id, a AS attempt, least(300.0, 30.0 * 2 ** (a - 1))::DOUBLE AS delay_s FROM job, range(1, 6) r(a) WHERE priority = 'urgent'")
+@query("j8_retry_schedule", """
+, f AS (SELECT job_id, count(*) FILTER (status = 'failed') AS failed FROM node GROUP BY 1)
+SELECT job_id, a AS attempt, least(300.0, 30.0 * 2 ** (a - 1))::DOUBLE AS delay_s FROM job JOIN f USING (job_id), range(1, 6) r(a) WHERE failed BETWEEN 1 AND 2""")
 def j8(t: Tables) -> DataFrame:
-    return J.retry_delays(t.job.filter("priority = 'urgent'").select("job_id"), 5, 30, 300).select("job_id", F.col("attempt").cast("long").alias("attempt"), "delay_s")
+    failed = t.node.groupBy("job_id").agg(F.count_if(F.col("status") == "failed").alias("failed")).filter(F.col("failed").between(1, 2))
+    return J.retry_delays(t.job.join(failed, "job_id", "left_semi").select("job_id"), 5, 30, 300).select("job_id", F.col("attempt").cast("long").alias("attempt"), "delay_s")
 
 
 @query("j8_node_backoff", """
@@ -184,17 +191,14 @@ def j20(t: Tables) -> DataFrame:
 
 
 @query("j21_dependency_levels", """
-, e AS (SELECT n_nationkey AS child, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS parent FROM nation),
-r AS (SELECT n_nationkey AS node, floor(log2(n_nationkey + .5) + 1)::INT AS level FROM nation WHERE n_nationkey > 0 UNION ALL SELECT 0, 0)
-SELECT node, level FROM r""")
+, RECURSIVE_ AS (SELECT 1)
+SELECT n_nationkey AS node, level FROM nation JOIN LATERAL (
+  SELECT max(n)::INT AS level FROM (WITH RECURSIVE r(k, n) AS (SELECT n_nationkey, 0 UNION SELECT unnest([k // 2, k // 3]), n + 1 FROM r WHERE k > 0) SELECT n FROM r)) ON true""".replace(", RECURSIVE_ AS (SELECT 1)", ""))
 def j21(t: Tables) -> DataFrame:
-    """Level of each node in a graph of dependencies (a node depends on the half of its number), in execution order."""
-    t.read("nation").createOrReplaceTempView("hearthline_dag")
-    return t.spark.sql("""
-        WITH RECURSIVE r (node, level) AS (
-          SELECT n_nationkey, 0 FROM hearthline_dag WHERE n_nationkey = 0
-          UNION ALL SELECT n_nationkey, level + 1 FROM r JOIN hearthline_dag ON int(n_nationkey / 2) = node AND n_nationkey > 0)
-        SELECT node, level FROM r""")
+    """Levels in a graph where each node needs the half and the third of its number."""
+    n = t.read("nation").select(F.col("n_nationkey").alias("node"))
+    e = n.select("node", F.explode(F.array(F.expr("node div 2"), F.expr("node div 3"))).alias("needs")).filter("node > 0")
+    return levels(n, e, lambda d: written(d, "levels"))
 
 
 @query("j22_progress_delta", "SELECT node, status, count(*) AS n, CASE status WHEN 'completed' THEN 20.0 WHEN 'running' THEN 60.0 WHEN 'failed' THEN 10.0 ELSE 0 END * CASE node WHEN 1 THEN .3 WHEN 2 THEN .2 ELSE .25 END + 10.0::DOUBLE AS delta FROM node GROUP BY ALL")
@@ -234,8 +238,7 @@ def s4(t: Tables) -> DataFrame:
 
 @query("r3_monotonic_progress", "SELECT job_id, event_id, max(value) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM progress")
 def r3(t: Tables) -> DataFrame:
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.progress.select("job_id", "event_id", F.max("value").over(w).alias("progress"))
+    return running(t.progress.select("job_id", "event_id", "ts", "value"), ["job_id"], "ts", ["event_id"], {"progress": ("max", F.col("value"))}).select("job_id", "event_id", "progress")
 
 
 @query("r6_phases", """
@@ -274,6 +277,17 @@ def r10(t: Tables) -> DataFrame:
     return t.progress.groupBy("job_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
 
 
+@query("r10_upserted", "SELECT job_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM progress GROUP BY 1")
+def r10_upserted(t: Tables) -> DataFrame:
+    """The same through the keyed table of the stream, in four batches: the first with the events of every fourth day, and so on."""
+    rows = t.progress.select("job_id", "event_id", "event_type", "ts")
+    path, order = shared_folder(t.spark, "latest"), ["ts", "event_id"]
+    put, quarter = keyed.upsert(path, "job_id", order, buckets=8, deltas=2), F.pmod(F.dayofyear("ts"), F.lit(4))
+    for number in range(4):
+        put(rows.filter(quarter == number), number)
+    return keyed.latest(t.spark, path, "job_id", order, rows.schema).select("job_id", "event_type", "ts")
+
+
 @query("r2_job_states", """
 , f AS (SELECT job_id, event_type, count(*) AS n, min((ts, event_id)) AS first FROM progress GROUP BY ALL), p AS (SELECT job_id, string_agg(event_type, ',' ORDER BY first) AS phases FROM f GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS n FROM progress), l AS (SELECT job_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS last_events FROM r WHERE n <= 100 GROUP BY 1),

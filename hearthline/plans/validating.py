@@ -99,10 +99,10 @@ def v6(t: Tables) -> DataFrame:
 
 
 @query("v7_phone", r"""
-, p AS (SELECT doc_id, regexp_extract(text, '(\+[0-9][0-9 ()-]+[0-9])', 1) AS phone FROM documents)
-SELECT doc_id, phone, regexp_matches(regexp_replace(phone, '[\s()+-]', '', 'g'), '^[0-9]{7,15}$') AS ok FROM p WHERE phone <> ''""")
+, p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\+[0-9][0-9 ()-]+[0-9]')) AS phone, unnest(range(len(regexp_extract_all(text, '\+[0-9][0-9 ()-]+[0-9]')))) AS pos FROM documents)
+SELECT doc_id, pos, phone, regexp_matches(regexp_replace(phone, '[\s()+-]', '', 'g'), '^[0-9]{7,15}$') AS ok FROM p""")
 def v7(t: Tables) -> DataFrame:
-    d = t.read("documents").select("doc_id", F.regexp_extract("text", r"(\+[0-9][0-9 ()-]+[0-9])", 1).alias("phone")).filter("phone <> ''")
+    d = t.read("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\+[0-9][0-9 ()-]+[0-9]"), 0)).alias("pos", "phone")).withColumn("pos", F.col("pos").cast("long"))
     return d.withColumn("ok", V.is_phone(F.col("phone")))
 
 

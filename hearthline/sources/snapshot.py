@@ -18,6 +18,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and lost executors cost no lineage."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """JSON lines; ``by``: one folder for each value, such as one for each job."""
     w = df.write.mode("overwrite")
