@@ -42,26 +42,44 @@ def priority(c: Column) -> Column:
     return _table(c, 0)
 
 
-def pack(pages: DataFrame, site: str, most: int, url: str = "url", text: str = "text", order: str = "page_id") -> DataFrame:
-    """Pages with category, rank in their site, and take: the signs of their text that the site's context holds.
+def budget(pages: DataFrame, site: str, most: int, url: str = "url", text: str = "text", order: str = "page_id") -> DataFrame:
+    """site, order, url and __text (a hash of the text) of the pages that a site's context holds, with category, rank, header and take:
+    the signs of their text in it. Works on rows without texts.
 
     The site's first page leads with up to a quarter of ``most``. As the sum of what pages ask for passes ``most`` for good
     once a page is cut, a running sum decides for all pages at once. A site's pages beyond most / LEAST_HEADER cannot
-    fit; they go before the running sum, so a site of any size costs a bounded sort."""
-    own = Window.partitionBy(site)
-    d = pages.withColumn("category", category(F.col(url)))
-    first = pages.groupBy(site).agg(F.min(order).alias("__first"))
+    fit; they go before the running sum, first within each part of a site, so a site of any size costs bounded sorts."""
+    own, room = Window.partitionBy(site), most // LEAST_HEADER
+    slim = pages.select(site, order, url, F.xxhash64(text).alias("__text"), F.length(text).alias("__length"))
+    d = slim.dropDuplicates([site, order, url, "__text"]).withColumn("category", category(F.col(url)))
+    first = slim.groupBy(site).agg(F.min(order).alias("__first"))
     d = d.join(first, site).withColumn("__main", F.col(order) == F.col("__first")).drop("__first")
-    by = own.orderBy(F.desc("__main"), priority(F.col("category")), order)
-    d = d.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most // LEAST_HEADER)
+    place = [F.desc("__main"), priority(F.col("category")), F.col(order), F.col(url), F.col("__text")]
+    part = Window.partitionBy(site, F.pmod(F.xxhash64(order), F.lit(64)))
+    d = d.withColumn("rank", F.row_number().over(part.orderBy(*place))).filter(F.col("rank") <= room)
+    d = d.withColumn("rank", F.row_number().over(own.orderBy(*place))).filter(F.col("rank") <= room)
     label = F.when(F.col("__main"), "MAIN PAGE").otherwise(F.upper("category"))
     d = d.withColumn("header", F.concat(F.lit("\n\n=== "), label, F.lit(": "), F.col(url), F.lit(" ===\n")))
-    asked = F.when(F.col("__main"), most // 4).otherwise(F.floor(F.lit(most) / _table(F.col("category"), 1)))
-    d = d.withColumn("__want", F.least(F.length(text), asked)).withColumn("__h", F.length("header"))
+    d = d.withColumn("__want", F.least(F.col("__length"), _asked(F.col("__main"), F.col("category"), most))).withColumn("__h", F.length("header"))
     before = F.coalesce(F.sum(F.col("__h") + F.col("__want")).over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("__before", before).filter(F.col("__before") < most)
     take = F.when(F.col("__main"), F.col("__want")).otherwise(F.greatest(F.lit(0), F.least("__want", F.lit(most) - F.col("__before") - F.col("__h"))))
-    return d.withColumn("take", take.cast("int")).drop("__main", "__want", "__h", "__before")
+    return d.withColumn("take", take.cast("int")).select(site, order, url, "__text", "category", "rank", "header", "take")
+
+
+def _asked(main: Column, category_: Column, most: int) -> Column:
+    return F.when(main, most // 4).otherwise(F.floor(F.lit(most) / _table(category_, 1)))
+
+
+def pack(pages: DataFrame, site: str, most: int, url: str = "url", text: str = "text", order: str = "page_id") -> DataFrame:
+    """Pages with category, rank, header and take (see ``budget``), and their texts cut to what they may take at most.
+
+    The pages to keep are found without texts; these are cut where they are before they travel to them. Rows equal in site, order,
+    address and text are one page."""
+    most_taken = F.greatest(F.lit(most // 4), _asked(F.lit(False), category(F.col(url)), most))
+    keys = [site, order, url, "__text"]
+    cut = pages.withColumn("__text", F.xxhash64(text)).withColumn(text, F.substring(F.col(text), F.lit(1), most_taken.cast("int"))).dropDuplicates(keys)
+    return cut.join(budget(pages, site, most, url, text, order), keys).drop("__text")
 
 
 def context(packed: DataFrame, site: str, text: str = "text") -> DataFrame:

