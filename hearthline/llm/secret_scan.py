@@ -13,9 +13,11 @@ import binascii
 import bz2
 import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +52,7 @@ def _written(b: int) -> str:
 
 PACKED_ESCAPED = re.compile("|".join("".join(map(_written, x)) for x in STARTS), re.I)
 SIGN = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|&\#x0*([0-9A-Fa-f]{1,2});|&\#0*([0-9]{1,3});|\\([0-7]{1,3})|\\([abfnrtv\\'"])|([\x00-\xff])""")
+FIRST = {0x1F, 0x78, 0x42, 0xFD}  # of compressed data
 SIMPLE = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\"", strict=True))
 # What a layer of bytes that are no readable text must hold to be worth a scan.
 TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|\x00")
@@ -237,17 +240,31 @@ def _texts(pieces: Iterator[bytes], codec: str) -> Iterator[str]:
 def _unpacked(packed: Packed) -> Iterator[Layer | Packed]:
     """The layers in compressed data: its text, read as UTF-16 too where it has zero bytes, and compressed data in it."""
     left: list[int] = []
-    first, zero = b"", False
+    tail, zero, more = b"", False, False
     for x in _inflated(packed.bytes, left):
-        first, zero = first if len(first) >= 16 else first + x[:16], zero or 0 in x
-    if PACKED.match(first):
-        yield Packed(b"".join(_inflated(packed.bytes, left)), packed.begin, packed.end)
+        zero = zero or 0 in x
+        x = tail + x
+        more = more or any(_begins(x[m.start() : m.start() + 64]) for m in PACKED.finditer(x))
+        tail = x[-64:]
+    if more:
+        data = b"".join(_inflated(packed.bytes, left))
+        yield from _packed_from(data, _Same(packed.begin), _Same(packed.end))
     for codec in ("utf-8", "utf-16-le", "utf-16-be") if zero else ("utf-8",):
         for text in _texts(_inflated(packed.bytes, left), codec):
             yield Layer(text, packed.begin, packed.end)
 
 
-def _packed_from(data: bytes, begins: list[int], ends: list[int]) -> Iterator[Packed]:
+class _Same:
+    """The one place of all bytes."""
+
+    def __init__(self, place: int) -> None:
+        self.place = place
+
+    def __getitem__(self, _: slice) -> list[int]:
+        return [self.place]
+
+
+def _packed_from(data: bytes, begins: list[int] | _Same, ends: list[int] | _Same) -> Iterator[Packed]:
     """Compressed data anywhere in ``data``, of which each byte has a span."""
     done = 0
     for m in PACKED.finditer(data):
@@ -271,23 +288,23 @@ def _packed_in_percent(layer: Layer) -> Iterator[Packed]:
 
 def _packed_in_escapes(layer: Layer) -> Iterator[Packed]:
     """Compressed data that a layer writes with escapes, as a literal of bytes does."""
-    done = 0
+    seen: set[int] = set()
     for m in PACKED_ESCAPED.finditer(layer.text):
-        if m.start() < done:
+        if m.start() in seen:  # decoded with what stands before it
             continue
-        data, places, at = bytearray(), [], m.start()
+        data, places, at = bytearray(), array("q"), m.start()
         while (x := SIGN.match(layer.text, at)) and not (x[6] and int(x[6]) > 255) and not (x[7] and int(x[7], 8) > 255):
             code = x[1] or x[2] or x[3] or x[4] or x[5]
             data.append(int(code, 16) if code else int(x[6]) if x[6] else int(x[7], 8) if x[7] else SIMPLE[x[8]] if x[8] else ord(x[9]))
-            places.append((at, x.end()))
+            places.append(at)
+            if data[-1] in FIRST:
+                seen.add(at)
             at = x.end()
-            if len(data) == 64 and not _begins(bytes(data)):
-                break
-        left: list[int] = []
-        if PACKED.match(data) and sum(map(len, _inflated(bytes(data), left))):
-            used = len(data) - left[0]
-            done = places[used - 1][1]
-            yield Packed(bytes(data[:used]), *layer.span(m.start(), done))
+        places.append(at)
+        data = bytes(data)
+        if any(_begins(data[k.start() : k.start() + 64]) for k in PACKED.finditer(data)):
+            spans = [layer.span(i, j) for i, j in itertools.pairwise(places)]
+            yield from _packed_from(data, [x[0] for x in spans], [x[1] for x in spans])
 
 
 def _readable(data: bytes) -> bool:
@@ -337,17 +354,18 @@ def _base64(layer: Layer) -> Iterator[Layer | Packed]:
                 data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
             except (binascii.Error, ValueError):
                 continue
-            m = PACKED.search(data)
-            if m and (shift or m.start()) and not _begins(data[m.start() : m.start() + 64]):
-                m = None
-            if shift and not m and not SECRET.search(data):
+            packed = any(_begins(data[m.start() : m.start() + 64]) for m in PACKED.finditer(data)) or not shift and PACKED.match(data)
+            if shift and not packed and not SECRET.search(data) and not (TELLING.search(data) and _readable(data.replace(b"\0", b""))):
                 continue
-            if m is None and not (not shift and _readable(data)) and not TELLING.search(data):
+            if not packed and not (not shift and _readable(data)) and not TELLING.search(data):
                 continue
             places = places or [i for a, z in lines for i in range(a, z)]
             place = places[shift:]
-            if m:
-                yield Packed(data[m.start() :], *layer.span(place[m.start() // 3 * 4], place[min(len(run), len(place)) - 1] + 1))
+            if packed:
+                last = min(len(run), len(place)) - 1
+                fours = [layer.span(place[i], place[min(i + 3, last)] + 1) for i in range(0, last + 1, 4)]
+                begins, ends = ([x[k] for x in fours for _ in range(3)] for k in (0, 1))
+                yield from _packed_from(data, begins, ends)
                 if not TELLING.search(data):
                     continue
             yield from _decoded(layer, data, place)
