@@ -21,6 +21,7 @@ from ._common import ship, table, written
 ship(__name__)
 
 LEAF, QUERY_LEAF, BASE = 64, 8, 1.3
+LONG = float(1 << 63) * (1 - 1e-12)  # what a score must stay below
 
 
 class Node:
@@ -64,25 +65,49 @@ def tree(x: np.ndarray, leaf: int = LEAF) -> Node:
     return nodes[0]
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2**64, as 64-bit ones; those below 2**63 stay what they are."""
+    small = np.abs(x) < LONG
+    out = np.where(small, x, 0).astype(np.int64)
+    for i, j in zip(*np.nonzero(~small), strict=True):
+        out[i, j] = (int(x[i, j]) + (1 << 63)) % (1 << 64) - (1 << 63)
+    return out
+
+
 def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row of the query, id and score of its k best rows of ``x`` with another id (higher scores first, then lower ids), and the
-    number of rows that each query was scored with. Scores below ``floor`` (one a query) may be left out."""
-    best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    number of rows that each query was scored with. Scores below ``floor`` (one a query) may be left out.
+
+    Components are whole numbers. Where a score could pass 2**53, scores are worked out modulo 2**64, which is exact for a long; one
+    that is none raises an error."""
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    wide = largest >= float(1 << 53)
+    whole_q, whole_x = (_modulo(q), _modulo(x)) if wide else (q, x)
+    none = np.iinfo(np.int64).min
+    best, ids = np.full((len(q), k), none), np.full((len(q), k), np.iinfo(np.int64).max)
+    if wide and floor is not None:
+        floor = floor - np.where(np.isfinite(floor), np.abs(floor) * 1e-15 + 1, 0)
     least, scored = np.full(len(q), -np.inf) if floor is None else floor.astype(float), np.zeros(len(q), np.int64)
 
     def leaf(a: np.ndarray, b: np.ndarray) -> None:
-        s = q[a] @ x[b].T  # whole numbers below 2**53: exact
+        s = q[a] @ x[b].T  # exact below 2**53
+        if wide:
+            if largest >= LONG and np.abs(s).max(initial=0) >= LONG:
+                raise OverflowError("a score is no long")
+            s = whole_q[a] @ whole_x[b].T
+        s = s.astype(np.int64)
         scored[a] += len(b)
-        s[q_ids[a][:, None] == x_ids[b][None, :]] = -np.inf
-        hit = np.flatnonzero((s >= np.maximum(least[a], -1e300)[:, None]).any(1))
+        s[q_ids[a][:, None] == x_ids[b][None, :]] = none
+        hit = np.flatnonzero(((s > none) & (s >= np.maximum(least[a], -1e300)[:, None])).any(1))
         if not len(hit):
             return
         a = a[hit]
         all_s = np.concatenate([best[a], s[hit]], 1)
         all_i = np.concatenate([ids[a], np.broadcast_to(x_ids[b], (len(a), len(b)))], 1)
-        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+        order = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
         best[a], ids[a] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        least[a] = np.maximum(least[a], best[a, -1])
+        last = best[a, -1]
+        least[a] = np.maximum(least[a], np.where(last > none, last.astype(float), -np.inf))
 
     def bound(a: Node, b: Node) -> float:
         at_best = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
@@ -102,15 +127,20 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
 
     a, b = tree(q, QUERY_LEAF), tree(x)
     walk(a, b, bound(a, b))
-    row, col = np.nonzero(np.isfinite(best))
+    row, col = np.nonzero(best > none)
     return row, ids[row, col], best[row, col], scored
 
 
+def _floor(v: Column) -> Column:
+    """As a double; from 2**52 on, a double is whole."""
+    return F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v)
+
+
 def scaled(embedding: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null where the vector is null or holds a null or non-finite component."""
     d = F.transform(embedding, lambda v: v.cast("double"))
     odd = F.exists(d, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~odd, F.transform(d, lambda v: F.floor(v * F.lit(float(scale))).cast("double")))
+    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~odd, F.transform(d, lambda v: _floor(v * F.lit(float(scale)))))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 16384, query_block: int = 4096) -> DataFrame:
@@ -120,7 +150,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     Queries are the rows whose vec_id is divisible by ``every``, equal ones once. Rows with a null vec_id, a vector that is
     null, empty or holds a null or non-finite component take no part. Rows of the query's own vec_id are not its
     candidates; all others are, equal ones each by itself, in order of vec_id where scores tie; rows of another length
-    than the query's are not comparable and no candidates either. Scores are exact below 2**53. Fewer candidates than
+    than the query's are not comparable and no candidates either. Scores are exact; one that is no
+    64-bit number is an error. Fewer candidates than
     ``k`` give fewer rows, an empty table none. Other columns, of whatever names, are not read.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -139,7 +170,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
             if len(a) and len(b):
                 ids, key = a["query_id"].to_numpy(), a["q"].to_numpy()
                 row, vec, score, scored = search(np.stack(a["w"]), ids, np.stack(b["v"]), b["vec_id"].to_numpy(), k, a["floor"].fillna(-np.inf).to_numpy())
-                out.append(pd.DataFrame({"query_id": ids[row], "q": key[row], "vec_id": pd.array(vec, "Int64"), "score": pd.array(score.astype(np.int64), "Int64"), "scored": 0}))
+                out.append(pd.DataFrame({"query_id": ids[row], "q": key[row], "vec_id": pd.array(vec, "Int64"), "score": pd.array(score, "Int64"), "scored": 0}))
                 out.append(pd.DataFrame({"query_id": ids, "q": key, "vec_id": pd.array([None] * len(ids), "Int64"), "score": pd.array([None] * len(ids), "Int64"), "scored": scored}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.array([], "Int64") for c in ("query_id", "q", "vec_id", "score", "scored")})
 

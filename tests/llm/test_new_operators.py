@@ -1,6 +1,7 @@
 """Collocations, manifest and url filters against plain versions, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -214,3 +215,56 @@ def test_reputations(spark, monkeypatch):
     assert sorted(map(tuple, url_filter.judge(p, j).collect())) == sorted(map(tuple, got))
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (3, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert {(x.page_id, x.bad) for x in url_filter.outcomes(labels).collect()} == {(1, 1), (2, 1), (3, 0)}
+
+
+# 9: layers to the fixpoint
+def test_secrets_behind_chance_heads_gaps_and_glue():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import time
+
+    from hearthline.llm import secret_scan
+
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    plain = "my long token = abcdefgh1234"
+    cases = ["x/" + b64(b64(plain)), "x/" + b64("".join(f"%{c:02x}" for c in plain.encode())), "x/" + b64(plain.encode("utf-16-le")), b64(b"matrix x^2 + y " + gzip.compress(plain.encode())), b64(b"matrix z2 + y " + gzip.compress(plain.encode())), b64(gzip.compress(b"a") + b"GAPGAP" + gzip.compress(plain.encode())),
+             b64(gzip.compress(b"matrix x^2 " + gzip.compress(plain.encode()) + b"GAP" + bz2.compress(plain.encode())))]
+    for text in cases:
+        _, spans, _ = secret_scan.scan("before " + text + " behind")
+        assert [(k, 7 <= a < z <= 7 + len(text)) for a, k, z in spans] and all(k == 0 for _, k, _ in spans), text
+    r = random.Random(12)
+    wraps = [b64, lambda x: b64(gzip.compress(x.encode())), lambda x: b64(bz2.compress(x.encode())), lambda x: b64(lzma.compress(x.encode())), lambda x: "".join(f"%{c:02X}" for c in x.encode()), lambda x: "".join(f"\\x{c:02x}" for c in x.encode()), lambda x: "".join(f"&#{c};" for c in x.encode()), lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: "".join(f"\\x{c:02x}" for c in gzip.compress(x.encode()))]
+    for _ in range(300):
+        text = plain
+        for _ in range(3):
+            text = r.choice(wraps)(text)
+        assert secret_scan.scan("say " + text + " end")[1], text
+    for text in ("\\x1f\\x8b\\x08" * 20_000, "\\x1f\\x8b\\x08\\x00" * 20_000):
+        began = time.process_time()
+        secret_scan.scan(text)
+        assert time.process_time() - began < 10
+
+
+# 3: exact beyond doubles
+@pytest.mark.parametrize("size", [10**3, 10**6, 10**9])
+def test_top_k_of_large_components(spark, size):
+    from hearthline.llm import topk
+
+    r = random.Random(size)
+    v = {i: [float(r.randrange(-size, size)) for _ in range(4)] for i in range(300)}
+    v |= {i: v[i - 1] for i in range(201, 300, 7)}  # ties
+    n = {i: [math.floor(256 * c) for c in x] for i, x in v.items()}
+    score = lambda q, c: sum(a * b for a, b in zip(n[q], n[c], strict=True))
+    want = [(q, k, c, -x) for q in v if q % 50 == 0 for k, (x, c) in enumerate(sorted((-score(q, c), c) for c in v if c != q)[:5], 1)]
+    d = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    if size < 10**9:
+        assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(d, block=64, query_block=4).collect()) == want
+    else:
+        with pytest.raises(Exception, match="no long"):
+            topk.top_k(d).collect()
+    huge = spark.createDataFrame([(0, [1e17]), (1, [1 / 256]), (2, [0.0]), (3, [-1 / 256])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no long"):
+        topk.top_k(huge).collect()
+    assert [(x.vec_id, x.score) for x in topk.top_k(huge.selectExpr("vec_id", "transform(embedding, x -> x / 100) AS embedding")).collect()] == [(1, 0), (2, 0), (3, -256 * 10**15)]
