@@ -91,13 +91,14 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
 
     def leaf(a: np.ndarray, b: np.ndarray) -> None:
         s = q[a] @ x[b].T  # exact below 2**53
+        own = q_ids[a][:, None] == x_ids[b][None, :]
         if wide:
-            if largest >= LONG and np.abs(s).max(initial=0) >= LONG:
+            if largest >= LONG and np.abs(np.where(own, 0, s)).max(initial=0) >= LONG:
                 raise OverflowError("a score is no long")
             s = whole_q[a] @ whole_x[b].T
         s = s.astype(np.int64)
         scored[a] += len(b)
-        s[q_ids[a][:, None] == x_ids[b][None, :]] = none
+        s[own] = none
         hit = np.flatnonzero(((s > none) & (s >= np.maximum(least[a], -1e300)[:, None])).any(1))
         if not len(hit):
             return
