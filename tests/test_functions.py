@@ -123,8 +123,8 @@ def test_links(spark):
     s = values(spark, L.score(F.col("x"), F.lit("Room detail"), ()), [("https://a.test/room/detail",), ("https://a.test/a/b/c/d/e",)])
     # room 8 and detail 8 on the path and half on the anchor, depth 4, the pair 8; depth 5 costs 2
     assert s == [8 + 8 + 4 + 4 + 4 + 8, 4 + 4 - 2]
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], "src string, dst string")
-    assert {(r.url, r.level) for r in L.frontier(edges, spark.createDataFrame([("a",)], "url string"), 3).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    edges = spark.createDataFrame([("a", "b", 1, 0), ("b", "c", 1, 0), ("c", "a", 1, 0), ("b", "a", 1, 1)], "src string, dst string, score int, pos int")
+    assert {(r.url, r.level) for r in L.frontier(edges, spark.createDataFrame([("s", "a")], "site string, url string"), 3, 10, 10).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
 def test_hints(spark):
