@@ -73,12 +73,22 @@ def known_sites(listings: DataFrame, city: str, found: DataFrame, key: str = "pr
     return rest.select(key, sites).select(key, (F.col("i") + 1).alias("n"), "url").unionByName(own.select(key, "n", "url"))
 
 
+def roles(pairs: DataFrame, owner: str = "property_id") -> DataFrame:
+    """Two rows a pair: (owner, ours, theirs, __left) with its own listing (left) and with the competitor."""
+    side = lambda c, left: F.struct(F.col(c).alias(owner), F.lit(left).alias("__left"))
+    return pairs.select("ours", "theirs", F.explode(F.array(side("ours", True), side("theirs", False))).alias("__r")).select("__r.*", "ours", "theirs")
+
+
 def side_by_side(configurations: DataFrame, pairs: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """Full outer: every configuration name of either side of each pair, with both sides' columns."""
+    """Every configuration name of either side of each pair, with both sides' columns.
+
+    A listing has a name once. One join brings a listing's rows to all pairs in which it takes part, on either side, and one aggregation
+    by pair and name lays the sides together, so no task holds a listing as a whole and nothing is sorted for a full outer join."""
     c = configurations.select("property_id", name, *columns)
-    left = pairs.join(c.withColumnRenamed("property_id", "ours"), "ours").select("ours", "theirs", name, *(F.col(x).alias(f"our_{x}") for x in columns), F.lit(True).alias("in_ours"))
-    right = pairs.join(c.withColumnRenamed("property_id", "theirs"), "theirs").select("ours", "theirs", name, *(F.col(x).alias(f"their_{x}") for x in columns), F.lit(True).alias("in_theirs"))
-    return left.join(right, ["ours", "theirs", name], "full_outer").withColumn("in_ours", F.coalesce("in_ours", F.lit(False))).withColumn("in_theirs", F.coalesce("in_theirs", F.lit(False)))
+    mine = lambda x, left: F.any_value(F.when(F.col("__left") == left, x), F.lit(True))
+    both = [mine(F.col(x), left).alias(f"{who}_{x}") for who, left in (("our", True), ("their", False)) for x in columns]
+    there = [F.max(F.col("__left") == left).alias(f"in_{who}") for who, left in (("ours", True), ("theirs", False))]
+    return roles(pairs).join(c, "property_id").groupBy("ours", "theirs", name).agg(*both, *there)
 
 
 def configuration_rows(configurations: DataFrame, pairs: DataFrame, name: str = "config_name") -> tuple[DataFrame, DataFrame]:

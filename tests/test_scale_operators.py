@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from hearthline.operators import compare as K
 from hearthline.operators import links as L
 from hearthline.operators.scan import levels, running
 from hearthline.sources.snapshot import written
@@ -128,3 +129,17 @@ def test_dependency_levels(spark):
     nodes = [(n,) for n in "abcdefxyzwi"]
     got = levels(spark.createDataFrame(nodes, "node string"), spark.createDataFrame(edges, "node string, needs string"), lambda d: written(d, "levels")).collect()
     assert {r.node: r.level for r in got} == {"a": 0, "e": 0, "i": 0, "b": 1, "c": 1, "d": 2, "f": 3, "x": None, "y": None, "z": None, "w": None}
+
+
+def test_sides_of_pairs_from_one_join_and_one_aggregation(spark):
+    r = random.Random(9)
+    have = {(p, n): (r.choice([None, 1.5, 2.0]), [n, p] if r.random() < 0.5 else None) for p in range(12) for n in "abcdefgh" if r.random() < 0.5}
+    c = spark.createDataFrame([(p, n, *v) for (p, n), v in have.items()], "property_id int, name string, price double, keys array<string>")
+    pairs = [(a, b) for a in range(14) for b in range(14) if a != b and r.random() < 0.3]
+    got = K.side_by_side(c, spark.createDataFrame(pairs, "ours int, theirs int"), "name", ["price", "keys"])
+    want = {(a, b, n): (have.get((a, n)), have.get((b, n))) for a, b in pairs for n in "abcdefgh" if (a, n) in have or (b, n) in have}
+    plain = lambda v: (None, None) if v is None else (v[0], None if v[1] is None else [str(x) for x in v[1]])
+    assert {(x.ours, x.theirs, x.name): ((x.our_price, x.our_keys), (x.their_price, x.their_keys), x.in_ours, x.in_theirs) for x in got.collect()} == {k: (plain(a), plain(b), a is not None, b is not None) for k, (a, b) in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "FullOuter" not in plan
+    assert K.side_by_side(c.filter("false"), spark.createDataFrame(pairs, "ours int, theirs int"), "name", ["price"]).count() == 0
