@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import score as S
 from .registry import query
 from .tables import Tables
@@ -56,6 +57,40 @@ def q2(t: Tables) -> DataFrame:
     return d.select("property_id", F.explode(F.array(*S.presence(F.col("doc"), kind))).alias("x")).select("property_id", "x.*")
 
 
+# documents of five shapes around the properties of an event; the last is no JSON
+SHAPES = (
+    "{p}", '{"a":{"b":{"c":{"d":{"e":{"f":{p},"g":[]}}},"h":" "}}}', '[[1,[null,""," x",[{p}]]],[],{},{p},false]',
+    '{"list":[{p},{"x":[]},"",0,false,true,2.5],"empty":{},"name":"\u00e9 ","none":null}', "{p",
+)
+
+
+def mixed(t: Tables) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("event_id") % len(SHAPES) + 1).cast("int"))
+    return t.read("events").select("event_id", F.replace(text, F.lit("{p}"), F.col("props")).alias("doc"))
+
+
+MIXED = f"""
+, docs AS (SELECT event_id, replace(({list(SHAPES)})[(event_id % {len(SHAPES)} + 1)::INT], '{{p}}', props) AS doc FROM events),
+tree AS (SELECT event_id, x.key, x.type, x.id, x.parent, x.atom ->> '$' AS plain, x.fullkey FROM (SELECT * FROM docs WHERE json_valid(doc)) d, json_tree(d.doc) x),
+nodes AS (SELECT c.event_id, CASE WHEN c.fullkey LIKE '$.%' THEN substr(c.fullkey, 3) ELSE substr(c.fullkey, 2) END AS path, c.type IN ('OBJECT', 'ARRAY') AS many,
+  p.type = 'OBJECT' OR NOT many AS counted, many OR coalesce(c.type <> 'NULL' AND trim(c.plain) <> '', false) AS there, c.type = 'VARCHAR' OR (c.type = 'BOOLEAN' AND c.plain = 'true') OR coalesce(try_cast(c.plain AS DOUBLE) <> 0, false) AS weighs
+  FROM tree c JOIN tree p ON p.event_id = c.event_id AND p.id = c.parent)
+"""
+
+
+@query("q1_any_document", MIXED + """
+SELECT event_id, count(path) FILTER (counted) AS total, count(path) FILTER (counted AND there) AS filled, count(path) FILTER (NOT many AND there AND weighs) AS leaves,
+  CASE WHEN count(path) FILTER (counted) > 0 THEN count(path) FILTER (counted AND there) / count(path) FILTER (counted) ELSE 0 END AS completeness FROM docs LEFT JOIN nodes USING (event_id) GROUP BY 1""")
+def q1_any(t: Tables) -> DataFrame:
+    """Completeness and non-empty leaves (q4) of documents without a common schema."""
+    return D.scores(mixed(t), "event_id", "doc")
+
+
+@query("q2_any_presence", MIXED + "SELECT event_id, path, max(there::INT) AS present FROM nodes WHERE counted GROUP BY 1, 2")
+def q2_any(t: Tables) -> DataFrame:
+    return D.presence(mixed(t), "event_id", "doc")
+
+
 @query("q3_confidence_node1", NODE1 + """
 , b AS (SELECT k AS property_id, (1 + .8 * g + .6 * p + .5 * ph + 1 + 1.8 * co + .8 + .8 + .6 + .7 * fe) / 10.9 AS base,
   (2 * co + 3) / 7.0 * .15 + .05 * g_known + .03 * p + .02 * ph + least(.05, n * .01) AS bonus, least(.1, leaves * .005) AS rich FROM q)
