@@ -87,20 +87,37 @@ def _end(d: DataFrame, keys: list[str], bin_: Column) -> DataFrame:
 
 
 def cuts(slim: DataFrame, goal: DataFrame, small) -> DataFrame:
-    """source and __cut, the place (__q, doc_id, __tie) of the last document that its sample takes.
+    """source and __cut, the place (__q, doc_id, __tie) of the last document that its sample takes, with __k of the __n rows there.
 
     The ranking is summed in bins, and the bin where the words wanted end in bins again; what is sorted is one in
-    BINS * BINS of a source. A source whose words all are wanted has no row."""
+    BINS * BINS of a source, and equal rows are one row of it. A source whose words all are wanted has no row."""
     d = ranked(slim, small(goal)).filter("__odd > 0").withColumn("__left", F.col("__want"))
     d = d.withColumn("__b1", F.least(F.floor(F.col("__q") * BINS), F.lit(BINS - 1))).withColumn("__b2", F.least(F.floor((F.col("__q") * BINS - F.col("__b1")) * BINS), F.lit(BINS - 1)))
     keep = ("source", "__q", "doc_id", "__tie", "size", "__left", "__b1", "__b2")
     for b in ("__b1", "__b2"):
         e = small(_end(d, ["source"], F.col(b)).withColumnRenamed("source", "__s"))
         d = d.join(e, F.col("source").eqNullSafe(F.col("__s"))).filter(F.col(b) == F.col("__end")).withColumn("__left", F.col("__left") - F.col("__from")).select(*keep)
-    place = F.struct("__q", "doc_id", "__tie")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = d.withColumn("__to", upto).groupBy("source").agg(F.max(F.when(2 * F.col("__to") - F.col("size") <= 2 * F.col("__left"), place)).alias("__in"), F.min(place).alias("__first"))
-    return last.select("source", F.col("__in").alias("__cut"), "__first")
+    d = d.groupBy("source", "__q", "doc_id", "__tie", "size", "__left").agg(F.count(F.lit(1)).alias("__n"))
+    place, size = F.struct("__q", "doc_id", "__tie"), F.col("size")
+    upto = F.sum(size * F.col("__n")).over(Window.partitionBy("source").orderBy("__q", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    room = F.col("__left") - (upto - size * F.col("__n"))  # for this document and later ones
+    fit = F.when(size > 0, F.floor((2 * room + size) / (2 * size))).otherwise(F.when(room >= 0, F.col("__n")).otherwise(0))
+    d = d.withColumn("__k", F.greatest(F.least(fit, F.col("__n")), F.lit(0)).cast("long"))
+    there = F.col("__k") > 0
+    last = d.groupBy("source").agg(F.max(F.when(there, F.struct("__q", "doc_id", "__tie", "__k", "__n"))).alias("__in"), F.min(place).alias("__first"))
+    return last.select("source", F.when(F.col("__in").isNotNull(), F.struct("__in.__q", "__in.doc_id", "__in.__tie")).alias("__cut"), "__first", "__in.__k", "__in.__n")
+
+
+def first_copies(d: DataFrame) -> DataFrame:
+    """``d``, equal rows of each source, with __in: true for __k rows of each. Written first, so that rows keep their numbers, which are
+    counted in each part of the table and then over the parts."""
+    d = written(d, "copies").withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33))
+    before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    parts = parts.select(F.col("source").alias("__of"), F.col("__part").alias("__p0"), "__before")
+    own = F.row_number().over(Window.partitionBy("source", "__part").orderBy("__row"))
+    d = d.withColumn("__own", own).join(parts, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__p0")))
+    return d.withColumn("__in", F.col("__own") + F.col("__before") <= F.col("__k")).drop("__row", "__part", "__own", "__of", "__p0", "__before")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 8, measure: Column | None = None) -> DataFrame:
@@ -108,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     ``measure`` (0 to 1000, null as 0; by default the size's) says what is rather included. Null or empty texts have size 0
     and are taken 0 times 0 words; a null source is a source of its own, last in order. Equal rows (same doc_id and text)
-    share one draw and one place, and stay or go together. Own columns of these names are replaced. No table gives no
+    share one draw and one place; where the words wanted end among them, as many are taken as fit, whichever these are. Own columns of these names are replaced. No table gives no
     rows. A source of any share of the rows is ranked in bins of its ranking, and never sorted as a whole. The tables of
     one row a source are broadcast up to BROADCAST_SOURCES and BROADCAST_BYTES, so that texts stay in place; beyond, they
     are shuffled.
@@ -135,7 +152,11 @@ def mixed(d: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float,
     place = F.struct("__q", "doc_id", "__tie")
     # before the documents that were sorted, or among those of them that are taken; nothing is sorted where all is wanted
     inside = F.when(F.col("__ends").isNull(), F.lit(True)).otherwise((place < F.col("__first")) | F.coalesce(place <= F.col("__cut"), F.lit(False)))
-    taken = inside & (F.col("__odd") > 0)
+    d = d.withColumn("__in", inside)
+    if not ends.filter("__k < __n").isEmpty():
+        some = F.coalesce((place == F.col("__cut")) & (F.col("__k") < F.col("__n")), F.lit(False))
+        d = d.filter(~some).unionByName(first_copies(d.filter(some)).select(*d.columns))
+    taken = F.col("__in") & (F.col("__odd") > 0)
     return d.withColumn("copies", (F.col("__sure") + taken.cast("int")).cast("int")).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 

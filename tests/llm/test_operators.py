@@ -446,6 +446,22 @@ def test_mixing(spark, sf, odd, none, monkeypatch):
     assert mixing.mix(odd.filter("doc_id = 2")).first().target == 0.0
 
 
+def test_mixing_takes_part_of_equal_rows(spark):
+    """A source that is mostly one repeated row meets its target to within half a row, whole and in parts, by either way."""
+    rows = 500
+    same = spark.range(0, rows, 1, 5).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("w "), 100).alias("text"), F.lit("a").alias("source"))
+    rest = spark.range(100).select((F.col("id") + 2).alias("doc_id"), F.concat(F.repeat(F.lit("v "), 99), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"))
+    blank = spark.range(50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit("a").alias("source"))
+    d = same.unionByName(rest).unionByName(blank)
+    for seed in (1, 2):
+        got = mixing.mix(d, seed=seed).collect()
+        assert len(got) == rows + 150 and all(r.taken <= 2 * r.size for r in got)
+        for source in ("a", None):
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 50 and own[0].source_size == sum(r.size for r in own)
+    assert Counter(r.doc_id for r in mixing.resample(d.repartition(3), seed=2).collect()) == Counter(r.doc_id for r in got for _ in range(r.copies))
+
+
 def test_mixing_includes_by_probability(spark):
     d = spark.range(800).select(F.col("id").alias("doc_id"), F.lit("one two three four " * 10).alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, 167).otherwise(833).alias("quality"))
     taken = Counter()
