@@ -33,7 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; what it takes 0 times goes. Null and empty texts have size 0, a null
-    source is one of its own, and equal rows stay or go together."""
+    source is one of its own, and of equal rows as many are taken as fit."""
     return mixing.resample(docs)
 
 
