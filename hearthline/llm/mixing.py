@@ -20,6 +20,8 @@ BINS = 4096  # of the ranking; the bin where a sample ends is cut into as many a
 HALF = 200  # words of a document of middle measure
 BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 4 << 20
 SCALE = float(1 << 52)
+KEPT = ("doc_id", "text", "source")
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def _few_sources(docs: DataFrame) -> bool:
@@ -130,10 +132,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     one row a source are broadcast up to BROADCAST_SOURCES and BROADCAST_BYTES, so that texts stay in place; beyond, they
     are shuffled.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    d = drawn(docs, seed, measure)
+    docs = docs.drop(*ADDED)
+    # own columns have other names meanwhile, so that none can clash
+    names = [c if c in KEPT else f"__own_{i}" for i, c in enumerate(docs.columns)]
+    extra = [] if measure is None else [measure.cast("long").alias("__measure")]
+    held = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)), *extra)
+    d = drawn(held, seed, None if measure is None else F.col("__measure"))
     slim = written(d.select("doc_id", "source", "size", "__u", "__m", "__tie"), "drawn")
-    return mixed(d, slim, weights, share, most).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    done = mixed(d.drop("__measure"), slim, weights, share, most)
+    return done.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), *ADDED)
 
 
 def mixed(d: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -163,10 +170,10 @@ def mixed(d: DataFrame, slim: DataFrame, weights: tuple[int, ...], share: float,
 def resample(docs: DataFrame, **options) -> DataFrame:
     """Each row of ``docs`` as many times as the mix takes it, with its own columns as they are, whatever their names."""
     own = [f"__own_{i}" for i in range(len(docs.columns))]
-    kept = {"doc_id", "text", "source"}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(c if c in kept else o) for c, o in zip(docs.columns, own, strict=True)))
-    taken = mix(renamed, **options).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*(F.col(c if c in kept else o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
+    extra = [options.pop("measure").alias("__measured")] if options.get("measure") is not None else []
+    renamed = docs.select(*(docs[f"`{c}`"].alias(c if c in KEPT else o) for c, o in zip(docs.columns, own, strict=True)), *extra)
+    taken = mix(renamed, **options, **({"measure": F.col("__measured")} if extra else {})).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col(c if c in KEPT else o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
