@@ -51,7 +51,13 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = _seeds(np.array(words, np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([item] * len(s), pa.int64()), pa.array(s), pa.array(np.arange(len(s), dtype=np.int32))], ["item_id", "seed", "item_at"])
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(s), pa.int64()), pa.array(s), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(np.full(len(s), len(words), np.int32))], ["item_id", "seed", "item_at", "size"])
+
+
+def _pad(size, least: float):
+    """Words that an alignment of at least ``least`` may have beside an item of ``size`` words: 2 a match, 1 off a word left out, so
+    that with more words between the score falls below the least."""
+    return np.ceil(MATCH * np.asarray(size) * max(0.0, 1 - least) / -GAP).astype(np.int64) + 1
 
 
 def _hits(piece: pa.RecordBatch, wanted: np.ndarray) -> tuple[_words.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,22 +83,27 @@ def _count(held):
     return rows
 
 
-def _passages(held, around: int):
+def _passages(held):
+    """The passages around the hits of seeds; each seed reaches as far as the longest item that has it may need, others don't matter."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, reaches = held.value
         for batch in batches:
             for piece in chunks(batch, "text"):
-                w, h, at, text = _hits(piece, held.value)
+                w, h, at, text = _hits(piece, wanted)
                 if not len(at):
                     continue
                 h, s = h.view(np.int64), _seeds(h)
-                cut = np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > at[:-1] + around)])
+                reach = reaches[np.searchsorted(wanted, s[at])]
+                cut = np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > np.maximum.accumulate(np.minimum(at + reach, w.first[text + 1]))[:-1])])
                 # long chains of hits are cut: what an alignment through a hit can reach is in its passage all the same
-                step = (at - at[np.flatnonzero(cut)][np.cumsum(cut) - 1]) // (LONG * around)
+                begin, chain = np.flatnonzero(cut), np.cumsum(cut) - 1
+                step = (at - at[begin][chain]) // (LONG * np.maximum.reduceat(reach, begin)[chain])
                 cut[1:] |= step[1:] != step[:-1]
                 begin = np.flatnonzero(cut)
                 last = np.append(begin[1:], len(at)) - 1
                 t = text[begin]
-                a, z = np.maximum(w.first[t], at[begin] - around), np.minimum(w.first[t + 1], at[last] + SEED + around)
+                a, z = np.maximum(w.first[t], np.minimum.reduceat(at - reach, begin)), np.minimum(w.first[t + 1], np.maximum.reduceat(at + SEED + reach, begin))
                 words = [h[x:y] for x, y in zip(a, z, strict=True)]
                 seeds = [[{"seed": int(s[p]), "place": int(p - x)} for p in at[b : e + 1]] for b, e, x in zip(begin, last, a, strict=True)]
                 kind = pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int32())]))
@@ -127,8 +138,7 @@ def _regions(held: SimpleNamespace, w: _words.Words, at: np.ndarray, text: np.nd
     order = np.lexsort((begin, item, t))
     t, item, begin = t[order], item[order], begin[order]
     size = held.first[item + 1] - held.first[item]
-    # 2 a match, 1 off a word left out: with more words between, the score falls below the least
-    pad = np.ceil((MATCH * size * max(0.0, 1 - least)) / -GAP).astype(np.int64) + 1
+    pad = _pad(size, least)
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > begin[:-1] + size[1:])])
     a = np.flatnonzero(new)
     z = np.append(a[1:], len(t)) - 1
@@ -204,16 +214,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for item, words, low, high in zip(f["item"], f["words"], f["low"], f["high"], strict=True):
-            pad = len(item) // 2 + 2
-            a, z = max(0, low - pad), min(len(words), high + len(item) + pad)
-            score, x, y = align(item, words[a:z])
-            out.append((score / (MATCH * len(item)), a + x, a + y))
-        score, x, y = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-        yield pd.DataFrame({"doc_id": f["doc_id"], "tag": f["tag"], "item_id": f["item_id"], "seeds": f["hits"], "score": np.array(score, float), "first_word": f["at"] + np.array(x, np.int64), "last_word": f["at"] + np.array(y, np.int64)})
+def _aligned(least: float):
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for item, words, low, high in zip(f["item"], f["words"], f["low"], f["high"], strict=True):
+                pad = int(_pad(len(item), least))
+                a, z = max(0, low - pad), min(len(words), high + len(item) + pad)
+                score, x, y = align(item, words[a:z])
+                out.append((score / (MATCH * len(item)), a + x, a + y))
+            score, x, y = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "tag": f["tag"], "item_id": f["item_id"], "seeds": f["hits"], "score": np.array(score, float), "first_word": f["at"] + np.array(x, np.int64), "last_word": f["at"] + np.array(y, np.int64)})
+
+    return rows
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -230,9 +243,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     docs = text_only(docs).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_item_words, "item_id long, words array<long>")
     items = written(items.filter(F.size("words") >= SEED), "items")
-    seeds = written(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int"), "seeds")
-    total, longest = seeds.count(), items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = [_block(docs, items, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), longest, least) for blocks in [max(1, -(-total // BLOCK_SEEDS))] for b in range(blocks)]
+    seeds = written(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int, size int"), "seeds")
+    total = seeds.count()
+    found = [_block(docs, items, seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), least) for blocks in [max(1, -(-total // BLOCK_SEEDS))] for b in range(blocks)]
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -240,7 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     return every.filter(F.col("score") >= least).withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
-def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int, least: float) -> DataFrame:
+def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
     """The same for the items of these seeds, of which there are BLOCK_SEEDS or little more."""
     sc = docs.sparkSession.sparkContext
     held = lambda s: sc.broadcast(np.sort(s.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)))
@@ -249,13 +262,15 @@ def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int, le
     rare = seeds.join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     told = written(rare.filter("df > 0").withColumn("rare", F.col("df") <= F.greatest(F.least(middle, F.lit(MOST)), F.lit(RARE))), "told")
     rare, frequent = told.filter("rare").drop("rare"), told.filter("NOT rare")
-    passages = written(docs.mapInArrow(_passages(held(rare), longest + longest // 2 + 4), FOUND), "passages")
+    reach = rare.groupBy("seed").agg(F.max("size").alias("size")).toPandas().sort_values("seed")
+    reach = sc.broadcast((reach["seed"].to_numpy(np.int64), reach["size"].to_numpy(np.int64) + _pad(reach["size"], least)))
+    passages = written(docs.mapInArrow(_passages(reach), FOUND), "passages")
     place = passages.select("doc_id", "tag", "at", F.explode("seeds").alias("s")).select("doc_id", "tag", "at", "s.seed", "s.place")
     pairs = place.join(rare, "seed").groupBy("doc_id", "tag", "at", "item_id").agg(F.min(F.col("place") - F.col("item_at")).alias("low"), F.max(F.col("place") - F.col("item_at")).alias("high"), F.count(F.lit(1)).cast("int").alias("hits"))
     keyed = lambda d: d.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
     both = keyed(pairs).join(keyed(passages.drop("seeds")), ["__id", "tag", "at"]).join(items.withColumnRenamed("words", "item"), "item_id")
     both = both.withColumn("doc_id", F.nullif("__id", F.lit(-(1 << 63))))
-    by_rare = both.select("doc_id", "tag", "at", "item_id", "low", "high", "hits", "words", "item").mapInPandas(_aligned, ALIGNED)
+    by_rare = both.select("doc_id", "tag", "at", "item_id", "low", "high", "hits", "words", "item").mapInPandas(_aligned(least), ALIGNED)
     left = frequent.select("item_id", "seed", "item_at").toPandas()
     if not len(left):
         return by_rare
@@ -266,8 +281,9 @@ def _block(docs: DataFrame, items: DataFrame, seeds: DataFrame, longest: int, le
 def without(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that match no item, with all their columns."""
     hit = matches(docs, benchmark, least).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    tagged = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return tagged.join(hit, (F.col("__own") == F.col("__id")) & (F.col("__of") == F.col("__tag")), "left_anti").drop("__own", "__of")
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    # an anti join on expressions adds no column to ``docs``, so none of its own can clash
+    return docs.join(hit, (own == hit["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["__tag"]), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

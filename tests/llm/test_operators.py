@@ -11,6 +11,7 @@ import struct
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -81,6 +82,33 @@ def test_decontaminate_long_chains_of_hits(spark, monkeypatch):
     assert [(r.score, r.first_word, r.last_word) for r in got] == [(1.0, 4500, 4530)]
 
 
+def test_decontaminate_a_long_item_adds_nothing_to_others_passages(spark):
+    short, long = [f"s{k}" for k in range(30)], [f"l{k}" for k in range(4000)]
+    text = " ".join([f"x{k}" for k in range(9000)] + short + [f"y{k}" for k in range(9000)])
+    code = lambda words: decontaminate._seeds(decontaminate._words.hashes(decontaminate._words.split(pa.array([" ".join(words)]), decontaminate._words.NOT_ALNUM), lower=True))
+    reach = {s: 67 for s in code(short)} | {s: 8801 for s in code(long)}
+    held = SimpleNamespace(value=(np.array(sorted(reach)), np.array([reach[s] for s in sorted(reach)])))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text], "tag": pa.array([1], pa.int64())})
+    got = [(r["at"], len(r["words"]), len(r["seeds"])) for b in decontaminate._passages(held)(iter([batch])) for r in b.to_pylist()]
+    assert got == [(9000 - 67, 67 + 30 + 67, 28)]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    docs = [(1, text), (2, "a b c " + " ".join(long[:2500] + ["between"] * 40 + long[2500:]) + " d"), (3, " ".join(long[:20]))]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, round(r.score, 6), r.first_word, r.last_word) for r in got} == {(1, 1, 1.0, 9000, 9030), (2, 2, 1 - 40 / 8000, 3, 4043)}
+
+
+def test_own_columns_may_have_any_name(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven pale wizards vex their boxing judge at dawn"
+    names = ["__own", "__of", "__id", "__tag", "__s", "__u", "__p", "__q", "__own_0", "a.b"]
+    docs = spark.createDataFrame([(1, item, "x", *range(10)), (2, "other words alone", "y", *range(10)), (3, "words of a third", "x", *range(10))], ["doc_id", "text", "source", *names])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.without(docs, bench)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(map(tuple, docs.filter("doc_id > 1").collect()))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, *mixing.ADDED] and {tuple(r)[:13] for r in got.collect()} == set(map(tuple, docs.collect()))
+    assert mixing.resample(docs, measure=F.col("__q")).columns == docs.columns
+
+
 def test_alignment_is_smith_waterman():
     r = np.random.default_rng(1)
     for _ in range(50):
