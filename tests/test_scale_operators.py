@@ -143,3 +143,17 @@ def test_sides_of_pairs_from_one_join_and_one_aggregation(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "FullOuter" not in plan
     assert K.side_by_side(c.filter("false"), spark.createDataFrame(pairs, "ours int, theirs int"), "name", ["price"]).count() == 0
+
+
+def test_sides_of_pairs_in_blocks_move_a_listing_once_a_block(spark):
+    r = random.Random(10)
+    have = {(p, n): (r.choice([None, 1.5, 2.0]), [n, str(p)] if r.random() < 0.5 else None) for p in range(200) for n in [*"abcdef", None] if r.random() < 0.5}
+    c = spark.createDataFrame([(p, n, *v) for (p, n), v in have.items()], "property_id int, name string, price double, keys array<string>")
+    near = K.neighbours(spark.createDataFrame([(p, "x" if p % 3 else "y") for p in range(201)], "property_id int, region string")).cache()
+    plain = near.select("ours", "theirs")
+    assert plain.count() == 1005 and near.select("block").distinct().count() == 8
+    rows = lambda d: sorted(map(str, d.select("ours", "theirs", "name", "our_price", "our_keys", "their_price", "their_keys", "in_ours", "in_theirs").collect()))
+    got = K.side_by_side(c, near, "name", ["price", "keys"], 3)
+    assert rows(got) == rows(K.side_by_side(c, plain, "name", ["price", "keys"])) == rows(K.side_by_side(c, near, "name", ["price", "keys"]))
+    of = near.select("block", F.explode(F.array("ours", "theirs")).alias("p")).distinct().count()
+    assert of < 201 * 1.25  # rows of a listing travel this many times, not ten
