@@ -157,3 +157,15 @@ def test_sides_of_pairs_in_blocks_move_a_listing_once_a_block(spark):
     assert rows(got) == rows(K.side_by_side(c, plain, "name", ["price", "keys"])) == rows(K.side_by_side(c, near, "name", ["price", "keys"]))
     of = near.select("block", F.explode(F.array("ours", "theirs")).alias("p")).distinct().count()
     assert of < 201 * 1.25  # rows of a listing travel this many times, not ten
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    from hearthline import catalog
+    from hearthline.plans import tables
+
+    run = lambda: catalog.QUERIES["q5_merge_quality"](spark, "/root/testdata/sf0.001")
+    few = run()
+    monkeypatch.setattr(tables, "PART_BYTES", 2000)
+    many = run()
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString() and many._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert sorted(few.collect()) == sorted(many.collect())
