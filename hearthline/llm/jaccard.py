@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import release, ship, table, text_only, written
+from ._common import discarded, release, ship, table, text_only, written
 from ._words import chunks
 from .components import components
 
@@ -309,7 +309,7 @@ def class_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes; over all of them, linked classes are connected."""
+    """Links (a, b) between classes, written; over all of them, linked classes are connected. What leads to them is deleted then."""
     credit = docs.mapInArrow(_counted, "key long, sig long, credit int, n int").repartition("key").mapInArrow(_credited, "sig long, credit long, n long")
     enough = F.least(F.lit(EXTRA), F.ceil(F.ceil(F.col("n") * 4 / F.lit(5)) * 4 / F.lit(5)))
     hopeful = written(credit.groupBy("sig").agg(F.sum("credit").alias("credit"), F.max("n").alias("n")).filter(F.col("credit") >= enough).select("sig").join(classes, "sig").select("sig", "doc_id"), "hopeful")
@@ -330,7 +330,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = placed.join(parts, "group").withColumn("side", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sig", "n", "items")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK_ITEMS))
-    return dealt.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_searched, "a long, b long")
+    found = written(dealt.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_searched, "a long, b long"), "links")
+    for done in (hopeful, sets, heads, parts):
+        discarded(done)
+    return found
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -343,7 +346,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     docs = text_only(docs)
     signed, classes = class_table(docs)
-    found = components(written(links(docs, classes), "links"))
+    found = components(links(docs, classes))
     classes = classes.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = classes.join(least, "root").select("sig", "component_id")
@@ -354,12 +357,17 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; of rows equal in doc_id and text one stays.
 
-    Rows with a null doc_id all stay, as do different texts of one doc_id that are no near copies of another doc_id.
+    Rows with a null doc_id all stay, as do different texts of one doc_id that are no near copies of another doc_id. The ids that go and
+    the repeated ones are broadcast up to BROADCAST_ROWS, so that texts stay where they are; beyond, texts and ids are shuffled.
     """
-    joined = written(join(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "firsts")
-    once, more = (joined.filter(c).select(F.col("doc_id").alias("__kept")) for c in ("__n = 1", "__n > 1"))
-    alone = docs.join(once, docs["doc_id"] == once["__kept"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    repeated = docs.join(more, docs["doc_id"] == more["__kept"], "left_semi")
+    firsts = F.count_if(F.col("doc_id") == F.col("component_id"))
+    marked = written(join(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(firsts.alias("__n")).filter("__n <> 1"), "marked")
+    total, repeats = marked.agg(F.count(F.lit(1)), F.count_if(F.col("__n") > 1)).first()
+    few = F.broadcast if total <= BROADCAST_ROWS else lambda x: x
+    alone = docs.join(few(marked.select("__id")), docs["doc_id"] == F.col("__id"), "left_anti")
+    if not repeats:
+        return alone
+    repeated = docs.join(few(marked.filter("__n > 1").select("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
     return alone.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 

@@ -1,12 +1,13 @@
 """Token ids in directly addressable codes.
 
-An id is cut into chunks of 8 bits. Level 0 holds the lowest chunk of every token, level 1 the next chunk of those ids
-that need one, and so on; a bitmap per level marks the ids that go on, and a rank directory (ones before each block of
-512 bits) finds an id's place in the next level. So any token is read by position, with no block to decode.
-
-File, little-endian: ``DAC1``, u32 levels, u64 documents, u64 tokens; per document u8 "has an id", i64 doc_id; u64 token
-offsets (documents + 1); per level u64 length, its chunks, its bitmap, its rank directory (u64 each). Documents ascend by
-doc_id within a file and over the files in order of the manifest.
+A token's code is the place of its id among the ids of its file, most frequent first, so that the 256 most frequent ones take
+one chunk. A code is cut into chunks of 8 bits. Level 0 holds the lowest chunk of every token, level 1 the next chunk of those
+codes that need one, and so on; a bitmap per level marks the codes that go on, and a rank directory (ones before each block of
+512 bits) finds a code's place in the next level. So any token is read by position, with no block to decode.
+
+File, little-endian: ``DAC2``, u32 levels, u64 documents, u64 tokens; per document u8 "has an id", i64 doc_id; u64 token
+offsets (documents + 1); u64 number of ids, the ids by code (u32 each); per level u64 length, its chunks, its bitmap, its rank
+directory (u64 each). Documents ascend by doc_id within a file and over the files in order of the manifest.
 """
 
 from __future__ import annotations
@@ -33,18 +34,36 @@ ship(__name__)
 
 BLOCK_BITS = 512
 FILE_TOKENS = 8 << 20
+DENSE_IDS = 1 << 22  # ids below this are counted in an array of all of them
+COUNTED = 1 << 20  # tokens counted at once
 CACHE_UNITS = 1_000_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: what splits the texts of such a vocabulary
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
 
+def by_frequency(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, most frequent first (ties: smaller first), and each token's place among them."""
+    if len(flat) and flat.max() >= DENSE_IDS:
+        ids, place = np.unique(flat, return_inverse=True)
+    else:
+        ids, place = np.arange(int(flat.max()) + 1 if len(flat) else 0, dtype=np.uint32), flat
+    n = np.zeros(len(ids), np.int64)
+    for k in range(0, len(place), COUNTED):
+        n += np.bincount(place[k : k + COUNTED], minlength=len(ids))
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    code = np.zeros(len(ids), np.uint32)
+    code[order] = np.arange(len(order))
+    return ids[order], code[place]
+
+
 def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """One file's bytes for documents with these token ids."""
     out = io.BytesIO()
     lengths = np.array([len(x) for x in ids], np.int64)
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
-    levels, rest = [], flat
+    known, rest = by_frequency(flat)
+    levels: list[tuple] = []
     while len(rest) or not levels:
         more = rest > 0xFF
         bits = np.packbits(more, bitorder="little")
@@ -53,10 +72,11 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
         ones = padded.reshape(-1, BLOCK_BITS).sum(1)
         levels.append((len(rest), (rest & 0xFF).astype(np.uint8), bits, np.concatenate([[0], np.cumsum(ones)]).astype("<u8")))
         rest = rest[more] >> 8
-    out.write(struct.pack("<4sIQQ", b"DAC1", len(levels), len(ids), len(flat)))
+    out.write(struct.pack("<4sIQQ", b"DAC2", len(levels), len(ids), len(flat)))
     out.write(np.array([d is not None for d in doc_ids], np.uint8).tobytes())
     out.write(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     out.write(np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes())
+    out.write(struct.pack("<Q", len(known)) + known.astype("<u4").tobytes())
     for n, chunk, bits, rank in levels:
         out.write(struct.pack("<Q", n) + chunk.tobytes() + bits.tobytes() + rank.tobytes())
     return out.getvalue()
@@ -67,14 +87,16 @@ class Packed:
 
     def __init__(self, raw: bytes) -> None:
         magic, levels, docs, self.tokens = struct.unpack_from("<4sIQQ", raw)
-        if magic != b"DAC1":
+        if magic != b"DAC2":
             raise ValueError("not a file of directly addressable codes")
         at = 24
         has = np.frombuffer(raw, np.uint8, docs, at)
         ids = np.frombuffer(raw, "<i8", docs, at := at + docs)
         self.doc_ids = [int(d) if h else None for d, h in zip(ids, has, strict=True)]
         self.offsets = np.frombuffer(raw, "<u8", docs + 1, at := at + 8 * docs).astype(np.int64)
-        at += 8 * (docs + 1)
+        (known,) = struct.unpack_from("<Q", raw, at := at + 8 * (docs + 1))
+        self.known = np.frombuffer(raw, "<u4", known, at := at + 8).astype(np.uint32)
+        at += 4 * known
         self.levels = []
         for _ in range(levels):
             (n,) = struct.unpack_from("<Q", raw, at)
@@ -95,7 +117,7 @@ class Packed:
             first = block * BLOCK_BITS // 8
             before = np.unpackbits(bits[first : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK_BITS]
             i = int(rank[block]) + int(before.sum())
-        return value
+        return int(self.known[value])
 
     def all(self) -> np.ndarray:
         """Every id of the file."""
@@ -105,7 +127,7 @@ class Packed:
             more = np.flatnonzero(np.unpackbits(bits, count=n, bitorder="little"))
             here[more] |= value[: len(more)] << np.uint32(8)
             value = here
-        return value
+        return self.known[value]
 
 
 class Units:

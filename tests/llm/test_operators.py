@@ -395,6 +395,37 @@ def test_jaccard(spark, sf, odd, none):
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, None, 3, 4, 5, 7, 9])
 
 
+def test_first_copies_keep_texts_in_place(spark, odd, monkeypatch):
+    """However small Spark's own bound of broadcasts is, the ids travel and not the texts; beyond BROADCAST_ROWS the rows are the same."""
+    bound = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "-1")
+    try:
+        kept = jaccard.keep_first(odd)
+        want = Counter(kept.select("doc_id", "text").collect())
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+        assert Counter(jaccard.keep_first(odd).select("doc_id", "text").collect()) == want and sum(want.values()) == 9
+    finally:
+        spark.conf.set(bound, before)
+
+
+def test_links_leave_no_tables_behind(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:]])), (3, "other words alone here now")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    seen = []
+    monkey, jaccard.written = jaccard.written, lambda df, what: seen.append((what, monkey(df, what))) or seen[-1][1]
+    try:
+        found = jaccard.links(docs, jaccard.class_table(docs)[1])
+    finally:
+        jaccard.written = monkey
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    left = {what for what, df in seen for f in df.inputFiles() if path(f).getFileSystem(conf).exists(path(f))}
+    assert left == {"signed", "links"} and found.count() == 1
+
+
 def test_jaccard_groups_and_chunks(spark, monkeypatch):
     r = np.random.default_rng(3)
     rows, n = [], 0
@@ -644,3 +675,13 @@ def test_addressable_codes():
     assert (p.all() == flat).all() and [p.token(i) for i in range(len(flat))] == flat.tolist() and p.doc_ids == [None, 1, 2, 3, -4]
     assert p.offsets.tolist() == [0, 5, 705, 2205, 3105, 3105]
     assert len(tokens.Packed(tokens.pack([], [])).all()) == 0
+
+
+def test_frequent_ids_take_one_chunk():
+    """Ids of any height take little more than a byte where few of them are frequent."""
+    r = np.random.default_rng(4)
+    for low in (40_000, 1 << 30):
+        ids = [np.concatenate([low + r.integers(0, 200, 50_000), low + r.integers(0, 8000, 50)]).astype(np.uint32) for _ in range(4)]
+        raw = tokens.pack([1, 2, 3, 4], ids)
+        flat, p = np.concatenate(ids), tokens.Packed(raw)
+        assert len(raw) < 1.2 * len(flat) and (p.all() == flat).all() and all(p.token(i) == flat[i] for i in range(49_900, 50_100))
